@@ -36,25 +36,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
 
 
-def term_counts(toks: Column) -> Column:
-    """``struct<terms ARRAY<STRING>, tf ARRAY<INT>>``: distinct sorted terms and counts.
+def run_starts(sorted_col: str) -> Column:
+    """1-based positions where a new run of equal values starts in a sorted array column.
 
-    Works inside one row in O(n log n): sort the tokens, mark where each run of equal
-    tokens starts, and take the distance to the next start as the count.
+    Takes a column *name*: the array must already be materialised so the lambda reads
+    it instead of re-evaluating the sort for every element.
     """
-    s = F.array_sort(toks)
+    s = F.col(sorted_col)
     n = F.size(s)
-    starts = F.when(n > 0, F.filter(
+    return F.when(n > 0, F.filter(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
         lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))),
     )).otherwise(F.array().cast("array<int>"))
-    terms = F.transform(starts, lambda i: F.element_at(s, i))
-    # element_at past the end is an error under ANSI, so the last run is guarded.
-    tf = F.transform(
-        starts,
-        lambda i, j: F.when(j + 1 < F.size(starts), F.element_at(starts, j + 2)).otherwise(n + 1) - i,
-    )
-    return F.struct(terms.alias("terms"), tf.alias("tf"))
+
+
+def run_lengths(starts_col: str, total: Column) -> Column:
+    """Length of every run, from the run starts (a materialised column) and total size."""
+    st = F.col(starts_col)
+    return F.transform(st, lambda i, j: F.when(j + 1 < F.size(st), F.element_at(st, j + 2)).otherwise(total + 1) - i)
 
 
 def int_sum_squares(v: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.functions.vectors import int_sum_squares, l2_normalize, term_counts, tokens
+from storyloom.functions.vectors import int_sum_squares, l2_normalize, run_lengths, run_starts, tokens
 
 # Default encoder batch size and the character cut applied before a
 # pretrained encoder (its input window).
@@ -57,10 +57,13 @@ def term_vectors(df: DataFrame, id_col: str = "id", text_col: str = "full_text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     if max_chars is not None:
         text = F.substring(text, 1, max_chars)
-    tc = term_counts(tokens(text))
-    return (df.select(F.col(id_col).alias("id"), tc.alias("_tc"))
-              .select("id", F.col("_tc.terms").alias("terms"), F.col("_tc.tf").alias("tf"))
-              .withColumn("sumsq", int_sum_squares(F.col("tf"))))
+    # Each step is its own projection so later lambdas read materialised arrays.
+    sorted_tokens = df.select(F.col(id_col).alias("id"), F.array_sort(tokens(text)).alias("_s"))
+    with_starts = sorted_tokens.select("id", "_s", run_starts("_s").alias("_st"))
+    return (with_starts
+            .select("id", F.transform("_st", lambda i: F.element_at(F.col("_s"), i)).alias("terms"),
+                    run_lengths("_st", F.size("_s")).alias("tf"))
+            .withColumn("sumsq", int_sum_squares(F.col("tf"))))
 
 
 def check_alignment(vectors: DataFrame, items: DataFrame, dim: int,

@@ -80,7 +80,8 @@ def neighbours(corpus: DataFrame, anchors: DataFrame, k: int = 10, c_id: str = "
     """
     q = corpus.join(anchors.select(F.col(c_id)).distinct(), c_id, "inner").select(
         F.col(c_id).alias("anchor_id"), F.col(c_vec).alias("embedding"))
-    return dense_topk(q, corpus, k, q_id="anchor_id", exclude_self=True, c_id=c_id, c_vec=c_vec)
+    return dense_topk(q, corpus, k, q_id="anchor_id", exclude_self=True, c_id=c_id, c_vec=c_vec,
+                      normalize_queries=False)
 
 
 def similarity_pairs(members: DataFrame, vectors: DataFrame, group: str = "topic_id",

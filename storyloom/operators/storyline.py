@@ -57,7 +57,7 @@ def _long_words(headline: Column) -> Column:
 def importance_reason(as_of: str) -> Column:
     """Heuristic "why it matters" for an article row.  ``as_of`` (``yyyy-MM-dd``) is the
     reference day for recency, so results do not depend on the clock."""
-    d = F.try_to_date(F.substring(F.col("date"), 1, 10), F.lit("yyyy-MM-dd"))
+    d = F.try_to_date(F.substring(F.col("date"), 1, 10), "yyyy-MM-dd")
     age = F.datediff(F.to_date(F.lit(as_of)), d)
     reasons = F.array_compact(F.array(
         F.when(F.col("similarity_score") > 0.7, F.lit("highly relevant to topic")),
@@ -90,7 +90,7 @@ def timeline(ta: DataFrame, as_of: str, reasons: DataFrame | None = None) -> Dat
 # ---------------------------------------------------------------- A1 A2 A3 A4 W3
 def topic_stats(ta: DataFrame) -> DataFrame:
     """A1/A2/W3 per topic: counts, date span and narrative-arc sentence."""
-    n = F.count(F.lit(1))
+    n = F.col("_n")
     third_head = F.floor(n / 3)
     third_tail = F.ceil(n / 3)
     esc = contains_any(F.lower(F.col("headline")), ESCALATION_WORDS)
@@ -99,13 +99,14 @@ def topic_stats(ta: DataFrame) -> DataFrame:
     arc = (F.when(n < 3, F.lit(ARC_LIMITED)).when(last > first, F.lit(ARC_UP))
              .when(last < first, F.lit(ARC_DOWN)).otherwise(F.lit(ARC_FLAT)))
     dated = F.nullif(F.col("date"), F.lit(""))
-    return ta.groupBy("topic_id").agg(
-        n.alias("article_count"),
+    sized = ta.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("topic_id")))
+    return sized.groupBy("topic_id", "_n").agg(
+        F.count(F.lit(1)).alias("article_count"),
         F.countDistinct("source").alias("source_count"),
         F.substring(F.min(dated), 1, 10).alias("first_date"),
         F.substring(F.max(dated), 1, 10).alias("last_date"),
         arc.alias("narrative_arc"),
-    )
+    ).drop("_n")
 
 
 def peak_month(ta: DataFrame) -> DataFrame:

@@ -61,11 +61,153 @@ def q_source_from_url(spark, sf_dir):
     return p.select("page_id", "url", F.coalesce(source_from_url(F.col("url")), F.lit("Unknown")).alias("source"))
 
 
+
+
+# ------------------------------------------------------------------ text search + storylines
+def story_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K):
+    """``(topics, articles, hits, topic_articles)`` for the storyline queries."""
+    from storyloom.operators import embed, storyline
+
+    arts = articles(spark, sf_dir)
+    tps = testbed.topics(spark, sf_dir)
+    doc_tv = embed.term_vectors(arts, "id", "full_text")
+    topic_tv = embed.term_vectors(tps, "topic_id", "topic").withColumnRenamed("id", "topic_id")
+    hits = search.text_topk(topic_tv, doc_tv, k)
+    ta = storyline.topic_articles(hits, arts)
+    return tps, arts, hits, ta
+
+
+def q_text_cosine_topk(spark, sf_dir):
+    _, _, hits, _ = story_inputs(spark, sf_dir)
+    return hits.select("topic_id", "rank", "id", _round())
+
+
+def q_timeline(spark, sf_dir):
+    from storyloom.operators import storyline
+    _, _, _, ta = story_inputs(spark, sf_dir)
+    return storyline.timeline(ta, P.AS_OF)
+
+
+def q_top_sources(spark, sf_dir):
+    from storyloom.operators import storyline
+    _, _, _, ta = story_inputs(spark, sf_dir)
+    return storyline.top_sources(ta)
+
+
+def q_peak_month(spark, sf_dir):
+    from storyloom.operators import storyline
+    _, _, _, ta = story_inputs(spark, sf_dir)
+    return storyline.peak_month(ta)
+
+
+def q_narrative_arc(spark, sf_dir):
+    from storyloom.operators import storyline
+    _, _, _, ta = story_inputs(spark, sf_dir)
+    return storyline.topic_stats(ta)
+
+
+def q_keyword_counts(spark, sf_dir):
+    from storyloom.operators import storyline
+    _, _, _, ta = story_inputs(spark, sf_dir)
+    return storyline.keyword_counts(ta)
+
+
+def q_relation_edges(spark, sf_dir):
+    from storyloom.operators import storyline
+    _, _, _, ta = story_inputs(spark, sf_dir)
+    return storyline.relation_edges(ta).select("topic_id", "source", "target", "relation", "weight")
+
+
+def q_graph_counts(spark, sf_dir):
+    from storyloom.operators import storyline
+    tps, _, _, ta = story_inputs(spark, sf_dir)
+    return storyline.graph_counts(tps, ta, storyline.relation_edges(ta))
+
+
+def q_key_events(spark, sf_dir):
+    from storyloom.operators import storyline
+    _, _, _, ta = story_inputs(spark, sf_dir)
+    ke = storyline.key_events(ta)
+    return ke.select("topic_id", F.posexplode("key_events").alias("event_pos", "event")) \
+             .select("topic_id", (F.col("event_pos") + 1).alias("event_pos"), "event")
+
+
+def q_keyword_clusters(spark, sf_dir):
+    from storyloom.operators import storyline
+    tps, _, _, ta = story_inputs(spark, sf_dir)
+    cl = storyline.keyword_clusters(tps, ta)
+    return cl.select("topic_id", "cluster_id", "theme", "article_count",
+                     F.array_join("articles", ",").alias("articles"),
+                     F.array_join("key_terms", ",").alias("key_terms"))
+
+
+def q_summary_text(spark, sf_dir):
+    from storyloom.operators import storyline
+    tps, _, _, ta = story_inputs(spark, sf_dir)
+    return storyline.heuristic_summary(tps, ta).select("topic_id", F.col("heuristic_summary").alias("summary"))
+
+
+def q_storyline_docs(spark, sf_dir):
+    from storyloom.operators import storyline
+    tps, _, _, ta = story_inputs(spark, sf_dir)
+    docs = storyline.storyline_documents(tps, ta, P.AS_OF)
+    return docs.select(
+        "topic_id", "generation_mode", "narrative_summary",
+        F.size("timeline").alias("timeline_count"),
+        F.size("clusters").alias("cluster_count"),
+        F.col("graph.node_count").alias("node_count"),
+        F.col("graph.edge_count").alias("edge_count"),
+        F.element_at("timeline", 1)["headline"].alias("first_headline"),
+        F.array_join(F.transform("clusters", lambda c: c["theme"]), "|").alias("themes"))
+
+
+def q_section_pack(spark, sf_dir):
+    from storyloom.operators import endpoints
+    docs = testbed.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = endpoints.split_large(docs, "text", P.CHUNK_MAX_CHARS, sep=P.SECTION_SEP)
+    return parts.select("doc_id", "part", F.col("text").alias("part_text"), F.length("text").alias("part_len"))
+
+
+def q_vector_neighbors(spark, sf_dir):
+    corpus = testbed.dense_vectors(spark, sf_dir)
+    top1 = search.dense_topk(centroid_queries(spark, sf_dir), corpus, 1, normalize_queries=False)
+    nb = search.neighbours(corpus, top1.select("id"), P.DENSE_K)
+    return nb.select("anchor_id", "rank", "id", _round())
+
+
+def q_vector_similarity_pairs(spark, sf_dir):
+    corpus = testbed.dense_vectors(spark, sf_dir)
+    hits = search.dense_topk(centroid_queries(spark, sf_dir), corpus, P.DENSE_K, normalize_queries=False)
+    pairs = search.similarity_pairs(hits.select("topic_id", "id"), corpus)
+    return pairs.select("topic_id", "id1", "id2", _round("similarity"))
+
+
+queries_batch2 = {
+    "text_cosine_topk": q_text_cosine_topk,
+    "timeline": q_timeline,
+    "top_sources": q_top_sources,
+    "peak_month": q_peak_month,
+    "narrative_arc": q_narrative_arc,
+    "keyword_counts": q_keyword_counts,
+    "relation_edges": q_relation_edges,
+    "graph_counts": q_graph_counts,
+    "key_events": q_key_events,
+    "keyword_clusters": q_keyword_clusters,
+    "summary_text": q_summary_text,
+    "storyline_docs": q_storyline_docs,
+    "section_pack": q_section_pack,
+    "vector_neighbors": q_vector_neighbors,
+    "vector_similarity_pairs": q_vector_similarity_pairs,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    out = {
         "vector_topk": q_vector_topk,
         "clean_articles": q_clean_articles,
         "load_accounting": q_load_accounting,
         "article_stats": q_article_stats,
         "source_from_url": q_source_from_url,
     }
+    out.update(queries_batch2)
+    return out
