@@ -118,7 +118,12 @@ SELECT count(*) AS total_articles, count(DISTINCT source) AS sources,
 FROM articles""",
         "source_from_url": f"""
 SELECT page_id, url, coalesce({url_source('url')}, 'Unknown') AS source FROM pages""",
-    } | storyline_sql()
+    } | storyline_sql() | _generation()
+
+
+def _generation() -> dict[str, str]:
+    from storyloom.plans.oracle_generation import generation_sql
+    return generation_sql()
 
 
 # ------------------------------------------------------------------ text search + storylines

@@ -201,6 +201,84 @@ queries_batch2 = {
 }
 
 
+# ------------------------------------------------------------------ generation and grounding
+def grounding_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K):
+    from storyloom.operators import grounding
+
+    tps, arts, hits, ta = story_inputs(spark, sf_dir, k)
+    replies = testbed.synthetic_replies(tps, hits)
+    parsed = grounding.extract_json(replies)
+    report = grounding.check_grounding(parsed, hits)
+    return tps, arts, hits, ta, report
+
+
+def q_reply_json(spark, sf_dir):
+    from storyloom.operators import grounding
+    tps, _, hits, _ = story_inputs(spark, sf_dir)
+    parsed = grounding.extract_json(testbed.synthetic_replies(tps, hits))
+    return parsed.select("topic_id", "attempt", "parsed", "summary", F.size("timeline").alias("n_timeline"),
+                         F.array_join(F.transform("timeline", lambda e: e["id"]), ",").alias("timeline_ids"))
+
+
+def q_grounding_report(spark, sf_dir):
+    _, _, _, _, report = grounding_inputs(spark, sf_dir)
+    return report.select("topic_id", "attempt", "n_sources", "n_cited", "bad_citations", "n_bad_timeline",
+                         "grounded", "feedback")
+
+
+def q_best_attempt(spark, sf_dir):
+    from storyloom.operators import grounding
+    tps, _, hits, _, report = grounding_inputs(spark, sf_dir)
+    final, _ = grounding.final_generation(tps, report, hits, P.MAX_ATTEMPTS)
+    return final
+
+
+def q_clean_timeline(spark, sf_dir):
+    from storyloom.operators import grounding
+    tps, _, hits, _, report = grounding_inputs(spark, sf_dir)
+    _, tl = grounding.final_generation(tps, report, hits, P.MAX_ATTEMPTS)
+    return tl.select("topic_id", "entry_pos", "id", "why_it_matters")
+
+
+def q_context_blocks(spark, sf_dir):
+    from storyloom.operators import grounding
+    _, arts, hits, _ = story_inputs(spark, sf_dir)
+    cb = grounding.context_blocks(search.attach(hits, arts.select("id", "headline", "full_text", "date", "source")), P.CONTEXT_CHARS)
+    return cb.select("topic_id", "n_sources", "context_block")
+
+
+def q_generation_mode(spark, sf_dir):
+    from storyloom.operators import grounding, storyline
+    tps, _, hits, ta, report = grounding_inputs(spark, sf_dir)
+    final, _ = grounding.final_generation(tps, report, hits, P.MAX_ATTEMPTS)
+    hs = storyline.heuristic_summary(tps, ta)
+    use_gen = F.coalesce(F.col("summary"), F.lit("")) != ""
+    j = hs.join(final.select("topic_id", "summary"), "topic_id", "left")
+    return j.select("topic_id", F.when(use_gen, F.lit("rag_vllm")).otherwise(F.lit("heuristic")).alias("generation_mode"),
+                    F.when((F.col("article_count") > 0) & use_gen, F.col("summary")).otherwise(F.col("heuristic_summary")).alias("narrative_summary"))
+
+
+def q_timeline_reasons(spark, sf_dir):
+    """Timeline whose reasons come from the accepted generation when there is one."""
+    from storyloom.operators import grounding, storyline
+    tps, _, hits, ta, report = grounding_inputs(spark, sf_dir)
+    final, tl = grounding.final_generation(tps, report, hits, P.MAX_ATTEMPTS)
+    gen_topics = final.filter(F.coalesce(F.col("summary"), F.lit("")) != "").select("topic_id")
+    reasons = tl.join(gen_topics, "topic_id", "left_semi")
+    return storyline.timeline(ta, P.AS_OF, reasons).select("topic_id", "pos", "id", "why_it_matters")
+
+
+queries_batch3 = {
+    "reply_json": q_reply_json,
+    "grounding_report": q_grounding_report,
+    "best_attempt": q_best_attempt,
+    "clean_timeline": q_clean_timeline,
+    "context_blocks": q_context_blocks,
+    "generation_mode": q_generation_mode,
+    "timeline_reasons": q_timeline_reasons,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "vector_topk": q_vector_topk,
@@ -210,4 +288,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "source_from_url": q_source_from_url,
     }
     out.update(queries_batch2)
+    out.update(queries_batch3)
     return out

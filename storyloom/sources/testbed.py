@@ -104,3 +104,57 @@ def page_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.concat(F.lit('{"info":{"name":"pages"},"item":[{"name":"'), lang, F.lit('","item":['), inner,
                    F.lit(']},{"name":"note only"}]}'))
     return p.select(F.col("page_id").alias("collection_id"), doc.alias("json"))
+
+
+def _json_id(c):
+    """An id as a JSON value: bare number when it is all digits, else a quoted string."""
+    return F.when(c.rlike(r"^[0-9]+$"), c).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+
+
+# Number of reply cases cycled through by topic id (see ``synthetic_replies``).
+REPLY_CASES = 12
+
+
+def synthetic_replies(topics_df: DataFrame, hits: DataFrame) -> DataFrame:
+    """Deterministic generator replies ``(topic_id, attempt, reply)`` for attempts 1-2.
+
+    Derived from each topic's hits, one case per topic in rotation (topic_id mod 12):
+    valid; fenced; in prose after a non-JSON brace group; out-of-range citations then
+    valid; no citation; fabricated timeline id; huge citation number; garbage then
+    valid; empty; valid with trailing text; top-level array; numeric ids.
+    """
+    h = hits.groupBy("topic_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by("id", "rank").alias("id1"),
+        F.max_by("id", F.when(F.col("rank") <= 2, F.col("rank"))).alias("id2"))
+    t = topics_df.select("topic_id").join(h, "topic_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    t = t.withColumn("id1", F.coalesce("id1", F.lit("none"))).withColumn("id2", F.coalesce("id2", F.lit("none")))
+    tl_valid = F.concat(F.lit('[{"id": "'), F.col("id1"), F.lit('", "why_it_matters": "first report"}, {"id": "'),
+                        F.col("id2"), F.lit('", "why_it_matters": "follow-up"}]'))
+    valid = F.concat(F.lit('{"summary": "Coverage of the topic [1] and its follow-up [2].", "timeline": '), tl_valid, F.lit("}"))
+    out_range = F.concat(F.lit('{"summary": "Claim [1] and [0] and ['), (F.col("n") + 1).cast("string"),
+                         F.lit('].", "timeline": '), tl_valid, F.lit("}"))
+    no_cite = F.concat(F.lit('{"summary": "No citations here.", "timeline": '), tl_valid, F.lit("}"))
+    fabricated = F.concat(F.lit('{"summary": "Cited [1].", "timeline": [{"id": "'), F.col("id1"),
+                          F.lit('", "why_it_matters": "ok"}, {"id": "fake-'), F.col("topic_id").cast("string"),
+                          F.lit('", "why_it_matters": "made up"}]}'))
+    huge = F.concat(F.lit('{"summary": "Big [99999999999999999999] claim [1].", "timeline": '), tl_valid, F.lit("}"))
+    numeric = F.concat(F.lit('{"summary": "Numbers [1].", "timeline": [{"id": '), _json_id(F.col("id1")),
+                       F.lit(', "why_it_matters": "numeric id"}]}'))
+    case = F.pmod(F.col("topic_id"), F.lit(REPLY_CASES))
+    rows = []
+    for attempt in (1, 2):
+        reply = (F.when(case == 0, valid)
+                  .when(case == 1, F.concat(F.lit("Here you go:\n```json\n"), valid, F.lit("\n```\nthanks")))
+                  .when(case == 2, F.concat(F.lit("Sure {not json} then "), valid, F.lit(" Done.")))
+                  .when(case == 3, out_range if attempt == 1 else valid)
+                  .when(case == 4, no_cite)
+                  .when(case == 5, fabricated)
+                  .when(case == 6, huge)
+                  .when(case == 7, F.lit("no json here at all") if attempt == 1 else valid)
+                  .when(case == 8, F.lit(""))
+                  .when(case == 9, F.concat(valid, F.lit(" trailing words")))
+                  .when(case == 10, F.concat(F.lit("["), valid, F.lit("]")))
+                  .otherwise(numeric))
+        rows.append(t.select("topic_id", F.lit(attempt).alias("attempt"), reply.alias("reply")))
+    return rows[0].unionByName(rows[1])
