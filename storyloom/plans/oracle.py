@@ -123,7 +123,8 @@ SELECT page_id, url, coalesce({url_source('url')}, 'Unknown') AS source FROM pag
 
 def _generation() -> dict[str, str]:
     from storyloom.plans.oracle_generation import generation_sql
-    return generation_sql()
+    from storyloom.plans.oracle_more import more_sql
+    return generation_sql() | more_sql()
 
 
 # ------------------------------------------------------------------ text search + storylines

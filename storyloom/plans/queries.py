@@ -72,7 +72,10 @@ def story_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K):
     tps = testbed.topics(spark, sf_dir)
     doc_tv = embed.term_vectors(arts, "id", "full_text")
     topic_tv = embed.term_vectors(tps, "topic_id", "topic").withColumnRenamed("id", "topic_id")
-    hits = search.text_topk(topic_tv, doc_tv, k)
+    # The hit list feeds many branches (replies, grounding, contexts, storylines); it is
+    # written once to the checkpoint folder so each branch reads k rows per topic
+    # instead of re-running the search.
+    hits = search.text_topk(topic_tv, doc_tv, k).checkpoint()
     ta = storyline.topic_articles(hits, arts)
     return tps, arts, hits, ta
 
@@ -279,6 +282,145 @@ queries_batch3 = {
 }
 
 
+# ------------------------------------------------------------------ evaluation
+def eval_inputs(spark: SparkSession, sf_dir: str):
+    from storyloom.operators import evaluate, grounding
+
+    tps, arts, hits, ta, report = grounding_inputs(spark, sf_dir, P.EVAL_K)
+    final, _ = grounding.final_generation(tps, report, hits, P.MAX_ATTEMPTS)
+    cb = grounding.context_blocks(search.attach(hits, arts.select("id", "headline", "full_text", "date", "source")), P.CONTEXT_CHARS)
+    eval_rows = tps.select("topic_id", "topic", F.col("topic").alias("reference"))
+    return hits, evaluate.samples(eval_rows, final, cb)
+
+
+def q_eval_samples(spark, sf_dir):
+    _, smp = eval_inputs(spark, sf_dir)
+    return smp.select("topic_id", "user_input", "response", F.size("retrieved_contexts").alias("n_contexts"),
+                      F.array_join("retrieved_contexts", "\n||\n").alias("contexts"), "reference")
+
+
+def _per_query(spark, sf_dir):
+    from storyloom.operators import evaluate
+    hits, smp = eval_inputs(spark, sf_dir)
+    v = testbed.derived_verdicts(smp, hits)
+    return evaluate.metrics_table(smp, evaluate.faithfulness(v["claims"]), evaluate.answer_relevancy(v["questions"]),
+                                  evaluate.context_precision(v["contexts"]), evaluate.context_recall(v["statements"]))
+
+
+def q_eval_metrics(spark, sf_dir):
+    from storyloom.operators.evaluate import METRICS
+    pq = _per_query(spark, sf_dir)
+    return pq.select("topic_id", "user_input", *[F.round(m, 6).alias(m) for m in METRICS])
+
+
+def q_eval_aggregate(spark, sf_dir):
+    from storyloom.operators import evaluate
+    return evaluate.aggregate(_per_query(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ partitioned search, endpoints, caches
+def q_ivf_topk(spark, sf_dir):
+    corpus = testbed.dense_vectors(spark, sf_dir)
+    cents = search.label_centroids(corpus)
+    assigned = search.assign_lists(corpus, cents)
+    queries_ = cents.select(F.col("list_id").alias("topic_id"), F.col("centroid").alias("embedding"))
+    hits = search.ivf_topk(queries_, assigned, cents, P.DENSE_K, nprobe=P.IVF_NPROBE, normalize_queries=False)
+    return hits.select("topic_id", "rank", "id", _round())
+
+
+def _endpoints(spark, sf_dir):
+    from storyloom.operators import endpoints
+    return endpoints.extract_endpoints(testbed.page_collections(spark, sf_dir))
+
+
+def q_endpoint_rows(spark, sf_dir):
+    e = _endpoints(spark, sf_dir)
+    return e.select("collection_id", "endpoint_path", "name", "category", "method", "url", "description",
+                    F.size("parameters").alias("n_parameters"),
+                    F.array_join(F.transform("parameters", lambda p: F.concat(p["key"], F.lit("="), p["description"], F.lit(":"), p["disabled"].cast("string"))), ",").alias("parameters"),
+                    F.array_join(F.transform("path_variables", lambda v: F.concat(v["key"], F.lit(":"), v["type"])), ",").alias("path_variables"),
+                    F.array_join(F.transform("response_examples", lambda r: F.concat(r["name"], F.lit(":"), r["code"].cast("string"), F.lit(":"), r["status"])), ",").alias("responses"))
+
+
+def q_endpoint_chunks(spark, sf_dir):
+    from storyloom.operators import endpoints
+    ch = endpoints.endpoint_chunks(_endpoints(spark, sf_dir))
+    return ch.select("collection_id", "endpoint_path", "part", "text", F.col("metadata.endpoint_name").alias("endpoint_name"),
+                     F.col("metadata.category").alias("category"), F.col("metadata.method").alias("method"),
+                     F.col("metadata.url").alias("url"))
+
+
+def _term_embed(round_no: int):
+    from storyloom.operators import embed
+
+    def run(todo: DataFrame) -> DataFrame:
+        tv = embed.term_vectors(todo, "key", "full_text")
+        return tv.select(F.col("id").alias("key"), "terms", "tf", "sumsq", F.lit(round_no).alias("round"))
+    return run
+
+
+def q_incremental_embed(spark, sf_dir):
+    """Two loads: January articles first, then every article; the second load encodes
+    only texts whose (model, text) key is not stored yet, and duplicate texts once."""
+    from storyloom.operators import embed
+    arts = articles(spark, sf_dir).select("id", "full_text", "date")
+    first = arts.filter(F.substring("date", 1, 7) == "2024-01")
+    _, cache1 = embed.embed_with_cache(first, None, P.MODEL_NAME, _term_embed(1))
+    out, _ = embed.embed_with_cache(arts, cache1, P.MODEL_NAME, _term_embed(2))
+    return out.select("id", "key", F.size("terms").alias("n_terms"), "sumsq", "round")
+
+
+def q_answer_reuse(spark, sf_dir):
+    """Two request batches: topics starting with A-M first, then all topics; answers of
+    the first batch are served from the store, only the rest are searched."""
+    from storyloom.operators import embed
+    arts = articles(spark, sf_dir)
+    doc_tv = embed.term_vectors(arts, "id", "full_text")
+
+    def run(todo: DataFrame) -> DataFrame:
+        tv = embed.term_vectors(todo, "key", "topic").withColumnRenamed("id", "topic_id")
+        h = search.text_topk(tv, doc_tv, P.DOC_SEARCH_K)
+        return h.select(F.col("topic_id").alias("key"), "rank", "id", "similarity_score")
+
+    tps = testbed.topics(spark, sf_dir)
+    first = tps.filter(F.upper(F.substring("topic", 1, 1)).between("A", "M"))
+    _, store = search.cached_search(first, None, run, P.DOC_SEARCH_K, P.MODEL_NAME, P.CORPUS_VERSION)
+    store = store.withColumn("served_from", F.lit("store"))
+    answers, _ = search.cached_search(tps, store, lambda d: run(d).withColumn("served_from", F.lit("fresh")),
+                                      P.DOC_SEARCH_K, P.MODEL_NAME, P.CORPUS_VERSION)
+    return answers.select("topic_id", "key", "rank", "id", _round(), "served_from")
+
+
+def q_vector_stats(spark, sf_dir):
+    """A8 + V4: vector count and dimension, and vectors vs. their items both ways."""
+    from storyloom.operators import embed
+    v = testbed.dense_vectors(spark, sf_dir)
+    stats = v.agg(F.count(F.lit(1)).alias("total_vectors"), F.max(F.size("embedding")).alias("embedding_dim"),
+                  F.countDistinct("label").alias("labels"))
+    align = embed.check_alignment(v, testbed.read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), 64)
+    return stats.crossJoin(align)
+
+
+def q_article_validation(spark, sf_dir):
+    """Articles with both headline and content vs. the quarantine."""
+    valid, bad = clean.split_valid(articles(spark, sf_dir))
+    return valid.agg(F.count(F.lit(1)).alias("valid")).crossJoin(bad.agg(F.count(F.lit(1)).alias("quarantined")))
+
+
+queries_batch4 = {
+    "eval_samples": q_eval_samples,
+    "eval_metrics": q_eval_metrics,
+    "eval_aggregate": q_eval_aggregate,
+    "ivf_topk": q_ivf_topk,
+    "endpoint_rows": q_endpoint_rows,
+    "endpoint_chunks": q_endpoint_chunks,
+    "incremental_embed": q_incremental_embed,
+    "answer_reuse": q_answer_reuse,
+    "vector_stats": q_vector_stats,
+    "article_validation": q_article_validation,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "vector_topk": q_vector_topk,
@@ -289,4 +431,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     out.update(queries_batch2)
     out.update(queries_batch3)
+    out.update(queries_batch4)
     return out

@@ -158,3 +158,44 @@ def synthetic_replies(topics_df: DataFrame, hits: DataFrame) -> DataFrame:
                   .otherwise(numeric))
         rows.append(t.select("topic_id", F.lit(attempt).alias("attempt"), reply.alias("reply")))
     return rows[0].unionByName(rows[1])
+
+
+# Similarity at or above which a retrieved context counts as useful in the derived
+# context verdicts.
+USEFUL_SIMILARITY = 0.3
+
+
+def derived_verdicts(sample_rows: DataFrame, hits: DataFrame) -> dict[str, DataFrame]:
+    """Judge verdict tables derived from the samples and hits (stand-ins for a judge).
+
+    * claims: each ``[n]`` citation in the response; supported when 1 <= n <= sources
+    * questions: one per topic, scored by cosine of response and topic term vectors
+    * contexts: a hit is useful when its similarity is >= ``USEFUL_SIMILARITY``
+    * statements: sentences of the reference (split on ". "); attributed when some
+      retrieved context contains the sentence
+    """
+    from storyloom.functions.text import py_strip
+    from storyloom.operators.embed import term_vectors
+
+    n = hits.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_sources"))
+    claims = (sample_rows.select("topic_id", F.posexplode(F.regexp_extract_all("response", F.lit(r"\[(\d+)\]"), 1)).alias("claim_id", "c"))
+                         .join(n, "topic_id", "left")
+                         .select("topic_id", "claim_id",
+                                 F.coalesce((F.col("c").try_cast("decimal(38,0)") >= 1) & (F.col("c").try_cast("decimal(38,0)") <= F.col("n_sources")), F.lit(False)).alias("supported")))
+    q = term_vectors(sample_rows, "topic_id", "response").select(F.col("id").alias("topic_id"), F.col("sumsq").alias("q_ss"), F.explode(F.arrays_zip("terms", "tf")).alias("e"))
+    t = term_vectors(sample_rows, "topic_id", "user_input").select(F.col("id").alias("topic_id"), F.col("sumsq").alias("t_ss"), F.explode(F.arrays_zip("terms", "tf")).alias("e"))
+    dots = (q.select("topic_id", "q_ss", F.col("e.terms").alias("term"), F.col("e.tf").alias("qtf"))
+             .join(t.select("topic_id", "t_ss", F.col("e.terms").alias("term"), F.col("e.tf").alias("ttf")), ["topic_id", "term"])
+             .groupBy("topic_id", "q_ss", "t_ss").agg(F.sum(F.col("qtf").cast("long") * F.col("ttf").cast("long")).alias("dot")))
+    questions = (sample_rows.select("topic_id").join(dots, "topic_id", "left")
+                 .select("topic_id", F.lit(0).alias("q"),
+                         F.coalesce(F.col("dot") / F.sqrt(F.col("q_ss").cast("double") * F.col("t_ss").cast("double")), F.lit(0.0)).alias("cosine")))
+    contexts = hits.select("topic_id", "rank", (F.col("similarity_score") >= USEFUL_SIMILARITY).alias("useful"))
+    stmts = sample_rows.select("topic_id", F.posexplode(F.filter(F.transform(F.split("reference", r"\. "), lambda s: py_strip(s)),
+                                                                 lambda s: s != "")).alias("statement_id", "statement"))
+    ctx = sample_rows.select("topic_id", F.explode("retrieved_contexts").alias("ctx"))
+    hit_rows = (stmts.join(ctx, "topic_id").filter(F.instr(F.col("ctx"), F.col("statement")) > 0)
+                     .select("topic_id", "statement_id").distinct().withColumn("attributed", F.lit(True)))
+    statements = stmts.join(hit_rows, ["topic_id", "statement_id"], "left") \
+                      .select("topic_id", "statement_id", F.coalesce("attributed", F.lit(False)).alias("attributed"))
+    return {"claims": claims, "questions": questions, "contexts": contexts, "statements": statements}
