@@ -58,7 +58,7 @@ def term_vectors(df: DataFrame, id_col: str = "id", text_col: str = "full_text",
     if max_chars is not None:
         text = F.substring(text, 1, max_chars)
     # Each step is its own projection so later lambdas read materialised arrays.
-    sorted_tokens = df.select(F.col(id_col).alias("id"), F.array_sort(tokens(text)).alias("_s"))
+    sorted_tokens = df.select(F.col(id_col).alias("id"), F.sort_array(tokens(text)).alias("_s"))
     with_starts = sorted_tokens.select("id", "_s", run_starts("_s").alias("_st"))
     return (with_starts
             .select("id", F.transform("_st", lambda i: F.element_at(F.col("_s"), i)).alias("terms"),

@@ -105,7 +105,7 @@ def assign_lists(corpus: DataFrame, centroids: DataFrame, c_id: str = "id",
     The centroid table (``list_id, centroid``; bounded by ``nlist``) is packed into one
     broadcast row, so the arg-max runs inside each corpus row with no shuffle.
     """
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct("list_id", "centroid"))).alias("_cents"))
+    packed = centroids.agg(F.sort_array(F.collect_list(F.struct("list_id", "centroid"))).alias("_cents"))
     joined = corpus.select(c_id, c_vec).crossJoin(F.broadcast(packed))
     init = F.struct(F.lit(-1).cast("long").alias("lid"), F.lit(float("-inf")).alias("best"))
     best = F.aggregate(
@@ -126,7 +126,7 @@ def label_centroids(corpus: DataFrame, label: str = "label", c_vec: str = "embed
     e = corpus.select(F.col(label).alias("list_id"), F.posexplode(c_vec).alias("pos", "x"))
     per_dim = e.groupBy("list_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     vec = per_dim.groupBy("list_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
     return vec.select("list_id", l2_normalize(F.col("centroid")).alias("centroid"))
 
 

@@ -147,7 +147,7 @@ def keyword_counts(ta: DataFrame, n: int = TOP_KEYWORDS) -> DataFrame:
 def key_events(ta: DataFrame) -> DataFrame:
     """F1 per topic: ``key_events ARRAY<STRING>`` — walking headlines in time order, a
     headline is taken when it brings more than 3 unseen words; at most 8, 80 characters each."""
-    items = ta.groupBy("topic_id").agg(F.array_sort(F.collect_list(
+    items = ta.groupBy("topic_id").agg(F.sort_array(F.collect_list(
         F.struct("pos", _lower_words(F.col("headline")).alias("words"), F.col("headline")))).alias("items"))
     init = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("events"))
 
@@ -176,11 +176,11 @@ def keyword_clusters(topics: DataFrame, ta: DataFrame, allow_first_cluster: bool
     words = ta.select("topic_id", "pos", "id", F.explode(_lower_words(F.col("headline"))).alias("word"))
     art_kw = (words.join(kw.select("topic_id", "word", "word_rank"), ["topic_id", "word"])
                    .groupBy("topic_id", "pos")
-                   .agg(F.array_sort(F.collect_list(F.struct(F.col("word_rank").alias("r"), F.col("word").alias("w")))).alias("kw")))
+                   .agg(F.sort_array(F.collect_list(F.struct(F.col("word_rank").alias("r"), F.col("word").alias("w")))).alias("kw")))
     arts = ta.select("topic_id", "pos", "id").join(art_kw, ["topic_id", "pos"], "left") \
              .withColumn("kw", F.coalesce("kw", F.array().cast("array<struct<r:int,w:string>>")))
     per_topic = arts.groupBy("topic_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id", "kw"))).alias("items"),
+        F.sort_array(F.collect_list(F.struct("pos", "id", "kw"))).alias("items"),
         F.count(F.lit(1)).alias("n"))
 
     ctype = "array<struct<ids:array<string>,kw:array<struct<r:int,w:string>>>>"
@@ -199,7 +199,7 @@ def keyword_clusters(topics: DataFrame, ta: DataFrame, allow_first_cluster: bool
 
     folded = per_topic.select("topic_id", "n", F.aggregate("items", F.array().cast(ctype), step).alias("clusters"))
     exploded = folded.select("topic_id", "n", F.posexplode("clusters").alias("cluster_id", "c"))
-    words_sorted = F.transform(F.array_sort(F.col("c.kw")), lambda s: s["w"])
+    words_sorted = F.transform(F.sort_array(F.col("c.kw")), lambda s: s["w"])
     theme = F.coalesce(F.nullif(title_case(F.array_join(F.slice(words_sorted, 1, 3), " ")), F.lit("")), F.lit("General"))
     multi = exploded.filter(F.col("n") >= 2).select(
         "topic_id", "cluster_id", theme.alias("theme"), F.size("c.ids").alias("article_count"),
@@ -291,7 +291,7 @@ def heuristic_summary(topics: DataFrame, ta: DataFrame) -> DataFrame:
     pk = peak_month(ta)
     src = (top_sources(ta)
            .groupBy("topic_id")
-           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_rank", "source", "source_articles"))),
+           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source_rank", "source", "source_articles"))),
                                          lambda s: F.concat(s["source"], F.lit(" ("), s["source_articles"].cast("string"), F.lit(" articles)"))),
                              ", ").alias("sources_txt")))
     j = (topics.select("topic_id", "topic").join(st, "topic_id", "left").join(ke, "topic_id", "left")
@@ -322,14 +322,14 @@ def storyline_documents(topics: DataFrame, ta: DataFrame, as_of: str, generated:
     """
     hs = heuristic_summary(topics, ta)
     tl = timeline(ta, as_of, reasons).groupBy("topic_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "date", "headline", "url", "source", "why_it_matters"))).alias("timeline"))
+        F.sort_array(F.collect_list(F.struct("pos", "date", "headline", "url", "source", "why_it_matters"))).alias("timeline"))
     cl = keyword_clusters(topics, ta).groupBy("topic_id").agg(
-        F.array_sort(F.collect_list(F.struct("cluster_id", "theme", "article_count", "articles", "key_terms"))).alias("clusters"))
+        F.sort_array(F.collect_list(F.struct("cluster_id", "theme", "article_count", "articles", "key_terms"))).alias("clusters"))
     nodes = graph_nodes(ta).groupBy("topic_id").agg(
-        F.array_sort(F.collect_list(F.struct("index", "id", "headline", "date", "source"))).alias("nodes"))
+        F.sort_array(F.collect_list(F.struct("index", "id", "headline", "date", "source"))).alias("nodes"))
     edges = relation_edges(ta)
     ed = edges.groupBy("topic_id").agg(
-        F.array_sort(F.collect_list(F.struct("pa", "pb", "source", "target", "relation", "weight"))).alias("edges"))
+        F.sort_array(F.collect_list(F.struct("pa", "pb", "source", "target", "relation", "weight"))).alias("edges"))
     j = topics.select("topic_id", "topic").join(hs, "topic_id", "left")
     if generated is not None:
         j = j.join(generated.select("topic_id", F.col("summary").alias("gen_summary")), "topic_id", "left")
