@@ -21,10 +21,19 @@ def sum_squares(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    A column expression referenced inside a higher-order lambda is re-evaluated for
+    every element; binding it through a one-element ``transform`` evaluates it once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalize(v: Column) -> Column:
     """Unit-length copy of ``v`` as ``ARRAY<DOUBLE>``; an all-zero vector stays zero."""
-    norm = F.sqrt(sum_squares(v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    return let(F.sqrt(sum_squares(v)), lambda norm: F.transform(
+        v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double"))))
 
 
 # Fixed value: a token is a maximal run of letters and digits, after lower-casing.

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.vectors import dot, l2_normalize
+from storyloom.functions.vectors import dot, l2_normalize, let
 
 # Corpus size at which "auto" switches from exact to partitioned search,
 # and the default number of lists probed.
@@ -110,9 +110,8 @@ def assign_lists(corpus: DataFrame, centroids: DataFrame, c_id: str = "id",
     init = F.struct(F.lit(-1).cast("long").alias("lid"), F.lit(float("-inf")).alias("best"))
     best = F.aggregate(
         F.col("_cents"), init,
-        lambda acc, ce: F.when(dot(F.col(c_vec), ce["centroid"]) > acc["best"],
-                               F.struct(ce["list_id"].cast("long").alias("lid"),
-                                        dot(F.col(c_vec), ce["centroid"]).alias("best"))).otherwise(acc),
+        lambda acc, ce: let(dot(F.col(c_vec), ce["centroid"]), lambda s: F.when(
+            s > acc["best"], F.struct(ce["list_id"].cast("long").alias("lid"), s.alias("best"))).otherwise(acc)),
     )
     return joined.select(c_id, c_vec, best["lid"].alias("list_id"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import contains_any, py_words, title_case
+from storyloom.functions.vectors import let as _let
 
 # Fixed values (word lists, phrases and weights of the storyline rules).
 ESCALATION_WORDS = ["crisis", "urgent", "breaking", "critical", "emergency"]
@@ -39,7 +40,11 @@ NO_REASON = "Provides context for the narrative."
 def topic_articles(hits: DataFrame, articles: DataFrame) -> DataFrame:
     """J1 + W1: hits joined to article fields, with chronological ``pos`` (1-based)."""
     cols = ["id", "headline", "full_text", "date", "url", "source", "source_rating"]
-    ta = hits.join(articles.select(*cols), "id", "inner")
+    # The hit list holds at most k rows per topic; it is broadcast after a size check,
+    # so the article table is only scanned, never shuffled, for this join.
+    from storyloom.operators.search import checked_broadcast
+    small_hits, _ = checked_broadcast(hits, 2_000_000)
+    ta = articles.select(*cols).join(small_hits, "id", "inner")
     w = Window.partitionBy("topic_id").orderBy(F.col("date").asc(), F.col("rank").asc())
     return ta.withColumn("pos", F.row_number().over(w))
 
@@ -187,15 +192,20 @@ def keyword_clusters(topics: DataFrame, ta: DataFrame, allow_first_cluster: bool
     min_best = 1 if allow_first_cluster else 2
 
     def step(acc, x):
-        ov = F.transform(acc, lambda c: F.size(F.array_intersect(c["kw"], x["kw"])))
-        best_ov = F.array_max(ov)
-        best = F.array_position(ov, best_ov)
-        joins = F.coalesce((best_ov >= 2) & (best >= min_best), F.lit(False))
-        grown = F.transform(acc, lambda c, i: F.when(i + 1 == best, F.struct(
-            F.concat(c["ids"], F.array(x["id"])).alias("ids"),
-            F.array_union(c["kw"], x["kw"]).alias("kw"))).otherwise(c))
-        opened = F.concat(acc, F.array(F.struct(F.array(x["id"]).alias("ids"), x["kw"].alias("kw"))))
-        return F.when(joins, grown).otherwise(opened)
+        # Bind the overlap list and the best position once per step ("let" via a
+        # one-element transform); referencing them inside the per-cluster lambda would
+        # otherwise re-evaluate them for every cluster.
+        def with_overlaps(ov):
+            def with_best(b):
+                joins = F.coalesce((b["ov"] >= 2) & (b["pos"] >= min_best), F.lit(False))
+                grown = F.transform(acc, lambda c, i: F.when(i + 1 == b["pos"], F.struct(
+                    F.concat(c["ids"], F.array(x["id"])).alias("ids"),
+                    F.array_union(c["kw"], x["kw"]).alias("kw"))).otherwise(c))
+                opened = F.concat(acc, F.array(F.struct(F.array(x["id"]).alias("ids"), x["kw"].alias("kw"))))
+                return F.when(joins, grown).otherwise(opened)
+            best = F.struct(F.array_max(ov).alias("ov"), F.array_position(ov, F.array_max(ov)).cast("int").alias("pos"))
+            return _let(best, with_best)
+        return _let(F.transform(acc, lambda c: F.size(F.array_intersect(c["kw"], x["kw"]))), with_overlaps)
 
     folded = per_topic.select("topic_id", "n", F.aggregate("items", F.array().cast(ctype), step).alias("clusters"))
     exploded = folded.select("topic_id", "n", F.posexplode("clusters").alias("cluster_id", "c"))

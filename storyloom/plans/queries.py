@@ -76,7 +76,9 @@ def story_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K):
     # written once to the checkpoint folder so each branch reads k rows per topic
     # instead of re-running the search.
     hits = search.text_topk(topic_tv, doc_tv, k).checkpoint()
-    ta = storyline.topic_articles(hits, arts)
+    # Topic articles (k rows per topic) are read by a dozen storyline branches; one
+    # article scan fills them, the branches read the checkpoint.
+    ta = storyline.topic_articles(hits, arts).checkpoint()
     return tps, arts, hits, ta
 
 
@@ -211,7 +213,9 @@ def grounding_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K):
     tps, arts, hits, ta = story_inputs(spark, sf_dir, k)
     replies = testbed.synthetic_replies(tps, hits)
     parsed = grounding.extract_json(replies)
-    report = grounding.check_grounding(parsed, hits)
+    # One row per (topic, attempt), read by the attempt choice, the cleaned timeline
+    # and the evaluation branches.
+    report = grounding.check_grounding(parsed, hits).checkpoint()
     return tps, arts, hits, ta, report
 
 
@@ -290,7 +294,8 @@ def eval_inputs(spark: SparkSession, sf_dir: str):
     final, _ = grounding.final_generation(tps, report, hits, P.MAX_ATTEMPTS)
     cb = grounding.context_blocks(search.attach(hits, arts.select("id", "headline", "full_text", "date", "source")), P.CONTEXT_CHARS)
     eval_rows = tps.select("topic_id", "topic", F.col("topic").alias("reference"))
-    return hits, evaluate.samples(eval_rows, final, cb)
+    # One row per topic, read by all four metric branches.
+    return hits, evaluate.samples(eval_rows, final, cb).checkpoint()
 
 
 def q_eval_samples(spark, sf_dir):
