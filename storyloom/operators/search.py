@@ -191,16 +191,21 @@ def text_topk(topic_tv: DataFrame, doc_tv: DataFrame, k: int, partitions: int |
     t = topic_tv.select("topic_id", F.col("sumsq").alias("t_sumsq"),
                         F.explode(F.arrays_zip("terms", "tf")).alias("e"))
     t = t.select("topic_id", "t_sumsq", F.col("e.terms").alias("term"), F.col("e.tf").alias("ttf"))
-    t, _ = checked_broadcast(t, max_broadcast)
+    n_rows = t.count()
     d = doc_tv if partitions is None else doc_tv.repartition(partitions, "id")
     if partitions is None:
         d = d.repartition("id")
     d = d.select("id", "sumsq", F.explode(F.arrays_zip("terms", "tf")).alias("e"))
     d = d.select("id", "sumsq", F.col("e.terms").alias("term"), F.col("e.tf").alias("dtf"))
-    dots = (d.join(t, "term")
-             .groupBy("id", "sumsq", "topic_id", "t_sumsq")
-             .agg(F.sum(F.col("dtf").cast("long") * F.col("ttf").cast("long")).alias("dot")))
-    scored = dots.select("topic_id", "id", (F.col("dot") / F.sqrt(F.col("sumsq").cast("double") * F.col("t_sumsq").cast("double"))).alias("similarity_score"))
+    # Topic terms are broadcast in blocks that each stay under ``max_broadcast`` rows
+    # (one block in the usual case), so the document side is never shuffled by term.
+    scored = None
+    for block in _blocks(t, "topic_id", n_rows, max_broadcast):
+        dots = (d.join(block, "term")
+                 .groupBy("id", "sumsq", "topic_id", "t_sumsq")
+                 .agg(F.sum(F.col("dtf").cast("long") * F.col("ttf").cast("long")).alias("dot")))
+        part = dots.select("topic_id", "id", (F.col("dot") / F.sqrt(F.col("sumsq").cast("double") * F.col("t_sumsq").cast("double"))).alias("similarity_score"))
+        scored = part if scored is None else scored.unionByName(part)
     return rank_topk(scored, k).select("topic_id", "rank", "id", "similarity_score")
 
 

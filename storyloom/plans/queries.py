@@ -64,7 +64,7 @@ def q_source_from_url(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ text search + storylines
-def story_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K):
+def story_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K, with_articles: bool = True):
     """``(topics, articles, hits, topic_articles)`` for the storyline queries."""
     from storyloom.operators import embed, storyline
 
@@ -78,12 +78,12 @@ def story_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K):
     hits = search.text_topk(topic_tv, doc_tv, k).checkpoint()
     # Topic articles (k rows per topic) are read by a dozen storyline branches; one
     # article scan fills them, the branches read the checkpoint.
-    ta = storyline.topic_articles(hits, arts).checkpoint()
+    ta = storyline.topic_articles(hits, arts).checkpoint() if with_articles else None
     return tps, arts, hits, ta
 
 
 def q_text_cosine_topk(spark, sf_dir):
-    _, _, hits, _ = story_inputs(spark, sf_dir)
+    _, _, hits, _ = story_inputs(spark, sf_dir, with_articles=False)
     return hits.select("topic_id", "rank", "id", _round())
 
 
@@ -221,7 +221,7 @@ def grounding_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K):
 
 def q_reply_json(spark, sf_dir):
     from storyloom.operators import grounding
-    tps, _, hits, _ = story_inputs(spark, sf_dir)
+    tps, _, hits, _ = story_inputs(spark, sf_dir, with_articles=False)
     parsed = grounding.extract_json(testbed.synthetic_replies(tps, hits))
     return parsed.select("topic_id", "attempt", "parsed", "summary", F.size("timeline").alias("n_timeline"),
                          F.array_join(F.transform("timeline", lambda e: e["id"]), ",").alias("timeline_ids"))
@@ -249,7 +249,7 @@ def q_clean_timeline(spark, sf_dir):
 
 def q_context_blocks(spark, sf_dir):
     from storyloom.operators import grounding
-    _, arts, hits, _ = story_inputs(spark, sf_dir)
+    _, arts, hits, _ = story_inputs(spark, sf_dir, with_articles=False)
     cb = grounding.context_blocks(search.attach(hits, arts.select("id", "headline", "full_text", "date", "source")), P.CONTEXT_CHARS)
     return cb.select("topic_id", "n_sources", "context_block")
 
@@ -380,7 +380,8 @@ def q_answer_reuse(spark, sf_dir):
     the first batch are served from the store, only the rest are searched."""
     from storyloom.operators import embed
     arts = articles(spark, sf_dir)
-    doc_tv = embed.term_vectors(arts, "id", "full_text")
+    # The document vectors are the index both request batches search: built once.
+    doc_tv = embed.term_vectors(arts, "id", "full_text").checkpoint()
 
     def run(todo: DataFrame) -> DataFrame:
         tv = embed.term_vectors(todo, "key", "topic").withColumnRenamed("id", "topic_id")

@@ -114,3 +114,16 @@ def test_alignment_and_cache(spark):
     assert out.count() == 3 and fresh.count() == 2
     out2, fresh2 = embed.embed_with_cache(arts, fresh, "m", enc)
     assert out2.count() == 3 and fresh2.count() == 0
+
+
+def test_text_topk_blocked_broadcast_is_identical(spark):
+    rnd = random.Random(9)
+    vocab = ["red", "green", "blue", "cyan", "teal", "gold", "grey"]
+    docs = spark.createDataFrame([(str(i), " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 12)))) for i in range(60)],
+                                 "id string, full_text string")
+    tps = spark.createDataFrame([(t, " ".join(rnd.choice(vocab) for _ in range(3))) for t in range(15)], "topic_id long, topic string")
+    dtv = embed.term_vectors(docs, "id", "full_text")
+    ttv = embed.term_vectors(tps, "topic_id", "topic").withColumnRenamed("id", "topic_id")
+    one = {tuple(r) for r in search.text_topk(ttv, dtv, 5).collect()}
+    many = {tuple(r) for r in search.text_topk(ttv, dtv, 5, max_broadcast=8).collect()}
+    assert one == many and len(one) > 0
