@@ -84,7 +84,7 @@ def url_source(url: str) -> str:
 CENTROIDS = r"""
 emb AS (SELECT vec_id AS id, embedding, label FROM embeddings),
 unn AS (SELECT label, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM emb),
-dims AS (SELECT label AS list_id, i, avg(CAST(x AS DOUBLE)) AS m FROM unn GROUP BY label, i),
+dims AS (SELECT CAST(label AS BIGINT) AS list_id, i, avg(CAST(x AS DOUBLE)) AS m FROM unn GROUP BY label, i),
 cent0 AS (SELECT list_id, list(m ORDER BY i) AS c FROM dims GROUP BY list_id),
 cent AS (SELECT list_id, CASE WHEN sqrt(list_sum(list_transform(c, lambda y: y * y))) > 0
                               THEN list_transform(c, lambda y: y / sqrt(list_sum(list_transform(c, lambda z: z * z)))) ELSE c END AS centroid

@@ -15,7 +15,7 @@ tt AS (SELECT b.item_id AS topic_id, coalesce(h.n, 0) AS n, coalesce(h.id1, 'non
 rv AS (SELECT *, '[{{"id": "' || id1 || '", "why_it_matters": "first report"}}, {{"id": "' || id2 || '", "why_it_matters": "follow-up"}}]' AS tlv FROM tt),
 rv2 AS (SELECT *, '{{"summary": "Coverage of the topic [1] and its follow-up [2].", "timeline": ' || tlv || '}}' AS valid FROM rv),
 replies AS (
-  SELECT topic_id, a AS attempt,
+  SELECT topic_id, CAST(a AS BIGINT) AS attempt,
          CASE topic_id % 12
            WHEN 0 THEN valid
            WHEN 1 THEN 'Here you go:' || {NL} || '```json' || {NL} || valid || {NL} || '```' || {NL} || 'thanks'

@@ -102,7 +102,7 @@ SELECT collection_id, endpoint_path, name, category, method, url, description, l
        CASE WHEN plain THEN 'ok:200:OK' ELSE '' END AS responses
 FROM ep""",
         "endpoint_chunks": with_(PAGES) + """
-SELECT collection_id, endpoint_path, 0 AS part,
+SELECT collection_id, endpoint_path, CAST(0 AS BIGINT) AS part,
        array_to_string(list_concat(
          ['Endpoint: ' || name, 'Category: ' || category, 'Method: ' || method, 'URL: ' || url],
          CASE WHEN description <> '' THEN [chr(10) || 'Description: ' || description] ELSE [] END,
@@ -119,8 +119,8 @@ dk AS (SELECT DISTINCT key, full_text FROM k),
 tk AS (SELECT key, unnest({toks('full_text')}) AS term FROM dk),
 tfq AS (SELECT key, term, count(*) AS c FROM tk GROUP BY key, term),
 kv AS (SELECT key, count(*) AS n_terms, sum(c * c) AS sumsq FROM tfq GROUP BY key)
-SELECT k.id, k.key, coalesce(kv.n_terms, 0) AS n_terms, coalesce(kv.sumsq, 0) AS sumsq,
-       CASE WHEN r1.key IS NOT NULL THEN 1 ELSE 2 END AS round
+SELECT k.id, k.key, coalesce(kv.n_terms, 0) AS n_terms, CAST(coalesce(kv.sumsq, 0) AS BIGINT) AS sumsq,
+       CAST(CASE WHEN r1.key IS NOT NULL THEN 1 ELSE 2 END AS BIGINT) AS round
 FROM k LEFT JOIN kv ON kv.key = k.key LEFT JOIN r1 ON r1.key = k.key""".replace("\nWITH", "WITH"),
         "answer_reuse": with_(*hits_ctes(P.DOC_SEARCH_K)) + f""",
 tk AS (SELECT item_id AS topic_id, md5(text || '|' || '{P.DOC_SEARCH_K}' || '|' || '{P.MODEL_NAME}' || '|' || '{P.CORPUS_VERSION}') AS key,

@@ -427,6 +427,22 @@ queries_batch4 = {
 }
 
 
+
+def _wide_ints(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Report every integral output column as BIGINT (positions, ranks and sizes are
+    INT in Spark), so result schemas are the same whichever engine computes them."""
+    from pyspark.sql import types as T
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        small = (T.ByteType, T.ShortType, T.IntegerType)
+        return df.select(*[F.col(f.name).cast("bigint").alias(f.name) if isinstance(f.dataType, small) else F.col(f.name)
+                           for f in df.schema.fields])
+
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "vector_topk": q_vector_topk,
@@ -438,4 +454,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out.update(queries_batch2)
     out.update(queries_batch3)
     out.update(queries_batch4)
-    return out
+    return {name: _wide_ints(fn) for name, fn in out.items()}
