@@ -326,7 +326,8 @@ def q_eval_aggregate(spark, sf_dir):
 # ------------------------------------------------------------------ partitioned search, endpoints, caches
 def q_ivf_topk(spark, sf_dir):
     corpus = testbed.dense_vectors(spark, sf_dir)
-    cents = search.label_centroids(corpus)
+    # The centroids are the index model (one row per list), read three times below.
+    cents = search.label_centroids(corpus).checkpoint()
     assigned = search.assign_lists(corpus, cents)
     queries_ = cents.select(F.col("list_id").alias("topic_id"), F.col("centroid").alias("embedding"))
     hits = search.ivf_topk(queries_, assigned, cents, P.DENSE_K, nprobe=P.IVF_NPROBE, normalize_queries=False)
