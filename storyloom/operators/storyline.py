@@ -355,6 +355,6 @@ def storyline_documents(topics: DataFrame, ta: DataFrame, as_of: str, generated:
         F.col("clusters"),
         F.struct(F.coalesce("nodes", F.array().cast(nodes.schema["nodes"].dataType.simpleString())).alias("nodes"),
                  F.coalesce("edges", F.array().cast(ed.schema["edges"].dataType.simpleString())).alias("edges"),
-                 F.coalesce(F.size("nodes"), F.lit(0)).alias("node_count"),
-                 F.coalesce(F.size("edges"), F.lit(0)).alias("edge_count")).alias("graph"),
+                 F.size(F.coalesce("nodes", F.array().cast(nodes.schema["nodes"].dataType.simpleString()))).alias("node_count"),
+                 F.size(F.coalesce("edges", F.array().cast(ed.schema["edges"].dataType.simpleString()))).alias("edge_count")).alias("graph"),
     )

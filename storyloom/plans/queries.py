@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.text import source_from_url
 from storyloom.operators import clean, search
 from storyloom.plans import params as P
+from storyloom.session import ensure_checkpoint_dir
 from storyloom.sources import testbed
 
 
@@ -435,6 +436,7 @@ def _wide_ints(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     from pyspark.sql import types as T
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)  # shared tables are materialised with checkpoint()
         df = fn(spark, sf_dir)
         small = (T.ByteType, T.ShortType, T.IntegerType)
         return df.select(*[F.col(f.name).cast("bigint").alias(f.name) if isinstance(f.dataType, small) else F.col(f.name)
