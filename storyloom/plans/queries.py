@@ -50,11 +50,9 @@ def q_load_accounting(spark, sf_dir):
 
 
 def q_article_stats(spark, sf_dir):
-    a = articles(spark, sf_dir)
-    dated = F.nullif(F.col("date"), F.lit(""))
-    return a.agg(F.count(F.lit(1)).alias("total_articles"), F.countDistinct("source").alias("sources"),
-                 F.min(dated).alias("earliest_date"), F.max(dated).alias("latest_date"),
-                 F.round(F.avg(F.length("content")), 6).alias("avg_content_length"))
+    from storyloom.operators import stats
+    st = stats.article_statistics(articles(spark, sf_dir))
+    return st.withColumn("avg_content_length", F.round("avg_content_length", 6))
 
 
 def q_source_from_url(spark, sf_dir):
@@ -402,11 +400,10 @@ def q_answer_reuse(spark, sf_dir):
 def q_vector_stats(spark, sf_dir):
     """A8 + V4: vector count and dimension, and vectors vs. their items both ways."""
     from storyloom.operators import embed
+    from storyloom.operators import stats
     v = testbed.dense_vectors(spark, sf_dir)
-    stats = v.agg(F.count(F.lit(1)).alias("total_vectors"), F.max(F.size("embedding")).alias("embedding_dim"),
-                  F.countDistinct("label").alias("labels"))
     align = embed.check_alignment(v, testbed.read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), 64)
-    return stats.crossJoin(align)
+    return stats.vector_statistics(v).crossJoin(align)
 
 
 def q_article_validation(spark, sf_dir):

@@ -86,3 +86,37 @@ def test_load_accounting_and_validation(spark):
     assert (acc.total_read, acc.rating_passed, acc.kept) == (3, 2, 1)
     valid, bad = clean.split_valid(clean.clean_articles(raw))
     assert valid.count() == 1 and bad.count() == 1
+
+
+def test_ellipsis_clamp_and_min_score(spark):
+    from storyloom.functions.text import clamp, ellipsis
+    from storyloom.operators import search
+    df = spark.createDataFrame([("short", 1.7), ("x" * 120, -0.2)], "t string, s double")
+    got = df.select(ellipsis(F.col("t"), 100).alias("e"), clamp(F.col("s")).alias("c")).collect()
+    assert got[0].e == "short" and got[1].e == "x" * 97 + "..." and len(got[1].e) == 100
+    assert (got[0].c, got[1].c) == (1.0, 0.0)
+    hits = spark.createDataFrame([(1, 0.2), (1, 0.9)], "topic_id long, similarity_score double")
+    assert search.min_score(hits).count() == 2 and search.min_score(hits, 0.5).count() == 1
+
+
+def test_encode_hook_normalises(spark):
+    import numpy as np
+    from storyloom.operators import embed
+
+    def make_encoder():
+        def enc(texts):
+            return np.array([[len(t), t.count("a"), 1.0] for t in texts], dtype=np.float32)
+        return enc
+
+    df = spark.createDataFrame([("aaa",), ("banana split",)], "full_text string")
+    out = embed.encode(df, "full_text", make_encoder, dim=3).collect()
+    for r in out:
+        assert abs(sum(x * x for x in r.embedding) - 1.0) < 1e-5
+
+
+def test_statistics(spark):
+    from storyloom.operators import stats
+    arts = spark.createDataFrame([("a", "S1", "2024-01-02T00:00:00", "xx"), ("b", "S2", "", "xxxx"), ("c", "S1", "2024-01-01T00:00:00", "")],
+                                 "id string, source string, date string, content string")
+    r = stats.article_statistics(arts).collect()[0]
+    assert (r.total_articles, r.sources, r.earliest_date, r.latest_date, r.avg_content_length) == (3, 2, "2024-01-01T00:00:00", "2024-01-02T00:00:00", 2.0)
