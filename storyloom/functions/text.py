@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # Python's ``str.split()`` / ``str.strip()`` treat every Unicode space as a separator;
 # ``(?U)`` gives Java's ``\s`` the same Unicode meaning.
 _WS_RUN = r"(?U)\s+"
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# Every character Python's ``str.isspace`` accepts (derived by rule, 29 characters).
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
 
 
 def truthy(c: Column) -> Column:
@@ -26,8 +27,9 @@ def first_truthy(*cols: Column) -> Column:
 
 
 def py_strip(c: Column) -> Column:
-    """``str.strip()``: remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(c, _EDGE_WS, "")
+    """``str.strip()``: remove leading and trailing whitespace of any kind (native
+    ``btrim`` with Python's whitespace set)."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def py_words(c: Column) -> Column:

@@ -35,6 +35,8 @@ ARC_UP = "The narrative shows escalating intensity over time."
 ARC_DOWN = "Coverage intensity has decreased over the timeline."
 ARC_FLAT = "The story maintains consistent coverage throughout the period."
 NO_REASON = "Provides context for the narrative."
+MODE_GENERATED = "rag_vllm"     # generation_mode labels of a storyline document
+MODE_HEURISTIC = "heuristic"
 
 
 def topic_articles(hits: DataFrame, articles: DataFrame) -> DataFrame:
@@ -346,7 +348,7 @@ def storyline_documents(topics: DataFrame, ta: DataFrame, as_of: str, generated:
     else:
         j = j.withColumn("gen_summary", F.lit(None).cast("string"))
     use_gen = F.coalesce(F.col("gen_summary"), F.lit("")) != ""
-    mode = F.when(use_gen, F.lit("rag_vllm")).otherwise(F.lit("heuristic"))
+    mode = F.when(use_gen, F.lit(MODE_GENERATED)).otherwise(F.lit(MODE_HEURISTIC))
     summary = F.when((F.col("article_count") > 0) & use_gen, F.col("gen_summary")).otherwise(F.col("heuristic_summary"))
     j = j.join(tl, "topic_id", "left").join(cl, "topic_id", "left").join(nodes, "topic_id", "left").join(ed, "topic_id", "left")
     return j.select(

@@ -260,7 +260,7 @@ def q_generation_mode(spark, sf_dir):
     hs = storyline.heuristic_summary(tps, ta)
     use_gen = F.coalesce(F.col("summary"), F.lit("")) != ""
     j = hs.join(final.select("topic_id", "summary"), "topic_id", "left")
-    return j.select("topic_id", F.when(use_gen, F.lit("rag_vllm")).otherwise(F.lit("heuristic")).alias("generation_mode"),
+    return j.select("topic_id", F.when(use_gen, F.lit(storyline.MODE_GENERATED)).otherwise(F.lit(storyline.MODE_HEURISTIC)).alias("generation_mode"),
                     F.when((F.col("article_count") > 0) & use_gen, F.col("summary")).otherwise(F.col("heuristic_summary")).alias("narrative_summary"))
 
 
