@@ -4,11 +4,13 @@ New JSON-lines article files dropped into a folder are cleaned as they arrive
 (stateless projection + filter), and each micro-batch appends to two Parquet tables:
 
 * ``articles``: cleaned rows
-* ``vectors``:  term vectors keyed by ``md5(model | text)``; a text already stored is
-  not encoded again (the S4 cache rule), so a replayed batch adds nothing new.
+* ``vectors``:  term vectors keyed by ``md5(model | text)``; a text stored by an earlier
+  batch is not encoded again (the S4 cache rule).
 
-Progress is kept in the query's checkpoint location, so a restarted query resumes
-where it stopped.
+Each micro-batch writes only its own ``batch_id`` partition with dynamic overwrite, so a
+batch replayed after a failure replaces its earlier output instead of duplicating it.
+Progress is kept in the query's checkpoint location, so a restarted query resumes where
+it stopped.
 """
 
 from __future__ import annotations
@@ -22,13 +24,19 @@ from storyloom.operators.embed import term_vectors, text_key
 from storyloom.sources.news import ARTICLE_DDL
 
 
-def _stored_keys(spark: SparkSession, path: str) -> DataFrame | None:
+def _stored_keys(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
+    """Keys written by earlier micro-batches (a replayed batch must not see its own)."""
     try:
-        return spark.read.parquet(path).select("key")
+        return spark.read.parquet(path).filter(F.col("batch_id") < before_batch).select("key")
     except AnalysisException:
         return None
 
 
+def _write_batch_partition(df: DataFrame, path: str) -> None:
+    """Replace exactly this micro-batch's partition: a replay rewrites, never appends twice."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
 def start_ingest(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
                  model: str = "term-count-v1", min_rating: float = 0.0, available_now: bool = True):
     """Start the ingest query; returns the ``StreamingQuery``."""
@@ -36,15 +44,16 @@ def start_ingest(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_
     cleaned = clean_articles(raw, min_rating=min_rating)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("key", text_key("full_text", model)).cache()
-        rows.drop("tags").write.mode("append").parquet(f"{out_dir}/articles")
-        todo = rows.select("key", "full_text").dropDuplicates(["key"])
-        stored = _stored_keys(spark, f"{out_dir}/vectors")
+        rows = (batch.withColumn("key", text_key("full_text", model))
+                     .withColumn("batch_id", F.lit(batch_id).cast("long")).cache())
+        _write_batch_partition(rows.drop("tags"), f"{out_dir}/articles")
+        todo = rows.select("key", "full_text", "batch_id").dropDuplicates(["key"])
+        stored = _stored_keys(spark, f"{out_dir}/vectors", batch_id)
         if stored is not None:
             todo = todo.join(stored, "key", "left_anti")
         tv = term_vectors(todo, "key", "full_text").withColumnRenamed("id", "key") \
-            .withColumn("model", F.lit(model)).withColumn("batch_id", F.lit(batch_id))
-        tv.write.mode("append").parquet(f"{out_dir}/vectors")
+            .withColumn("model", F.lit(model)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        _write_batch_partition(tv, f"{out_dir}/vectors")
         rows.unpersist()
 
     writer = cleaned.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
