@@ -206,10 +206,10 @@ queries_batch2 = {
 
 
 # ------------------------------------------------------------------ generation and grounding
-def grounding_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K):
+def grounding_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K, with_articles: bool = False):
     from storyloom.operators import grounding
 
-    tps, arts, hits, ta = story_inputs(spark, sf_dir, k)
+    tps, arts, hits, ta = story_inputs(spark, sf_dir, k, with_articles)
     replies = testbed.synthetic_replies(tps, hits)
     parsed = grounding.extract_json(replies)
     # One row per (topic, attempt), read by the attempt choice, the cleaned timeline
@@ -255,7 +255,7 @@ def q_context_blocks(spark, sf_dir):
 
 def q_generation_mode(spark, sf_dir):
     from storyloom.operators import grounding, storyline
-    tps, _, hits, ta, report = grounding_inputs(spark, sf_dir)
+    tps, _, hits, ta, report = grounding_inputs(spark, sf_dir, with_articles=True)
     final, _ = grounding.final_generation(tps, report, hits, P.MAX_ATTEMPTS)
     hs = storyline.heuristic_summary(tps, ta)
     use_gen = F.coalesce(F.col("summary"), F.lit("")) != ""
@@ -267,7 +267,7 @@ def q_generation_mode(spark, sf_dir):
 def q_timeline_reasons(spark, sf_dir):
     """Timeline whose reasons come from the accepted generation when there is one."""
     from storyloom.operators import grounding, storyline
-    tps, _, hits, ta, report = grounding_inputs(spark, sf_dir)
+    tps, _, hits, ta, report = grounding_inputs(spark, sf_dir, with_articles=True)
     final, tl = grounding.final_generation(tps, report, hits, P.MAX_ATTEMPTS)
     gen_topics = final.filter(F.coalesce(F.col("summary"), F.lit("")) != "").select("topic_id")
     reasons = tl.join(gen_topics, "topic_id", "left_semi")
