@@ -24,6 +24,16 @@ AUTO_IVF_THRESHOLD = 100_000
 DEFAULT_NPROBE = 10
 # Largest query (or centroid) table broadcast in one piece.
 MAX_BROADCAST_ROWS = 20_000
+# Largest centroid table of a partitioned index (nlist = sqrt(n) stays below it up to
+# about 6.9e10 vectors); every query and vector is compared with all centroids.
+MAX_CENTROIDS = 262_144
+
+
+def _checked_centroids(centroids: DataFrame) -> DataFrame:
+    n = centroids.count()
+    if n > MAX_CENTROIDS:
+        raise ValueError(f"{n} centroids exceed MAX_CENTROIDS={MAX_CENTROIDS}; use fewer lists")
+    return centroids
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int]:
@@ -105,7 +115,7 @@ def assign_lists(corpus: DataFrame, centroids: DataFrame, c_id: str = "id",
     The centroid table (``list_id, centroid``; bounded by ``nlist``) is packed into one
     broadcast row, so the arg-max runs inside each corpus row with no shuffle.
     """
-    packed = centroids.agg(F.sort_array(F.collect_list(F.struct("list_id", "centroid"))).alias("_cents"))
+    packed = _checked_centroids(centroids).agg(F.sort_array(F.collect_list(F.struct("list_id", "centroid"))).alias("_cents"))
     joined = corpus.select(c_id, c_vec).crossJoin(F.broadcast(packed))
     init = F.struct(F.lit(-1).cast("long").alias("lid"), F.lit(float("-inf")).alias("best"))
     best = F.aggregate(
@@ -154,7 +164,7 @@ def ivf_topk(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: i
     equi-join on list id against the broadcast probe table."""
     qv = l2_normalize(F.col(q_vec)) if normalize_queries else F.col(q_vec)
     q = queries.select(F.col(q_id).alias("_qid"), qv.alias("_qv"))
-    probe_scores = q.crossJoin(F.broadcast(centroids)).select(
+    probe_scores = q.crossJoin(F.broadcast(_checked_centroids(centroids))).select(
         "_qid", "_qv", "list_id", dot(F.col("_qv"), F.col("centroid")).alias("_cs"))
     w = Window.partitionBy("_qid").orderBy(F.col("_cs").desc(), F.col("list_id").asc())
     probes = probe_scores.withColumn("_pr", F.row_number().over(w)).filter(F.col("_pr") <= nprobe)
