@@ -97,3 +97,25 @@ def test_streaming_batch_replay_is_idempotent(spark):
     _write_batch_partition(df, f"{d}/t")          # the same batch written again
     _write_batch_partition(spark.createDataFrame([("k3", 1)], "key string, batch_id long"), f"{d}/t")
     assert sorted(r.key for r in spark.read.parquet(f"{d}/t").collect()) == ["k1", "k2", "k3"]
+
+
+def test_storyline_documents_written_as_json(spark):
+    from pyspark.sql import Window
+    from storyloom.operators import storyline
+    d = _tmp()
+    topics = spark.createDataFrame([(1, "metro"), (2, "empty topic")], "topic_id long, topic string")
+    rows = [(1, 1, "a", "Metro phase opens crisis looms", "x", "2024-01-05T00:00:00", "", "S1", 10.0, 0.9),
+            (1, 2, "b", "Metro phase delays announced today", "y", "2024-02-01T00:00:00", "", "S2", 0.0, 0.5)]
+    ta = spark.createDataFrame(rows, "topic_id long, rank int, id string, headline string, full_text string, date string, "
+                                     "url string, source string, source_rating double, similarity_score double")
+    ta = ta.withColumn("pos", F.row_number().over(Window.partitionBy("topic_id").orderBy("date", "rank")))
+    gen = spark.createDataFrame([(1, "Generated [1].")], "topic_id long, summary string")
+    docs = storyline.storyline_documents(topics, ta, "2024-02-03", gen)
+    sinks.write_storylines(docs, f"{d}/docs")
+    back = {r.topic_id: r for r in spark.read.json(f"{d}/docs").collect()}
+    assert back[1].generation_mode == "rag_vllm" and back[1].narrative_summary == "Generated [1]."
+    assert [t.headline for t in back[1].timeline] == ["Metro phase opens crisis looms", "Metro phase delays announced today"]
+    assert back[1].graph.node_count == 2
+    assert back[2].generation_mode == "heuristic"
+    assert back[2].narrative_summary == "No relevant articles found for topic: empty topic"
+    assert back[2].clusters[0].theme == "General Coverage" and back[2].graph.node_count == 0
