@@ -143,7 +143,7 @@ def kmeans_centroids(corpus: DataFrame, nlist: int | None = None, seed: int = 7,
                      c_vec: str = "embedding", max_iter: int = 20) -> DataFrame:
     """Trained centroids (Spark ML k-means), ``nlist = int(sqrt(n))`` by default."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     if nlist is None:
         nlist = max(1, int(math.sqrt(corpus.count())))
