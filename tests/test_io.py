@@ -119,3 +119,26 @@ def test_storyline_documents_written_as_json(spark):
     assert back[2].generation_mode == "heuristic"
     assert back[2].narrative_summary == "No relevant articles found for topic: empty topic"
     assert back[2].clusters[0].theme == "General Coverage" and back[2].graph.node_count == 0
+
+
+def test_pipelines_end_to_end(spark):
+    from storyloom.plans import pipelines
+    from tests.test_endpoints import COLLECTION
+    d = _tmp()
+    arts = [{"id": str(i + 1), "title": f"Metro line {w} opens downtown", "content": f"The metro {w} story", "published_at": f"2024-01-{10 + i}T00:00:00Z",
+             "source_rating": 5} for i, w in enumerate(["north", "south", "east"])]
+    with open(f"{d}/news.json", "w") as f:
+        json.dump({"items": arts}, f)
+    topics = spark.createDataFrame([(1, "metro line north"), (2, "unrelated zzz")], "topic_id long, topic string")
+    docs = {r.topic_id: r for r in pipelines.storylines(spark, f"{d}/news.json", topics, "2024-01-15").collect()}
+    assert docs[1].generation_mode == "heuristic" and len(docs[1].timeline) == 3
+    assert docs[2].narrative_summary.startswith("No relevant articles found")
+    gen = lambda batch: ['{"summary": "Metro [1].", "timeline": [{"id": "1", "why_it_matters": "first"}]}' for _ in batch]
+    docs = {r.topic_id: r for r in pipelines.storylines(spark, f"{d}/news.json", topics, "2024-01-15", generate_fn=gen).collect()}
+    assert docs[1].generation_mode == "rag_vllm" and docs[1].narrative_summary == "Metro [1]."
+    assert [t.why_it_matters for t in docs[1].timeline if t.headline.endswith("north opens downtown")] == ["first"]
+    with open(f"{d}/api.json", "w") as f:
+        json.dump(COLLECTION, f)
+    q = spark.createDataFrame([(7, "get items id")], "topic_id long, topic string")
+    hits = pipelines.search_docs(spark, f"{d}/api.json", q).collect()
+    assert hits[0].metadata.endpoint_name == "Get one" and hits[0].rank == 1
