@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's ``str.split()`` / ``str.strip()`` treat every Unicode space as a separator;
-# ``(?U)`` gives Java's ``\s`` the same Unicode meaning.
-_WS_RUN = r"(?U)\s+"
-# Every character Python's ``str.isspace`` accepts (derived by rule, 29 characters).
+# Every character Python's ``str.isspace`` accepts (derived by rule, 29 characters);
+# ``str.split()`` and ``str.strip()`` use exactly this set.  (Java's ``(?U)\s`` would miss
+# the four separator controls U+001C-U+001F.)
 PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+_WS_RUN = "[" + "".join(f"\\u{ord(ch):04x}" for ch in PY_WHITESPACE) + "]+"
 
 
 def truthy(c: Column) -> Column:
