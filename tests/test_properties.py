@@ -38,3 +38,13 @@ def test_text_topk_independent_of_partitioning(spark):
     for t, rank, _, _ in results[0]:
         per_topic.setdefault(t, []).append(rank)
     assert all(sorted(r) == list(range(1, len(r) + 1)) and len(r) <= 7 for r in per_topic.values())
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet="abcXYZéÉñÑüÜ 09-_.,'!/", max_size=25), min_size=40, max_size=40))
+def test_title_case_matches_python(spark, texts):
+    from storyloom.functions.text import title_case
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", title_case(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == t.title(), repr(t)
