@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat_format, quality_bands, shard_shuffle, source_mix, token_store
+from storyloom.llm import chat_format, pitman_yor, quality_bands, shard_shuffle, simhash, source_mix, spotsigs, suffix_dedup, token_store
 from storyloom.llm.common import ship_package, table
 from storyloom.session import ensure_checkpoint_dir
 
@@ -33,6 +33,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +67,10 @@ def op7_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "quality.*")
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     token_store.write_store(table(spark, sf_dir, "documents"), folder, vocabulary(WORD_BPE))
@@ -70,5 +87,5 @@ def _registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_source_mix, op5_shard_shuffle, op6_chat_format, op7_quality_bands, op9_token_store)
+    found = (op1_simhash, op2_pitman_yor, op3_suffix_dedup, op4_source_mix, op5_shard_shuffle, op6_chat_format, op7_quality_bands, op8_spotsigs, op9_token_store)
     return {f.__name__: _registered(f) for f in found}
