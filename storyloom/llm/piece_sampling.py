@@ -17,8 +17,8 @@ All random numbers are hashes of the row's key, so a row's result does not depen
 neighbours, and repeated rows get equal samples.  ``decode`` restores the text exactly.
 
 Null texts count as empty (one segmentation without pieces).  A text with fewer than k
-segmentations gives as many rows as it has; the rest of a word whose mass is below a
-millionth of the word's (what rounding leaves) counts as none.  An empty table gives an empty table.
+segmentations gives as many rows as it has; the rest of a word whose mass is below
+``ROUNDING`` counts as none.  An empty table gives an empty table.
 Further columns are ignored.
 """
 
@@ -40,6 +40,8 @@ SAMPLES = 2
 POWER = 1.0
 SEED = 10
 SLICE_BYTES = 4 << 20
+#: A rest of a word's mass below this is what rounding leaves of nothing.
+ROUNDING = 1e-11
 SPACE = "\u2581"
 #: A space run belongs to the word behind it; line breaks and literal SPACE signs have no piece.
 CHUNKS = re.compile(" +[^ \\n\u2581]*|[^ \\n\u2581]+|\\n|\u2581")
@@ -99,13 +101,18 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def _uniform(key: np.ndarray, *parts) -> np.ndarray:
-    """Numbers in (0, 1) that only depend on the key and the parts."""
+def _stirred(key: np.ndarray, *parts) -> np.ndarray:
+    """A key mixed with further numbers."""
     x = key
     for p in parts:
         x = (x + np.asarray(p).astype(np.uint64) + np.uint64(1)) * _STEP
         x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x
+
+
+def _uniform(key: np.ndarray, *parts) -> np.ndarray:
+    """Numbers in (0, 1) that only depend on the key and the parts."""
+    x = _stirred(key, *parts) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
@@ -113,7 +120,11 @@ def _uniform(key: np.ndarray, *parts) -> np.ndarray:
 
 
 class Lattices:
-    """The lattices of distinct chunks, end to end over their characters."""
+    """The lattices of distinct chunks, as lists of the edges that leave each character.
+
+    Characters are numbered end to end; the edges of those with equally many characters
+    left in their chunk lie together, so sums run over whole slices of the edge list.
+    """
 
     def __init__(self, chunks: list[str], v: Vocabulary):
         self.lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
@@ -121,70 +132,93 @@ class Lattices:
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         literal = np.array([c == SPACE for c in chunks], bool)
         n = len(codes)
-        self.codes = codes
         left = np.repeat(self.starts + self.lengths, self.lengths) - np.arange(n)  # characters to the chunk's end
         look = np.where(codes == 32, np.uint64(ord(SPACE)), codes)
         look[self.starts[literal]] = 0  # a literal sign is spelled in bytes
-        width = v.longest
-        weight = np.full((n, width), -np.inf, np.float32)
-        self.ids = np.zeros((n, width), np.int32)
+        found = []
         at, h = np.arange(n), np.zeros(n, np.uint64)
-        for k in range(width):  # only beginnings of pieces go on to the next length
+        for k in range(v.longest):  # only beginnings of pieces go on to the next length
             h = h * _STEP + look[at + k]
             keys, ids, weights = v.by_length[k]
             place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[place] == h
             at, h, place = at[hit], h[hit], place[hit]
-            weight[at, k] = weights[place]
-            self.ids[at, k] = ids[place]
+            whole = ids[place] >= 0
+            found.append((at[whole], ids[place[whole]], weights[place[whole]]))
             on = left[at] > k + 1
             at, h = at[on], h[on]
             if not len(at):
                 break
-        bare = np.flatnonzero(np.isneginf(weight[:, 0]))
+        bare = np.ones(n, bool)
+        if n:
+            bare[found[0][0]] = False
+        bare = np.flatnonzero(bare)
         # No piece for the character: its bytes, marked by the negative code point.
         size = 1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)
-        weight[bare, 0] = v.byte_weight * size
-        self.ids[bare, 0] = -1 - codes[bare].astype(np.int64)
+        found.append((bare, -1 - codes[bare].astype(np.int64), v.byte_weight * size))
+
+        degree = np.zeros(n, np.int64)
+        for at, _, _ in found:
+            degree[at] += 1
+        order = np.argsort(left, kind="stable")
+        ends = np.cumsum(degree[order])
+        self.first = np.empty(n, np.int64)
+        self.first[order] = ends - degree[order]
+        self.last = self.first + degree - 1
+        total = int(ends[-1]) if n else 0
+        self.ids, self.log, self.step = np.empty(total, np.int32), np.empty(total), np.empty(total, np.int16)
+        target = np.empty(total, np.int32)
+        slot = self.first.copy()
+        for k in range(len(found) - 1, -1, -1):  # bytes, then the longest pieces first
+            at, ids, weights = found[k]
+            step = 1 if k == len(found) - 1 else k + 1
+            e = slot[at]
+            slot[at] += 1
+            self.ids[e], self.log[e], self.step[e] = ids, weights, step
+            target[e] = np.where(left[at] == step, n, at + step)
         # Log sums of all completions, from the chunks' ends backwards.
         after = np.zeros(n + 1)
-        self.cumulative = np.ones((n, width), np.float32)
-        order = np.argsort(left, kind="stable")
+        self.cumulative = np.empty(total)
         borders = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
-        for r in range(1, len(borders)):
-            rows = order[borders[r - 1]:borders[r]]
-            m = min(r, width)
-            x = weight[rows, :m].astype(float)
-            for k in range(min(m, r - 1)):
-                x[:, k] += after[rows + k + 1]
-            top = x.max(1)[:, None]
-            e = np.cumsum(np.exp(x - top), axis=1)
-            after[rows] = top[:, 0] + np.log(e[:, -1])
-            self.cumulative[rows, :m] = e / e[:, -1:]
-            weight[rows, :m] = x - after[rows][:, None]  # from here on: log probability of the edge
-        self.log = weight
+        for a, z in zip(borders, borders[1:]):
+            rows = order[a:z]
+            deg = degree[rows]
+            e0, e1 = self.first[rows[0]], ends[z - 1]
+            seg = self.first[rows] - e0
+            x = self.log[e0:e1] + after[target[e0:e1]]
+            top = np.maximum.reduceat(x, seg)
+            e = np.exp(x - np.repeat(top, deg))
+            sums = np.add.reduceat(e, seg)
+            after[rows] = top + np.log(sums)
+            self.log[e0:e1] = x - np.repeat(after[rows], deg)  # from here on: log probability of the edge
+            e /= np.repeat(sums, deg)
+            run = np.cumsum(e)
+            self.cumulative[e0:e1] = run - np.repeat(run[seg] - e[seg], deg)
+
+    def edges(self, p: int) -> range:
+        """Numbers of the edges that leave a character."""
+        return range(int(self.first[p]), int(self.last[p]) + 1)
 
     def sample(self, chunk: np.ndarray, key: np.ndarray, *parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A path for each given chunk: log probabilities, number of pieces, ids end to end."""
         n = len(chunk)
-        at, end = self.starts[chunk].copy(), self.starts[chunk] + self.lengths[chunk]
+        key = _stirred(key, *parts)
+        at, end = self.starts[chunk], self.starts[chunk] + self.lengths[chunk]
         log, count = np.zeros(n), np.zeros(n, np.int64)
         active, steps = np.arange(n), []
-        step = 0
         while len(active):
             p = at[active]
-            u = (_uniform(key[active], *[x[active] if isinstance(x, np.ndarray) else x for x in parts], step)).astype(np.float32)
-            k = np.minimum((self.cumulative[p] <= u[:, None]).sum(1), np.minimum(end[active] - p, self.log.shape[1]) - 1)
-            bad = np.isneginf(self.log[p, k])  # rounding next to an edge that is not there
-            while bad.any():
-                k[bad] -= 1
-                bad = np.isneginf(self.log[p, k])
-            log[active] += self.log[p, k]
-            steps.append((active, self.ids[p, k]))
+            u = _uniform(key[active], len(steps))
+            e, last = self.first[p], self.last[p]
+            go = np.flatnonzero((self.cumulative[e] <= u) & (e < last))
+            while len(go):
+                e[go] += 1
+                go = go[(self.cumulative[e[go]] <= u[go]) & (e[go] < last[go])]
+            log[active] += self.log[e]
+            steps.append((active, self.ids[e]))
             count[active] += 1
-            at[active] = p + k + 1
+            at[active] = p + self.step[e]
             active = active[at[active] < end[active]]
-            step += 1
         first = np.cumsum(count) - count
         ids = np.empty(int(count.sum()), np.int32)
         for s, (who, what) in enumerate(steps):
@@ -192,33 +226,37 @@ class Lattices:
         return log, count, ids
 
     def path_log(self, chunk: int, path: tuple[int, ...]) -> float:
-        return sum(self.log[p, k] for p, k in self._edges(chunk, path))
+        return sum(self.log[e] for e in self._path(chunk, path))
 
-    def _edges(self, chunk: int, path: tuple[int, ...]) -> Iterator[tuple[int, int]]:
-        p = self.starts[chunk]
+    def _path(self, chunk: int, path: tuple[int, ...]) -> list[int]:
+        """The edges of a chunk's path given by its ids."""
+        p, out = int(self.starts[chunk]), []
         for i in path:
-            k = int(np.flatnonzero((self.ids[p] == i) & ~np.isneginf(self.log[p]))[0])
-            yield p, k
-            p += k + 1
+            a = int(self.first[p])
+            e = a + int(np.flatnonzero(self.ids[a:int(self.last[p]) + 1] == i)[0])
+            out.append(e)
+            p += int(self.step[e])
+        return out
 
     def sample_other(self, chunk: int, not_these: list[tuple[int, ...]], key: np.uint64, tag: int) -> tuple[float, tuple[int, ...]]:
         """A path of one chunk given that it is none of ``not_these``: at each edge, the mass of
         the excluded paths that go through it is taken off."""
         p, end = int(self.starts[chunk]), int(self.starts[chunk] + self.lengths[chunk])
-        excluded = [(list(self._edges(chunk, q)), q) for q in not_these]
+        excluded = [self._path(chunk, q) for q in not_these]
         log, out, step = 0.0, [], 0
         while p < end:
-            mass = np.exp(self.log[p].astype(float))
-            for edges, _ in excluded:
-                if len(edges) > step and edges[step][0] == p:
-                    mass[edges[step][1]] -= np.exp(sum(float(self.log[a, b]) for a, b in edges[step:]))
+            a = int(self.first[p])
+            mass = np.exp(self.log[a:int(self.last[p]) + 1])
+            for path in excluded:
+                mass[path[step] - a] -= np.exp(sum(float(self.log[e]) for e in path[step:]))
             mass = np.maximum(mass, 0.0)
             u = float(_uniform(np.array([key]), tag, step)[0]) * mass.sum()
-            k = int(min(np.searchsorted(np.cumsum(mass), u, side="right"), np.flatnonzero(mass > 0)[-1] if (mass > 0).any() else 0))
-            excluded = [(e, q) for e, q in excluded if len(e) > step and e[step] == (p, k)]
-            log += float(self.log[p, k])
-            out.append(int(self.ids[p, k]))
-            p += k + 1
+            most = np.flatnonzero(mass > 0)
+            k = int(min(np.searchsorted(np.cumsum(mass), u, side="right"), most[-1] if len(most) else 0))
+            excluded = [path for path in excluded if len(path) > step + 1 and path[step] == a + k]
+            log += float(self.log[a + k])
+            out.append(int(self.ids[a + k]))
+            p += int(self.step[a + k])
             step += 1
         return log, tuple(out)
 
@@ -275,7 +313,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAM
         before -= before[first[some]].repeat(sizes[some]) if len(some) else 0
         with np.errstate(divide="ignore"):
             mass = before + np.log(-np.expm1(np.minimum(log, 0.0)))
-        mass[log > -1e-6] = -np.inf  # the only path, up to rounding
+        mass[log > -ROUNDING] = -np.inf  # the only path, up to rounding
         return _cut_gumbel(mass, bound[text], _uniform(key, SEED + 1, number, inside))
 
     gumbel = -np.log(-np.log(_uniform(keys.astype(np.uint64), SEED + 2)))
@@ -341,7 +379,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAM
             w = int(word[t])
             gone = sum(np.exp(lattice.path_log(int(chunk[w]), q)) for q in ruled_out[number - 1, w]) + np.exp(log[w])
             ahead = float(log[first[t]:w].sum())
-            rest = ahead + np.log1p(-gone) if gone < 1 - 1e-6 else -np.inf
+            rest = ahead + np.log1p(-gone) if gone < 1 - ROUNDING else -np.inf
             fresh[w] = _cut_gumbel(np.array([rest]), best[t:t + 1], _uniform(keys[t:t + 1].astype(np.uint64), SEED + 3, number))[0]
             ruled_out[number - 1, w] = [*ruled_out[number - 1, w], own_paths[w]]
         nodes.append(fresh)
