@@ -31,7 +31,8 @@ ANCHORS = ["a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can"
            "al", "como", "con", "del", "el", "los", "las", "lo", "más", "no", "para", "pero", "por", "se", "su", "una", "y"]
 CHAIN = 2
 THRESHOLD = 0.8
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
+MAX_BUCKETS = 20_000
 
 
 def signatures(text: Column, anchors=ANCHORS, chain: int = CHAIN) -> Column:
@@ -110,7 +111,7 @@ def _bucketed(docs: DataFrame, bucket_bytes: int) -> DataFrame:
     The range borders are approximate quantiles of all ids; only they reach the driver.
     """
     total = docs.agg(F.sum(utf8_size("text")).alias("b")).first()["b"] or 0
-    n = math.ceil(total / bucket_bytes)
+    n = min(math.ceil(total / bucket_bytes), MAX_BUCKETS)  # beyond, the buckets grow; their sort spills
     borders = []
     if n > 1:
         probs = [k / n for k in range(1, n)]
@@ -123,15 +124,16 @@ def _bucketed(docs: DataFrame, bucket_bytes: int) -> DataFrame:
     return split.transform(place).withColumn("bucket", F.col("range").cast("int")).drop("place", "range")
 
 
-def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text, further columns) with ``next``: a struct of the row that
-    follows in descending doc_id; after the last comes the first.
+def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, **further: Column) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) and ``further`` columns with ``next``: a struct of the row
+    that follows in descending doc_id; after the last comes the first.
 
-    Rows meet their neighbours in a bucket of ids (one shuffle).  The first row of each
-    bucket is also sent, as a guest, to the end of the bucket before it.
+    Rows meet their neighbours in a bucket of ids (one shuffle, of the texts alone; the
+    further columns are made behind it).  The first row of each bucket is also sent, as a
+    guest, to the end of the bucket before it.
     """
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.bitwise_not("doc_id").alias("back"), F.xxhash64("text").alias("tie"))
-    columns = docs.columns
+    columns = [*docs.columns, *further]
     rows = _bucketed(docs, bucket_bytes).withColumn("place", order)
     heads = rows.select("bucket", "place").groupBy("bucket").agg(F.min("place").alias("head"))
     # Buckets in reading order go down; the head of one follows the last row of the one above.
@@ -141,6 +143,7 @@ def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     rows = rows.join(heads, "bucket")
     rows = rows.withColumn("guest", F.explode(F.when(F.col("place") == F.col("head"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     rows = rows.withColumn("bucket", F.when(F.col("guest") == 1, F.col("host")).otherwise(F.col("bucket"))).drop("head", "host")
+    rows = rows.repartition("bucket").withColumns(further)
     following = F.lead(F.struct(*[F.col(f"`{c}`") for c in columns])).over(Window.partitionBy("bucket").orderBy("guest", "place"))
     return rows.withColumn("next", following).where("guest = 0").select(*[F.col(f"`{c}`") for c in columns], "next")
 
@@ -149,7 +152,7 @@ def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id", bu
     """Fingerprint of each text, of its edited form (the last third replaced by the start of the
     next document) and their likeness, and the likeness to the next document."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("own", signatures(F.col("text"))), bucket_bytes)
+    rows = with_next(rows, bucket_bytes, own=signatures(F.col("text")))
     third = F.floor(F.length("text") / 3).cast("int")
     cut = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "own", F.col("next.own").alias("other"),
                       F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next.text"), F.lit(1), third)).alias("edited"))
