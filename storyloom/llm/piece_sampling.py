@@ -39,7 +39,7 @@ SAMPLES = 2
 #: Weight of a piece: (1 + rank) ** -POWER.
 POWER = 1.0
 SEED = 10
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 #: A rest of a word's mass below this is what rounding leaves of nothing.
 ROUNDING = 1e-11
 SPACE = "\u2581"

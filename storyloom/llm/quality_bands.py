@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import arrow_map, free_name
+from storyloom.llm.common import arrow_map, byte_slices, free_name
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 CHUNK_BYTES = 4096
 LEVEL = 3
+SLICE_BYTES = 4 << 20
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Length-specific limits: (bytes below, lowest ratio, highest ratio) of one compressed piece.
@@ -96,11 +97,12 @@ def quality_signals(docs: DataFrame, text: str = "text", level: int = LEVEL, chu
     def run(batch: pa.RecordBatch):
         # A compressor per batch: cheap, and nothing survives between tasks.
         pack = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=False).compress
-        raw = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-        rows = [judge(x.as_py() or b"", pack, chunk_bytes, bands, max_bad) for x in raw]
-        parts = [pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*rows), fields, strict=True)]
-        found = pa.StructArray.from_arrays(parts, [f for f, _ in fields])
-        yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
+        for part in byte_slices(batch, text, SLICE_BYTES):
+            raw = part.column(text).cast(pa.binary())
+            rows = [judge(x.as_py() or b"", pack, chunk_bytes, bands, max_bad) for x in raw]
+            columns = [pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*rows), fields, strict=True)]
+            found = pa.StructArray.from_arrays(columns, [f for f, _ in fields])
+            yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, name])
 
     return arrow_map(docs, run, schema)
 

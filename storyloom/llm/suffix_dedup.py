@@ -42,10 +42,10 @@ from storyloom.llm.common import byte_slices, free_name, materialize
 
 MIN_BYTES = 400
 Q = 50  # doubled three times: 50, 100, 200, 400
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Different surroundings of one q-gram that may meet in a task.
 TOGETHER = 20_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,7 +126,7 @@ def entries_of(buffer: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray,
 
 def _scan(rows: DataFrame, min_bytes: int, q: int) -> DataFrame:
     """``ENTRIES`` of rows (doc_key, text)."""
-    piece = 8 << 20
+    piece = 4 << 20
 
     def of_buffer(keys: np.ndarray, raws: list[bytes], shift: int = 0) -> Iterator[pa.RecordBatch]:
         buffer = np.frombuffer(b"".join(raws), np.uint8)
