@@ -20,12 +20,11 @@ from storyloom.functions.vectors import int_sum_squares, l2_normalize, run_lengt
 # Default encoder batch size and the character cut applied before a
 # pretrained encoder (its input window).
 ENCODE_BATCH_SIZE = 32
-ENCODER_MAX_CHARS = 512
 
 
 def encode(df: DataFrame, text_col: str, make_encoder: Callable, dim: int,
            batch_size: int = ENCODE_BATCH_SIZE, normalize_output: bool = True,
-           max_chars: int | None = ENCODER_MAX_CHARS, out_col: str = "embedding") -> DataFrame:
+           max_chars: int | None = None, out_col: str = "embedding") -> DataFrame:
     """Run a caller-supplied encoder over a text column in Arrow batches.
 
     ``make_encoder()`` is called once per Python worker and must return a function

@@ -18,9 +18,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.vectors import dot, l2_normalize, let
 
-# Corpus size at which "auto" switches from exact to partitioned search,
-# and the default number of lists probed.
-AUTO_IVF_THRESHOLD = 100_000
+# Fixed value: the default number of lists probed.
 DEFAULT_NPROBE = 10
 # Largest query (or centroid) table broadcast in one piece.
 MAX_BROADCAST_ROWS = 20_000
@@ -174,12 +172,13 @@ def ivf_topk(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: i
     return rank_topk(scored, k, q_id, c_id).select(q_id, "rank", c_id, "similarity_score")
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, mode: str = "auto",
+def search(queries: DataFrame, corpus: DataFrame, k: int, mode: str = "flat",
            nprobe: int = DEFAULT_NPROBE, **kw) -> DataFrame:
-    """Mode choice (T4): ``flat`` below ``AUTO_IVF_THRESHOLD`` vectors, else ``ivf`` with
-    ``nlist = int(sqrt(n))`` trained centroids.  Scores are inner products in both."""
-    if mode == "auto":
-        mode = "flat" if corpus.count() < AUTO_IVF_THRESHOLD else "ivf"
+    """Mode choice (T4): ``flat`` is exact at every size; ``ivf``, with ``nlist = int(sqrt(n))``
+    trained centroids, is approximate and only runs when asked for.  Scores are inner
+    products in both."""
+    if mode not in ("flat", "ivf"):
+        raise ValueError(f"unknown search mode {mode!r}")
     if mode == "flat":
         return dense_topk(queries, corpus, k, **kw)
     cents = kmeans_centroids(corpus)

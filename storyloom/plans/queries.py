@@ -35,7 +35,7 @@ def centroid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ queries
 def q_vector_topk(spark, sf_dir):
     corpus = testbed.dense_vectors(spark, sf_dir)
-    hits = search.search(centroid_queries(spark, sf_dir), corpus, P.DENSE_K, mode="auto", normalize_queries=False)
+    hits = search.search(centroid_queries(spark, sf_dir), corpus, P.DENSE_K, normalize_queries=False)
     return hits.select("topic_id", "rank", "id", _round())
 
 
