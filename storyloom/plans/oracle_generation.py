@@ -16,7 +16,7 @@ rv AS (SELECT *, '[{{"id": "' || id1 || '", "why_it_matters": "first report"}},
 rv2 AS (SELECT *, '{{"summary": "Coverage of the topic [1] and its follow-up [2].", "timeline": ' || tlv || '}}' AS valid FROM rv),
 replies AS (
   SELECT topic_id, CAST(a AS BIGINT) AS attempt,
-         CASE topic_id % 12
+         CASE topic_id % 15
            WHEN 0 THEN valid
            WHEN 1 THEN 'Here you go:' || {NL} || '```json' || {NL} || valid || {NL} || '```' || {NL} || 'thanks'
            WHEN 2 THEN 'Sure {{not json}} then ' || valid || ' Done.'
@@ -28,7 +28,11 @@ replies AS (
            WHEN 8 THEN ''
            WHEN 9 THEN valid || ' trailing words'
            WHEN 10 THEN '[' || valid || ']'
-           ELSE '{{"summary": "Numbers [1].", "timeline": [{{"id": ' || CASE WHEN regexp_full_match(id1, '[0-9]+') THEN id1 ELSE '"' || id1 || '"' END || ', "why_it_matters": "numeric id"}}]}}'
+           WHEN 11 THEN '{{"summary": "Numbers [1].", "timeline": [{{"id": ' || CASE WHEN regexp_full_match(id1, '[0-9]+') THEN id1 ELSE '"' || id1 || '"' END || ', "why_it_matters": "numeric id"}}]}}'
+           -- Replies with a repeated key or a NaN: the plain object that they stand for.
+           WHEN 12 THEN '{{"summary": "Repeated key [1].", "timeline": ' || tlv || '}}'
+           WHEN 13 THEN '{{"summary": "Not a number [1].", "timeline": ' || tlv || '}}'
+           ELSE '{{"summary": "Long [' || repeat('9', 40) || '] claim [01].", "timeline": ' || tlv || '}}'
          END AS reply
   FROM rv2, (VALUES (1), (2)) v(a))"""
 
@@ -65,21 +69,24 @@ ent2 AS (SELECT topic_id, attempt, entry_pos, json_extract_string(e, '$.id') AS
 badtl AS (SELECT e.topic_id, e.attempt, count(*) AS n_bad_timeline FROM ent2 e
           LEFT JOIN hits h ON h.topic_id = e.topic_id AND h.id = e.id WHERE h.id IS NULL GROUP BY e.topic_id, e.attempt),
 g0 AS (SELECT p.*, coalesce(ns.n_sources, 0) AS n_sources, coalesce(b.n_bad_timeline, 0) AS n_bad_timeline,
-              list_distinct(list_filter(list_transform(regexp_extract_all(p.summary, '\[(\d+)\]', 1),
-                                                       lambda x: TRY_CAST(x AS DECIMAL(38, 0))), lambda c: c IS NOT NULL)) AS cited
+              list_distinct(list_transform(regexp_extract_all(p.summary, '\[(\d+)\]', 1),
+                                           lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END)) AS cited
        FROM pj p LEFT JOIN ns ON ns.topic_id = p.topic_id
        LEFT JOIN badtl b ON b.topic_id = p.topic_id AND b.attempt = p.attempt),
-g1 AS (SELECT *, list_sort(list_filter(cited, lambda c: c < 1 OR c > n_sources)) AS bad FROM g0),
+g1 AS (SELECT *, list_transform(list_sort(list_transform(
+          list_filter(cited, lambda c: c = '0' OR length(c) > length(CAST(n_sources AS VARCHAR))
+                                       OR (length(c) = length(CAST(n_sources AS VARCHAR)) AND c > CAST(n_sources AS VARCHAR))),
+          lambda c: {'digits': length(c), 'c': c})), lambda x: x.c) AS bad FROM g0),
 g2 AS (SELECT *, list_filter([
           CASE WHEN len(bad) > 0 THEN 'The summary cites non-existent source numbers ['
-               || array_to_string(list_transform(bad, lambda c: CAST(c AS VARCHAR)), ', ') || ']; only [1]..['
+               || array_to_string(bad, ', ') || ']; only [1]..['
                || CAST(n_sources AS VARCHAR) || '] exist.' END,
           CASE WHEN n_sources > 0 AND len(cited) = 0 THEN 'The summary contains no [n] citations; cite the sources you used.' END,
           CASE WHEN n_bad_timeline > 0 THEN CAST(n_bad_timeline AS VARCHAR)
                || ' timeline entries reference ids that are not among the retrieved sources; only use the exact id values shown.' END],
           lambda x: x IS NOT NULL) AS problems FROM g1),
 report AS (SELECT topic_id, attempt, summary, n_sources, len(cited) AS n_cited,
-                  CASE WHEN len(bad) > 0 THEN '[' || array_to_string(list_transform(bad, lambda c: CAST(c AS VARCHAR)), ', ') || ']' ELSE '' END AS bad_citations,
+                  CASE WHEN len(bad) > 0 THEN '[' || array_to_string(bad, ', ') || ']' ELSE '' END AS bad_citations,
                   n_bad_timeline, len(problems) = 0 AS grounded,
                   array_to_string(list_transform(problems, lambda q: '- ' || q), chr(10)) AS feedback
            FROM g2),

@@ -23,7 +23,8 @@ smp AS (SELECT b.item_id AS topic_id, b.text AS user_input, coalesce(f.summary,
 
 METRICS = rf"""
 claims AS (SELECT topic_id, unnest(regexp_extract_all(response, '\[(\d+)\]', 1)) AS c FROM smp),
-cl2 AS (SELECT c.topic_id, coalesce(TRY_CAST(c.c AS DECIMAL(38, 0)) >= 1 AND TRY_CAST(c.c AS DECIMAL(38, 0)) <= ns.n_sources, false) AS supported
+cl2 AS (SELECT c.topic_id, coalesce(ltrim(c.c, '0') <> '' AND (length(ltrim(c.c, '0')) < length(CAST(ns.n_sources AS VARCHAR))
+               OR (length(ltrim(c.c, '0')) = length(CAST(ns.n_sources AS VARCHAR)) AND ltrim(c.c, '0') <= CAST(ns.n_sources AS VARCHAR))), false) AS supported
         FROM claims c LEFT JOIN ns ON ns.topic_id = c.topic_id),
 faith AS (SELECT topic_id, avg(CAST(supported AS DOUBLE)) AS faithfulness FROM cl2 GROUP BY topic_id),
 qtok AS (SELECT topic_id, unnest({toks('response')}) AS term FROM smp),

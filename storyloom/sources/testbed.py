@@ -112,16 +112,17 @@ def _json_id(c):
 
 
 # Number of reply cases cycled through by topic id (see ``synthetic_replies``).
-REPLY_CASES = 12
+REPLY_CASES = 15
 
 
 def synthetic_replies(topics_df: DataFrame, hits: DataFrame) -> DataFrame:
     """Deterministic generator replies ``(topic_id, attempt, reply)`` for attempts 1-2.
 
-    Derived from each topic's hits, one case per topic in rotation (topic_id mod 12):
+    Derived from each topic's hits, one case per topic in rotation (topic_id mod 15):
     valid; fenced; in prose after a non-JSON brace group; out-of-range citations then
     valid; no citation; fabricated timeline id; huge citation number; garbage then
-    valid; empty; valid with trailing text; top-level array; numeric ids.
+    valid; empty; valid with trailing text; top-level array; numeric ids; a repeated key; a
+    NaN value; a citation number of 40 digits.
     """
     h = hits.groupBy("topic_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -141,6 +142,9 @@ def synthetic_replies(topics_df: DataFrame, hits: DataFrame) -> DataFrame:
     huge = F.concat(F.lit('{"summary": "Big [99999999999999999999] claim [1].", "timeline": '), tl_valid, F.lit("}"))
     numeric = F.concat(F.lit('{"summary": "Numbers [1].", "timeline": [{"id": '), _json_id(F.col("id1")),
                        F.lit(', "why_it_matters": "numeric id"}]}'))
+    repeated = F.concat(F.lit('{"summary": "draft [9]", "timeline": '), tl_valid, F.lit(', "summary": "Repeated key [1]."}'))
+    not_a_number = F.concat(F.lit('{"summary": "Not a number [1].", "score": NaN, "timeline": '), tl_valid, F.lit("}"))
+    long_number = F.concat(F.lit('{"summary": "Long [' + "9" * 40 + '] claim [01].", "timeline": '), tl_valid, F.lit("}"))
     case = F.pmod(F.col("topic_id"), F.lit(REPLY_CASES))
     rows = []
     for attempt in (1, 2):
@@ -155,7 +159,10 @@ def synthetic_replies(topics_df: DataFrame, hits: DataFrame) -> DataFrame:
                   .when(case == 8, F.lit(""))
                   .when(case == 9, F.concat(valid, F.lit(" trailing words")))
                   .when(case == 10, F.concat(F.lit("["), valid, F.lit("]")))
-                  .otherwise(numeric))
+                  .when(case == 11, numeric)
+                  .when(case == 12, repeated)
+                  .when(case == 13, not_a_number)
+                  .otherwise(long_number))
         rows.append(t.select("topic_id", F.lit(attempt).alias("attempt"), reply.alias("reply")))
     return rows[0].unionByName(rows[1])
 
@@ -178,10 +185,13 @@ def derived_verdicts(sample_rows: DataFrame, hits: DataFrame) -> dict[str, DataF
     from storyloom.operators.embed import term_vectors
 
     n = hits.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_sources"))
+    cited = F.regexp_replace("c", "^0+(?=[0-9])", "")
+    top = F.col("n_sources").cast("string")
+    in_range = (cited != "0") & ((F.length(cited) < F.length(top)) | ((F.length(cited) == F.length(top)) & (cited <= top)))
     claims = (sample_rows.select("topic_id", F.posexplode(F.regexp_extract_all("response", F.lit(r"\[(\d+)\]"), 1)).alias("claim_id", "c"))
                          .join(n, "topic_id", "left")
                          .select("topic_id", "claim_id",
-                                 F.coalesce((F.col("c").try_cast("decimal(38,0)") >= 1) & (F.col("c").try_cast("decimal(38,0)") <= F.col("n_sources")), F.lit(False)).alias("supported")))
+                                 F.coalesce(in_range, F.lit(False)).alias("supported")))
     q = term_vectors(sample_rows, "topic_id", "response").select(F.col("id").alias("topic_id"), F.col("sumsq").alias("q_ss"), F.explode(F.arrays_zip("terms", "tf")).alias("e"))
     t = term_vectors(sample_rows, "topic_id", "user_input").select(F.col("id").alias("topic_id"), F.col("sumsq").alias("t_ss"), F.explode(F.arrays_zip("terms", "tf")).alias("e"))
     dots = (q.select("topic_id", "q_ss", F.col("e.terms").alias("term"), F.col("e.tf").alias("qtf"))

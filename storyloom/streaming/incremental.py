@@ -46,7 +46,7 @@ def start_ingest(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         rows = (batch.withColumn("key", text_key("full_text", model))
                      .withColumn("batch_id", F.lit(batch_id).cast("long")).cache())
-        _write_batch_partition(rows.drop("tags"), f"{out_dir}/articles")
+        _write_batch_partition(rows, f"{out_dir}/articles")
         todo = rows.select("key", "full_text", "batch_id").dropDuplicates(["key"])
         stored = _stored_keys(spark, f"{out_dir}/vectors", batch_id)
         if stored is not None:
