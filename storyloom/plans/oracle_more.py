@@ -43,7 +43,7 @@ cp AS (SELECT topic_id, CASE WHEN sum(u) > 0 THEN sum(p * u) / sum(u) ELSE 0.0 E
 st AS (SELECT topic_id, unnest(ss) AS statement, unnest(generate_series(0, len(ss) - 1)) AS statement_id
        FROM (SELECT topic_id, list_filter(list_transform(string_split(reference, '. '), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')),
                                           lambda s: s <> '') AS ss FROM smp)),
-cx AS (SELECT topic_id, unnest(retrieved_contexts) AS ctx FROM smp),
+cx AS (SELECT h.topic_id, coalesce(nullif(a.full_text, ''), a.headline, '') AS ctx FROM hits h JOIN articles a ON a.id = h.id),
 att AS (SELECT DISTINCT st.topic_id, st.statement_id FROM st JOIN cx ON cx.topic_id = st.topic_id AND strpos(cx.ctx, st.statement) > 0),
 cr AS (SELECT st.topic_id, avg(CASE WHEN att.topic_id IS NOT NULL THEN 1.0 ELSE 0.0 END) AS context_recall
        FROM st LEFT JOIN att ON att.topic_id = st.topic_id AND att.statement_id = st.statement_id GROUP BY st.topic_id),

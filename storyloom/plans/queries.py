@@ -294,19 +294,19 @@ def eval_inputs(spark: SparkSession, sf_dir: str):
     cb = grounding.context_blocks(search.attach(hits, arts.select("id", "headline", "full_text", "date", "source")), P.CONTEXT_CHARS)
     eval_rows = tps.select("topic_id", "topic", F.col("topic").alias("reference"))
     # One row per topic, read by all four metric branches.
-    return hits, evaluate.samples(eval_rows, final, cb).checkpoint()
+    return arts, hits, evaluate.samples(eval_rows, final, cb).checkpoint()
 
 
 def q_eval_samples(spark, sf_dir):
-    _, smp = eval_inputs(spark, sf_dir)
+    _, _, smp = eval_inputs(spark, sf_dir)
     return smp.select("topic_id", "user_input", "response", F.size("retrieved_contexts").alias("n_contexts"),
                       F.array_join("retrieved_contexts", "\n||\n").alias("contexts"), "reference")
 
 
 def _per_query(spark, sf_dir):
     from storyloom.operators import evaluate
-    hits, smp = eval_inputs(spark, sf_dir)
-    v = testbed.derived_verdicts(smp, hits)
+    arts, hits, smp = eval_inputs(spark, sf_dir)
+    v = testbed.derived_verdicts(smp, hits, arts)
     return evaluate.metrics_table(smp, evaluate.faithfulness(v["claims"]), evaluate.answer_relevancy(v["questions"]),
                                   evaluate.context_precision(v["contexts"]), evaluate.context_recall(v["statements"]))
 

@@ -172,14 +172,14 @@ def synthetic_replies(topics_df: DataFrame, hits: DataFrame) -> DataFrame:
 USEFUL_SIMILARITY = 0.3
 
 
-def derived_verdicts(sample_rows: DataFrame, hits: DataFrame) -> dict[str, DataFrame]:
+def derived_verdicts(sample_rows: DataFrame, hits: DataFrame, articles: DataFrame) -> dict[str, DataFrame]:
     """Judge verdict tables derived from the samples and hits (stand-ins for a judge).
 
     * claims: each ``[n]`` citation in the response; supported when 1 <= n <= sources
     * questions: one per topic, scored by cosine of response and topic term vectors
     * contexts: a hit is useful when its similarity is >= ``USEFUL_SIMILARITY``
     * statements: sentences of the reference (split on ". "); attributed when some
-      retrieved context contains the sentence
+      retrieved article contains the sentence, anywhere in its text
     """
     from storyloom.functions.text import py_strip
     from storyloom.operators.embed import term_vectors
@@ -203,7 +203,8 @@ def derived_verdicts(sample_rows: DataFrame, hits: DataFrame) -> dict[str, DataF
     contexts = hits.select("topic_id", "rank", (F.col("similarity_score") >= USEFUL_SIMILARITY).alias("useful"))
     stmts = sample_rows.select("topic_id", F.posexplode(F.filter(F.transform(F.split("reference", r"\. "), lambda s: py_strip(s)),
                                                                  lambda s: s != "")).alias("statement_id", "statement"))
-    ctx = sample_rows.select("topic_id", F.explode("retrieved_contexts").alias("ctx"))
+    body = F.coalesce(F.nullif(F.col("full_text"), F.lit("")), F.col("headline"), F.lit(""))
+    ctx = hits.select("topic_id", "id").join(articles.select("id", body.alias("ctx")), "id").select("topic_id", "ctx")
     hit_rows = (stmts.join(ctx, "topic_id").filter(F.instr(F.col("ctx"), F.col("statement")) > 0)
                      .select("topic_id", "statement_id").distinct().withColumn("attributed", F.lit(True)))
     statements = stmts.join(hit_rows, ["topic_id", "statement_id"], "left") \
