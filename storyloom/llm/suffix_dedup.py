@@ -202,10 +202,10 @@ def _contents(joined: DataFrame, text_name: str, list_name: str, min_bytes: int)
         for whole in batches:
             for batch in byte_slices(whole, text_name, SLICE_BYTES):
                 raws, lists = batch.column(text_name).cast(pa.binary()), batch.column(list_name).to_pylist()
-                rows = [(e["gram"], e["around"], e["n"], raw[e["first"]:e["last"] + min_bytes]) for raw, own in zip((x.as_py() or b"" for x in raws), lists) for e in own]
+                rows = [(e["gram"], e["around"], e["n"], e["kinds"], raw[e["first"]:e["last"] + min_bytes]) for raw, own in zip((x.as_py() or b"" for x in raws), lists) for e in own]
                 for k in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 2000]), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["gram", "around", "n", "content"])
-    return joined.mapInArrow(run, "gram long, around long, n long, content binary")
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 2000]), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["gram", "around", "n", "kinds", "content"])
+    return joined.mapInArrow(run, "gram long, around long, n long, kinds long, content binary")
 
 
 FOUND = "gram long, around long, run_first long, run_last long"
@@ -275,14 +275,15 @@ def find_repeats(rows: DataFrame, min_bytes: int = MIN_BYTES, q: int = Q, togeth
 
     mixed = shared.where("not same")
     one = mixed.groupBy("gram", "around").agg(F.min(F.struct("doc_key", "first", "last")).alias("e"), F.count(F.lit(1)).alias("n"))
-    listed = one.groupBy(F.col("e.doc_key").alias("list_key")).agg(F.collect_list(F.struct("gram", "around", "n", F.col("e.first").alias("first"), F.col("e.last").alias("last"))).alias("entry_list"))
+    one = one.join(one.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")), "gram")
+    listed = one.groupBy(F.col("e.doc_key").alias("list_key")).agg(F.collect_list(F.struct("gram", "around", "n", "kinds", F.col("e.first").alias("first"), F.col("e.last").alias("last"))).alias("entry_list"))
     contents = _contents(rows.join(listed, F.col(key) == F.col("list_key")), text, "entry_list", min_bytes)
-    sizes = one.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    contents = materialize(contents.join(sizes, "gram"))
+    # Repeated rows (equal ids and texts) give equal contents; one of each leaves its task.
+    contents = materialize(contents.dropDuplicates(["gram", "around"]))
     found = _refine(contents.where(F.col("kinds") <= together), min_bytes, q).unionByName(_refine_spread(contents.where(F.col("kinds") > together), min_bytes))
     spread = mixed.join(found, ["gram", "around"]).select("doc_key", (F.col("first") + F.col("run_first")).alias("first"), (F.col("first") + F.col("run_last")).alias("end"))
     spans = plain.unionByName(spread).select("doc_key", F.struct("first", (F.col("end") + min_bytes).alias("end")).alias("span"))
-    return spans.groupBy("doc_key").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy("doc_key").agg(F.collect_set("span").alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[list[int]]:

@@ -159,6 +159,17 @@ def test_suffix_long_text_in_pieces(spark):
     assert len(far) > 9 << 20 and got[1]["n_removed"] >= 900 and got[1]["n_spans"] == 2 and got[2]["n_bytes"] == 0
 
 
+def test_suffix_repeated_rows_do_not_multiply(spark):
+    shared = prose(40, 900)
+    for copies in (2, 60):
+        rows = [(1, prose(30, 901) + shared + prose(30, 902), "en", "s", 0)] * copies + [(2, prose(25, 903) + shared + prose(25, 904), "en", "s", 0), (3, shared[:90], "en", "s", 0)]
+        docs = awkward(spark, rows)
+        got = suffix_dedup.digest(suffix_dedup.remove_repeats(docs.select("doc_id", "text"), min_bytes=40, q=5)).collect()
+        assert Counter(map(tuple, got)) == brute_removed(rows, 40)
+        spans = suffix_dedup.find_repeats(docs.selectExpr("xxhash64(doc_id, text) AS doc_key", "text"), 40, 5).selectExpr("size(spans) AS n", "size(array_distinct(spans)) AS different").collect()
+        assert all(r.n == r.different for r in spans)
+
+
 def test_suffix_rows_and_columns(spark):
     docs = awkward(spark, repeat_rows(), extra="1 as doc_key;2 as spans;3 as removed;4 as kept;5 as gram")
     out = suffix_dedup.deduplicate(docs)
