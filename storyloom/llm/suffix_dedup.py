@@ -45,6 +45,8 @@ Q = 50  # doubled three times: 50, 100, 200, 400
 SLICE_BYTES = 1 << 20
 #: Different surroundings of one q-gram that may meet in a task.
 TOGETHER = 20_000
+#: A q-gram with more than this part of all rows is joined by broadcast (so there are fewer than FREQUENT of them).
+FREQUENT = 1000
 CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240607)
@@ -259,6 +261,19 @@ def _refine_spread(contents: DataFrame, min_bytes: int) -> DataFrame:
     return starts.join(together, ["gram", "bucket"]).select("gram", "around", F.col("start").alias("run_first"), F.col("start").alias("run_last"))
 
 
+def _with_counts(rows: DataFrame, counts: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` of ``counts`` (gram, n, column; n: the gram's rows), for grams found there.
+
+    Both tables are written ones.  A q-gram that very many rows share would be one task of
+    the join; those are few by their definition, and the others are dealt by gram.
+    """
+    total = rows.count()
+    often = F.col("n") * FREQUENT > total
+    marked = rows.join(F.broadcast(counts.where(often).select("gram", F.col(column).alias("often_"))), "gram", "left")
+    seldom = marked.where("often_ IS NULL").drop("often_").join(counts.where(~often).select("gram", column), "gram")
+    return marked.where("often_ IS NOT NULL").withColumnRenamed("often_", column).unionByName(seldom)
+
+
 def find_repeats(rows: DataFrame, min_bytes: int = MIN_BYTES, q: int = Q, together: int = TOGETHER, key: str = "doc_key", text: str = "text") -> DataFrame:
     """(doc_key, spans): array of (first byte, end byte) covered by repeated strings, unmerged.
 
@@ -268,14 +283,15 @@ def find_repeats(rows: DataFrame, min_bytes: int = MIN_BYTES, q: int = Q, togeth
     """
     narrow = rows.select(F.col(key).alias("doc_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     entries = materialize(_scan(narrow, min_bytes, q))
-    grams = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1")
-    shared = entries.join(grams.select("gram", (F.col("lo") == F.col("hi")).alias("same")), "gram")
-    shared = materialize(shared)
+    grams = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("around") == F.max("around")).alias("same")).where("n > 1")
+    shared = materialize(_with_counts(entries, materialize(grams), "same"))
     plain = shared.where("same").select("doc_key", "first", F.col("last").alias("end"))
 
     mixed = shared.where("not same")
     one = mixed.groupBy("gram", "around").agg(F.min(F.struct("doc_key", "first", "last")).alias("e"), F.count(F.lit(1)).alias("n"))
-    one = one.join(one.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")), "gram")
+    one = materialize(one)
+    kinds = one.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).withColumn("kinds", F.col("n"))
+    one = _with_counts(one, materialize(kinds), "kinds")
     listed = one.groupBy(F.col("e.doc_key").alias("list_key")).agg(F.collect_list(F.struct("gram", "around", "n", "kinds", F.col("e.first").alias("first"), F.col("e.last").alias("last"))).alias("entry_list"))
     contents = _contents(rows.join(listed, F.col(key) == F.col("list_key")), text, "entry_list", min_bytes)
     # Repeated rows (equal ids and texts) give equal contents; one of each leaves its task.
