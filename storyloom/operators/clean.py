@@ -2,7 +2,7 @@
 
 Input is a raw article frame with any subset of the alias columns below (missing ones
 are treated as NULL).  Everything is a single projection + filter, so it fuses into
-the scan stage and the rating predicate reaches Parquet when ratings are stored.
+the scan stage (ratings are read through casts, so the predicate runs behind the scan).
 """
 
 from __future__ import annotations
@@ -53,17 +53,19 @@ def _is_valid() -> Column:
 def clean_articles(raw: DataFrame, min_rating: float = 0.0, keep_raw: bool = False) -> DataFrame:
     """Rating filter (inclusive) + validity gate + normalised article columns.
 
-    Missing ids fall back to a stable hash of the headline (first 16 hex digits of its
-    MD5), so the same article gets the same id on every run.
+    Missing ids fall back to a stable hash of headline, content, date and url (first 16 hex
+    digits of the MD5), so the same article gets the same id on every run and others do not.
     """
     df = with_raw_fields(raw)
     rating = resolve_rating()
     headline_raw = _headline_raw()
     content_raw = F.coalesce(first_truthy(*[F.col(a) for a in CONTENT_ALIASES]), F.lit(""))
-    parsed = parse_date(first_truthy(*[F.col(a) for a in DATE_ALIASES]))
+    date_raw = first_truthy(*[F.col(a) for a in DATE_ALIASES])
+    parsed = parse_date(date_raw)
     source = F.coalesce(truthy(F.col("source")), source_from_url(F.col("url")), F.lit("Unknown"))
+    told = F.concat_ws("\x1f", headline_raw, content_raw, F.coalesce(date_raw, F.lit("")), F.coalesce(F.col("url"), F.lit("")))
     raw_id = truthy(F.col("id").cast("string"))
-    ident = F.coalesce(F.when(raw_id != "0", raw_id), F.substring(F.md5(headline_raw), 1, 16))
+    ident = F.coalesce(F.when(raw_id != "0", raw_id), F.substring(F.md5(told), 1, 16))
     cols = [
         ident.alias("id"),
         py_strip(headline_raw).alias("headline"),
@@ -83,6 +85,11 @@ def clean_articles(raw: DataFrame, min_rating: float = 0.0, keep_raw: bool = Fal
     return df.filter((rating >= F.lit(min_rating)) & _is_valid()).select(*cols)
 
 
+def row_key() -> Column:
+    """Tells cleaned articles with equal ids apart (equal only for rows equal in all columns)."""
+    return F.xxhash64(*[F.col(c) for c in CLEAN_COLUMNS])
+
+
 def load_accounting(raw: DataFrame, min_rating: float = 0.0) -> DataFrame:
     """One row: rows read, rows passing the rating filter, rows kept after the gate."""
     df = with_raw_fields(raw)
@@ -94,7 +101,11 @@ def load_accounting(raw: DataFrame, min_rating: float = 0.0) -> DataFrame:
     )
 
 
+def is_complete() -> Column:
+    """Required-field check: headline and content are non-empty."""
+    return (F.coalesce(F.col("headline"), F.lit("")) != "") & (F.coalesce(F.col("content"), F.lit("")) != "")
+
+
 def split_valid(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Required-field check (headline and content non-empty): ``(valid, quarantine)``."""
-    ok = (F.coalesce(F.col("headline"), F.lit("")) != "") & (F.coalesce(F.col("content"), F.lit("")) != "")
-    return articles.filter(ok), articles.filter(~ok)
+    """``(valid, quarantine)`` by the required-field check."""
+    return articles.filter(is_complete()), articles.filter(~is_complete())

@@ -4,18 +4,20 @@
 * ``normalize``      (V2) native L2 normalisation
 * ``term_vectors``   (V5) exact term-count vectors built inside each row, no shuffle
 * ``check_alignment``(V4) vectors vs. items, both ways, plus dimension check
-* ``embed_with_cache`` (S4) encode only texts whose (model, md5(text)) key is not stored
+* ``embed_with_store`` (S4) encode only texts whose (model, md5(text)) key is not stored
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.functions.vectors import int_sum_squares, l2_normalize, run_lengths, run_starts, tokens
+from storyloom.session import path_exists
 
 # Default encoder batch size and the character cut applied before a
 # pretrained encoder (its input window).
@@ -47,8 +49,8 @@ def normalize(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
 
 
 def term_vectors(df: DataFrame, id_col: str = "id", text_col: str = "full_text",
-                 max_chars: int | None = None) -> DataFrame:
-    """``(id, terms, tf, sumsq)``: distinct sorted terms, their counts and sum of squares.
+                 max_chars: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """``(id, *carry, terms, tf, sumsq)``: distinct sorted terms, their counts and sum of squares.
 
     The whole text is used unless ``max_chars`` asks for an encoder-style cut.  The
     vector is built inside the row, so this is a narrow (map-only) transformation.
@@ -57,10 +59,10 @@ def term_vectors(df: DataFrame, id_col: str = "id", text_col: str = "full_text",
     if max_chars is not None:
         text = F.substring(text, 1, max_chars)
     # Each step is its own projection so later lambdas read materialised arrays.
-    sorted_tokens = df.select(F.col(id_col).alias("id"), F.sort_array(tokens(text)).alias("_s"))
-    with_starts = sorted_tokens.select("id", "_s", run_starts("_s").alias("_st"))
+    sorted_tokens = df.select(F.col(id_col).alias("id"), *carry, F.sort_array(tokens(text)).alias("_s"))
+    with_starts = sorted_tokens.select("id", *carry, "_s", run_starts("_s").alias("_st"))
     return (with_starts
-            .select("id", F.transform("_st", lambda i: F.element_at(F.col("_s"), i)).alias("terms"),
+            .select("id", *carry, F.transform("_st", lambda i: F.element_at(F.col("_s"), i)).alias("terms"),
                     run_lengths("_st", F.size("_s")).alias("tf"))
             .withColumn("sumsq", int_sum_squares(F.col("tf"))))
 
@@ -86,20 +88,22 @@ def text_key(text_col: str, model: str) -> F.Column:
     return F.md5(F.concat_ws("|", F.lit(model), F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def embed_with_cache(items: DataFrame, cache: DataFrame | None, model: str,
-                     embed: Callable[[DataFrame], DataFrame], id_col: str = "id",
-                     text_col: str = "full_text") -> tuple[DataFrame, DataFrame]:
-    """Encode each distinct text once and reuse stored vectors.
+def embed_with_store(items: DataFrame, folder: str, model: str, embed: Callable[[DataFrame], DataFrame],
+                     text_col: str = "full_text", rebuild: bool = False) -> DataFrame:
+    """Encode each distinct text once, store its vector and read stored vectors back.
 
-    ``cache`` holds ``(key, <vector columns>)`` rows keyed by md5 of model and text
-    (NULL = empty).  ``embed(df_with_key_and_text)`` must return ``key`` plus the vector
-    columns.  Returns ``(items with vectors, new cache rows to append)``; rerunning with
-    the appended cache computes nothing new.
+    ``folder`` is a Parquet table of ``(key, <vector columns>, written_by)``, keyed by md5
+    of model and text (NULL = empty).  ``embed(df_with_key_and_text)`` must return ``key``
+    plus the vector columns.  Returns the items with key, vector columns and fresh (encoded
+    by this call); a repeated call encodes nothing.  ``rebuild`` replaces the table.
     """
+    spark = items.sparkSession
     keyed = items.withColumn("key", text_key(text_col, model))
-    distinct_texts = keyed.select("key", F.col(text_col)).dropDuplicates(["key"])
-    todo = distinct_texts if cache is None else distinct_texts.join(cache.select("key"), "key", "left_anti")
-    fresh = embed(todo)
-    stored = fresh if cache is None else cache.unionByName(fresh)
-    out = keyed.join(stored, "key", "inner")
-    return out, fresh
+    todo = keyed.select("key", F.col(text_col)).dropDuplicates(["key"])
+    stored = not rebuild and path_exists(spark, folder)
+    if stored:
+        todo = todo.join(spark.read.parquet(folder).select("key"), "key", "left_anti")
+    call = uuid.uuid4().hex
+    embed(todo).withColumn("written_by", F.lit(call)).write.mode("append" if stored else "overwrite").parquet(folder)
+    out = keyed.join(spark.read.parquet(folder), "key")
+    return out.withColumn("fresh", F.col("written_by") == call).drop("written_by")

@@ -4,19 +4,25 @@ Exact dense search scores every (query, vector) pair next to the vectors with th
 query table broadcast (its size is checked first); ``row_number() <= k`` per query is
 planned by Catalyst as a partial per-task limit followed by a final one, so only k rows
 per query and task are shuffled.  Partitioned (inverted-file) search replaces the
-product by an equi-join on list id.  Text search is a sparse product: an equi-join on
-term against the broadcast topic terms, summed per (document, topic) inside the
-partition that holds the document.
+product by an equi-join on list id.  Text search is a sparse product in Arrow batches,
+next to the documents, with a top-k per task.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions.vectors import dot, l2_normalize, let
+from storyloom.session import path_exists
 
 # Fixed value: the default number of lists probed.
 DEFAULT_NPROBE = 10
@@ -25,6 +31,13 @@ MAX_BROADCAST_ROWS = 20_000
 # Largest centroid table of a partitioned index (nlist = sqrt(n) stays below it up to
 # about 6.9e10 vectors); every query and vector is compared with all centroids.
 MAX_CENTROIDS = 262_144
+# Topics of a text search sent to the tasks in one piece.
+MAX_TOPIC_TERMS = 500_000
+MAX_TOPICS = 5_000
+# Scores of a text search computed at once.
+CELLS = 1 << 20
+# A top-k is merged in this many groups of tasks before the last merge.
+MERGE_GROUPS = 64
 
 
 def _checked_centroids(centroids: DataFrame) -> DataFrame:
@@ -50,10 +63,16 @@ def _blocks(queries: DataFrame, q_id: str, n: int, max_rows: int) -> list[DataFr
 
 
 def rank_topk(scored: DataFrame, k: int, q_id: str = "topic_id", c_id: str = "id",
-              score: str = "similarity_score") -> DataFrame:
-    """Keep the k best rows per query: score descending, then id ascending; 1-based rank."""
-    w = Window.partitionBy(q_id).orderBy(F.col(score).desc(), F.col(c_id).asc())
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+              score: str = "similarity_score", ties: Sequence[str] = ()) -> DataFrame:
+    """Keep the k best rows per query: score descending, then id and ``ties`` ascending; 1-based rank.
+
+    Merged in two steps, groups of tasks first, so that no task gets k rows of every task.
+    """
+    order = [F.col(score).desc(), F.col(c_id).asc(), *(F.col(c).asc() for c in ties)]
+    group = Window.partitionBy(q_id, "task_group").orderBy(*order)
+    best = scored.withColumn("task_group", F.spark_partition_id() % MERGE_GROUPS)
+    best = best.withColumn("rank", F.row_number().over(group)).filter(F.col("rank") <= k).drop("task_group", "rank")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(q_id).orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "topic_id",
@@ -186,36 +205,99 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, mode: str = "flat",
     return ivf_topk(queries, assigned, cents, k, nprobe=nprobe, **kw)
 
 
-def text_topk(topic_tv: DataFrame, doc_tv: DataFrame, k: int, partitions: int | None = None,
-              max_broadcast: int = 2_000_000) -> DataFrame:
-    """Cosine top-k of term vectors: ``(topic_id, rank, id, similarity_score)``.
+def _block_scorer(topics: pa.Table, k: int, keys: list[str]) -> Callable:
+    """Function over Arrow batches of document vectors: the task's ``k`` best rows of each topic.
+
+    The topics' terms form an inverted index, so a slice of documents is scored by one
+    gather and one weighted count; only ``k`` rows per topic are held between slices.
+    """
+    cells, n_topics = CELLS, topics.num_rows
+
+    def ranked(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("topic", "ascending"), ("similarity_score", "descending"), *((c, "ascending") for c in keys)])
+        topic = table["topic"].to_numpy()
+        return table.filter(pa.array(np.arange(len(topic)) - np.searchsorted(topic, topic) < k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.concat_arrays(topics["terms"].chunks)
+        words, t_tf = lists.flatten(), pa.concat_arrays(topics["tf"].chunks).flatten().to_numpy(zero_copy_only=False)
+        vocabulary = pc.unique(words)
+        code = pc.index_in(words, vocabulary).to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        post_topic = np.repeat(np.arange(n_topics), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[order]
+        post_tf = t_tf[order].astype(float)
+        begin = np.searchsorted(code[order], np.arange(len(vocabulary) + 1))
+        t_sumsq = topics["sumsq"].to_numpy().astype(float)
+        floor = np.full(n_topics, -np.inf)
+        held: list[pa.Table] = []
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch, [(c, "ascending") for c in keys]))
+            n, lists = batch.num_rows, batch.column("terms")
+            row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            code = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False)
+            tf = batch.column("tf").flatten().to_numpy(zero_copy_only=False)
+            known = code >= 0
+            row, code, tf = row[known], code[known], tf[known].astype(float)
+            many = begin[code + 1] - begin[code]
+            d_sumsq = batch.column("sumsq").to_numpy(zero_copy_only=False).astype(float)
+            work = np.cumsum(np.maximum(n_topics, np.bincount(row, many, n)))
+            borders = [0, *(np.flatnonzero(np.diff(work // cells)) + 1).tolist(), n]
+            for lo, hi in zip(borders, borders[1:]):
+                a, z = np.searchsorted(row, [lo, hi])
+                m, width = many[a:z], hi - lo
+                at = np.arange(m.sum()) + np.repeat(begin[code[a:z]] - (np.cumsum(m) - m), m)
+                cell = post_topic[at] * width + np.repeat(row[a:z] - lo, m)
+                dots = np.bincount(cell, np.repeat(tf[a:z], m) * post_tf[at], n_topics * width).reshape(n_topics, width)
+                norm = np.sqrt(np.outer(t_sumsq, d_sumsq[lo:hi]))
+                score = np.divide(dots, norm, out=np.zeros(dots.shape), where=norm > 0)
+                open_ = np.flatnonzero((score >= floor[:, None]).any(axis=1))
+                best = np.argsort(-score[open_], axis=1, kind="stable")[:, :k]
+                top = np.take_along_axis(score[open_], best, 1)
+                keep = top >= floor[open_][:, None]
+                found = {"topic": np.broadcast_to(open_[:, None], best.shape)[keep], "similarity_score": top[keep]}
+                place = pa.array(best[keep] + lo)
+                held.append(pa.table(found | {c: batch.column(c).take(place) for c in keys}))
+                if sum(t.num_rows for t in held) >= 2 * n_topics * k:
+                    held = [ranked(pa.concat_tables(held))]
+                    count = np.bincount(held[0]["topic"].to_numpy(), minlength=n_topics)
+                    last = np.cumsum(count) - 1
+                    floor = np.where(count >= k, held[0]["similarity_score"].to_numpy()[np.maximum(last, 0)], -np.inf)
+        if held:
+            out = ranked(pa.concat_tables(held))
+            ids = pa.concat_arrays(topics["topic_id"].chunks).take(pa.concat_arrays(out["topic"].chunks))
+            yield from out.drop_columns("topic").add_column(0, "topic_id", ids).select(["topic_id", *keys, "similarity_score"]).to_batches()
+
+    return run
+
+
+def text_topk(topic_tv: DataFrame, doc_tv: DataFrame, k: int, carry: Sequence[str] = (),
+              max_terms: int = MAX_TOPIC_TERMS, max_topics: int = MAX_TOPICS) -> DataFrame:
+    """Cosine top-k of term vectors: ``(topic_id, rank, id, *carry, similarity_score)``.
 
     Both inputs come from ``term_vectors`` (topics with their id renamed ``topic_id``).
-    Documents are hash-partitioned by id once; exploding their terms, the broadcast
-    join on term and the per-(document, topic) sum then all stay inside that
-    partitioning, and only k rows per topic and task leave it.  Dot products and norms
-    are exact integers, so equal texts get bit-identical scores.  Documents sharing no
-    term with a topic score 0 and are not returned.
+    Documents are scored where they were read, a batch at a time, against the topics'
+    inverted index; ``k`` rows per topic and task leave it, so the corpus is not shuffled.
+    The index goes to the tasks whole; topics beyond ``max_terms`` terms or ``max_topics``
+    rows are dealt into blocks by hash, one pass over the documents each.  Dot products
+    and norms are exact integers, so equal texts get bit-identical scores.
+
+    Every topic gets ``min(k, n)`` hits: documents without a shared term score 0 and fill
+    up by id.  Ties go by id, then by the ``carry`` columns of ``doc_tv`` (kept in the
+    hits, to tell rows with equal ids apart); rows equal in all of them are separate hits.
     """
-    t = topic_tv.select("topic_id", F.col("sumsq").alias("t_sumsq"),
-                        F.explode(F.arrays_zip("terms", "tf")).alias("e"))
-    t = t.select("topic_id", "t_sumsq", F.col("e.terms").alias("term"), F.col("e.tf").alias("ttf"))
-    n_rows = t.count()
-    d = doc_tv if partitions is None else doc_tv.repartition(partitions, "id")
-    if partitions is None:
-        d = d.repartition("id")
-    d = d.select("id", "sumsq", F.explode(F.arrays_zip("terms", "tf")).alias("e"))
-    d = d.select("id", "sumsq", F.col("e.terms").alias("term"), F.col("e.tf").alias("dtf"))
-    # Topic terms are broadcast in blocks that each stay under ``max_broadcast`` rows
-    # (one block in the usual case), so the document side is never shuffled by term.
+    keys = ["id", *carry]
+    size = topic_tv.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
+    blocks = max(1, math.ceil(size["terms"] / max_terms), math.ceil(size["n"] / max_topics))
+    field = {f.name: f for f in [*doc_tv.schema.fields, *topic_tv.schema.fields]}
+    schema = T.StructType([*(T.StructField(c, field[c].dataType) for c in ["topic_id", *keys]), T.StructField("similarity_score", T.DoubleType())])
+    docs = doc_tv.select(*keys, "terms", "tf", "sumsq")
     scored = None
-    for block in _blocks(t, "topic_id", n_rows, max_broadcast):
-        dots = (d.join(block, "term")
-                 .groupBy("id", "sumsq", "topic_id", "t_sumsq")
-                 .agg(F.sum(F.col("dtf").cast("long") * F.col("ttf").cast("long")).alias("dot")))
-        part = dots.select("topic_id", "id", (F.col("dot") / F.sqrt(F.col("sumsq").cast("double") * F.col("t_sumsq").cast("double"))).alias("similarity_score"))
+    for b in range(blocks):
+        some = topic_tv if blocks == 1 else topic_tv.where(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == b)
+        topics = some.select("topic_id", "terms", "tf", "sumsq").toArrow()
+        part = docs.mapInArrow(_block_scorer(topics, k, keys), schema) if topics.num_rows else docs.sparkSession.createDataFrame([], schema)
         scored = part if scored is None else scored.unionByName(part)
-    return rank_topk(scored, k).select("topic_id", "rank", "id", "similarity_score")
+    return rank_topk(scored, k, ties=carry).select("topic_id", "rank", *keys, "similarity_score")
 
 
 def attach(hits: DataFrame, items: DataFrame, on: str = "id") -> DataFrame:
@@ -228,19 +310,27 @@ def min_score(hits: DataFrame, threshold: float | None = None) -> DataFrame:
     return hits if threshold is None else hits.filter(F.col("similarity_score") >= threshold)
 
 
-def cached_search(queries: DataFrame, store: DataFrame | None, run: callable, k: int,
-                  model: str, version: str, q_id: str = "topic_id", q_text: str = "topic") -> tuple[DataFrame, DataFrame]:
-    """Answer reuse (T8): key = md5 of query text, k, model and corpus version.
+def cached_search(queries: DataFrame, folder: str, run: Callable[[DataFrame], DataFrame], k: int, model: str,
+                  version: str, q_id: str = "topic_id", q_text: str = "topic", rebuild: bool = False) -> DataFrame:
+    """Answer reuse (T8): ``(q_id, key, rank, id, similarity_score, fresh)`` of all queries.
 
-    Only queries whose key is not in ``store`` (``key, rank, id, similarity_score``)
-    are searched, each distinct key once; returns ``(hits for all queries, new store
-    rows)``.  ``run(df)`` takes ``(key, <query columns>)`` rows and returns hits keyed
-    by ``key``.
+    key = md5 of query text, k, model and corpus version.  ``folder`` is a Parquet table
+    with a row per answered key and its hits (an empty list is an answer, too).  Keys it
+    lacks are searched, each once, and appended in one write; all answers are read back
+    from it.  ``run(df)`` takes ``(key, <query columns>)`` rows and returns hits keyed by
+    ``key``; it is not called when every key is there.  ``rebuild`` replaces the table.
     """
+    spark = queries.sparkSession
     keyed = queries.withColumn("key", F.md5(F.concat_ws("|", F.col(q_text), F.lit(str(k)), F.lit(model), F.lit(version))))
     todo = keyed.dropDuplicates(["key"])
-    if store is not None:
-        todo = todo.join(store.select("key").distinct(), "key", "left_anti")
-    fresh = run(todo)
-    answers = fresh if store is None else store.unionByName(fresh)
-    return keyed.select(q_id, "key").join(answers, "key"), fresh
+    stored = not rebuild and path_exists(spark, folder)
+    if stored:
+        todo = todo.join(spark.read.parquet(folder).select("key"), "key", "left_anti")
+    todo = todo.checkpoint()
+    call = uuid.uuid4().hex
+    if not stored or not todo.isEmpty():
+        hits = run(todo).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "similarity_score"))).alias("hits"))
+        rows = todo.select("key").join(hits, "key", "left").withColumn("written_by", F.lit(call))
+        rows.write.mode("append" if stored else "overwrite").parquet(folder)
+    answers = keyed.select(q_id, "key").join(spark.read.parquet(folder), "key")
+    return answers.select(q_id, "key", F.inline("hits"), (F.col("written_by") == call).alias("fresh"))

@@ -40,15 +40,24 @@ MODE_HEURISTIC = "heuristic"
 
 
 def topic_articles(hits: DataFrame, articles: DataFrame) -> DataFrame:
-    """J1 + W1: hits joined to article fields, with chronological ``pos`` (1-based)."""
+    """J1 + W1: hits joined to article fields, with chronological ``pos`` (1-based).
+
+    One row per hit.  Hits with ``row_key`` (see ``clean.row_key``) find their own article
+    among those with equal ids; of articles equal in all columns a hit takes one.
+    """
+    from storyloom.operators.clean import row_key
+    from storyloom.operators.search import checked_broadcast
+
     cols = ["id", "headline", "full_text", "date", "url", "source", "source_rating"]
+    on = ["id", "row_key"] if "row_key" in hits.columns else ["id"]
+    own = [row_key().alias("row_key")] if "row_key" in hits.columns else []
     # The hit list holds at most k rows per topic; it is broadcast after a size check,
     # so the article table is only scanned, never shuffled, for this join.
-    from storyloom.operators.search import checked_broadcast
     small_hits, _ = checked_broadcast(hits, 2_000_000)
-    ta = articles.select(*cols).join(small_hits, "id", "inner")
+    ta = articles.select(*cols, *own).join(small_hits, on, "inner").drop("row_key")
     w = Window.partitionBy("topic_id").orderBy(F.col("date").asc(), F.col("rank").asc())
-    return ta.withColumn("pos", F.row_number().over(w))
+    ta = ta.select("*", F.dense_rank().over(w).alias("pos"), F.lag("rank").over(w).eqNullSafe(F.col("rank")).alias("repeat"))
+    return ta.where("not repeat").drop("repeat")
 
 
 def _lower_words(headline: Column) -> Column:

@@ -42,7 +42,7 @@ dparts AS (
 
 ARTICLES = r"""
 articles AS (
-  SELECT coalesce(CASE WHEN nullif(id, '') <> '0' THEN nullif(id, '') END, substr(md5(coalesce(nullif(title, ''), '')), 1, 16)) AS id,
+  SELECT coalesce(CASE WHEN nullif(id, '') <> '0' THEN nullif(id, '') END, substr(md5(coalesce(title, '') || chr(31) || coalesce(content, '') || chr(31) || coalesce(published_at, '') || chr(31)), 1, 16)) AS id,
          regexp_replace(coalesce(nullif(title, ''), ''), '^\s+|\s+$', '', 'g') AS headline,
          regexp_replace(coalesce(nullif(content, ''), ''), '^\s+|\s+$', '', 'g') AS content,
          regexp_replace(coalesce(nullif(title, ''), '') || '. ' || coalesce(nullif(content, ''), ''), '^\s+|\s+$', '', 'g') AS full_text,
@@ -137,8 +137,10 @@ ttok AS (SELECT item_id AS topic_id, unnest(regexp_extract_all(lower(text), '[\p
 ttf AS (SELECT topic_id, term, count(*) AS tf FROM ttok GROUP BY topic_id, term),
 tn AS (SELECT topic_id, sum(tf * tf) AS ss FROM ttf GROUP BY topic_id),
 dots AS (SELECT t.topic_id, d.id, sum(d.tf * t.tf) AS dot FROM dtf d JOIN ttf t ON d.term = t.term GROUP BY t.topic_id, d.id),
-scored AS (SELECT x.topic_id, x.id, CAST(x.dot AS DOUBLE) / sqrt(CAST(dn.ss AS DOUBLE) * CAST(tn.ss AS DOUBLE)) AS similarity_score
-           FROM dots x JOIN dn ON dn.id = x.id JOIN tn ON tn.topic_id = x.topic_id),
+scored AS (SELECT b.item_id AS topic_id, a.id,
+                  coalesce(CAST(x.dot AS DOUBLE) / sqrt(CAST(dn.ss AS DOUBLE) * CAST(tn.ss AS DOUBLE)), 0.0) AS similarity_score
+           FROM benchmark b CROSS JOIN articles a LEFT JOIN dots x ON x.topic_id = b.item_id AND x.id = a.id
+           LEFT JOIN dn ON dn.id = a.id LEFT JOIN tn ON tn.topic_id = b.item_id),
 hits AS (SELECT topic_id, id, similarity_score,
                 row_number() OVER (PARTITION BY topic_id ORDER BY similarity_score DESC, id ASC) AS rank
          FROM scored QUALIFY rank <= {k}),

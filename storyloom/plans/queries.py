@@ -7,6 +7,7 @@ matching statement in ``plans.oracle``; scores are rounded to 6 decimals.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,12 +70,12 @@ def story_inputs(spark: SparkSession, sf_dir: str, k: int = P.STORY_K, with_arti
 
     arts = articles(spark, sf_dir)
     tps = testbed.topics(spark, sf_dir)
-    doc_tv = embed.term_vectors(arts, "id", "full_text")
+    doc_tv = embed.term_vectors(arts.withColumn("row_key", clean.row_key()), "id", "full_text", carry=["row_key"])
     topic_tv = embed.term_vectors(tps, "topic_id", "topic").withColumnRenamed("id", "topic_id")
     # The hit list feeds many branches (replies, grounding, contexts, storylines); it is
     # written once to the checkpoint folder so each branch reads k rows per topic
     # instead of re-running the search.
-    hits = search.text_topk(topic_tv, doc_tv, k).checkpoint()
+    hits = search.text_topk(topic_tv, doc_tv, k, carry=["row_key"]).checkpoint()
     # Topic articles (k rows per topic) are read by a dozen storyline branches; one
     # article scan fills them, the branches read the checkpoint.
     ta = storyline.topic_articles(hits, arts).checkpoint() if with_articles else None
@@ -355,24 +356,24 @@ def q_endpoint_chunks(spark, sf_dir):
                      F.col("metadata.url").alias("url"))
 
 
-def _term_embed(round_no: int):
+def _term_embed(todo: DataFrame) -> DataFrame:
     from storyloom.operators import embed
+    return embed.term_vectors(todo, "key", "full_text").withColumnRenamed("id", "key")
 
-    def run(todo: DataFrame) -> DataFrame:
-        tv = embed.term_vectors(todo, "key", "full_text")
-        return tv.select(F.col("id").alias("key"), "terms", "tf", "sumsq", F.lit(round_no).alias("round"))
-    return run
+
+def _store(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def q_incremental_embed(spark, sf_dir):
     """Two loads: January articles first, then every article; the second load encodes
     only texts whose (model, text) key is not stored yet, and duplicate texts once."""
     from storyloom.operators import embed
+    folder = _store(spark, "vectors")
     arts = articles(spark, sf_dir).select("id", "full_text", "date")
-    first = arts.filter(F.substring("date", 1, 7) == "2024-01")
-    _, cache1 = embed.embed_with_cache(first, None, P.MODEL_NAME, _term_embed(1))
-    out, _ = embed.embed_with_cache(arts, cache1, P.MODEL_NAME, _term_embed(2))
-    return out.select("id", "key", F.size("terms").alias("n_terms"), "sumsq", "round")
+    embed.embed_with_store(arts.filter(F.substring("date", 1, 7) == "2024-01"), folder, P.MODEL_NAME, _term_embed)
+    out = embed.embed_with_store(arts, folder, P.MODEL_NAME, _term_embed)
+    return out.select("id", "key", F.size("terms").alias("n_terms"), "sumsq", F.when(F.col("fresh"), 2).otherwise(1).alias("round"))
 
 
 def q_answer_reuse(spark, sf_dir):
@@ -388,13 +389,12 @@ def q_answer_reuse(spark, sf_dir):
         h = search.text_topk(tv, doc_tv, P.DOC_SEARCH_K)
         return h.select(F.col("topic_id").alias("key"), "rank", "id", "similarity_score")
 
+    folder = _store(spark, "answers")
     tps = testbed.topics(spark, sf_dir)
     first = tps.filter(F.upper(F.substring("topic", 1, 1)).between("A", "M"))
-    _, store = search.cached_search(first, None, run, P.DOC_SEARCH_K, P.MODEL_NAME, P.CORPUS_VERSION)
-    store = store.withColumn("served_from", F.lit("store"))
-    answers, _ = search.cached_search(tps, store, lambda d: run(d).withColumn("served_from", F.lit("fresh")),
-                                      P.DOC_SEARCH_K, P.MODEL_NAME, P.CORPUS_VERSION)
-    return answers.select("topic_id", "key", "rank", "id", _round(), "served_from")
+    search.cached_search(first, folder, run, P.DOC_SEARCH_K, P.MODEL_NAME, P.CORPUS_VERSION)
+    answers = search.cached_search(tps, folder, run, P.DOC_SEARCH_K, P.MODEL_NAME, P.CORPUS_VERSION)
+    return answers.select("topic_id", "key", "rank", "id", _round(), F.when(F.col("fresh"), "fresh").otherwise("store").alias("served_from"))
 
 
 def q_vector_stats(spark, sf_dir):
@@ -408,8 +408,8 @@ def q_vector_stats(spark, sf_dir):
 
 def q_article_validation(spark, sf_dir):
     """Articles with both headline and content vs. the quarantine."""
-    valid, bad = clean.split_valid(articles(spark, sf_dir))
-    return valid.agg(F.count(F.lit(1)).alias("valid")).crossJoin(bad.agg(F.count(F.lit(1)).alias("quarantined")))
+    ok = clean.is_complete()
+    return articles(spark, sf_dir).agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("quarantined"))
 
 
 queries_batch4 = {

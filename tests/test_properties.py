@@ -31,7 +31,7 @@ def test_text_topk_independent_of_partitioning(spark):
     results = []
     for parts in (1, 3, 11):
         docs = spark.createDataFrame(rows, "id string, full_text string").repartition(parts)
-        hits = search.text_topk(ttv, embed.term_vectors(docs, "id", "full_text"), 7, partitions=parts)
+        hits = search.text_topk(ttv, embed.term_vectors(docs, "id", "full_text"), 7)
         results.append(sorted(tuple(r) for r in hits.collect()))
     assert results[0] == results[1] == results[2]
     per_topic = {}

@@ -79,8 +79,7 @@ def test_text_topk_matches_bruteforce(spark):
         scores = []
         for i, c in dc.items():
             dot = sum(c[w] * tc[w] for w in tc)
-            if dot:
-                scores.append((-(dot / math.sqrt(sum(v * v for v in c.values()) * sum(v * v for v in tc.values()))), i))
+            scores.append((-(dot / math.sqrt(sum(v * v for v in c.values()) * sum(v * v for v in tc.values()))), i))
         want = [i for _, i in sorted(scores)[:8]]
         assert [i for _, i, _ in sorted(got[t])] == want
     # term vectors are exact counts
@@ -88,35 +87,44 @@ def test_text_topk_matches_bruteforce(spark):
     assert tv["5"] == dict(dc["5"])
 
 
-def test_answer_reuse_computes_only_new_keys(spark):
-    q = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "a b")], "topic_id long, topic string")
+def test_answer_reuse_computes_only_new_keys(spark, tmp_path):
+    q = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "a b"), (4, "none")], "topic_id long, topic string")
     calls = []
 
     def run(todo):
-        calls.append(todo.count())
-        return todo.select("key", F.lit(1).alias("rank"), F.lit("x").alias("id"), F.lit(1.0).alias("similarity_score"))
-
-    first = q.filter("topic_id = 1")
-    _, store = search.cached_search(first, None, run, 5, "m", "v1")
-    store = store.cache()
-    out, fresh = search.cached_search(q, store, run, 5, "m", "v1")
-    assert out.count() == 3 and fresh.count() == 1
-
-
-def test_alignment_and_cache(spark):
+        calls.append(sorted(r.topic for r in todo.collect()))
+        found = todo.where("topic <> 'none'")
+        return found.select("key", F.lit(1).alias("rank"), F.lit("x").alias("id"), F.lit(1.0).alias("similarity_score"))
+
+    folder = str(tmp_path / "answers")
+    search.cached_search(q.filter("topic_id in (1, 4)"), folder, run, 5, "m", "v1")
+    out = {r.topic_id: r.fresh for r in search.cached_search(q, folder, run, 5, "m", "v1").collect()}
+    assert out == {1: False, 2: True, 3: False}
+    again = search.cached_search(q, folder, run, 5, "m", "v1").collect()
+    # The empty answer is remembered, and nothing is searched a second time.
+    assert calls == [["a b", "none"], ["c d"]] and not any(r.fresh for r in again)
+    assert search.cached_search(q, folder, run, 5, "m", "v1", rebuild=True).where("fresh").count() == 3
+    assert len(calls) == 3
+
+
+def test_alignment_and_store(spark, tmp_path):
     v = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.3]), (5, [0.0, 1.0])], "id long, embedding array<double>")
     items = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     a = embed.check_alignment(v, items, 2).collect()[0]
     assert (a.items_without_vector, a.vectors_without_item, a.bad_dimension) == (1, 1, 1)
     arts = spark.createDataFrame([("1", "same text"), ("2", "same text"), ("3", "other")], "id string, full_text string")
     enc = lambda d: embed.term_vectors(d, "key", "full_text").withColumnRenamed("id", "key")
-    out, fresh = embed.embed_with_cache(arts, None, "m", enc)
-    assert out.count() == 3 and fresh.count() == 2
-    out2, fresh2 = embed.embed_with_cache(arts, fresh, "m", enc)
-    assert out2.count() == 3 and fresh2.count() == 0
+    folder = str(tmp_path / "vectors")
+    out = embed.embed_with_store(arts.where("id = '1'"), folder, "m", enc)
+    assert [r.fresh for r in out.collect()] == [True]
+    out = {r.id: r.fresh for r in embed.embed_with_store(arts, folder, "m", enc).collect()}
+    assert out == {"1": False, "2": False, "3": True}
+    assert not any(r.fresh for r in embed.embed_with_store(arts, folder, "m", enc).collect())
+    assert spark.read.parquet(folder).count() == 2
+    assert all(r.fresh for r in embed.embed_with_store(arts, folder, "m", enc, rebuild=True).collect())
 
 
-def test_text_topk_blocked_broadcast_is_identical(spark):
+def test_text_topk_in_blocks_is_identical(spark):
     rnd = random.Random(9)
     vocab = ["red", "green", "blue", "cyan", "teal", "gold", "grey"]
     docs = spark.createDataFrame([(str(i), " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 12)))) for i in range(60)],
@@ -125,5 +133,34 @@ def test_text_topk_blocked_broadcast_is_identical(spark):
     dtv = embed.term_vectors(docs, "id", "full_text")
     ttv = embed.term_vectors(tps, "topic_id", "topic").withColumnRenamed("id", "topic_id")
     one = {tuple(r) for r in search.text_topk(ttv, dtv, 5).collect()}
-    many = {tuple(r) for r in search.text_topk(ttv, dtv, 5, max_broadcast=8).collect()}
-    assert one == many and len(one) > 0
+    many = {tuple(r) for r in search.text_topk(ttv, dtv, 5, max_terms=8, max_topics=4).collect()}
+    assert one == many and len(one) == 15 * 5
+
+
+def test_text_topk_fills_up_and_keeps_equal_ids_apart(spark):
+    docs = spark.createDataFrame([("a", 1, "red"), ("a", 2, "red green"), ("b", 1, ""), ("c", 1, "red"), ("c", 1, "red")], "id string, n long, full_text string")
+    tps = spark.createDataFrame([(1, "red"), (2, "blue"), (3, "")], "topic_id long, topic string")
+    dtv = embed.term_vectors(docs, "id", "full_text", carry=["n"])
+    ttv = embed.term_vectors(tps, "topic_id", "topic").withColumnRenamed("id", "topic_id")
+    got = {}
+    for r in search.text_topk(ttv, dtv, 9, carry=["n"]).orderBy("topic_id", "rank").collect():
+        got.setdefault(r.topic_id, []).append((r.id, r.n, round(r.similarity_score, 4)))
+    assert got[1] == [("a", 1, 1.0), ("c", 1, 1.0), ("c", 1, 1.0), ("a", 2, 0.7071), ("b", 1, 0.0)]
+    zeros = [("a", 1, 0.0), ("a", 2, 0.0), ("b", 1, 0.0), ("c", 1, 0.0), ("c", 1, 0.0)]
+    assert got[2] == zeros and got[3] == zeros
+    assert search.text_topk(ttv, dtv.limit(0), 9).count() == 0
+    assert search.text_topk(ttv.limit(0), dtv, 9).count() == 0
+
+
+def test_equal_ids_keep_their_own_articles(spark):
+    from storyloom.operators import clean, storyline
+    raw = spark.createDataFrame([("7", "Red metro line opens", "one"), ("7", "Red metro line closes", "two"), (None, "Red metro line opens", "three"),
+                                 (None, "Red metro line opens", "four"), ("7", "Red metro line opens", "one")], "id string, title string, content string")
+    arts = clean.clean_articles(raw)
+    dtv = embed.term_vectors(arts.withColumn("row_key", clean.row_key()), "id", "full_text", carry=["row_key"])
+    tps = spark.createDataFrame([(1, "red metro one")], "topic_id long, topic string")
+    ttv = embed.term_vectors(tps, "topic_id", "topic").withColumnRenamed("id", "topic_id")
+    ta = storyline.topic_articles(search.text_topk(ttv, dtv, 10, carry=["row_key"]), arts).collect()
+    assert sorted(r.rank for r in ta) == [1, 2, 3, 4, 5] and sorted(r.pos for r in ta) == [1, 2, 3, 4, 5]
+    assert sorted(r.full_text.split()[-1] for r in ta) == ["four", "one", "one", "three", "two"]
+    assert all(r.similarity_score <= 1 for r in ta) and len({r.id for r in ta}) == 3
