@@ -43,28 +43,3 @@ TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 def tokens(text: Column) -> Column:
     """Lower-cased letter/digit tokens of a text, in order, duplicates kept."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
-
-
-def run_starts(sorted_col: str) -> Column:
-    """1-based positions where a new run of equal values starts in a sorted array column.
-
-    Takes a column *name*: the array must already be materialised so the lambda reads
-    it instead of re-evaluating the sort for every element.
-    """
-    s = F.col(sorted_col)
-    n = F.size(s)
-    return F.when(n > 0, F.filter(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))),
-    )).otherwise(F.array().cast("array<int>"))
-
-
-def run_lengths(starts_col: str, total: Column) -> Column:
-    """Length of every run, from the run starts (a materialised column) and total size."""
-    st = F.col(starts_col)
-    return F.transform(st, lambda i, j: F.when(j + 1 < F.size(st), F.element_at(st, j + 2)).otherwise(total + 1) - i)
-
-
-def int_sum_squares(v: Column) -> Column:
-    """Exact sum of squares of an integer array (BIGINT)."""
-    return F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long") * x.cast("long"))

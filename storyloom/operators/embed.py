@@ -2,7 +2,7 @@
 
 * ``encode``         (V1/V3) caller-supplied batch encoder run with ``predict_batch_udf``
 * ``normalize``      (V2) native L2 normalisation
-* ``term_vectors``   (V5) exact term-count vectors built inside each row, no shuffle
+* ``term_vectors``   (V5) exact term-count vectors, counted in Arrow batches, no shuffle
 * ``check_alignment``(V4) vectors vs. items, both ways, plus dimension check
 * ``embed_with_store`` (S4) encode only texts whose (model, md5(text)) key is not stored
 """
@@ -10,13 +10,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.functions.vectors import int_sum_squares, l2_normalize, run_lengths, run_starts, tokens
+from storyloom.functions.vectors import l2_normalize, tokens
 from storyloom.session import path_exists
 
 # Default encoder batch size and the character cut applied before a
@@ -52,19 +55,35 @@ def term_vectors(df: DataFrame, id_col: str = "id", text_col: str = "full_text",
                  max_chars: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """``(id, *carry, terms, tf, sumsq)``: distinct sorted terms, their counts and sum of squares.
 
-    The whole text is used unless ``max_chars`` asks for an encoder-style cut.  The
-    vector is built inside the row, so this is a narrow (map-only) transformation.
+    The whole text is used unless ``max_chars`` asks for an encoder-style cut.  Tokens are
+    cut out in the JVM and counted in Arrow batches: a batch's words are numbered in sorted
+    order, and one sort of (row, word) numbers counts all its rows.  Nothing is shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     if max_chars is not None:
         text = F.substring(text, 1, max_chars)
-    # Each step is its own projection so later lambdas read materialised arrays.
-    sorted_tokens = df.select(F.col(id_col).alias("id"), *carry, F.sort_array(tokens(text)).alias("_s"))
-    with_starts = sorted_tokens.select("id", *carry, "_s", run_starts("_s").alias("_st"))
-    return (with_starts
-            .select("id", *carry, F.transform("_st", lambda i: F.element_at(F.col("_s"), i)).alias("terms"),
-                    run_lengths("_st", F.size("_s")).alias("tf"))
-            .withColumn("sumsq", int_sum_squares(F.col("tf"))))
+    rows = df.select(F.col(id_col).alias("id"), *carry, tokens(text).alias("terms"))
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("tf", T.ArrayType(T.IntegerType())), T.StructField("sumsq", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            coded = lists.flatten().dictionary_encode()
+            order = pc.sort_indices(coded.dictionary)
+            place = np.empty(len(order), np.int64)
+            place[order.to_numpy()] = np.arange(len(order))
+            n_words = max(1, len(order))
+            cell, count = np.unique(row * n_words + place[coded.indices.to_numpy()], return_counts=True)
+            owner, code = np.divmod(cell, n_words)
+            offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
+            terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(order).take(pa.array(code)))
+            tf = pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))
+            sumsq = np.bincount(owner, count.astype(float) ** 2, batch.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], terms, tf, pa.array(sumsq)], [*names, "tf", "sumsq"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def check_alignment(vectors: DataFrame, items: DataFrame, dim: int,

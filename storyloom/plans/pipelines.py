@@ -1,7 +1,7 @@
 """End-to-end jobs composed from the operators (the two flows of the matched tools).
 
-* ``storylines``: news JSON -> cleaned articles -> term vectors -> top-k per topic ->
-  optional generation with grounding -> one storyline document per topic.
+* ``storylines``: news JSON -> landed Parquet -> cleaned articles -> term or encoder vectors
+  -> top-k per topic -> optional generation with grounding -> one storyline document per topic.
 * ``search_docs``: API collections -> endpoints -> chunks -> term vectors -> top-k chunks
   per query with text and metadata.
 
@@ -10,6 +10,7 @@ Both take a whole table of topics/queries at once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,20 +25,49 @@ STORY_TOP_K = 50
 DOC_TOP_K = 5
 
 
+def text_hits(topics: DataFrame, articles: DataFrame, k: int) -> DataFrame:
+    """Retriever on term vectors; ``articles`` has ``row_key``, which the hits carry."""
+    doc_tv = embed.term_vectors(articles, "id", "full_text", carry=["row_key"])
+    topic_tv = embed.term_vectors(topics, "topic_id", "topic").withColumnRenamed("id", "topic_id")
+    return search.text_topk(topic_tv, doc_tv, k, carry=["row_key"])
+
+
+def dense_hits(make_encoder: Callable, dim: int, folder: str, model: str, rebuild: bool = False) -> Callable:
+    """Retriever on a caller's encoder (see ``embed.encode``), for ``storylines(retrieve=...)``.
+
+    Vectors of article texts are kept in ``folder``, keyed by model and text, so a later
+    run encodes new texts only.
+    """
+    def encode(todo: DataFrame) -> DataFrame:
+        return embed.encode(todo, "full_text", make_encoder, dim).select("key", "embedding")
+
+    def retrieve(topics: DataFrame, articles: DataFrame, k: int) -> DataFrame:
+        stored = embed.embed_with_store(articles.select("id", "row_key", "full_text"), folder, model, encode, rebuild=rebuild)
+        corpus = stored.select(F.struct("id", "row_key").alias("article"), "embedding")
+        queries = embed.encode(topics, "topic", make_encoder, dim).select("topic_id", "embedding")
+        hits = search.dense_topk(queries, corpus, k, c_id="article")
+        return hits.select("topic_id", "rank", "article.*", "similarity_score")
+
+    return retrieve
+
+
 def storylines(spark: SparkSession, news_path: str, topics: DataFrame, as_of: str, k: int = STORY_TOP_K,
                min_rating: float = 0.0, generate_fn: Callable | None = None,
-               max_attempts: int = grounding.MAX_ATTEMPTS) -> DataFrame:
+               max_attempts: int = grounding.MAX_ATTEMPTS,
+               retrieve: Callable[[DataFrame, DataFrame, int], DataFrame] = text_hits) -> DataFrame:
     """Storyline documents for every row of ``topics`` (``topic_id, topic``).
 
-    With ``generate_fn`` the summary and per-article reasons come from the generator
-    after the grounding check (topics whose accepted summary is empty fall back to the
-    heuristic summary); without it every topic is heuristic.
+    The JSON is read once and landed as Parquet in the shared folder.  ``retrieve(topics,
+    articles, k)`` gives ``(topic_id, rank, id, row_key, similarity_score)``: ``text_hits``,
+    ``dense_hits(...)`` or the caller's own.  With ``generate_fn`` the summary and
+    per-article reasons come from the generator after the grounding check (topics whose
+    accepted summary is empty fall back to the heuristic summary); without it every topic
+    is heuristic.
     """
-    ensure_checkpoint_dir(spark)
-    arts = clean.clean_articles(news.read_news_json(spark, news_path), min_rating=min_rating)
-    doc_tv = embed.term_vectors(arts, "id", "full_text")
-    topic_tv = embed.term_vectors(topics, "topic_id", "topic").withColumnRenamed("id", "topic_id")
-    hits = search.text_topk(topic_tv, doc_tv, k).checkpoint()
+    landed = f"{ensure_checkpoint_dir(spark).rstrip('/')}/news-{uuid.uuid4().hex}"
+    news.land(news.read_news_json(spark, news_path), landed)
+    arts = clean.clean_articles(spark.read.parquet(landed), min_rating=min_rating)
+    hits = retrieve(topics, arts.withColumn("row_key", clean.row_key()), k).checkpoint()
     ta = storyline.topic_articles(hits, arts).checkpoint()
     generated, reasons = None, None
     if generate_fn is not None:
@@ -52,7 +82,7 @@ def search_docs(spark: SparkSession, collection_path: str, queries: DataFrame, k
     ``(topic_id, rank, similarity_score, text, metadata)``."""
     ensure_checkpoint_dir(spark)
     raw = spark.read.text(collection_path, wholetext=True).select(
-        F.monotonically_increasing_id().alias("collection_id"), F.col("value").alias("json"))
+        F.xxhash64("_metadata.file_path").alias("collection_id"), F.col("value").alias("json"))
     chunks = endpoints.endpoint_chunks(endpoints.extract_endpoints(raw)).withColumn(
         "id", F.concat_ws(":", F.col("collection_id").cast("string"), "endpoint_path", F.col("part").cast("string"))).checkpoint()
     chunk_tv = embed.term_vectors(chunks, "id", "text")

@@ -132,7 +132,8 @@ def test_pipelines_end_to_end(spark):
     topics = spark.createDataFrame([(1, "metro line north"), (2, "unrelated zzz")], "topic_id long, topic string")
     docs = {r.topic_id: r for r in pipelines.storylines(spark, f"{d}/news.json", topics, "2024-01-15").collect()}
     assert docs[1].generation_mode == "heuristic" and len(docs[1].timeline) == 3
-    assert docs[2].narrative_summary.startswith("No relevant articles found")
+    # A topic without any shared term still gets min(k, n) articles, with score 0.
+    assert len(docs[2].timeline) == 3
     gen = lambda batch: ['{"summary": "Metro [1].", "timeline": [{"id": "1", "why_it_matters": "first"}]}' for _ in batch]
     docs = {r.topic_id: r for r in pipelines.storylines(spark, f"{d}/news.json", topics, "2024-01-15", generate_fn=gen).collect()}
     assert docs[1].generation_mode == "rag_vllm" and docs[1].narrative_summary == "Metro [1]."
@@ -140,5 +141,34 @@ def test_pipelines_end_to_end(spark):
     with open(f"{d}/api.json", "w") as f:
         json.dump(COLLECTION, f)
     q = spark.createDataFrame([(7, "get items id")], "topic_id long, topic string")
-    hits = pipelines.search_docs(spark, f"{d}/api.json", q).collect()
+    hits = sorted(pipelines.search_docs(spark, f"{d}/api.json", q).collect(), key=lambda r: r.rank)
     assert hits[0].metadata.endpoint_name == "Get one" and hits[0].rank == 1
+
+
+def test_dense_storylines_reuse_stored_vectors(spark):
+    from storyloom.plans import pipelines
+    d = _tmp()
+    arts = [{"title": f"Council votes on the {w} budget", "content": w * 3, "published_at": f"2024-02-0{i + 1}"} for i, w in enumerate(["harbour", "school", "library"])]
+    arts.append({"title": "Council votes on the school budget", "content": "second report", "published_at": "2024-02-09"})
+    with open(f"{d}/news.json", "w") as f:
+        json.dump(arts, f)
+
+    def make_encoder():
+        import numpy as np
+        import zlib
+
+        def encode(texts):
+            out = np.zeros((len(texts), 16), np.float32)
+            for i, t in enumerate(texts):
+                for w in str(t).lower().split():
+                    out[i, zlib.crc32(w.encode()) % 16] += 1
+            return out
+        return encode
+
+    topics = spark.createDataFrame([(1, "Council votes on the school budget"), (2, "the library")], "topic_id long, topic string")
+    retrieve = pipelines.dense_hits(make_encoder, 16, f"{d}/vectors", "toy")
+    for _ in range(2):
+        docs = {r.topic_id: r for r in pipelines.storylines(spark, f"{d}/news.json", topics, "2024-02-10", k=3, retrieve=retrieve).collect()}
+        assert all(len(r.timeline) == 3 for r in docs.values())
+        assert sum("school" in t.headline for t in docs[1].timeline) == 2
+    assert spark.read.parquet(f"{d}/vectors").count() == 4
