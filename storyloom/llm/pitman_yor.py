@@ -1,26 +1,28 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every token is a customer in the restaurant of its context; the tables of all context
-restaurants are customers of one parent restaurant, whose own parent is the uniform
-distribution over the V known words and one unknown word.  A context is the class of the
-word before (``CONTEXTS`` hash classes, one more for the start of a text), so words that
-follow the same class share a restaurant.
+Every token is a customer in the restaurant of its context, the word before it (one more
+context is the start of a text); the tables of all context restaurants are customers of
+one parent restaurant, whose own parent is the uniform distribution over the V known words
+and one unknown word.  Words and contexts are told apart by 64-bit hashes.
 
 Seating is sampled by Gibbs sweeps: dish by dish, the customers of a word get up and sit
 down again one after the other (in blocks of a few per cent where a word has over
 ``ONE_BY_ONE`` customers in a restaurant), given everybody else's tables.  After
 ``BURN_IN`` sweeps the predictive probabilities of ``SAMPLES`` sweeps are averaged.
 
-Distribution.  Tokens are shuffled once, as compressed arrays, to parts by their word's
-hash; all restaurants' customers of a word are thus in one part, after counting at most
-``CONTEXTS`` rows a word.  While sampling, a part takes the restaurants' totals to be its
-own tables times the number of parts (words are dealt by hash); the exact totals of each
-kept sample are then summed (one row per context and sample) and the same chain, seeded
-by the part, is run again with them to score all tokens.  Every kept sample is a proper
-distribution over the known words and the unknown one.
+Distribution.  Texts are cut into blocks of bounded size; a block sends one row for each
+distinct (word, context) in it, with its training count, so a pair has at most as many rows
+as there are blocks.  The counts are summed by pair.  A sweep joins the tables of the
+contexts and the parent's tables of the words to the pairs with several customers (a single
+customer always has one table), and sums the new tables again by context and by word:
+every sweep sees the totals of the whole table.  Only the parent's two totals reach the
+driver.  The pairs' probabilities go back to the blocks, which add them up by document.
+Draws are seeded by sweep and partition, so scores vary a little with the partitioning.
 
 Null texts count as empty (the end token alone); documents without an id count as
 training text; repeated rows are scored each; an empty table gives an empty table.
+
+``Part`` is the same chain over hash classes of contexts, in memory and without Spark.
 """
 
 from __future__ import annotations
@@ -36,23 +38,26 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from storyloom.llm.common import byte_slices, utf8_size
+from storyloom.llm.common import byte_slices, materialize, utf8_size
 
 HELD_OUT_MOD = 10
-CONTEXTS = 1024
 DISCOUNT, STRENGTH = 0.85, 5.0
 TOP_DISCOUNT, TOP_STRENGTH = 0.6, 50.0
 BURN_IN, SAMPLES, SEED = 4, 3, 99
 ONE_BY_ONE = 64
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 PART_BYTES = 20 << 20
 END = b"\n"  # cannot be a word
+DOCS = "i8,i1,i1,i8"  # id, whether it has one, whether it is training text, tokens
 SMOOTH = 0.1
+#: The context of a text's first token; like END it cannot be a word.
+START = np.uint64(xxhash.xxh64_intdigest(b"\r"))
 
 BLOCKS = "part int, batch long, train binary, docs binary, words binary, counts binary, body binary"
 TOTALS = "kind int, context int, value long"
-SUMS = "batch long, part int, train binary, docs binary, known binary, base binary, score binary"
+PAIRS = "word long, context long, n_train long, batch long, at int, block binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -100,23 +105,45 @@ def _blocks(batch: pa.RecordBatch, number: int, n_parts: int, contexts: int) ->
             yield p, number, pack(train), pack(docs) if p == 0 else None, hashes[order[a:z]].tobytes(), pack(counts[a:z].astype("<u4").tobytes()), pack(body)
 
 
-def _dealt(docs: DataFrame, text: str, key: str, contexts: int, part_bytes: int) -> tuple[DataFrame, int]:
-    """Token blocks by part (checkpointed: its partitions hold whole parts, sorted), and the number of parts."""
+def _pairs(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
+    """Rows of ``PAIRS``: the distinct (word, context) of a block, and one row (``at`` -1) with its documents."""
+    seen: dict[bytes, int] = {}
+    index, sizes = [], []
+    for raw in batch.column("text").cast(pa.binary()):
+        words = tokenize(raw.as_py())
+        index += [seen.setdefault(w, len(seen)) for w in words]
+        sizes.append(len(words))
+    sizes = np.array(sizes)
+    hashes = np.r_[np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen)), START]
+    word = np.array(index)
+    before = np.r_[0, word[:-1]]
+    before[np.cumsum(sizes) - sizes] = len(seen)
+    pairs, at = np.unique(before * len(seen) + word, return_inverse=True)
+    ids = batch.column("doc_id").to_pylist()
+    train = np.array([is_training(i) for i in ids])
+    n_train = np.bincount(at[np.repeat(train, sizes)], minlength=len(pairs))
+    docs = np.rec.fromarrays([[i or 0 for i in ids], [i is not None for i in ids], train, sizes], dtype=DOCS).tobytes()
+    block = zstandard.ZstdCompressor(level=1).compress(docs + at.astype("<u4").tobytes())
+    n = len(pairs)
+    columns = [np.r_[hashes[pairs % len(seen)].view(np.int64), 0], np.r_[hashes[pairs // len(seen)].view(np.int64), 0], np.r_[n_train, 0], np.full(n + 1, number), np.r_[np.arange(n, dtype=np.int32), np.int32(-1)]]
+    blocks = pa.array([None] * n + [len(sizes).to_bytes(4, "little") + block], pa.binary())
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), blocks], [x.split()[0] for x in PAIRS.split(", ")])
+
+
+def _blocks_of(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``PAIRS`` of all blocks."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n_parts = max(1, math.ceil((rows.agg(F.sum(utf8_size())).first()[0] or 0) / part_bytes))
-    names = [x.split()[0] for x in BLOCKS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
             for some in byte_slices(whole, "text", SLICE_BYTES):
-                for k in range(0, some.num_rows, 60000):  # a document's number has 16 bits
-                    for row in _blocks(some.slice(k, 60000), number, n_parts, contexts):
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+                if some.num_rows:
+                    found = _pairs(some, number)
+                    yield from (found.slice(k, 1 << 16) for k in range(0, found.num_rows, 1 << 16))
                     number += 1
 
-    return rows.mapInArrow(run, BLOCKS).repartition(n_parts, "part").sortWithinPartitions("part", "batch").checkpoint(), n_parts
+    return materialize(rows.mapInArrow(run, PAIRS))
 
 
 def reseat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -222,68 +249,109 @@ class Part:
             yield k, *(np.bincount(owner, x[mine], len(train)) for x in (known, base, score))
 
 
-def _by_part(rows: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(part, blocks)`` over each part of a partition."""
+def _reseated(rows: DataFrame, customers: str, weight: str, discount: float, sweep: int, name: str) -> DataFrame:
+    """``rows`` with the column ``name``: tables after each dish's customers sat down again."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        rng = np.random.default_rng([SEED, sweep, TaskContext.get().partitionId()])
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["part"] != held[0]["part"]:
-                    yield from fn(held[0]["part"], held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from fn(held[0]["part"], held)
+            if batch.num_rows:
+                found = reseat(batch.column(customers).to_numpy(), batch.column(weight).to_numpy(), discount, rng)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, name])
     return rows.mapInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", contexts: int = CONTEXTS, part_bytes: int = PART_BYTES) -> DataFrame:
+def _seatings(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[float], int, int]:
+    """The chain over ``pairs`` (word, context, c).
+
+    Returns pairs with c > 1 and their tables t0, t1, ... of the kept samples; contexts with
+    their customers and tables; words with their count and the parent's probabilities p0,
+    p1, ...; the parent's probability of the unknown word by sample; known words; tokens.
+    """
+    learnt = pairs.where("c > 0")
+    single = F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("single")
+    contexts = materialize(learnt.groupBy("context").agg(F.sum("c").alias("customers"), single))
+    words = materialize(learnt.groupBy("word").agg(F.sum("c").alias("count"), single, F.count(F.lit(1)).alias("customers")).withColumn("top", F.lit(1).cast("long")))
+    many = materialize(learnt.where("c > 1").select("word", "context", "c", F.lit(1).cast("long").alias("t")))
+    n_types, n_tokens, all_customers = (x or 0 for x in words.agg(F.count(F.lit(1)), F.sum("count"), F.sum("customers")).first())
+    all_top, unknown = n_types, []
+    for sweep in range(BURN_IN + SAMPLES):
+        open_top = (TOP_STRENGTH + TOP_DISCOUNT * all_top) / (n_types + 1)
+        parent = (F.col("customers") - TOP_DISCOUNT * F.col("top") + open_top) / (TOP_STRENGTH + all_customers)
+        totals = many.groupBy("context").agg(F.sum("t").alias("own")).join(contexts, "context").select("context", (F.col("own") + F.col("single")).alias("tables"))
+        weighted = many.join(totals, "context").join(words.select("word", parent.alias("parent")), "word")
+        weighted = weighted.withColumn("weight", (STRENGTH + DISCOUNT * F.col("tables")) * F.col("parent")).drop("t", "tables", "parent").sortWithinPartitions("word", "context")
+        many = materialize(_reseated(weighted, "c", "weight", DISCOUNT, sweep, "t").drop("weight"))
+        sums = many.groupBy("word").agg(F.sum("t").alias("own"))
+        words = words.drop("customers", "top").join(sums, "word", "left").withColumn("customers", F.col("single") + F.coalesce("own", F.lit(0))).drop("own")
+        words = materialize(_reseated(words.withColumn("weight", F.lit(open_top)).sortWithinPartitions("word"), "customers", "weight", TOP_DISCOUNT, 1000 + sweep, "top").drop("weight"))
+        all_customers, all_top = (x or 0 for x in words.agg(F.sum("customers"), F.sum("top")).first())
+        if sweep >= BURN_IN:
+            m = sweep - BURN_IN
+            open_top = (TOP_STRENGTH + TOP_DISCOUNT * all_top) / (n_types + 1)
+            unknown.append(open_top / (TOP_STRENGTH + all_customers))
+            many = many.withColumn(f"t{m}", F.col("t"))
+            words = words.withColumn(f"p{m}", (F.col("customers") - TOP_DISCOUNT * F.col("top") + open_top) / (TOP_STRENGTH + all_customers))
+    kept = [f"t{m}" for m in range(SAMPLES)]
+    sums = many.groupBy("context").agg(*[F.sum(t).alias(t) for t in kept])
+    contexts = contexts.join(sums, "context", "left").select("context", "customers", *[(F.col("single") + F.coalesce(t, F.lit(0))).alias(f"all_{t}") for t in kept])
+    return many.select("word", "context", *kept), contexts, words.select("word", "count", *[f"p{m}" for m in range(SAMPLES)]), unknown, n_types, n_tokens
+
+
+def _probabilities(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """``pairs`` (word, context, c and further columns) with known, base and score (log10), and the number of training tokens."""
+    many, contexts, words, unknown, n_types, n_tokens = _seatings(pairs)
+    kept = [f"t{m}" for m in range(SAMPLES)]
+    few = pairs.where("c <= 1").withColumns({t: F.col("c") for t in kept})
+    rows = few.unionByName(pairs.where("c > 1").join(many, ["word", "context"])).join(contexts, "context", "left").join(words, "word", "left")
+    zero = F.lit(0)
+    mean = sum((F.col("c") - DISCOUNT * F.col(t) + (STRENGTH + DISCOUNT * F.coalesce(f"all_{t}", zero)) * F.coalesce(f"p{m}", F.lit(unknown[m]))) / (STRENGTH + F.coalesce("customers", zero))
+               for m, t in enumerate(kept)) / SAMPLES
+    base = F.log10((F.coalesce("count", zero) + SMOOTH) / (n_tokens + SMOOTH * (n_types + 1)))
+    return rows.select(*pairs.columns, F.col("count").isNotNull().alias("known"), base.alias("base"), F.log10(mean).alias("score")), n_tokens
+
+
+def _closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """``SCORED`` of one block from its rows in order of ``at``."""
+    rows = pa.Table.from_batches(parts)
+    block = rows["block"][0].as_py()
+    n = int.from_bytes(block[:4], "little")
+    raw = zstandard.ZstdDecompressor().decompress(block[4:])
+    cut = n * np.dtype(DOCS).itemsize
+    ids = np.frombuffer(raw[:cut], DOCS)
+    at, owner = np.frombuffer(raw, "<u4", offset=cut), np.repeat(np.arange(n), ids["f3"])
+    known, base, score = (np.bincount(owner, rows[c].to_numpy()[1:].astype(float)[at], n) for c in ("known", "base", "score"))
+    return pa.RecordBatch.from_arrays([pa.array(ids["f0"], mask=ids["f1"] == 0), pa.array(ids["f2"] == 0), pa.array(ids["f3"]), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
+                                      [x.split()[0] for x in SCORED.split(", ")])
+
+
+def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", part_bytes: int = PART_BYTES) -> DataFrame:
     """``SCORED`` and train_tokens: log10 probabilities of every text, learnt from the training documents."""
-    if contexts >= 1 << 15:
-        raise ValueError("a context's number has 15 bits")
-    dealt, n_parts = _dealt(docs, text, key, contexts, part_bytes)
-
-    def count(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        found = list(Part(rows, part, n_parts, contexts).totals())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.int64()))], ["kind", "context", "value"])
-
-    totals = {k: np.zeros(contexts + 1) for k in range(2 + 2 * SAMPLES)}
-    # One row per context and sample, whatever the input.
-    for r in _by_part(dealt, count, TOTALS).groupBy("kind", "context").agg(F.sum("value").alias("n")).collect():
-        totals[r["kind"]][r["context"]] = r["n"]
-    shared = docs.sparkSession.sparkContext.broadcast(totals)
-    names = [x.split()[0] for x in SUMS.split(", ")]
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-
-    def score(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for k, known, base, scored in Part(rows, part, n_parts, contexts).scores(shared.value):
-            row = (rows[k]["batch"], part, rows[k]["train"] if part == 0 else None, rows[k]["docs"], pack(known.astype("<u4").tobytes()), pack(base.tobytes()), pack(scored.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
-
-    def closed(rows: list[dict]) -> pa.RecordBatch:
-        unpack = zstandard.ZstdDecompressor().decompress
-        known = sum(np.frombuffer(unpack(r["known"]), "<u4").astype(np.int64) for r in rows)
-        base, scored = (sum(np.frombuffer(unpack(r[c]), float) for r in rows) for c in ("base", "score"))
-        first = rows[0]  # part 0
-        ids = np.frombuffer(unpack(first["docs"]), "i8,i1,i8")
-        held = np.frombuffer(unpack(first["train"]), np.uint8) == 0
-        return pa.RecordBatch.from_arrays([pa.array(ids["f0"], mask=ids["f1"] == 0), pa.array(held), pa.array(ids["f2"]), pa.array(known), pa.array(base), pa.array(scored)],
-                                          [x.split()[0] for x in SCORED.split(", ")])
+    rows = _blocks_of(docs, text, key)
+    n_parts = max(1, math.ceil((docs.agg(F.sum(utf8_size(text))).first()[0] or 0) / part_bytes))
+    places = F.collect_list(F.struct("batch", "at")).alias("places")  # at most one for each block
+    pairs = materialize(rows.where("at >= 0").select("word", "context", "n_train", "batch", "at").repartition(n_parts, "word", "context").groupBy("word", "context").agg(F.sum("n_train").alias("c"), places))
+    scored, n_tokens = _probabilities(pairs)
+    values = scored.select(F.explode("places").alias("x"), "known", "base", "score").select("x.batch", "x.at", F.lit(None).cast("binary").alias("block"), F.col("known").cast("int").alias("known"), "base", "score")
+    blocks = rows.where("at < 0").select("batch", "at", "block", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"))
+    together = values.unionByName(blocks).repartition("batch").sortWithinPartitions("batch", "at")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["batch"] != held[0]["batch"]:
-                    yield closed(held)
-                    held = []
-                held.append(row)
+            number = batch.column("batch").to_numpy()
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1), len(number)]
+            for a, z in zip(cuts, cuts[1:]):
+                if z > a:
+                    if held and held[0].column("batch")[0].as_py() != number[a]:
+                        yield _closed(held)
+                        held = []
+                    held.append(batch.slice(a, z - a))
         if held:
-            yield closed(held)
+            yield _closed(held)
 
-    sums = _by_part(dealt, score, SUMS).repartition("batch").sortWithinPartitions("batch", "part")
-    return sums.mapInArrow(add, SCORED).withColumn("train_tokens", F.lit(int(totals[1][1])).cast("long"))
+    return together.mapInArrow(add, SCORED).withColumn("train_tokens", F.lit(int(n_tokens)).cast("long"))
 
 
 def perplexity(score: str = "score") -> Column:

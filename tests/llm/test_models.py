@@ -99,6 +99,44 @@ def test_predictive_is_a_distribution(n_parts):
     assert np.allclose(mass / pitman_yor.SAMPLES, 1.0, atol=1e-9)
 
 
+def test_contexts_are_words_not_classes(spark):
+    """Two words of one hash class keep restaurants of their own."""
+    import xxhash
+    by_class = {}
+    for i in range(9999):
+        w = f"c{i}"
+        other = by_class.setdefault((xxhash.xxh64_intdigest(w.encode()) >> 8) % 1024, w)
+        if other != w:
+            break
+    rows = [(i, f"{w} left " * 20 if i % 2 else f"{other} right " * 20, "", "", 0) for i in range(1, 200) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows += [(held[0], f"{w} left", "", "", 0), (held[1], f"{w} right", "", "", 0)]
+    score = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert score[held[0]] > score[held[1]] + 1
+
+
+@pytest.mark.parametrize("n_parts", [1, 5])
+def test_joined_predictive_is_a_distribution(spark, n_parts):
+    r = random.Random(1)
+    seen = Counter((r.randrange(1, 2 + r.randrange(40)), r.randrange(6)) for _ in range(600))
+    rows = [(w, u, seen[w, u]) for w in [*sorted({w for w, _ in seen}), 99] for u in range(6)]  # 99 is unknown
+    pairs = spark.createDataFrame(rows, "word long, context long, c long").repartition(n_parts, "word", "context")
+    scored, n_tokens = pitman_yor._probabilities(pairs)
+    mass = Counter()
+    for row in scored.collect():
+        mass[row["context"]] += 10 ** row["score"]
+        assert row["known"] == (row["word"] != 99)
+    assert n_tokens == 600 and len(mass) == 6 and all(m == pytest.approx(1.0, abs=1e-9) for m in mass.values())
+
+
+def test_a_repeated_word_is_counted_before_the_shuffle():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": pa.array(["the " * 50000, "the cat"])})
+    rows = [r for r in pitman_yor._pairs(batch, 0).to_pylist() if r["at"] >= 0]
+    trained = [pitman_yor.is_training(i) for i in (1, 2)]
+    assert len(rows) == 5 and sum(r["n_train"] for r in rows) == 50001 * trained[0] + 3 * trained[1]
+
+
 def test_reseat_bounds_and_mean():
     rng = np.random.default_rng(3)
     c = np.array([1, 2, 5, 64, 65, 1000, 100000])
