@@ -106,7 +106,7 @@ def _blocks(batch: pa.RecordBatch, number: int, n_parts: int, contexts: int) ->
 
 
 def _pairs(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
-    """Rows of ``PAIRS``: the distinct (word, context) of a block, and one row (``at`` -1) with its documents."""
+    """Rows of ``PAIRS``: the distinct (word, context) of a block, and one row (its number and no context, ``at`` -1) with its documents."""
     seen: dict[bytes, int] = {}
     index, sizes = [], []
     for raw in batch.column("text").cast(pa.binary()):
@@ -125,7 +125,8 @@ def _pairs(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
     docs = np.rec.fromarrays([[i or 0 for i in ids], [i is not None for i in ids], train, sizes], dtype=DOCS).tobytes()
     block = zstandard.ZstdCompressor(level=1).compress(docs + at.astype("<u4").tobytes())
     n = len(pairs)
-    columns = [np.r_[hashes[pairs % len(seen)].view(np.int64), 0], np.r_[hashes[pairs // len(seen)].view(np.int64), 0], np.r_[n_train, 0], np.full(n + 1, number), np.r_[np.arange(n, dtype=np.int32), np.int32(-1)]]
+    contexts = pa.array(np.r_[hashes[pairs // len(seen)].view(np.int64), 0], mask=np.arange(n + 1) == n)
+    columns = [np.r_[hashes[pairs % len(seen)].view(np.int64), number], contexts, np.r_[n_train, 0], np.full(n + 1, number), np.r_[np.arange(n, dtype=np.int32), np.int32(-1)]]
     blocks = pa.array([None] * n + [len(sizes).to_bytes(4, "little") + block], pa.binary())
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), blocks], [x.split()[0] for x in PAIRS.split(", ")])
 
@@ -143,7 +144,7 @@ def _blocks_of(docs: DataFrame, text: str, key: str) -> DataFrame:
                     yield from (found.slice(k, 1 << 16) for k in range(0, found.num_rows, 1 << 16))
                     number += 1
 
-    return materialize(rows.mapInArrow(run, PAIRS))
+    return rows.mapInArrow(run, PAIRS)
 
 
 def reseat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -328,13 +329,14 @@ def _closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", part_bytes: int = PART_BYTES) -> DataFrame:
     """``SCORED`` and train_tokens: log10 probabilities of every text, learnt from the training documents."""
-    rows = _blocks_of(docs, text, key)
     n_parts = max(1, math.ceil((docs.agg(F.sum(utf8_size(text))).first()[0] or 0) / part_bytes))
     places = F.collect_list(F.struct("batch", "at")).alias("places")  # at most one for each block
-    pairs = materialize(rows.where("at >= 0").select("word", "context", "n_train", "batch", "at").repartition(n_parts, "word", "context").groupBy("word", "context").agg(F.sum("n_train").alias("c"), places))
+    rows = _blocks_of(docs, text, key).repartition(n_parts, "word", "context")
+    rows = materialize(rows.groupBy("word", "context").agg(F.sum("n_train").alias("c"), places, F.first("block").alias("block")))
+    pairs = rows.where("context is not null").select("word", "context", "c", "places")
     scored, n_tokens = _probabilities(pairs)
     values = scored.select(F.explode("places").alias("x"), "known", "base", "score").select("x.batch", "x.at", F.lit(None).cast("binary").alias("block"), F.col("known").cast("int").alias("known"), "base", "score")
-    blocks = rows.where("at < 0").select("batch", "at", "block", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"))
+    blocks = rows.where("context is null").select(F.col("word").alias("batch"), F.lit(-1).alias("at"), "block", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"))
     together = values.unionByName(blocks).repartition("batch").sortWithinPartitions("batch", "at")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
