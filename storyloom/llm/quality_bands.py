@@ -31,8 +31,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Length-specific limits: (bytes below, lowest ratio, highest ratio) of one compressed piece.
 BANDS = [(512, 0.30, 0.98), (1024, 0.25, 0.90), (2048, 0.20, 0.80), (4096, 0.18, 0.75), (None, 0.14, 0.70)]
-#: Part of the chunks that may leave their band.
-MAX_BAD_CHUNKS = 0.34
+#: Part of the chunks that may leave their band: none, so one bad chunk rejects a text of any length.
+MAX_BAD_CHUNKS = 0.0
 
 SIGNALS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, doc_ratio double, bad_chunks double, base_failed boolean, kept boolean"
 

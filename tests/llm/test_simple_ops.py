@@ -175,6 +175,22 @@ def test_quality_bands_reject_extremes():
     assert quality_bands.judge(clean, pack)[-1]
 
 
+def test_quality_bands_reject_one_bad_chunk_in_three():
+    import base64
+    import random
+    import zstandard
+    pack = zstandard.ZstdCompressor(level=3).compress
+    clean = prose(3000, 9).encode()[:8192]
+    spam = (b"buy now click here best price " * 200)[:4096]
+    encoded = base64.b64encode(random.Random(1).randbytes(4096))[:4096]
+    encoded = b" ".join(encoded[i:i + 60] for i in range(0, 4096, 60))[:4096]
+    for bad in (spam, encoded):
+        for text in (clean + bad, bad + clean, clean[:4096] + bad + clean[4096:], prose(30000, 9).encode()[:81920] + bad):
+            found = quality_bands.judge(text, pack)
+            assert 0 < found[6] < 0.34 and not found[7] and not found[8]
+    assert quality_bands.judge(prose(3000, 9).encode()[:12288], pack)[-1]
+
+
 def test_quality_filter_columns(spark):
     docs = awkward(spark, extra="1 as quality;true as kept")
     out = quality_bands.quality_filter(docs)
