@@ -5,9 +5,11 @@ the fingerprint of a text is the set of its signatures.  Fingerprints are compar
 Jaccard; near-duplicate search partitions the sets by length and prunes by the prefix
 and length bounds of the threshold.
 
-Words are runs of letters and digits, lower-cased.  A text without a complete chain has
-one signature, the hash of its words (so empty and null texts share one, too).  All
-expressions are Spark's own.  Repeated rows and ties of doc_id are ordered by the text's
+Words are runs of letters and digits, lower-cased.  Where more than ``GAP`` content words
+follow without an anchor (tables, lists, code, other languages), and throughout a text
+without a complete chain, each run of ``RUN`` following content words is a signature, too;
+so an edited word changes the few signatures around it.  A text with neither has one, the
+hash of its words (so empty and null texts share one).  All expressions are Spark's own.  Repeated rows and ties of doc_id are ordered by the text's
 hash; null ids come last; an empty table gives an empty table.
 """
 
@@ -30,6 +32,7 @@ ANCHORS = ["a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can"
            "au", "aux", "avec", "ce", "dans", "de", "du", "elle", "en", "est", "et", "il", "je", "la", "le", "les", "ne", "ou", "pas", "pour", "que", "qui", "sur", "un", "une",
            "al", "como", "con", "del", "el", "los", "las", "lo", "más", "no", "para", "pero", "por", "se", "su", "una", "y"]
 CHAIN = 2
+GAP, RUN = 64, 3
 THRESHOLD = 0.8
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 20_000
@@ -39,7 +42,8 @@ def signatures(text: Column, anchors=ANCHORS, chain: int = CHAIN) -> Column:
     """Sorted distinct 64-bit signatures of a text.
 
     The j-th anchor (from 0) at word i has i - j content words before it, which gives its
-    chain's place in the list of content words: one linear pass.
+    chain's place in the list of content words: one linear pass.  These places also
+    bound the stretches without an anchor.
     """
     def of_words(words: Column) -> Column:
         content = F.filter(words, lambda w: ~w.isin(*anchors))
@@ -49,7 +53,19 @@ def signatures(text: Column, anchors=ANCHORS, chain: int = CHAIN) -> Column:
             def one(s: Column, j: Column) -> Column:
                 at = s["i"] - j
                 return F.when(at + chain <= F.size(parts["c"]), F.xxhash64(s["w"], *[F.get(parts["c"], at + k) for k in range(chain)]))
-            return F.filter(F.transform(parts["s"], one), lambda x: x.isNotNull())
+            n = F.size(parts["c"])
+            ends = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(parts["s"], lambda s, j: s["i"] - j), F.array(n))))
+
+            def with_runs(x: Column) -> Column:
+                def of_stretch(a: Column, k: Column) -> Column:
+                    z = F.get(x["ends"], k + 1)
+                    last = F.least(z - 1, n - RUN)
+                    runs = F.transform(F.sequence(a, last), lambda p: F.xxhash64(F.lit(1), *[F.get(parts["c"], p + q) for q in range(RUN)]))
+                    return F.when(((z - a > GAP) | (F.size(x["found"]) == 0)) & (last >= a), runs).otherwise(F.array().cast("array<bigint>"))
+                return F.concat(x["found"], F.flatten(F.transform(x["ends"], of_stretch)))
+
+            found = F.filter(F.transform(parts["s"], one), lambda x: x.isNotNull())
+            return let(F.struct(found.alias("found"), ends.alias("ends")), with_runs)
 
         found = let(F.struct(content.alias("c"), spots.alias("s")), chains)
         whole = F.array(F.xxhash64(F.lit(0), F.array_join(words, " ")))

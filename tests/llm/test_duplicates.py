@@ -222,6 +222,20 @@ def test_spotsigs_repeated_rows_and_nothing(spark, tmp_path):
     assert spotsigs.edited_likeness(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_spotsigs_texts_without_chains(spark):
+    """Near copies of texts without anchors, or with long stretches without, stay near."""
+    plain = [f"row{i} value{i * 7 % 31}" for i in range(60)]
+    edited = [*plain[:30], "changed", *plain[31:]]
+    few = "the first table " + " ".join(plain)
+    texts = [" ".join(plain), " ".join(edited), few, "the first table " + " ".join(edited), "one two three four", "one two three five", "one two"]
+    sets = [set(r["signatures"]) for r in spotsigs.fingerprints(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()]
+    assert len(sets[0]) == 118 and jaccard(sets[0], sets[1]) > 0.9
+    assert len(sets[2]) == 121 and jaccard(sets[2], sets[3]) > 0.9 and jaccard(sets[0], sets[2]) > 0.9
+    assert len(sets[4]) == 2 and jaccard(sets[4], sets[5]) == pytest.approx(1 / 3) and len(sets[6]) == 1
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts[:4])]
+    assert all(r["n_links"] for r in spotsigs.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
 def test_spotsigs_near_duplicates_are_whole(spark):
     r = random.Random(2)
     rows = [(i, prose(60, i % 25), "", "", 0) for i in range(30)]
