@@ -128,6 +128,23 @@ def test_chat_round_trip(spark):
     assert chat_format.digest(chat_format.format_conversations(df.where("false"))).count() == 0
 
 
+def test_chat_long_conversations_come_in_runs(spark):
+    """A hot conversation is never one value, and its runs read back as the whole."""
+    turns = [(None if i % 3 else i % 7, i if i % 5 else None, ("user", "assistant", "r" * 70)[i % 3 if i % 2 else 1], f"turn é {i % 11} </s> " * 20) for i in range(900)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    formatted = chat_format.format_conversations(df, run_bytes=5000).localCheckpoint()
+    rows = chat_format.with_starts(formatted).orderBy("conv_id", "run").collect()
+    assert max(len(r["formatted"].encode()) for r in rows) < 12000 and sum(r["conv_id"] is None for r in rows) > 30
+    got = {r["conv_id"]: r for r in chat_format.digest(formatted).collect()}
+    assert {c: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for c, r in got.items()} == expected_chat(turns)
+    for c in got:
+        runs = [r for r in rows if r["conv_id"] == c]
+        whole = "".join(r["formatted"] for r in runs)
+        assert len(whole) == got[c]["formatted_chars"] and all(whole[r["start"]:].startswith(r["formatted"]) for r in runs)
+        spans = [(r["start"] + s["start"], s["length"]) for r in runs for s in r["loss_spans"]]
+        assert hashlib.sha256("".join(chat_format.unescape(whole[a:a + n]) for a, n in spans).encode()).hexdigest() == got[c]["loss_sha256"]
+
+
 def test_chat_query_matches_sql(spark):
     import duckdb
     sf = "/root/testdata/sf0.001"
