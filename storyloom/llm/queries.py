@@ -14,12 +14,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat_format, piece_sampling, pitman_yor, quality_bands, shard_shuffle, simhash, source_mix, spotsigs, suffix_dedup, token_store
+from storyloom.llm import chat_format, piece_sampling, pitman_yor, quality_bands, shard_shuffle, simhash, source_mix, spotsigs, suffix_dedup, token_alignment, token_store
 from storyloom.llm.common import ship_package, table
 from storyloom.session import ensure_checkpoint_dir
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def vocabulary(name: str) -> str:
@@ -83,6 +84,10 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.digest(piece_sampling.decode(piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), path), path))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), vocabulary(PIECES))
+
+
 def _registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +98,5 @@ def _registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_pitman_yor, op3_suffix_dedup, op4_source_mix, op5_shard_shuffle, op6_chat_format, op7_quality_bands, op8_spotsigs, op9_token_store, op10_piece_sampling)
+    found = (op1_simhash, op2_pitman_yor, op3_suffix_dedup, op4_source_mix, op5_shard_shuffle, op6_chat_format, op7_quality_bands, op8_spotsigs, op9_token_store, op10_piece_sampling, op11_token_alignment)
     return {f.__name__: _registered(f) for f in found}
