@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat_format, piece_sampling, pitman_yor, quality_bands, shard_shuffle, simhash, source_mix, spotsigs, suffix_dedup, token_alignment, token_store
+from storyloom.llm import chat_format, minmax_dedup, piece_sampling, pitman_yor, quality_bands, shard_shuffle, simhash, source_mix, spotsigs, suffix_dedup, token_alignment, token_store
 from storyloom.llm.common import ship_package, table
 from storyloom.session import ensure_checkpoint_dir
 
@@ -88,6 +88,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_report(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), vocabulary(PIECES))
 
 
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +102,5 @@ def _registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_pitman_yor, op3_suffix_dedup, op4_source_mix, op5_shard_shuffle, op6_chat_format, op7_quality_bands, op8_spotsigs, op9_token_store, op10_piece_sampling, op11_token_alignment)
+    found = (op1_simhash, op2_pitman_yor, op3_suffix_dedup, op4_source_mix, op5_shard_shuffle, op6_chat_format, op7_quality_bands, op8_spotsigs, op9_token_store, op10_piece_sampling, op11_token_alignment, op12_minmax_dedup)
     return {f.__name__: _registered(f) for f in found}
