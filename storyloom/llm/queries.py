@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat_format, minmax_dedup, piece_sampling, pitman_yor, quality_bands, shard_shuffle, simhash, source_mix, spotsigs, suffix_dedup, token_alignment, token_store
+from storyloom.llm import chat_format, hard_negatives, minmax_dedup, piece_sampling, pitman_yor, quality_bands, shard_shuffle, simhash, source_mix, spotsigs, suffix_dedup, token_alignment, token_store
 from storyloom.llm.common import ship_package, table
 from storyloom.session import ensure_checkpoint_dir
 
@@ -92,6 +92,13 @@ def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("embedding", lambda x: F.lit(256.0) * x.cast("double"))
+    rows = hard_negatives.integer_rows(table(spark, sf_dir, "embeddings"), scaled, F.col("vec_id"), label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def _registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,5 +109,5 @@ def _registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_pitman_yor, op3_suffix_dedup, op4_source_mix, op5_shard_shuffle, op6_chat_format, op7_quality_bands, op8_spotsigs, op9_token_store, op10_piece_sampling, op11_token_alignment, op12_minmax_dedup)
+    found = (op1_simhash, op2_pitman_yor, op3_suffix_dedup, op4_source_mix, op5_shard_shuffle, op6_chat_format, op7_quality_bands, op8_spotsigs, op9_token_store, op10_piece_sampling, op11_token_alignment, op12_minmax_dedup, op13_hard_negatives)
     return {f.__name__: _registered(f) for f in found}
