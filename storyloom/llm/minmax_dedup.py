@@ -11,9 +11,10 @@ similarity of their sets is at least ``PERCENT`` / 100.
    ``ROWS`` minima, and of ``ROWS`` maxima, of different permutations form the bands.
 2. Equal sets (by a 128-bit hash of the set) are one content from here on.
 3. Candidates.  Contents that share a band are in one bucket.  A bucket is not paired off:
-   in each round all its members meet its hub, whose part in the bucket is done with that;
-   a bucket whose members are all in one component is finished.  When few pairs of
-   different components are left in the buckets, those are all tried at once.
+   first all its members meet its smallest one, its hub, and those links give components.
+   A bucket whose members are all in one component is finished.  In the others, blocks of
+   members meet block by block (never two blocks of one component), as a product of their
+   incidence with hashes, and only pairs that would join components leave a task.
 4. Each candidate pair is confirmed on the two texts' sets of words, not of hashes.  The
    members of a hub are dealt to groups, each of which gets the hub's text once.
 
@@ -47,8 +48,10 @@ ROWS = 6
 SLICE_BYTES = 2 << 20
 #: Shingles under which all permutations are taken at once (in cache).
 SHINGLES_AT_ONCE = 1 << 14
-#: Members that share one copy of a hub's text, and pairs for each content that may be tried at once.
-GROUP, PAIRS_LEFT = 64, 2
+#: Members that share one copy of a hub's text.
+GROUP = 64
+#: Contents and shingles of a block, and shingles that are counted at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 
 _rng = np.random.default_rng(20251)
 MULTIPLIERS = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,18 +175,128 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     return met.mapInArrow(run, EDGES)
 
 
-def _sizes_allow(x: str, y: str, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-
 def contents_of(signed: DataFrame) -> DataFrame:
     """(content, n_shingles, text_key, bands, least): a row for each distinct set that is not empty."""
     return signed.where("content IS NOT NULL").groupBy("content").agg(
         F.first("n_shingles").alias("n_shingles"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"), F.min("doc_id").alias("least"))
 
 
-def links(contents: DataFrame, docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, pairs_left: int = PAIRS_LEFT) -> DataFrame:
-    """``EDGES`` whose components are those of all confirmed pairs of the buckets.
+def _hubs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a content and the smallest content of a bucket of its (column b), where sizes allow a link."""
+    hubs = rows.groupBy("band").agg(F.min(F.struct(F.col("content").alias("b"), F.col("n_shingles").alias("b_size"))).alias("hub")).select("band", "hub.*")
+    met = rows.join(hubs, "band").where("content <> b")
+    allowed = F.least("n_shingles", "b_size") * 100 >= F.greatest("n_shingles", "b_size") * percent
+    return met.where(allowed).select(F.col("content").alias("a"), "b").distinct()
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    several = rows.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    return rows.join(several, "band")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(content, hashes): the sorted hashes of its shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for whole in batches:
+            for batch in byte_slices(whole, "text", SLICE_BYTES):
+                if len(known) > 300_000:
+                    known.clear()
+                sets = [shingle_hashes(x.as_py().lower().split(), known, shingle).tobytes() for x in batch.column("text").cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(sets, pa.binary())], ["content", "hashes"])
+
+    return texts.select("content", "text").mapInArrow(run, "content binary, hashes binary")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each left and right array of distinct values have in common."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for some in (left, right):
+        flat = np.concatenate(some)
+        row = np.repeat(np.arange(len(some)), [len(x) for x in some])
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        found = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[found], kind="stable")
+        sides.append((row[found][order], at[found][order]))
+    for start in range(0, len(both), COLUMNS):
+        parts = []
+        for some, (row, at) in zip((left, right), sides):
+            a, z = np.searchsorted(at, [start, start + COLUMNS])
+            part = np.zeros((len(some), min(COLUMNS, len(both) - start)), np.float32)
+            part[row[a:z], at[a:z] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def cell_links(roots: tuple[list, list], sizes: tuple[np.ndarray, np.ndarray], sets: tuple[list, list], percent: int) -> list[tuple[int, int]]:
+    """Pairs (of places left and right), as few as join the components that the cell's similar pairs join."""
+    common = common_counts(*sets).astype(np.float64)
+    number = {r: k for k, r in enumerate(dict.fromkeys([*roots[0], *roots[1]]))}
+    a, b = (np.array([number[r] for r in side]) for side in roots)
+    union = sizes[0][:, None] + sizes[1][None, :] - common
+    i, j = np.nonzero((a[:, None] != b[None, :]) & (100 * common >= percent * union))
+    _, first = np.unique(a[i] * len(number) + b[j], return_index=True)
+    out = []
+    up = list(range(len(number)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+    for k in first.tolist():
+        p, q = top(a[i[k]]), top(b[j[k]])
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((int(i[k]), int(j[k])))
+    return out
+
+
+def _across(rows: DataFrame, sets: DataFrame, percent: int, block: int, block_shingles: int) -> DataFrame:
+    """``EDGES``, to be confirmed, between components that share a bucket (rows: band, content, n_shingles, root).
+
+    A bucket's members are dealt to blocks, large components to blocks of their own, and
+    each two blocks that may hold different components are a cell.
+    """
+    counts = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    label = F.when(F.col("n") > block // 4, F.col("root")).otherwise(F.lit(b""))
+    blocks = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sum("size") / block_shingles)).cast("int")
+    dealt = materialize(counts.withColumn("label", label).groupBy("band", "label").agg(blocks.alias("blocks")))
+    of_root = counts.select("band", "root", label.alias("label")).join(dealt, ["band", "label"])
+    place = F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")
+    members = rows.join(of_root, ["band", "root"]).select("band", "label", place.alias("block"), "content", "n_shingles", "root")
+
+    each = dealt.select("band", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    other = each.select("band", F.col("label").alias("label_2"), F.col("block").alias("block_2"))
+    mine, yours = F.struct("label", "block"), F.struct(F.col("label_2").alias("label"), F.col("block_2").alias("block"))
+    cells = each.join(other, "band").where((F.col("label") != F.col("label_2")) & (mine < yours) | (F.col("label") == F.lit(b"")) & (F.col("label_2") == F.lit(b"")) & (F.col("block") <= F.col("block_2")))
+    cell = F.xxhash64("band", "label", "block", "label_2", "block_2").alias("cell")
+    cells = materialize(cells.select("band", "label", "block", "label_2", "block_2", cell))
+    left = members.join(cells, ["band", "label", "block"]).select("cell", F.lit(0).alias("side"), "content", "n_shingles", "root")
+    crossing = cells.where("label <> label_2 OR block <> block_2").select("cell", "band", F.col("label_2").alias("label"), F.col("block_2").alias("block"))
+    right = members.join(crossing, ["band", "label", "block"]).select("cell", F.lit(1).alias("side"), "content", "n_shingles", "root")
+    met = left.unionByName(right).join(sets, "content")
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        names, roots = table["content"].to_pylist(), table["root"].to_pylist()
+        sizes, raws = table["n_shingles"].to_numpy(), table["hashes"].to_pylist()
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1) if side.any() else a
+        parts = [([roots[k] for k in x], sizes[x], [np.frombuffer(raws[k], np.uint64) for k in x]) for x in (a, b)]
+        found = cell_links(*zip(*parts), percent) if len(a) and len(b) else []
+        return pa.table([pa.array([names[a[i]] for i, _ in found], pa.binary()), pa.array([names[b[j]] for _, j in found], pa.binary())], ["a", "b"])
+
+    found = met.groupBy("cell").applyInArrow(run, EDGES)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(contents: DataFrame, docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``EDGES`` whose components are those of all similar pairs that share a bucket.
 
     ``contents``: a written table of ``contents_of``.
     """
@@ -193,53 +306,20 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", shingle: int
     needed = contents.join(live.select("content").distinct(), "content", "left_semi").select("content", "text_key")
     whole = docs.select(F.unhex(F.md5(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text"))
     texts = materialize(whole.join(needed, "text_key").groupBy("content").agg(F.first("text").alias("text")))
-    allowed = pairs_left * contents.count()
-
-    edges, tested, roots, turn = None, None, None, 0
-    while True:
-        if roots is None:
-            placed = live.withColumn("root", F.col("content"))
-        else:
-            placed = live.join(roots.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-            open_ = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-            placed = materialize(placed.join(open_, "band"))
-        if turn == 0:
-            left = None
-        else:
-            by_root = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-            per_band = by_root.groupBy("band").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-            left = per_band.agg(F.sum("pairs")).first()[0] or 0
-            if not left:
-                return edges
-        other = placed.select("band", F.col("content").alias("b"), F.col("n_shingles").alias("b_size"), F.col("root").alias("b_root"))
-        last = left is not None and left <= allowed
-        if last:
-            met = placed.join(other, "band").where("content < b AND root <> b_root")
-        else:
-            # The first hub is the same for buckets of the same contents; later ones differ.
-            order = F.col("b") if turn == 0 else F.xxhash64("b", "band", F.lit(turn))
-            hubs = other.groupBy("band").agg(F.min(F.struct(order.alias("order"), "b", "b_size", "b_root")).alias("hub")).select("band", "hub.b", "hub.b_size", "hub.b_root")
-            met = placed.join(hubs, "band").where("content <> b AND root <> b_root")
-        pairs = met.where(_sizes_allow("n_shingles", "b_size", percent)).select(F.col("content").alias("a"), "b").distinct()
-        if tested is not None:
-            both_ways = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(both_ways, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        found = materialize(confirm(pairs, texts, shingle, percent))
-        edges = found if edges is None else materialize(edges.unionByName(found))
-        if last:
-            return edges
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = connected_components(edges)
-        live = materialize(placed.join(hubs.select("band", "b"), "band").where("content <> b").select("band", "content", "n_shingles"))
-        turn += 1
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, pairs_left: int = PAIRS_LEFT) -> DataFrame:
+
+    to_hubs = materialize(confirm(materialize(_hubs(live, percent)), texts, shingle, percent))
+    roots = connected_components(to_hubs).select(F.col("node").alias("content"), "root")
+    open_ = materialize(_open(live.join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))))
+    sets = _sets(texts.join(open_.select("content").distinct(), "content", "left_semi"), shingle)
+    across = materialize(_across(open_, materialize(sets), percent, block, block_shingles))
+    return materialize(to_hubs.unionByName(confirm(across, texts, shingle, percent)))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     signed = materialize(sign(docs, text, key, shingle, permutations, rows, percent))
     contents = materialize(contents_of(signed))
-    roots = connected_components(links(contents, docs, text, shingle, percent, pairs_left)).select(F.col("node").alias("content"), "root")
+    roots = connected_components(links(contents, docs, text, shingle, percent, block, block_shingles)).select(F.col("node").alias("content"), "root")
     named = contents.select("content", "least").join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(least, "root").select("content", "component_id")

@@ -56,14 +56,14 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("pairs_left", [0, 1000])
-def test_min_max_dedup(spark, tmp_path, pairs_left):
+@pytest.mark.parametrize("options", [{}, {"block": 8, "block_shingles": 500}])
+def test_min_max_dedup(spark, tmp_path, options):
     rows = near_rows()
     want = brute(rows)
-    if pairs_left:
+    if not options:
         assert got(queries.queries()["op12_minmax_dedup"](spark, write_tables(spark, tmp_path, rows))) == want
     df = awkward(spark, rows, "text AS content;doc_id AS band;text AS A;1 AS text_key")
-    assert got(minmax_dedup.near_duplicates(df, pairs_left=pairs_left)) == want
+    assert got(minmax_dedup.near_duplicates(df, **options)) == want
     assert sum(n for (d, _, c, _), n in want.items() if d and 1000 <= d < 1060 and c == 1000) > 15
 
 
