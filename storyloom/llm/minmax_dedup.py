@@ -268,7 +268,7 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int, block: int, block_sh
     dealt = materialize(counts.withColumn("label", label).groupBy("band", "label").agg(blocks.alias("blocks")))
     of_root = counts.select("band", "root", label.alias("label")).join(dealt, ["band", "label"])
     place = F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")
-    members = rows.join(of_root, ["band", "root"]).select("band", "label", place.alias("block"), "content", "n_shingles", "root")
+    members = materialize(rows.join(of_root, ["band", "root"]).select("band", "label", place.alias("block"), "content", "n_shingles", "root"))
 
     each = dealt.select("band", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     other = each.select("band", F.col("label").alias("label_2"), F.col("block").alias("block_2"))
