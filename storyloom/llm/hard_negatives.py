@@ -47,7 +47,7 @@ from storyloom.llm.common import materialize
 
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90  # per cent of the positive's score
-FANOUT, LEAF_ROWS, MAX_DEPTH = 8, 256, 6
+FANOUT, LEAF_ROWS, MAX_DEPTH = 8, 2048, 6
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 32 << 20
 #: Rows and anchors that meet in one product; anchors that are multiplied at a time.
 BLOCK_ROWS, BLOCK_ANCHORS, ANCHORS_AT_ONCE = 16_384, 4_096, 128
