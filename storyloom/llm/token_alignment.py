@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import byte_slices, materialize
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Units that are encoded in one call, and units a worker remembers (it starts anew beyond that).
-UNITS_AT_ONCE, REMEMBERED_UNITS = 500, 300_000
+UNITS_AT_ONCE, REMEMBERED_UNITS = 500, 150_000
 SPACE = "▁"  # B's mark of a space
 WHITE = re.compile(r"(?:^|\s) ")  # a space that follows white space
 UNIT_BORDER = re.compile(r"(?<=\S) ")
