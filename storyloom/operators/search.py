@@ -1,11 +1,8 @@
 """Top-k search for many queries at once.
 
-Exact dense search scores every (query, vector) pair next to the vectors with the
-query table broadcast (its size is checked first); ``row_number() <= k`` per query is
-planned by Catalyst as a partial per-task limit followed by a final one, so only k rows
-per query and task are shuffled.  Partitioned (inverted-file) search replaces the
-product by an equi-join on list id.  Text search is a sparse product in Arrow batches,
-next to the documents, with a top-k per task.
+Dense search is a product of matrices next to the vectors (``operators.dense``), or inside
+the probed lists of a stored index (``operators.ivf``).  Text search is a sparse product in
+Arrow batches, next to the documents, with a top-k per task.
 """
 
 from __future__ import annotations
@@ -17,34 +14,21 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.functions.vectors import dot, l2_normalize, let
-from storyloom.session import path_exists
+from storyloom.operators.dense import assign_lists, dense_topk, label_centroids, neighbours, rank_topk, similarity_pairs  # noqa: F401
+from storyloom.operators.ivf import DEFAULT_NPROBE, build_index, ivf_topk, search_index  # noqa: F401
+from storyloom.session import ensure_checkpoint_dir, path_exists
 
-# Fixed value: the default number of lists probed.
-DEFAULT_NPROBE = 10
 # Largest query (or centroid) table broadcast in one piece.
 MAX_BROADCAST_ROWS = 20_000
-# Largest centroid table of a partitioned index (nlist = sqrt(n) stays below it up to
-# about 6.9e10 vectors); every query and vector is compared with all centroids.
-MAX_CENTROIDS = 262_144
 # Topics of a text search sent to the tasks in one piece.
 MAX_TOPIC_TERMS = 500_000
 MAX_TOPICS = 5_000
 # Scores of a text search computed at once.
 CELLS = 1 << 20
-# A top-k is merged in this many groups of tasks before the last merge.
-MERGE_GROUPS = 64
-
-
-def _checked_centroids(centroids: DataFrame) -> DataFrame:
-    n = centroids.count()
-    if n > MAX_CENTROIDS:
-        raise ValueError(f"{n} centroids exceed MAX_CENTROIDS={MAX_CENTROIDS}; use fewer lists")
-    return centroids
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int]:
@@ -53,156 +37,21 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tupl
     return (F.broadcast(df) if n <= max_rows else df), n
 
 
-def _blocks(queries: DataFrame, q_id: str, n: int, max_rows: int) -> list[DataFrame]:
-    """Split an oversized query table into hash blocks that each fit a broadcast."""
-    if n <= max_rows:
-        return [F.broadcast(queries)]
-    nblocks = math.ceil(n / max_rows) * 2
-    keyed = queries.withColumn("_blk", F.pmod(F.xxhash64(F.col(q_id)), F.lit(nblocks)))
-    return [F.broadcast(keyed.filter(F.col("_blk") == b).drop("_blk")) for b in range(nblocks)]
-
-
-def rank_topk(scored: DataFrame, k: int, q_id: str = "topic_id", c_id: str = "id",
-              score: str = "similarity_score", ties: Sequence[str] = ()) -> DataFrame:
-    """Keep the k best rows per query: score descending, then id and ``ties`` ascending; 1-based rank.
-
-    Merged in two steps, groups of tasks first, so that no task gets k rows of every task.
-    """
-    order = [F.col(score).desc(), F.col(c_id).asc(), *(F.col(c).asc() for c in ties)]
-    group = Window.partitionBy(q_id, "task_group").orderBy(*order)
-    best = scored.withColumn("task_group", F.spark_partition_id() % MERGE_GROUPS)
-    best = best.withColumn("rank", F.row_number().over(group)).filter(F.col("rank") <= k).drop("task_group", "rank")
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy(q_id).orderBy(*order))).filter(F.col("rank") <= k)
-
-
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "topic_id",
-               q_vec: str = "embedding", c_id: str = "id", c_vec: str = "embedding",
-               exclude_self: bool = False, max_broadcast: int = MAX_BROADCAST_ROWS,
-               normalize_queries: bool = True) -> DataFrame:
-    """Exact inner-product top-k for every query: ``(q_id, rank, id, similarity_score)``.
-
-    Query vectors are L2-normalised like the encoder's query path (skip with
-    ``normalize_queries=False`` when they already are).  With ``exclude_self`` a query
-    never matches the corpus row with its own id.
-    """
-    qv = l2_normalize(F.col(q_vec)) if normalize_queries else F.col(q_vec)
-    q = queries.select(F.col(q_id).alias("_qid"), qv.alias("_qv"))
-    c = corpus.select(F.col(c_id).alias(c_id), F.col(c_vec).alias("_cv"))
-    n = q.count()
-    parts = []
-    for block in _blocks(q, "_qid", n, max_broadcast):
-        pairs = c.join(block, how="inner", on=(F.col(c_id) != F.col("_qid")) if exclude_self else None)
-        parts.append(pairs.select(F.col("_qid").alias(q_id), F.col(c_id), dot(F.col("_qv"), F.col("_cv")).alias("similarity_score")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return rank_topk(scored, k, q_id, c_id).select(q_id, "rank", c_id, "similarity_score")
-
-
-def neighbours(corpus: DataFrame, anchors: DataFrame, k: int = 10, c_id: str = "id",
-               c_vec: str = "embedding") -> DataFrame:
-    """Nearest corpus rows of given anchor ids, the anchor itself removed.
-
-    Unknown anchor ids produce no rows (inner join), as an empty answer.
-    """
-    q = corpus.join(anchors.select(F.col(c_id)).distinct(), c_id, "inner").select(
-        F.col(c_id).alias("anchor_id"), F.col(c_vec).alias("embedding"))
-    return dense_topk(q, corpus, k, q_id="anchor_id", exclude_self=True, c_id=c_id, c_vec=c_vec,
-                      normalize_queries=False)
-
-
-def similarity_pairs(members: DataFrame, vectors: DataFrame, group: str = "topic_id",
-                     c_id: str = "id", c_vec: str = "embedding") -> DataFrame:
-    """Pairwise inner products inside bounded member sets (T7), long form ``id1 < id2``.
-
-    ``members`` is ``(group, id)``; every set must be small (for example a top-k hit
-    list), since the output is quadratic in the set size.
-    """
-    m = members.select(group, c_id).join(vectors.select(c_id, c_vec), c_id)
-    a = m.select(F.col(group), F.col(c_id).alias("id1"), F.col(c_vec).alias("v1"))
-    b = m.select(F.col(group), F.col(c_id).alias("id2"), F.col(c_vec).alias("v2"))
-    return (a.join(b, group).filter(F.col("id1") < F.col("id2"))
-             .select(group, "id1", "id2", dot(F.col("v1"), F.col("v2")).alias("similarity")))
-
-
-def assign_lists(corpus: DataFrame, centroids: DataFrame, c_id: str = "id",
-                 c_vec: str = "embedding") -> DataFrame:
-    """Nearest centroid (largest inner product, then lowest list id) for every vector.
-
-    The centroid table (``list_id, centroid``; bounded by ``nlist``) is packed into one
-    broadcast row, so the arg-max runs inside each corpus row with no shuffle.
-    """
-    packed = _checked_centroids(centroids).agg(F.sort_array(F.collect_list(F.struct("list_id", "centroid"))).alias("_cents"))
-    joined = corpus.select(c_id, c_vec).crossJoin(F.broadcast(packed))
-    init = F.struct(F.lit(-1).cast("long").alias("lid"), F.lit(float("-inf")).alias("best"))
-    best = F.aggregate(
-        F.col("_cents"), init,
-        lambda acc, ce: let(dot(F.col(c_vec), ce["centroid"]), lambda s: F.when(
-            s > acc["best"], F.struct(ce["list_id"].cast("long").alias("lid"), s.alias("best"))).otherwise(acc)),
-    )
-    return joined.select(c_id, c_vec, best["lid"].alias("list_id"))
-
-
-def label_centroids(corpus: DataFrame, label: str = "label", c_vec: str = "embedding") -> DataFrame:
-    """Unit mean vector per label: ``(list_id, centroid ARRAY<DOUBLE>)``.
-
-    Per-dimension sums are combined map-side before the shuffle, so the shuffle carries
-    only (label, dimension) partial sums.
-    """
-    e = corpus.select(F.col(label).alias("list_id"), F.posexplode(c_vec).alias("pos", "x"))
-    per_dim = e.groupBy("list_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    vec = per_dim.groupBy("list_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
-    return vec.select("list_id", l2_normalize(F.col("centroid")).alias("centroid"))
-
-
-def kmeans_centroids(corpus: DataFrame, nlist: int | None = None, seed: int = 7,
-                     c_vec: str = "embedding", max_iter: int = 20) -> DataFrame:
-    """Trained centroids (Spark ML k-means), ``nlist = int(sqrt(n))`` by default."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    if nlist is None:
-        nlist = max(1, int(math.sqrt(corpus.count())))
-    feats = corpus.select(array_to_vector(F.col(c_vec)).alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(feats)
-    spark = corpus.sparkSession
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    cents = spark.createDataFrame(rows, "list_id long, centroid array<double>")
-    return cents.select("list_id", l2_normalize(F.col("centroid")).alias("centroid"))
-
-
-def ivf_topk(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int,
-             nprobe: int = DEFAULT_NPROBE, q_id: str = "topic_id", q_vec: str = "embedding",
-             c_id: str = "id", c_vec: str = "embedding", normalize_queries: bool = True) -> DataFrame:
-    """Partitioned search: probe the ``nprobe`` nearest lists of each query, then rank
-    exactly inside them.  ``assigned`` is the corpus with a ``list_id`` column (store it
-    ``partitionBy(list_id)`` so probing prunes files).  Candidates are found by an
-    equi-join on list id against the broadcast probe table."""
-    qv = l2_normalize(F.col(q_vec)) if normalize_queries else F.col(q_vec)
-    q = queries.select(F.col(q_id).alias("_qid"), qv.alias("_qv"))
-    probe_scores = q.crossJoin(F.broadcast(_checked_centroids(centroids))).select(
-        "_qid", "_qv", "list_id", dot(F.col("_qv"), F.col("centroid")).alias("_cs"))
-    w = Window.partitionBy("_qid").orderBy(F.col("_cs").desc(), F.col("list_id").asc())
-    probes = probe_scores.withColumn("_pr", F.row_number().over(w)).filter(F.col("_pr") <= nprobe)
-    probes, _ = checked_broadcast(probes.select("_qid", "_qv", "list_id"))
-    cand = assigned.select(c_id, c_vec, "list_id").join(probes, "list_id")
-    scored = cand.select(F.col("_qid").alias(q_id), F.col(c_id), dot(F.col("_qv"), F.col(c_vec)).alias("similarity_score"))
-    return rank_topk(scored, k, q_id, c_id).select(q_id, "rank", c_id, "similarity_score")
-
-
 def search(queries: DataFrame, corpus: DataFrame, k: int, mode: str = "flat",
-           nprobe: int = DEFAULT_NPROBE, **kw) -> DataFrame:
-    """Mode choice (T4): ``flat`` is exact at every size; ``ivf``, with ``nlist = int(sqrt(n))``
-    trained centroids, is approximate and only runs when asked for.  Scores are inner
+           nprobe: int = DEFAULT_NPROBE, folder: str | None = None, **kw) -> DataFrame:
+    """Mode choice (T4): ``flat`` is exact at every size; ``ivf``, a stored index with
+    ``int(sqrt(n))`` trained lists, is approximate and only runs when asked for.  The index
+    in ``folder`` is used if it is there, and otherwise built first.  Scores are inner
     products in both."""
     if mode not in ("flat", "ivf"):
         raise ValueError(f"unknown search mode {mode!r}")
     if mode == "flat":
         return dense_topk(queries, corpus, k, **kw)
-    cents = kmeans_centroids(corpus)
-    assigned = assign_lists(corpus, cents)
-    return ivf_topk(queries, assigned, cents, k, nprobe=nprobe, **kw)
+    spark = corpus.sparkSession
+    folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    if not path_exists(spark, f"{folder}/lists"):
+        build_index(corpus, folder, c_id=kw.pop("c_id", "id"), c_vec=kw.pop("c_vec", "embedding"))
+    return search_index(queries, folder, k, nprobe, **kw)
 
 
 def _block_scorer(topics: pa.Table, k: int, keys: list[str]) -> Callable:

@@ -43,10 +43,8 @@ def dense_hits(make_encoder: Callable, dim: int, folder: str, model: str, rebuil
 
     def retrieve(topics: DataFrame, articles: DataFrame, k: int) -> DataFrame:
         stored = embed.embed_with_store(articles.select("id", "row_key", "full_text"), folder, model, encode, rebuild=rebuild)
-        corpus = stored.select(F.struct("id", "row_key").alias("article"), "embedding")
         queries = embed.encode(topics, "topic", make_encoder, dim).select("topic_id", "embedding")
-        hits = search.dense_topk(queries, corpus, k, c_id="article")
-        return hits.select("topic_id", "rank", "article.*", "similarity_score")
+        return search.dense_topk(queries, stored, k, carry=["row_key"])
 
     return retrieve
 

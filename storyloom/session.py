@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -66,3 +67,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, on any file system Spark reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per Spark context (functions that
+    run in Arrow batches import them there)."""
+    name = "storyloom_modules.zip"
+    if any(os.path.basename(p) == name for p in spark.sparkContext._python_includes):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), name)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
