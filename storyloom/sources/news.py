@@ -1,7 +1,8 @@
-"""Read news article JSON (bare array, or an object wrapping the array) and land it.
+"""Read news article JSON (bare array, object wrapping the array, or articles one by one) and land it.
 
-A multi-line JSON file is read by one task, so the reader is meant to run once per
-incoming file and land the rows as Parquet; all later work reads the Parquet copy.
+Files are read by many tasks each (``sources.json_arrays``).  Every article is parsed once,
+into a VARIANT that keeps all its fields; the fields that the cleaner reads are taken from
+it by path, as strings, so ratings such as ``"abc"`` do not fail the read.
 """
 
 from __future__ import annotations
@@ -10,26 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.operators.clean import RAW_STRING_FIELDS
+from storyloom.sources.json_arrays import read_elements
 
 # Fixed value: wrapper keys, tried in this order.
 WRAPPER_KEYS = ["items", "articles", "data", "news"]
 
-ARTICLE_DDL = ", ".join([f"`{c}` STRING" for c in RAW_STRING_FIELDS] + ["tags ARRAY<STRING>"])
 
+def read_news_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Raw article rows from JSON files at ``path``: the cleaner's fields and ``raw``, the
+    whole article as VARIANT.  An article that is not valid JSON has nulls only."""
+    return parse_articles(read_elements(spark, path, WRAPPER_KEYS), "text")
 
-def read_news_json(spark: SparkSession, path: str) -> DataFrame:
-    """Raw article rows from JSON files at ``path`` (all fields read as strings, so
-    ratings such as ``"abc"`` do not fail the read; the cleaner casts them safely)."""
-    wrapper_ddl = ", ".join(f"`{k}` ARRAY<STRUCT<{ARTICLE_DDL.replace(' STRING', ': STRING').replace(' ARRAY<STRING>', ': ARRAY<STRING>')}>>"
-                            for k in WRAPPER_KEYS)
-    df = spark.read.schema(f"{ARTICLE_DDL}, {wrapper_ddl}").option("multiLine", True).json(path)
-    wrapped = F.coalesce(*[F.col(k) for k in WRAPPER_KEYS])
-    fields = RAW_STRING_FIELDS + ["tags"]
-    bare = df.filter(wrapped.isNull()).select(*fields)
-    inner = df.filter(wrapped.isNotNull()).select(F.inline(wrapped)).select(*fields)
-    return bare.unionByName(inner)
+
+def parse_articles(rows: DataFrame, text: str) -> DataFrame:
+    """The cleaner's fields and ``raw`` of JSON texts, one article each."""
+    parsed = rows.select(F.try_parse_json(F.col(text)).alias("raw"))
+    fields = [F.try_variant_get("raw", f"$.{c}", "string").alias(c) for c in RAW_STRING_FIELDS]
+    return parsed.select(*fields, F.try_variant_get("raw", "$.tags", "array<string>").alias("tags"), "raw")
 
 
 def land(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write raw rows as Parquet (the splittable copy later jobs read)."""
+    """Write raw rows as Parquet (the copy later jobs read), ``raw`` included."""
     df.write.mode(mode).parquet(path)
