@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RULE = "=" * 80
@@ -14,7 +14,8 @@ def write_storylines(docs: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def hits_readable(hits: DataFrame) -> DataFrame:
-    """S6 text form: one block per hit (rank, score with 4 decimals, endpoint fields, text).
+    """S6 text form: one block per hit (rank, score with 4 decimals, endpoint fields, text),
+    and a closing rule behind the last hit of a query.
 
     ``hits`` needs ``rank, similarity_score, text, metadata{endpoint_name, category,
     method, url}``.
@@ -27,7 +28,10 @@ def hits_readable(hits: DataFrame) -> DataFrame:
                         F.concat(F.lit("Method: "), F.col("metadata.method")),
                         F.concat(F.lit("URL: "), F.col("metadata.url")),
                         F.concat(F.lit("\n"), F.col("text")))
-    return hits.select(*[c for c in ("topic_id",) if c in hits.columns], "rank", block.alias("value"))
+    keys = [c for c in ("topic_id",) if c in hits.columns]
+    last = F.max("rank").over(Window.partitionBy(*keys)) == F.col("rank")
+    closed = F.when(last, F.concat(block, F.lit(f"\n\n{RULE}"))).otherwise(block)
+    return hits.select(*keys, "rank", closed.alias("value"))
 
 
 def write_hits(hits: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
