@@ -53,7 +53,8 @@ def _is_valid() -> Column:
 def clean_articles(raw: DataFrame, min_rating: float = 0.0, keep_raw: bool = False) -> DataFrame:
     """Rating filter (inclusive) + validity gate + normalised article columns.
 
-    Missing ids fall back to a stable hash of headline, content, date and url (first 16 hex
+    The whole article stays in ``raw`` when the input has that column (see ``sources.news``),
+    or as JSON text with ``keep_raw``.  Missing ids fall back to a stable hash of headline, content, date and url (first 16 hex
     digits of the MD5), so the same article gets the same id on every run and others do not.
     """
     df = with_raw_fields(raw)
@@ -80,7 +81,9 @@ def clean_articles(raw: DataFrame, min_rating: float = 0.0, keep_raw: bool = Fal
         F.coalesce(F.col("contentType"), F.lit("General")).alias("category"),
         F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
     ]
-    if keep_raw:
+    if "raw" in raw.columns:  # the whole article, as landed
+        cols.append(F.col("raw"))
+    elif keep_raw:
         cols.append(F.to_json(F.struct(*[F.col(c) for c in raw.columns])).alias("raw"))
     return df.filter((rating >= F.lit(min_rating)) & _is_valid()).select(*cols)
 
@@ -90,15 +93,16 @@ def row_key() -> Column:
     return F.xxhash64(*[F.col(c) for c in CLEAN_COLUMNS])
 
 
+def accounting(min_rating: float = 0.0) -> list[Column]:
+    """Rows read, rows passing the rating filter, rows kept after the gate, as aggregates
+    over ``with_raw_fields`` rows; for ``agg`` or, without a pass of their own, ``observe``."""
+    passes = resolve_rating() >= F.lit(min_rating)
+    return [F.count(F.lit(1)).alias("total_read"), F.count_if(passes).alias("rating_passed"), F.count_if(passes & _is_valid()).alias("kept")]
+
+
 def load_accounting(raw: DataFrame, min_rating: float = 0.0) -> DataFrame:
     """One row: rows read, rows passing the rating filter, rows kept after the gate."""
-    df = with_raw_fields(raw)
-    passes = resolve_rating() >= F.lit(min_rating)
-    return df.agg(
-        F.count(F.lit(1)).alias("total_read"),
-        F.count_if(passes).alias("rating_passed"),
-        F.count_if(passes & _is_valid()).alias("kept"),
-    )
+    return with_raw_fields(raw).agg(*accounting(min_rating))
 
 
 def is_complete() -> Column:

@@ -23,9 +23,9 @@ def read_eval_set(spark, path: str) -> tuple[DataFrame, DataFrame]:
     Blank lines, ``#`` comments and unparsable lines land in ``_corrupt_record``; rows
     need both ``topic`` and ``reference`` non-empty.  Rejects are kept for inspection.
     """
-    raw = (spark.read.schema("topic string, reference string, _corrupt_record string")
-                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    raw = raw.cache()
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    lines = spark.read.text(path).select(F.from_json("value", "topic string, reference string, _corrupt_record string", options).alias("row"), "value")
+    raw = lines.select("row.topic", "row.reference", F.coalesce("row._corrupt_record", F.when(F.col("row").isNull(), F.col("value"))).alias("_corrupt_record"))
     ok = (F.col("_corrupt_record").isNull() & (F.coalesce("topic", F.lit("")) != "") & (F.coalesce("reference", F.lit("")) != ""))
     return raw.filter(ok).select("topic", "reference"), raw.filter(~ok)
 
@@ -44,6 +44,19 @@ def faithfulness(claims: DataFrame) -> DataFrame:
     return claims.groupBy("topic_id").agg(F.avg(F.col("supported").cast("double")).alias("faithfulness"))
 
 
+def question_scores(questions: DataFrame, topics: DataFrame) -> DataFrame:
+    """``(topic_id, q, cosine)`` of each question with its topic, both as term vectors.
+
+    ``questions``: topic_id, q, terms, tf, sumsq; ``topics``: topic_id, terms, tf, sumsq (see
+    ``embed.term_vectors``).  Without a common term the cosine is 0.
+    """
+    flat = lambda df, name, *keys: df.select(*keys, F.col("sumsq").alias(f"{name}_ss"), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tf").alias(f"{name}_tf"))))
+    met = flat(questions, "q", "topic_id", "q").join(flat(topics, "t", "topic_id"), ["topic_id", "term"])
+    dots = met.groupBy("topic_id", "q", "q_ss", "t_ss").agg(F.sum(F.col("q_tf").cast("long") * F.col("t_tf").cast("long")).alias("dot"))
+    cosine = F.col("dot") / F.sqrt(F.col("q_ss").cast("double") * F.col("t_ss").cast("double"))
+    return questions.select("topic_id", "q").join(dots, ["topic_id", "q"], "left").select("topic_id", "q", F.coalesce(cosine, F.lit(0.0)).alias("cosine"))
+
+
 def answer_relevancy(question_scores: DataFrame) -> DataFrame:
     """``question_scores``: ``(topic_id, q, cosine)``."""
     return question_scores.groupBy("topic_id").agg(F.avg("cosine").alias("answer_relevancy"))
@@ -71,6 +84,12 @@ def metrics_table(sample_rows: DataFrame, *parts: DataFrame) -> DataFrame:
     return out
 
 
+def per_query(sample_rows: DataFrame, verdicts: dict[str, DataFrame]) -> DataFrame:
+    """The four metrics of every sample from the verdict tables claims, questions, contexts and statements."""
+    return metrics_table(sample_rows, faithfulness(verdicts["claims"]), answer_relevancy(verdicts["questions"]),
+                         context_precision(verdicts["contexts"]), context_recall(verdicts["statements"]))
+
+
 def nan_safe_mean(c: str):
     """Mean ignoring NaN and NULL; NULL when nothing is left."""
     return F.avg(F.nullif(F.col(c), F.lit(float("nan"))))

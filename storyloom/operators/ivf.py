@@ -173,6 +173,28 @@ def search_lists(queries: DataFrame, probes: DataFrame, vectors: DataFrame, size
     return dense.rank_topk(found, k, q_id, "id").select(q_id, "rank", F.col("id").alias(c_id), "similarity_score")
 
 
+def probes_for_recall(queries: DataFrame, corpus: DataFrame, folder: str, k: int, target: float = 0.9, q_id: str = "topic_id", q_vec: str = "embedding", c_id: str = "id", c_vec: str = "embedding") -> int:
+    """The fewest probes that find a share ``target`` of the exact hits of some queries.
+
+    For a table of trial queries (unit vectors, a few hundred): each exact hit lies in one
+    list, and the place of that list in the query's order says from how many probes on the
+    hit is found.  Vectors that share an id count as one.
+    """
+    spark = queries.sparkSession
+    lists = spark.read.parquet(f"{folder}/lists")
+    exact = dense.dense_topk(queries, corpus, k, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, normalize_queries=False).select(q_id, F.col(c_id).alias("id"))
+    order = probe(queries, lists, lists.count(), q_id, q_vec)
+    placed = exact.join(read_vectors(spark, folder).select("id", "list_id"), "id").join(order, [q_id, "list_id"])
+    per_hit = placed.groupBy(q_id, "id").agg(F.min("rank").alias("rank"))
+    shares = per_hit.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).orderBy("rank").collect()  # one row per list at most
+    total, seen = exact.count(), 0
+    for row in shares:
+        seen += row["n"]
+        if seen >= target * total:
+            return row["rank"]
+    return max(1, len(shares))
+
+
 def search_index(queries: DataFrame, folder: str, k: int, nprobe: int = DEFAULT_NPROBE, q_id: str = "topic_id", q_vec: str = "embedding", normalize_queries: bool = True) -> DataFrame:
     """Approximate top-k from a stored index: ``(q_id, rank, id, similarity_score)``."""
     spark = queries.sparkSession

@@ -19,22 +19,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.operators.dense import assign_lists, dense_topk, label_centroids, neighbours, rank_topk, similarity_pairs  # noqa: F401
-from storyloom.operators.ivf import DEFAULT_NPROBE, build_index, ivf_topk, search_index  # noqa: F401
+from storyloom.operators.ivf import DEFAULT_NPROBE, build_index, ivf_topk, probes_for_recall, search_index  # noqa: F401
 from storyloom.session import ensure_checkpoint_dir, path_exists
 
-# Largest query (or centroid) table broadcast in one piece.
-MAX_BROADCAST_ROWS = 20_000
-# Topics of a text search sent to the tasks in one piece.
-MAX_TOPIC_TERMS = 500_000
+# Largest table broadcast by a hint, and topics of a text search sent to the tasks in one piece.
+MAX_BROADCAST_BYTES = 64 << 20
+MAX_TOPIC_BYTES = 16 << 20
 MAX_TOPICS = 5_000
 # Scores of a text search computed at once.
 CELLS = 1 << 20
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int]:
-    """Broadcast ``df`` only after counting it; returns ``(df_or_hinted_df, rows)``."""
-    n = df.count()
-    return (F.broadcast(df) if n <= max_rows else df), n
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a table of scalars (strings as they are, 16 for other values and for each row)."""
+    width = lambda f: F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 8 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(16)
+    total = F.lit(16)
+    for f in df.schema.fields:
+        total = total + width(f)
+    return df.agg(F.coalesce(F.sum(total.cast("long")), F.lit(0))).first()[0]
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its bytes, counted first, allow it."""
+    return F.broadcast(df) if table_bytes(df) <= max_bytes else df
 
 
 def search(queries: DataFrame, corpus: DataFrame, k: int, mode: str = "flat",
@@ -120,23 +127,24 @@ def _block_scorer(topics: pa.Table, k: int, keys: list[str]) -> Callable:
 
 
 def text_topk(topic_tv: DataFrame, doc_tv: DataFrame, k: int, carry: Sequence[str] = (),
-              max_terms: int = MAX_TOPIC_TERMS, max_topics: int = MAX_TOPICS) -> DataFrame:
+              max_bytes: int = MAX_TOPIC_BYTES, max_topics: int = MAX_TOPICS) -> DataFrame:
     """Cosine top-k of term vectors: ``(topic_id, rank, id, *carry, similarity_score)``.
 
     Both inputs come from ``term_vectors`` (topics with their id renamed ``topic_id``).
     Documents are scored where they were read, a batch at a time, against the topics'
     inverted index; ``k`` rows per topic and task leave it, so the corpus is not shuffled.
-    The index goes to the tasks whole; topics beyond ``max_terms`` terms or ``max_topics``
-    rows are dealt into blocks by hash, one pass over the documents each.  Dot products
-    and norms are exact integers, so equal texts get bit-identical scores.
+    The index goes to the tasks whole; topics beyond ``max_bytes`` of terms or ``max_topics``
+    rows are dealt into blocks by hash, one pass over the documents each; a block's hits are
+    written before the next block is fetched, so only one is held.  Dot products and norms are exact integers, so equal texts get bit-identical scores.
 
     Every topic gets ``min(k, n)`` hits: documents without a shared term score 0 and fill
     up by id.  Ties go by id, then by the ``carry`` columns of ``doc_tv`` (kept in the
     hits, to tell rows with equal ids apart); rows equal in all of them are separate hits.
     """
     keys = ["id", *carry]
-    size = topic_tv.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
-    blocks = max(1, math.ceil(size["terms"] / max_terms), math.ceil(size["n"] / max_topics))
+    term_bytes = F.aggregate("terms", F.lit(0).cast("long"), lambda acc, t: acc + F.octet_length(t) + 8)
+    size = topic_tv.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(term_bytes), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, math.ceil(size["bytes"] / max_bytes), math.ceil(size["n"] / max_topics))
     field = {f.name: f for f in [*doc_tv.schema.fields, *topic_tv.schema.fields]}
     schema = T.StructType([*(T.StructField(c, field[c].dataType) for c in ["topic_id", *keys]), T.StructField("similarity_score", T.DoubleType())])
     docs = doc_tv.select(*keys, "terms", "tf", "sumsq")
@@ -145,6 +153,7 @@ def text_topk(topic_tv: DataFrame, doc_tv: DataFrame, k: int, carry: Sequence[st
         some = topic_tv if blocks == 1 else topic_tv.where(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == b)
         topics = some.select("topic_id", "terms", "tf", "sumsq").toArrow()
         part = docs.mapInArrow(_block_scorer(topics, k, keys), schema) if topics.num_rows else docs.sparkSession.createDataFrame([], schema)
+        part = part.checkpoint() if blocks > 1 else part
         scored = part if scored is None else scored.unionByName(part)
     return rank_topk(scored, k, ties=carry).select("topic_id", "rank", *keys, "similarity_score")
 

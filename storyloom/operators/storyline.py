@@ -53,8 +53,8 @@ def topic_articles(hits: DataFrame, articles: DataFrame) -> DataFrame:
     own = [row_key().alias("row_key")] if "row_key" in hits.columns else []
     # The hit list holds at most k rows per topic; it is broadcast after a size check,
     # so the article table is only scanned, never shuffled, for this join.
-    small_hits, _ = checked_broadcast(hits, 2_000_000)
-    ta = articles.select(*cols, *own).join(small_hits, on, "inner").drop("row_key")
+    kept = ["raw"] if "raw" in articles.columns else []
+    ta = articles.select(*cols, *kept, *own).join(checked_broadcast(hits), on, "inner").drop("row_key")
     w = Window.partitionBy("topic_id").orderBy(F.col("date").asc(), F.col("rank").asc())
     ta = ta.select("*", F.dense_rank().over(w).alias("pos"), F.lag("rank").over(w).eqNullSafe(F.col("rank")).alias("repeat"))
     return ta.where("not repeat").drop("repeat")
@@ -336,7 +336,8 @@ def heuristic_summary(topics: DataFrame, ta: DataFrame) -> DataFrame:
 def storyline_documents(topics: DataFrame, ta: DataFrame, as_of: str, generated: DataFrame | None = None,
                         reasons: DataFrame | None = None) -> DataFrame:
     """One nested row per topic — topic, generation_mode, narrative_summary,
-    timeline, clusters and graph (nodes, edges, counts).
+    timeline, clusters and graph (nodes, edges, counts); and sources (rank, id and the whole
+    article as JSON) when the articles carry ``raw``.
 
     ``generated`` (``topic_id, summary``) holds accepted generated summaries; a topic
     uses it when it is non-empty (``rag_vllm``), else the heuristic one.
@@ -360,6 +361,11 @@ def storyline_documents(topics: DataFrame, ta: DataFrame, as_of: str, generated:
     mode = F.when(use_gen, F.lit(MODE_GENERATED)).otherwise(F.lit(MODE_HEURISTIC))
     summary = F.when((F.col("article_count") > 0) & use_gen, F.col("gen_summary")).otherwise(F.col("heuristic_summary"))
     j = j.join(tl, "topic_id", "left").join(cl, "topic_id", "left").join(nodes, "topic_id", "left").join(ed, "topic_id", "left")
+    sources = []
+    if "raw" in ta.columns:  # the articles as they came, in retrieval order
+        own = ta.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", F.to_json("raw").alias("raw")))).alias("sources"))
+        j = j.join(own, "topic_id", "left")
+        sources = [F.coalesce("sources", F.array().cast(own.schema["sources"].dataType.simpleString())).alias("sources")]
     return j.select(
         "topic_id", "topic", mode.alias("generation_mode"), summary.alias("narrative_summary"),
         F.coalesce("timeline", F.array().cast(tl.schema["timeline"].dataType.simpleString())).alias("timeline"),
@@ -368,4 +374,5 @@ def storyline_documents(topics: DataFrame, ta: DataFrame, as_of: str, generated:
                  F.coalesce("edges", F.array().cast(ed.schema["edges"].dataType.simpleString())).alias("edges"),
                  F.size(F.coalesce("nodes", F.array().cast(nodes.schema["nodes"].dataType.simpleString()))).alias("node_count"),
                  F.size(F.coalesce("edges", F.array().cast(ed.schema["edges"].dataType.simpleString()))).alias("edge_count")).alias("graph"),
+        *sources,
     )

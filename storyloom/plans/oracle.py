@@ -98,6 +98,15 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY s DESC, i
 SELECT topic_id, rank, id, round(s, 6) AS similarity_score FROM ranked WHERE rank <= {k}"""
 
 
+def accounting_sql() -> str:
+    return with_(RAW) + f"""
+SELECT count(*) AS total_read,
+       count(*) FILTER (WHERE coalesce(nullif(TRY_CAST(source_rating AS DOUBLE), 0), 0.0) >= {P.ACCOUNTING_MIN_RATING}) AS rating_passed,
+       count(*) FILTER (WHERE coalesce(nullif(TRY_CAST(source_rating AS DOUBLE), 0), 0.0) >= {P.ACCOUNTING_MIN_RATING}
+                          AND length(regexp_replace(coalesce(nullif(title, ''), ''), '^\\s+|\\s+$', '', 'g')) >= 10) AS kept
+FROM raw"""
+
+
 def oracle_sql() -> dict[str, str]:
     arts = with_(*articles_cte())
     return {
@@ -105,12 +114,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_articles": arts + """
 SELECT id, headline, content, full_text, date, url, source, round(source_rating, 6) AS source_rating, author, category
 FROM articles""",
-        "load_accounting": with_(RAW) + f"""
-SELECT count(*) AS total_read,
-       count(*) FILTER (WHERE coalesce(nullif(TRY_CAST(source_rating AS DOUBLE), 0), 0.0) >= {P.ACCOUNTING_MIN_RATING}) AS rating_passed,
-       count(*) FILTER (WHERE coalesce(nullif(TRY_CAST(source_rating AS DOUBLE), 0), 0.0) >= {P.ACCOUNTING_MIN_RATING}
-                          AND length(regexp_replace(coalesce(nullif(title, ''), ''), '^\\s+|\\s+$', '', 'g')) >= 10) AS kept
-FROM raw""",
+        "load_accounting": accounting_sql(),
         "article_stats": arts + """
 SELECT count(*) AS total_articles, count(DISTINCT source) AS sources,
        min(nullif(date, '')) AS earliest_date, max(nullif(date, '')) AS latest_date,

@@ -18,13 +18,13 @@ replies AS (
   SELECT topic_id, CAST(a AS BIGINT) AS attempt,
          CASE topic_id % 15
            WHEN 0 THEN valid
-           WHEN 1 THEN 'Here you go:' || {NL} || '```json' || {NL} || valid || {NL} || '```' || {NL} || 'thanks'
-           WHEN 2 THEN 'Sure {{not json}} then ' || valid || ' Done.'
+           WHEN 1 THEN 'The object follows.' || {NL} || '```json' || {NL} || valid || {NL} || '```' || {NL} || 'End of reply'
+           WHEN 2 THEN 'Notes {{rough draft}} and now the result: ' || valid || ' (final version)'
            WHEN 3 THEN CASE WHEN a = 1 THEN '{{"summary": "Claim [1] and [0] and [' || CAST(n + 1 AS VARCHAR) || '].", "timeline": ' || tlv || '}}' ELSE valid END
-           WHEN 4 THEN '{{"summary": "No citations here.", "timeline": ' || tlv || '}}'
+           WHEN 4 THEN '{{"summary": "Nobody is quoted in this text.", "timeline": ' || tlv || '}}'
            WHEN 5 THEN '{{"summary": "Cited [1].", "timeline": [{{"id": "' || id1 || '", "why_it_matters": "ok"}}, {{"id": "fake-' || CAST(topic_id AS VARCHAR) || '", "why_it_matters": "made up"}}]}}'
            WHEN 6 THEN '{{"summary": "Big [99999999999999999999] claim [1].", "timeline": ' || tlv || '}}'
-           WHEN 7 THEN CASE WHEN a = 1 THEN 'no json here at all' ELSE valid END
+           WHEN 7 THEN CASE WHEN a = 1 THEN 'busy, please ask later' ELSE valid END
            WHEN 8 THEN ''
            WHEN 9 THEN valid || ' trailing words'
            WHEN 10 THEN '[' || valid || ']'

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from storyloom.plans import params as P
-from storyloom.plans.oracle import CENTROIDS, articles_cte, hits_ctes, with_
+from storyloom.plans.oracle import CENTROIDS, accounting_sql, articles_cte, hits_ctes, with_
 from storyloom.plans.oracle_generation import GROUND, PARSE, REPLIES
 
 TOKENS = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
@@ -72,9 +72,37 @@ ep AS (SELECT collection_id, CASE WHEN len(segs) >= 3 THEN '0.0.0' ELSE '0.0' EN
        FROM pg)"""
 
 
+# The stand-in generator: right at once, right when told, or never (by the topic's length).
+TOLD = """
+final AS (SELECT item_id AS topic_id, CASE length(text) % 3 WHEN 0 THEN 1 ELSE 2 END AS attempt, length(text) % 3 <> 2 AS grounded,
+                 CASE WHEN length(text) % 3 <> 2 THEN 'Sources [1] and [' || CAST(n AS VARCHAR) || '] tell of it.'
+                      ELSE 'Source [' || CAST(n + 1 AS VARCHAR) || '] tells of it.' END AS summary, n
+          FROM benchmark, (SELECT least({k}, count(*)) AS n FROM articles))"""
+
+
 def more_sql() -> dict[str, str]:
     ev = hits_ctes(P.EVAL_K) + [REPLIES, PARSE, GROUND, SAMPLES]
     return {
+        "vector_self_topk": f"""
+SELECT anchor_id, rank, id, round(s, 6) AS similarity_score FROM (
+  SELECT a.vec_id AS anchor_id, e.vec_id AS id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank
+  FROM embeddings a JOIN embeddings e ON a.vec_id % {P.SEARCH_STEP} = 0 AND a.vec_id <> e.vec_id) WHERE rank <= {P.DENSE_K}""",
+        "ivf_recall": f"""
+SELECT count(*) AS n_queries, CAST(sum(least({P.DENSE_K}, (SELECT count(*) FROM embeddings))) AS BIGINT) AS n_exact, true AS enough_found
+FROM embeddings WHERE vec_id % {P.SEARCH_STEP} = 0""",
+        "label_similarity": """
+SELECT CAST(a.label AS BIGINT) AS topic_id, count(*) AS n_pairs, round(avg(s), 6) AS mean_similarity, round(max(s), 6) AS max_similarity, round(min(s), 6) AS min_similarity
+FROM (SELECT a.label, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
+      FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) a GROUP BY a.label""",
+        "article_raw": with_(*articles_cte()) + """
+SELECT a.id, a.headline, d.n_chars, d.lang AS meta_lang, d.source AS meta_source FROM articles a JOIN documents d ON a.id = CAST(d.doc_id AS VARCHAR)""",
+        "feed_accounting": accounting_sql(),
+        "generate_loop": with_(*articles_cte(), TOLD.format(k=P.LOOP_K)) + """
+SELECT topic_id, CAST(attempt AS BIGINT) AS attempt, grounded, summary, n AS n_sources, CAST(1 AS BIGINT) AS n_timeline FROM final""",
+        "evaluation_run": with_(*hits_ctes(P.EVAL_K), TOLD.format(k=P.EVAL_K), "ns AS (SELECT topic_id, count(*) AS n_sources FROM hits GROUP BY topic_id)", SAMPLES, METRICS) + """
+SELECT user_input, round(faithfulness, 6) AS faithfulness, round(answer_relevancy, 6) AS answer_relevancy,
+       round(context_precision, 6) AS context_precision, round(context_recall, 6) AS context_recall FROM perq""",
         "eval_samples": with_(*ev) + """
 SELECT topic_id, user_input, response, len(retrieved_contexts) AS n_contexts,
        array_to_string(retrieved_contexts, chr(10) || '||' || chr(10)) AS contexts, reference FROM smp""",
@@ -137,7 +165,7 @@ FROM (SELECT count(v.id) AS n_vectors, count(i.id) AS n_items,
              count(*) FILTER (WHERE i.id IS NULL) AS vectors_without_item,
              count(*) FILTER (WHERE v.id IS NOT NULL AND v.d <> 64) AS bad_dimension
       FROM (SELECT vec_id AS id, len(embedding) AS d FROM embeddings) v
-      FULL OUTER JOIN (SELECT vec_id AS id FROM embeddings) i ON v.id = i.id) a,
+      FULL OUTER JOIN (SELECT doc_id AS id FROM documents) i ON v.id = i.id) a,
      (SELECT count(*) AS total_vectors, max(len(embedding)) AS embedding_dim, count(DISTINCT label) AS labels FROM embeddings) b""",
         "article_validation": with_(*articles_cte()) + """
 SELECT count(*) FILTER (WHERE headline <> '' AND content <> '') AS valid,

@@ -2,6 +2,8 @@
 
 * ``storylines``: news JSON -> landed Parquet -> cleaned articles -> term or encoder vectors
   -> top-k per topic -> optional generation with grounding -> one storyline document per topic.
+* ``evaluation_run``: golden set -> retrieval -> grounded generation -> samples -> judge
+  -> the four metrics, written per query and in aggregate.
 * ``search_docs``: API collections -> endpoints -> chunks -> term vectors -> top-k chunks
   per query with text and metadata.
 
@@ -13,16 +15,28 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.operators import clean, embed, endpoints, grounding, search, storyline
-from storyloom.sources import news
+from storyloom.operators import clean, embed, endpoints, evaluate, grounding, search, storyline
+from storyloom.sources import news, sinks
 from storyloom.session import ensure_checkpoint_dir
 
-# Default number of hits (storylines / documentation search).
+# Default number of hits (storylines / documentation search / evaluation).
 STORY_TOP_K = 50
 DOC_TOP_K = 5
+EVAL_TOP_K = 20
+
+
+def load_articles(spark: SparkSession, news_path: str | list[str], min_rating: float = 0.0) -> tuple[DataFrame, dict]:
+    """(cleaned articles, accounting): the JSON is read once and landed as Parquet in the
+    shared folder, with the whole article in ``raw``; the counts of A7 are observed while it
+    is written, without a pass of their own."""
+    landed = f"{ensure_checkpoint_dir(spark).rstrip('/')}/news-{uuid.uuid4().hex}"
+    seen = Observation()
+    rows = clean.with_raw_fields(news.read_news_json(spark, news_path))
+    news.land(rows.observe(seen, *clean.accounting(min_rating)), landed)
+    return clean.clean_articles(spark.read.parquet(landed), min_rating=min_rating), seen.get
 
 
 def text_hits(topics: DataFrame, articles: DataFrame, k: int) -> DataFrame:
@@ -55,16 +69,15 @@ def storylines(spark: SparkSession, news_path: str, topics: DataFrame, as_of: st
                retrieve: Callable[[DataFrame, DataFrame, int], DataFrame] = text_hits) -> DataFrame:
     """Storyline documents for every row of ``topics`` (``topic_id, topic``).
 
-    The JSON is read once and landed as Parquet in the shared folder.  ``retrieve(topics,
+    The JSON is landed as Parquet (``load_articles``), and the documents' ``sources`` hold the
+    articles with all their fields.  ``retrieve(topics,
     articles, k)`` gives ``(topic_id, rank, id, row_key, similarity_score)``: ``text_hits``,
     ``dense_hits(...)`` or the caller's own.  With ``generate_fn`` the summary and
     per-article reasons come from the generator after the grounding check (topics whose
     accepted summary is empty fall back to the heuristic summary); without it every topic
     is heuristic.
     """
-    landed = f"{ensure_checkpoint_dir(spark).rstrip('/')}/news-{uuid.uuid4().hex}"
-    news.land(news.read_news_json(spark, news_path), landed)
-    arts = clean.clean_articles(spark.read.parquet(landed), min_rating=min_rating)
+    arts, _ = load_articles(spark, news_path, min_rating)
     hits = retrieve(topics, arts.withColumn("row_key", clean.row_key()), k).checkpoint()
     ta = storyline.topic_articles(hits, arts).checkpoint()
     generated, reasons = None, None
@@ -75,6 +88,33 @@ def storylines(spark: SparkSession, news_path: str, topics: DataFrame, as_of: st
     return storyline.storyline_documents(topics, ta, as_of, generated, reasons)
 
 
+def evaluation_run(spark: SparkSession, eval_path: str, articles: DataFrame, generate_fn: Callable,
+                   judge: Callable[[DataFrame, DataFrame], dict[str, DataFrame]], out: str, k: int = EVAL_TOP_K,
+                   retrieve: Callable[[DataFrame, DataFrame, int], DataFrame] = text_hits,
+                   max_attempts: int = grounding.MAX_ATTEMPTS, context_chars: int = grounding.CONTEXT_CHARS) -> tuple[DataFrame, DataFrame]:
+    """S3, R1-R12, E1-E6 and S7 in one job: ``(per query, aggregate)``, also written to ``out``.
+
+    ``eval_path``: the golden set (JSON lines of topic and reference).  ``judge(samples,
+    sources)`` gives the verdict tables claims, questions, contexts and statements (see
+    ``operators.evaluate``); sources are the retrieved articles of each topic.  A golden set
+    without a usable row is an error.
+    """
+    ensure_checkpoint_dir(spark)
+    rows, _ = evaluate.read_eval_set(spark, eval_path)
+    golden = rows.withColumn("topic_id", F.monotonically_increasing_id()).checkpoint()
+    if golden.isEmpty():
+        raise ValueError(f"no usable rows in {eval_path}")
+    topics = golden.select("topic_id", "topic")
+    hits = retrieve(topics, articles.withColumn("row_key", clean.row_key()), k).checkpoint()
+    sources = storyline.topic_articles(hits, articles).checkpoint()
+    final, _ = grounding.generate_grounded(topics, sources, generate_fn, max_attempts, context_chars)
+    samples = evaluate.samples(golden, final, grounding.context_blocks(sources, context_chars)).checkpoint()
+    per_query = evaluate.per_query(samples, judge(samples, sources)).drop("topic_id").checkpoint()
+    aggregate = evaluate.aggregate(per_query)
+    sinks.write_evaluation(per_query, aggregate, out)
+    return per_query, aggregate
+
+
 def search_docs(spark: SparkSession, collection_path: str, queries: DataFrame, k: int = DOC_TOP_K) -> DataFrame:
     """Top-k documentation chunks for every row of ``queries`` (``topic_id, topic``):
     ``(topic_id, rank, similarity_score, text, metadata)``."""

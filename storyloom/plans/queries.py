@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.text import source_from_url
 from storyloom.operators import clean, search
 from storyloom.plans import params as P
-from storyloom.session import ensure_checkpoint_dir
+from storyloom.session import ensure_checkpoint_dir, ship_package
 from storyloom.sources import testbed
 
 
@@ -249,8 +249,8 @@ def q_clean_timeline(spark, sf_dir):
 
 def q_context_blocks(spark, sf_dir):
     from storyloom.operators import grounding
-    _, arts, hits, _ = story_inputs(spark, sf_dir, with_articles=False)
-    cb = grounding.context_blocks(search.attach(hits, arts.select("id", "headline", "full_text", "date", "source")), P.CONTEXT_CHARS)
+    _, _, _, ta = story_inputs(spark, sf_dir)
+    cb = grounding.context_blocks(ta, P.CONTEXT_CHARS)
     return cb.select("topic_id", "n_sources", "context_block")
 
 
@@ -290,26 +290,24 @@ queries_batch3 = {
 def eval_inputs(spark: SparkSession, sf_dir: str):
     from storyloom.operators import evaluate, grounding
 
-    tps, arts, hits, ta, report = grounding_inputs(spark, sf_dir, P.EVAL_K)
+    tps, _, hits, ta, report = grounding_inputs(spark, sf_dir, P.EVAL_K, with_articles=True)
     final, _ = grounding.final_generation(tps, report, hits, P.MAX_ATTEMPTS)
-    cb = grounding.context_blocks(search.attach(hits, arts.select("id", "headline", "full_text", "date", "source")), P.CONTEXT_CHARS)
+    cb = grounding.context_blocks(ta, P.CONTEXT_CHARS)
     eval_rows = tps.select("topic_id", "topic", F.col("topic").alias("reference"))
     # One row per topic, read by all four metric branches.
-    return arts, hits, evaluate.samples(eval_rows, final, cb).checkpoint()
+    return ta, evaluate.samples(eval_rows, final, cb).checkpoint()
 
 
 def q_eval_samples(spark, sf_dir):
-    _, _, smp = eval_inputs(spark, sf_dir)
+    _, smp = eval_inputs(spark, sf_dir)
     return smp.select("topic_id", "user_input", "response", F.size("retrieved_contexts").alias("n_contexts"),
                       F.array_join("retrieved_contexts", "\n||\n").alias("contexts"), "reference")
 
 
 def _per_query(spark, sf_dir):
     from storyloom.operators import evaluate
-    arts, hits, smp = eval_inputs(spark, sf_dir)
-    v = testbed.derived_verdicts(smp, hits, arts)
-    return evaluate.metrics_table(smp, evaluate.faithfulness(v["claims"]), evaluate.answer_relevancy(v["questions"]),
-                                  evaluate.context_precision(v["contexts"]), evaluate.context_recall(v["statements"]))
+    ta, smp = eval_inputs(spark, sf_dir)
+    return evaluate.per_query(smp, testbed.derived_verdicts(smp, ta))
 
 
 def q_eval_metrics(spark, sf_dir):
@@ -398,11 +396,11 @@ def q_answer_reuse(spark, sf_dir):
 
 
 def q_vector_stats(spark, sf_dir):
-    """A8 + V4: vector count and dimension, and vectors vs. their items both ways."""
+    """A8 + V4: vector count and dimension, and vectors vs. documents as their items, both ways."""
     from storyloom.operators import embed
     from storyloom.operators import stats
     v = testbed.dense_vectors(spark, sf_dir)
-    align = embed.check_alignment(v, testbed.read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), 64)
+    align = embed.check_alignment(v, testbed.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), 64)
     return stats.vector_statistics(v).crossJoin(align)
 
 
@@ -412,7 +410,95 @@ def q_article_validation(spark, sf_dir):
     return articles(spark, sf_dir).agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("quarantined"))
 
 
+# ------------------------------------------------------------------ block products, stored index, whole runs
+def _every_nth(corpus: DataFrame) -> DataFrame:
+    return corpus.where(F.col("id") % P.SEARCH_STEP == 0)
+
+
+def q_vector_self_topk(spark, sf_dir):
+    """T6 for many anchors: every row whose id is divisible by 20, against all other rows."""
+    corpus = testbed.dense_vectors(spark, sf_dir)
+    return search.neighbours(corpus, _every_nth(corpus), P.DENSE_K).select("anchor_id", "rank", "id", _round())
+
+
+def q_ivf_recall(spark, sf_dir):
+    """A trained index is stored, its number of probes chosen on other queries and
+    searched; one row says whether it finds enough of the exact hits."""
+    corpus = testbed.dense_vectors(spark, sf_dir)
+    folder = _store(spark, "index")
+    search.build_index(corpus, folder)
+    trial = corpus.where(F.col("id") % P.TRIAL_STEP == 7).select(F.col("id").alias("topic_id"), "embedding")
+    nprobe = search.probes_for_recall(trial, corpus, folder, P.DENSE_K, P.TRIAL_RECALL)
+    asked = _every_nth(corpus).select(F.col("id").alias("topic_id"), "embedding")
+    exact = search.search(asked, corpus, P.DENSE_K)
+    found = search.search(asked, corpus, P.DENSE_K, mode="ivf", nprobe=nprobe, folder=folder)
+    both = exact.join(found.select("topic_id", "id", F.lit(1).alias("hit")), ["topic_id", "id"], "left")
+    return both.agg(F.countDistinct("topic_id").alias("n_queries"), F.count(F.lit(1)).alias("n_exact"),
+                    (F.count("hit") >= P.RECALL * F.count(F.lit(1))).alias("enough_found"))
+
+
+def q_label_similarity(spark, sf_dir):
+    """T7 on large sets: all pairs of vectors of a label, summed up."""
+    corpus = testbed.dense_vectors(spark, sf_dir)
+    pairs = search.similarity_pairs(corpus.select(F.col("label").alias("topic_id"), "id"), corpus)
+    return pairs.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("similarity"), 6).alias("mean_similarity"),
+                                         F.round(F.max("similarity"), 6).alias("max_similarity"), F.round(F.min("similarity"), 6).alias("min_similarity"))
+
+
+def q_article_raw(spark, sf_dir):
+    """Articles from JSON files; fields that the cleaner does not know, out of the whole article."""
+    from storyloom.plans import pipelines
+    folder = _store(spark, "feed")
+    testbed.write_feed(spark, sf_dir, folder)
+    arts, _ = pipelines.load_articles(spark, folder)
+    told = lambda path, kind: F.try_variant_get("raw", path, kind)
+    return arts.select("id", "headline", told("$.n_chars", "long").alias("n_chars"), told("$.meta.lang", "string").alias("meta_lang"), told("$.meta.source", "string").alias("meta_source"))
+
+
+def q_feed_accounting(spark, sf_dir):
+    """A7 observed while the articles are landed."""
+    from storyloom.plans import pipelines
+    folder = _store(spark, "feed")
+    testbed.write_feed(spark, sf_dir, folder)
+    _, seen = pipelines.load_articles(spark, folder, P.ACCOUNTING_MIN_RATING)
+    return spark.createDataFrame([tuple(seen[c] for c in ("total_read", "rating_passed", "kept"))], "total_read long, rating_passed long, kept long")
+
+
+def q_generate_loop(spark, sf_dir):
+    """The live loop with a generator that answers to the prompt, over
+    articles whose ids repeat, so that a topic's sources share ids."""
+    from storyloom.operators import embed, grounding, storyline
+    arts = articles(spark, sf_dir).withColumn("id", (F.col("id").cast("long") % P.LOOP_IDS).cast("string"))
+    tps = testbed.topics(spark, sf_dir)
+    doc_tv = embed.term_vectors(arts.withColumn("row_key", clean.row_key()), "id", "full_text", carry=["row_key"])
+    hits = search.text_topk(embed.term_vectors(tps, "topic_id", "topic").withColumnRenamed("id", "topic_id"), doc_tv, P.LOOP_K, carry=["row_key"]).checkpoint()
+    sources = storyline.topic_articles(hits, arts).checkpoint()
+    final, told = grounding.generate_grounded(tps, sources, testbed.reply_to_prompt, P.MAX_ATTEMPTS)
+    n = sources.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_sources"))
+    entries = told.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_timeline"))
+    return final.join(n, "topic_id").join(entries, "topic_id", "left").select("topic_id", "attempt", "grounded", "summary", "n_sources", F.coalesce("n_timeline", F.lit(0)).alias("n_timeline"))
+
+
+def q_evaluation_run(spark, sf_dir):
+    """Golden set from files, generation, verdicts, metrics; read back from the files written."""
+    from storyloom.operators.evaluate import METRICS
+    from storyloom.plans import pipelines
+    golden, out = _store(spark, "golden"), _store(spark, "evaluation")
+    line = F.to_json(F.struct("topic", F.col("topic").alias("reference")))
+    testbed.topics(spark, sf_dir).select(F.concat(F.lit("# a golden row\n"), line, F.lit("\n"))).write.text(golden)
+    pipelines.evaluation_run(spark, golden, articles(spark, sf_dir), testbed.reply_to_prompt, testbed.derived_verdicts, out, P.EVAL_K, context_chars=P.CONTEXT_CHARS)
+    rows = spark.read.schema("user_input string, " + ", ".join(f"{m} double" for m in METRICS)).json(f"{out}/per_query")
+    return rows.select("user_input", *[F.round(m, 6).alias(m) for m in METRICS])
+
+
 queries_batch4 = {
+    "vector_self_topk": q_vector_self_topk,
+    "ivf_recall": q_ivf_recall,
+    "label_similarity": q_label_similarity,
+    "article_raw": q_article_raw,
+    "feed_accounting": q_feed_accounting,
+    "generate_loop": q_generate_loop,
+    "evaluation_run": q_evaluation_run,
     "eval_samples": q_eval_samples,
     "eval_metrics": q_eval_metrics,
     "eval_aggregate": q_eval_aggregate,
@@ -434,6 +520,7 @@ def _wide_ints(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)  # shared tables are materialised with checkpoint()
+        ship_package(spark)
         df = fn(spark, sf_dir)
         small = (T.ByteType, T.ShortType, T.IntegerType)
         return df.select(*[F.col(f.name).cast("bigint").alias(f.name) if isinstance(f.dataType, small) else F.col(f.name)

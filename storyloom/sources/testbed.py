@@ -10,6 +10,10 @@ Everything is derived with Spark from the tables, so the work grows with them.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,26 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_feed(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The raw articles as JSON files with a wrapped array each, and fields no cleaner knows."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "n_chars", F.struct("lang", "source").alias("meta"))
+    rows = raw_articles(spark, sf_dir).join(docs, "id")
+    texts = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = '{"origin": {"items": "none"}, "articles": [\n'
+        for batch in batches:
+            if batch.num_rows:
+                lines = batch.column(0).to_pylist()
+                lines = [before + lines[0], *(", " + line for line in lines[1:])]
+                before = ", "
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        if before == ", ":
+            yield pa.RecordBatch.from_arrays([pa.array(["]}"], pa.string())], ["value"])
+
+    texts.mapInArrow(wrap, "value string").write.text(folder)
+
+
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic table ``(topic_id, topic)`` from the benchmark passages."""
     return read_table(spark, sf_dir, "benchmark").select(
@@ -135,7 +159,7 @@ def synthetic_replies(topics_df: DataFrame, hits: DataFrame) -> DataFrame:
     valid = F.concat(F.lit('{"summary": "Coverage of the topic [1] and its follow-up [2].", "timeline": '), tl_valid, F.lit("}"))
     out_range = F.concat(F.lit('{"summary": "Claim [1] and [0] and ['), (F.col("n") + 1).cast("string"),
                          F.lit('].", "timeline": '), tl_valid, F.lit("}"))
-    no_cite = F.concat(F.lit('{"summary": "No citations here.", "timeline": '), tl_valid, F.lit("}"))
+    no_cite = F.concat(F.lit('{"summary": "Nobody is quoted in this text.", "timeline": '), tl_valid, F.lit("}"))
     fabricated = F.concat(F.lit('{"summary": "Cited [1].", "timeline": [{"id": "'), F.col("id1"),
                           F.lit('", "why_it_matters": "ok"}, {"id": "fake-'), F.col("topic_id").cast("string"),
                           F.lit('", "why_it_matters": "made up"}]}'))
@@ -149,13 +173,13 @@ def synthetic_replies(topics_df: DataFrame, hits: DataFrame) -> DataFrame:
     rows = []
     for attempt in (1, 2):
         reply = (F.when(case == 0, valid)
-                  .when(case == 1, F.concat(F.lit("Here you go:\n```json\n"), valid, F.lit("\n```\nthanks")))
-                  .when(case == 2, F.concat(F.lit("Sure {not json} then "), valid, F.lit(" Done.")))
+                  .when(case == 1, F.concat(F.lit("The object follows.\n```json\n"), valid, F.lit("\n```\nEnd of reply")))
+                  .when(case == 2, F.concat(F.lit("Notes {rough draft} and now the result: "), valid, F.lit(" (final version)")))
                   .when(case == 3, out_range if attempt == 1 else valid)
                   .when(case == 4, no_cite)
                   .when(case == 5, fabricated)
                   .when(case == 6, huge)
-                  .when(case == 7, F.lit("no json here at all") if attempt == 1 else valid)
+                  .when(case == 7, F.lit("busy, please ask later") if attempt == 1 else valid)
                   .when(case == 8, F.lit(""))
                   .when(case == 9, F.concat(valid, F.lit(" trailing words")))
                   .when(case == 10, F.concat(F.lit("["), valid, F.lit("]")))
@@ -167,13 +191,35 @@ def synthetic_replies(topics_df: DataFrame, hits: DataFrame) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def reply_to_prompt(pairs: list[tuple[str, str]]) -> list[str]:
+    """A generator whose replies follow from the prompt (stand-in for a model).
+
+    By the length of the topic modulo 3: right at once; a source too many at first, right
+    when told so; always a source too many, and a timeline entry of no source.
+    """
+    out = []
+    for _, prompt in pairs:
+        topic = prompt[len("Topic: "):prompt.index("\n\nNumbered source articles:\n")]
+        ids = re.findall(r"^\[\d+\] \(id=([^,]*), date=", prompt, re.M)
+        n, case, told = len(ids), len(topic) % 3, "The last reply had these problems" in prompt
+        entry = f'{{"id": "{ids[0]}", "why_it_matters": "first report"}}'
+        if case == 0 or case == 1 and told:
+            out.append(f'{{"summary": "Sources [1] and [{n}] tell of it.", "timeline": [{entry}]}}')
+        else:
+            other = ', {"id": "absent", "why_it_matters": "made up"}' if case == 2 else ""
+            out.append(f'{{"summary": "Source [{n + 1}] tells of it.", "timeline": [{entry}{other}]}}')
+    return out
+
+
 # Similarity at or above which a retrieved context counts as useful in the derived
 # context verdicts.
 USEFUL_SIMILARITY = 0.3
 
 
-def derived_verdicts(sample_rows: DataFrame, hits: DataFrame, articles: DataFrame) -> dict[str, DataFrame]:
-    """Judge verdict tables derived from the samples and hits (stand-ins for a judge).
+def derived_verdicts(sample_rows: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+    """Judge verdict tables derived from the samples and their sources (stand-ins for a judge).
+
+    ``sources``: the retrieved articles of each topic (``storyline.topic_articles``).
 
     * claims: each ``[n]`` citation in the response; supported when 1 <= n <= sources
     * questions: one per topic, scored by cosine of response and topic term vectors
@@ -182,9 +228,10 @@ def derived_verdicts(sample_rows: DataFrame, hits: DataFrame, articles: DataFram
       retrieved article contains the sentence, anywhere in its text
     """
     from storyloom.functions.text import py_strip
+    from storyloom.operators import evaluate
     from storyloom.operators.embed import term_vectors
 
-    n = hits.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_sources"))
+    n = sources.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_sources"))
     cited = F.regexp_replace("c", "^0+(?=[0-9])", "")
     top = F.col("n_sources").cast("string")
     in_range = (cited != "0") & ((F.length(cited) < F.length(top)) | ((F.length(cited) == F.length(top)) & (cited <= top)))
@@ -192,19 +239,14 @@ def derived_verdicts(sample_rows: DataFrame, hits: DataFrame, articles: DataFram
                          .join(n, "topic_id", "left")
                          .select("topic_id", "claim_id",
                                  F.coalesce(in_range, F.lit(False)).alias("supported")))
-    q = term_vectors(sample_rows, "topic_id", "response").select(F.col("id").alias("topic_id"), F.col("sumsq").alias("q_ss"), F.explode(F.arrays_zip("terms", "tf")).alias("e"))
-    t = term_vectors(sample_rows, "topic_id", "user_input").select(F.col("id").alias("topic_id"), F.col("sumsq").alias("t_ss"), F.explode(F.arrays_zip("terms", "tf")).alias("e"))
-    dots = (q.select("topic_id", "q_ss", F.col("e.terms").alias("term"), F.col("e.tf").alias("qtf"))
-             .join(t.select("topic_id", "t_ss", F.col("e.terms").alias("term"), F.col("e.tf").alias("ttf")), ["topic_id", "term"])
-             .groupBy("topic_id", "q_ss", "t_ss").agg(F.sum(F.col("qtf").cast("long") * F.col("ttf").cast("long")).alias("dot")))
-    questions = (sample_rows.select("topic_id").join(dots, "topic_id", "left")
-                 .select("topic_id", F.lit(0).alias("q"),
-                         F.coalesce(F.col("dot") / F.sqrt(F.col("q_ss").cast("double") * F.col("t_ss").cast("double")), F.lit(0.0)).alias("cosine")))
-    contexts = hits.select("topic_id", "rank", (F.col("similarity_score") >= USEFUL_SIMILARITY).alias("useful"))
+    asked = term_vectors(sample_rows.withColumn("q", F.lit(0)), "topic_id", "response", carry=["q"]).withColumnRenamed("id", "topic_id")
+    told = term_vectors(sample_rows, "topic_id", "user_input").withColumnRenamed("id", "topic_id")
+    questions = evaluate.question_scores(asked, told)
+    contexts = sources.select("topic_id", "rank", (F.col("similarity_score") >= USEFUL_SIMILARITY).alias("useful"))
     stmts = sample_rows.select("topic_id", F.posexplode(F.filter(F.transform(F.split("reference", r"\. "), lambda s: py_strip(s)),
                                                                  lambda s: s != "")).alias("statement_id", "statement"))
     body = F.coalesce(F.nullif(F.col("full_text"), F.lit("")), F.col("headline"), F.lit(""))
-    ctx = hits.select("topic_id", "id").join(articles.select("id", body.alias("ctx")), "id").select("topic_id", "ctx")
+    ctx = sources.select("topic_id", body.alias("ctx"))
     hit_rows = (stmts.join(ctx, "topic_id").filter(F.instr(F.col("ctx"), F.col("statement")) > 0)
                      .select("topic_id", "statement_id").distinct().withColumn("attributed", F.lit(True)))
     statements = stmts.join(hit_rows, ["topic_id", "statement_id"], "left") \

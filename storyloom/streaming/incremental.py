@@ -3,7 +3,7 @@
 New JSON-lines article files dropped into a folder are cleaned as they arrive
 (stateless projection + filter), and each micro-batch appends to two Parquet tables:
 
-* ``articles``: cleaned rows
+* ``articles``: cleaned rows, with the whole article in ``raw``
 * ``vectors``:  term vectors keyed by ``md5(model | text)``; a text stored by an earlier
   batch is not encoded again (the S4 cache rule).
 
@@ -17,19 +17,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from storyloom.operators.clean import clean_articles
 from storyloom.operators.embed import term_vectors, text_key
-from storyloom.sources.news import ARTICLE_DDL
+from storyloom.session import path_exists
+from storyloom.sources.news import parse_articles
 
 
 def _stored_keys(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
     """Keys written by earlier micro-batches (a replayed batch must not see its own)."""
-    try:
-        return spark.read.parquet(path).filter(F.col("batch_id") < before_batch).select("key")
-    except AnalysisException:
+    if not path_exists(spark, path):
         return None
+    return spark.read.parquet(path).filter(F.col("batch_id") < before_batch).select("key")
 
 
 def _write_batch_partition(df: DataFrame, path: str) -> None:
@@ -40,13 +39,14 @@ def _write_batch_partition(df: DataFrame, path: str) -> None:
 def start_ingest(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
                  model: str = "term-count-v1", min_rating: float = 0.0, available_now: bool = True):
     """Start the ingest query; returns the ``StreamingQuery``."""
-    raw = spark.readStream.schema(ARTICLE_DDL).json(source_dir)
-    cleaned = clean_articles(raw, min_rating=min_rating)
+    lines = spark.readStream.text(source_dir).where(F.length(F.trim("value")) > 0)
+    cleaned = clean_articles(parse_articles(lines, "value"), min_rating=min_rating)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = (batch.withColumn("key", text_key("full_text", model))
-                     .withColumn("batch_id", F.lit(batch_id).cast("long")).cache())
-        _write_batch_partition(rows, f"{out_dir}/articles")
+        keyed = batch.withColumn("key", text_key("full_text", model)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        _write_batch_partition(keyed, f"{out_dir}/articles")
+        # Read back, so that the batch is parsed and cleaned once and nothing is cached.
+        rows = spark.read.schema(keyed.schema).parquet(f"{out_dir}/articles").where(F.col("batch_id") == batch_id)
         todo = rows.select("key", "full_text", "batch_id").dropDuplicates(["key"])
         stored = _stored_keys(spark, f"{out_dir}/vectors", batch_id)
         if stored is not None:
@@ -54,7 +54,6 @@ def start_ingest(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_
         tv = term_vectors(todo, "key", "full_text").withColumnRenamed("id", "key") \
             .withColumn("model", F.lit(model)).withColumn("batch_id", F.lit(batch_id).cast("long"))
         _write_batch_partition(tv, f"{out_dir}/vectors")
-        rows.unpersist()
 
     writer = cleaned.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -62,6 +62,7 @@ def test_sinks(spark):
                                  "metadata struct<endpoint_name:string,category:string,method:string,url:string>")
     sinks.write_hits(hits, f"{d}/txt", fmt="text")
     text = "".join(open(os.path.join(f"{d}/txt", p)).read() for p in sorted(os.listdir(f"{d}/txt")) if p.startswith("part"))
+    assert text.count("=" * 80) == 3 and text.rstrip().endswith("=" * 80)  # a rule before each hit and one at the end
     assert "Similarity Score: 0.9123" in text and text.index("Rank: 1") < text.index("Rank: 2")
     sinks.write_hits(hits, f"{d}/json")
     assert spark.read.json(f"{d}/json").count() == 2
@@ -145,6 +146,51 @@ def test_pipelines_end_to_end(spark):
     assert hits[0].metadata.endpoint_name == "Get one" and hits[0].rank == 1
 
 
+def test_unknown_fields_survive_to_the_storylines(spark):
+    from storyloom.plans import pipelines
+    d = _tmp()
+    rows = [{"id": i, "title": f"Harbour report number {i}", "content": "tide", "region": {"code": f"r{i}"}, "source_rating": i} for i in range(4)]
+    with open(f"{d}/news.json", "w") as f:
+        json.dump({"data": rows}, f)
+    arts, seen = pipelines.load_articles(spark, f"{d}/news.json", min_rating=2)
+    assert seen == {"total_read": 4, "rating_passed": 2, "kept": 2}
+    assert sorted(r[0] for r in arts.select(F.variant_get("raw", "$.region.code", "string")).collect()) == ["r2", "r3"]
+    topics = spark.createDataFrame([(1, "harbour report"), (2, "harbour")], "topic_id long, topic string")
+    for r in pipelines.storylines(spark, f"{d}/news.json", topics, "2024-01-15").collect():
+        assert sorted(json.loads(s.raw)["region"]["code"] for s in r.sources) == ["r0", "r1", "r2", "r3"]
+
+
+def test_evaluation_run_from_files(spark):
+    from storyloom.operators import clean
+    from storyloom.plans import pipelines
+    d = _tmp()
+    with open(f"{d}/golden.jsonl", "w") as f:
+        f.write('# comment\n\n{"topic": "harbour tide", "reference": "Tide rose. Ships left"}\n{"topic": "no reference"}\nnot json\n')
+    raw = spark.createDataFrame([("1", "Harbour closed by the tide", "Tide rose. Later it fell"), ("2", "Harbour open again today", "calm")], "id string, title string, content string")
+    gen = lambda batch: ['{"summary": "Closed [1], open [2].", "timeline": []}' for _ in batch]
+
+    def judge(samples, sources):
+        t = samples.select("topic_id")
+        return {"claims": t.select("topic_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("supported")),
+                "questions": t.select("topic_id", F.lit(0.25).alias("cosine")),
+                "contexts": sources.select("topic_id", "rank", (F.col("rank") == 2).alias("useful")),
+                "statements": t.select("topic_id", F.explode(F.array(F.lit(True), F.lit(True), F.lit(False), F.lit(True))).alias("attributed"))}
+
+    per_query, aggregate = pipelines.evaluation_run(spark, f"{d}/golden.jsonl", clean.clean_articles(raw), gen, judge, f"{d}/out")
+    row = per_query.first()
+    assert per_query.count() == 1 and row.user_input == "harbour tide"
+    assert (row.faithfulness, row.answer_relevancy, row.context_precision, row.context_recall) == (0.5, 0.25, 0.5, 0.75)
+    assert spark.read.json(f"{d}/out/per_query").count() == 1
+    assert spark.read.json(f"{d}/out/aggregate").first().results_path == f"{d}/out"
+    with open(f"{d}/empty.jsonl", "w") as f:
+        f.write("# nothing\n")
+    try:
+        pipelines.evaluation_run(spark, f"{d}/empty.jsonl", clean.clean_articles(raw), gen, judge, f"{d}/out2")
+        raise AssertionError("an empty golden set must be refused")
+    except ValueError:
+        pass
+
+
 def test_dense_storylines_reuse_stored_vectors(spark):
     from storyloom.plans import pipelines
     d = _tmp()

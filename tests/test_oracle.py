@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 # One or two queries per family; scripts/check_oracle.py runs all of them.
 SAMPLE = ["vector_topk", "ivf_topk", "clean_articles", "source_from_url", "text_cosine_topk", "relation_edges",
           "keyword_clusters", "key_events", "section_pack", "grounding_report", "eval_metrics", "endpoint_chunks",
-          "incremental_embed"]
+          "incremental_embed", "vector_self_topk", "ivf_recall", "label_similarity", "article_raw", "feed_accounting",
+          "generate_loop", "evaluation_run", "context_blocks"]
 
 
 @pytest.fixture(scope="module")

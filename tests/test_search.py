@@ -118,7 +118,7 @@ def test_text_topk_in_blocks_is_identical(spark):
     dtv = embed.term_vectors(docs, "id", "full_text")
     ttv = embed.term_vectors(tps, "topic_id", "topic").withColumnRenamed("id", "topic_id")
     one = {tuple(r) for r in search.text_topk(ttv, dtv, 5).collect()}
-    many = {tuple(r) for r in search.text_topk(ttv, dtv, 5, max_terms=8, max_topics=4).collect()}
+    many = {tuple(r) for r in search.text_topk(ttv, dtv, 5, max_bytes=200, max_topics=4).collect()}
     assert one == many and len(one) == 15 * 5
 
 
