@@ -14,7 +14,9 @@ without replacement.  The Gumbel of the first part left unopened gives every pat
 inclusion score, the log of its chance to be among the k.
 
 All random numbers are hashes of the row's key, so a row's result does not depend on its
-neighbours, and repeated rows get equal samples.  ``decode`` restores the text exactly.
+neighbours, and repeated rows get equal samples (equal parts tie in the search; the first
+word counts).  ``decode`` restores the text exactly.  A very long text is one lattice; long
+stretches without a space are walked from edges chosen for all their characters at once.
 
 Null texts count as empty (one segmentation without pieces).  A text with fewer than k
 segmentations gives as many rows as it has; the rest of a word whose mass is below
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ SAMPLES = 2
 POWER = 1.0
 SEED = 10
 SLICE_BYTES = 3 << 20
+#: Edges of a path that are drawn one after the other, for all words at once.
+LONG_PATH = 48
 #: A rest of a word's mass below this is what rounding leaves of nothing.
 ROUNDING = 1e-11
 SPACE = "\u2581"
@@ -199,65 +204,139 @@ class Lattices:
         """Numbers of the edges that leave a character."""
         return range(int(self.first[p]), int(self.last[p]) + 1)
 
-    def sample(self, chunk: np.ndarray, key: np.ndarray, *parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A path for each given chunk: log probabilities, number of pieces, ids end to end."""
-        n = len(chunk)
+    def _choose(self, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge out of each character, by cumulative probabilities."""
+        e, last = self.first[p], self.last[p]
+        go = np.flatnonzero((self.cumulative[e] <= u) & (e < last))
+        while len(go):
+            e[go] += 1
+            go = go[(self.cumulative[e[go]] <= u[go]) & (e[go] < last[go])]
+        return e
+
+    def sample(self, at: np.ndarray, end: np.ndarray, key: np.ndarray, *parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A path from each character ``at`` to ``end``: log probabilities, number of edges, edges end to end."""
+        n = len(at)
         key = _stirred(key, *parts)
-        at, end = self.starts[chunk], self.starts[chunk] + self.lengths[chunk]
+        at = at.copy()
         log, count = np.zeros(n), np.zeros(n, np.int64)
-        active, steps = np.arange(n), []
+        active, steps, long = np.flatnonzero(at < end), [], {}
         while len(active):
+            if len(steps) == LONG_PATH:  # the rest of each long path: edges of all its characters at once
+                for k in active.tolist():
+                    long[k] = self._walk(int(at[k]), int(end[k]), key[k:k + 1])
+                    log[k] += self.log[long[k]].sum()
+                    count[k] += len(long[k])
+                break
             p = at[active]
-            u = _uniform(key[active], len(steps))
-            e, last = self.first[p], self.last[p]
-            go = np.flatnonzero((self.cumulative[e] <= u) & (e < last))
-            while len(go):
-                e[go] += 1
-                go = go[(self.cumulative[e[go]] <= u[go]) & (e[go] < last[go])]
+            e = self._choose(p, _uniform(key[active], len(steps)))
             log[active] += self.log[e]
-            steps.append((active, self.ids[e]))
+            steps.append((active, e))
             count[active] += 1
             at[active] = p + self.step[e]
             active = active[at[active] < end[active]]
         first = np.cumsum(count) - count
-        ids = np.empty(int(count.sum()), np.int32)
-        for s, (who, what) in enumerate(steps):
-            ids[first[who] + s] = what
-        return log, count, ids
-
-    def path_log(self, chunk: int, path: tuple[int, ...]) -> float:
-        return sum(self.log[e] for e in self._path(chunk, path))
-
-    def _path(self, chunk: int, path: tuple[int, ...]) -> list[int]:
-        """The edges of a chunk's path given by its ids."""
-        p, out = int(self.starts[chunk]), []
-        for i in path:
-            a = int(self.first[p])
-            e = a + int(np.flatnonzero(self.ids[a:int(self.last[p]) + 1] == i)[0])
-            out.append(e)
-            p += int(self.step[e])
-        return out
+        edges = np.empty(int(count.sum()), np.int64)
+        for s, (who, e) in enumerate(steps):
+            edges[first[who] + s] = e
+        for k, e in long.items():
+            edges[first[k] + len(steps):first[k] + count[k]] = e
+        return log, count, edges
+
+    def _walk(self, at: int, end: int, key: np.ndarray) -> np.ndarray:
+        """A path chosen character by character: each has its edge, whether it is reached or not."""
+        e = self._choose(np.arange(at, end), _uniform(np.repeat(key, end - at), LONG_PATH, np.arange(end - at)[::-1]))
+        chosen, jump = e.tolist(), (np.arange(end - at) + self.step[e]).tolist()
+        out, p = [], 0
+        while p < end - at:
+            out.append(chosen[p])
+            p = jump[p]
+        return np.array(out, np.int64)
+
+    def path_log(self, path: tuple[int, ...]) -> float:
+        return float(self.log[list(path)].sum())
+
+    def sample_other(self, chunk: np.ndarray, count: np.ndarray, edges: np.ndarray, key: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each chunk a path that differs from the given one (``count`` edges each, end to end).
+
+        Of all other paths those that leave the given one at its i-th edge have the mass of
+        the edges before, times what the i-th edge leaves over; so the place is drawn first,
+        then another edge there, and from its end on the path is free.
+        """
+        n = len(chunk)
+        path = np.repeat(np.arange(n), count)
+        first = np.cumsum(count) - count
+        log = self.log[edges]
+        before = np.cumsum(log) - log
+        before -= np.repeat(before[first], count)
+        leave = np.exp(before) * -np.expm1(np.minimum(log, 0.0))
+        leave /= np.repeat(np.maximum(np.add.reduceat(leave, first), 1e-300), count)
+        run = np.cumsum(leave)
+        low = np.r_[0.0, run][first]
+        total = run[first + count - 1] - low
+        pick = np.searchsorted(run, low + _uniform(key, tag, 0) * total, side="right")
+        pick = np.clip(pick, first, first + count - 1)
+        # Where rounding picked an edge without another beside it: the last one that has one.
+        begins = self._from(chunk, count, edges)
+        single = np.flatnonzero(self.first[begins[pick]] == self.last[begins[pick]])
+        for k in single.tolist():
+            own = np.flatnonzero(leave[first[k]:first[k] + count[k]] > 0)
+            pick[k] = first[k] + (own[-1] if len(own) else 0)
+        place = begins[pick]
+        degree = self.last[place] - self.first[place] + 1
+        owner = np.repeat(np.arange(n), degree)
+        begin = np.cumsum(degree) - degree
+        beside = np.repeat(self.first[place] - begin, degree) + np.arange(int(degree.sum()))
+        mass = np.where(beside == np.repeat(edges[pick], degree), 0.0, np.exp(self.log[beside]))
+        run = np.cumsum(mass)
+        low = np.r_[0.0, run][begin]
+        at = np.searchsorted(run, low + _uniform(key, tag, 1) * (run[begin + degree - 1] - low), side="right")
+        at = np.clip(at, begin, begin + degree - 1)
+        for k in np.flatnonzero(mass[at] <= 0).tolist():
+            own = np.flatnonzero(mass[begin[k]:begin[k] + degree[k]] > 0)
+            at[k] = begin[k] + (own[-1] if len(own) else 0)
+        other = beside[at]
+        end = self.starts[chunk] + self.lengths[chunk]
+        rest_log, rest_count, rest = self.sample(place + self.step[other], end, key, tag, 2)
+        kept = pick - first
+        out_count = kept + 1 + rest_count
+        out = np.empty(int(out_count.sum()), np.int64)
+        to = np.cumsum(out_count) - out_count
+        _copy(out, to, edges, first, kept)
+        out[to + kept] = other
+        _copy(out, to + kept + 1, rest, np.cumsum(rest_count) - rest_count, rest_count)
+        return before[pick] + self.log[other] + rest_log, out_count, out
+
+    def _from(self, chunk: np.ndarray, count: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The character that each edge of the chunks' paths leaves."""
+        step = self.step[edges].astype(np.int64)
+        run = np.cumsum(step) - step
+        first = np.cumsum(count) - count
+        return np.repeat(self.starts[chunk] - run[first], count) + run
 
-    def sample_other(self, chunk: int, not_these: list[tuple[int, ...]], key: np.uint64, tag: int) -> tuple[float, tuple[int, ...]]:
-        """A path of one chunk given that it is none of ``not_these``: at each edge, the mass of
-        the excluded paths that go through it is taken off."""
+    def sample_none_of(self, chunk: int, not_these: list[tuple[int, ...]], key: np.uint64, tag: int) -> tuple[float, tuple[int, ...]]:
+        """A path of one chunk that is none of several: at each edge, the mass of the excluded
+        paths that go through it is taken off."""
         p, end = int(self.starts[chunk]), int(self.starts[chunk] + self.lengths[chunk])
-        excluded = [self._path(chunk, q) for q in not_these]
+        suffix = [np.cumsum(self.log[list(q)][::-1])[::-1] for q in not_these]
+        excluded = list(range(len(not_these)))
         log, out, step = 0.0, [], 0
         while p < end:
             a = int(self.first[p])
             mass = np.exp(self.log[a:int(self.last[p]) + 1])
-            for path in excluded:
-                mass[path[step] - a] -= np.exp(sum(float(self.log[e]) for e in path[step:]))
+            for x in excluded:
+                mass[not_these[x][step] - a] -= np.exp(suffix[x][step])
             mass = np.maximum(mass, 0.0)
             u = float(_uniform(np.array([key]), tag, step)[0]) * mass.sum()
             most = np.flatnonzero(mass > 0)
             k = int(min(np.searchsorted(np.cumsum(mass), u, side="right"), most[-1] if len(most) else 0))
-            excluded = [path for path in excluded if len(path) > step + 1 and path[step] == a + k]
+            excluded = [x for x in excluded if len(not_these[x]) > step + 1 and not_these[x][step] == a + k]
             log += float(self.log[a + k])
-            out.append(int(self.ids[a + k]))
+            out.append(a + k)
             p += int(self.step[a + k])
             step += 1
+            if not excluded:
+                more, _, rest = self.sample(np.array([p]), np.array([end]), np.array([key], np.uint64), tag, step)
+                return log + float(more[0]), (*out, *rest.tolist())
         return log, tuple(out)
 
 
@@ -287,14 +366,11 @@ def spell(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 def sample_texts(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAMPLES) -> Iterator[tuple]:
     """For sample number 1, 2, ...: text numbers, log probabilities, Gumbels, and (ids, ids of each text);
     at the end, number 0: the Gumbel of the best unopened part of each text (-inf: none)."""
-    seen: dict[str, int] = {}
-    rows, sizes = [], []
-    for t in texts:
-        own = CHUNKS.findall(" " + t) if t else []
-        rows += [seen.setdefault(c, len(seen)) for c in own]
-        sizes.append(len(own))
-    lattice = Lattices(list(seen), v)
-    chunk, sizes = np.array(rows, np.int64), np.array(sizes)
+    own = [CHUNKS.findall(" " + t) if t else [] for t in texts]
+    sizes = np.array([len(x) for x in own], np.int64)
+    coded = pa.array(list(chain.from_iterable(own)), pa.string()).dictionary_encode()
+    lattice = Lattices(coded.dictionary.to_pylist(), v)
+    chunk = coded.indices.to_numpy().astype(np.int64)
     first = np.cumsum(sizes) - sizes
     text = np.repeat(np.arange(len(texts)), sizes)
     inside = np.arange(len(chunk)) - first[text]
@@ -317,11 +393,12 @@ def sample_texts(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAM
         return _cut_gumbel(mass, bound[text], _uniform(key, SEED + 1, number, inside))
 
     gumbel = -np.log(-np.log(_uniform(keys.astype(np.uint64), SEED + 2)))
-    log, count, ids = lattice.sample(chunk, key, SEED, 1, inside)
-    paths = [(log, count, ids)]  # of all words, by opened path
+    begin, end = lattice.starts[chunk], lattice.starts[chunk] + lattice.lengths[chunk]
+    log, count, edges = lattice.sample(begin, end, key, SEED, 1, inside)
+    paths = [(log, count, edges)]  # of all words, by opened path
     nodes = [parts(log, gumbel, 1)]
     ruled_out: dict[tuple[int, int], list[tuple[int, ...]]] = {}  # (path, word) -> paths of that word excluded there
-    yield 1, np.arange(len(texts)), summed(log), gumbel, (ids, summed(count).astype(np.int64))
+    yield 1, np.arange(len(texts)), summed(log), gumbel, (lattice.ids[edges], summed(count).astype(np.int64))
 
     for number in range(2, k + 2):
         best, node, word = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -348,42 +425,64 @@ def sample_texts(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAM
         split = word[text]
         index = np.arange(len(chunk))
         free = np.flatnonzero(is_open[text] & (index > split))
-        free_log, free_count, free_ids = lattice.sample(chunk[free], key[free], SEED, number, inside[free])
+        free_log, free_count, free_edges = lattice.sample(begin[free], end[free], key[free], SEED, number, inside[free])
         log[free], count[free] = free_log, free_count
-        own_paths: dict[int, tuple[int, ...]] = {}
         begins = [np.cumsum(c) - c for _, c, _ in paths]
-        for t in open_:
-            w, j = int(word[t]), int(node[t])
-            old = paths[j]
-            used = tuple(old[2][begins[j][w]:begins[j][w] + old[1][w]].tolist())
-            banned = [*ruled_out.get((j, w), []), used] if used not in ruled_out.get((j, w), []) else ruled_out[j, w]
-            log[w], own_paths[w] = lattice.sample_other(int(chunk[w]), banned, keys[t].astype(np.uint64), number)
-            count[w] = len(own_paths[w])
-            ruled_out[number - 1, w] = banned
-            nodes[j][w] = -np.inf
+        words, froms = word[open_], node[open_]
+        # Most split words may not be one path only; they are drawn together.
+        many = [n for n, (w, j) in enumerate(zip(words.tolist(), froms.tolist())) if (j, w) in ruled_out]
+        one = np.setdiff1d(np.arange(len(open_)), many)
+        old_size = np.zeros(len(open_), np.int64)
+        old_begin = np.zeros(len(open_), np.int64)
+        for j, (_, old_count, _) in enumerate(paths):
+            own = froms == j
+            old_size[own], old_begin[own] = old_count[words[own]], begins[j][words[own]]
+        old = np.empty(int(old_size.sum()), np.int64)
+        old_at = np.cumsum(old_size) - old_size
+        for j, (_, _, old_edges) in enumerate(paths):
+            own = np.flatnonzero(froms == j)
+            _copy(old, old_at[own], old_edges, old_begin[own], old_size[own])
+        picked = np.concatenate([old[old_at[n]:old_at[n] + old_size[n]] for n in one]) if many and len(one) else old if len(one) else old[:0]
+        own_log, own_count, own_edges = lattice.sample_other(chunk[words[one]], old_size[one], picked, keys[open_[one]].astype(np.uint64), number) if len(one) else (np.zeros(0), np.zeros(0, np.int64), old[:0])
+        log[words[one]], count[words[one]] = own_log, own_count
+        gone = np.zeros(len(open_))
+        if len(one):
+            gone[one] = np.exp(np.add.reduceat(lattice.log[picked], np.cumsum(old_size[one]) - old_size[one])) + np.exp(own_log)
+        others: dict[int, tuple[int, ...]] = {}
+        for n in many:
+            w, j, t = int(words[n]), int(froms[n]), int(open_[n])
+            log[w], others[w] = lattice.sample_none_of(int(chunk[w]), ruled_out[j, w], keys[t].astype(np.uint64), number)
+            count[w] = len(others[w])
+            gone[n] = sum(np.exp(lattice.path_log(q)) for q in ruled_out[j, w]) + np.exp(log[w])
+        for j in range(len(paths)):
+            nodes[j][words[froms == j]] = -np.inf
         for j, (old_log, old_count, _) in enumerate(paths):
             keep = is_open[text] & (index < split) & (node[text] == j)
             log[keep], count[keep] = old_log[keep], old_count[keep]
         at = np.cumsum(count) - count
-        ids = np.empty(int(count.sum()), np.int32)
-        for j, (_, old_count, old_ids) in enumerate(paths):
+        edges = np.empty(int(count.sum()), np.int64)
+        for j, (_, old_count, old_edges) in enumerate(paths):
             keep = np.flatnonzero(is_open[text] & (index < split) & (node[text] == j))
-            _copy(ids, at[keep], old_ids, begins[j][keep], old_count[keep])
-        _copy(ids, at[free], free_ids, np.cumsum(free_count) - free_count, free_count)
-        for w, path in own_paths.items():
-            ids[at[w]:at[w] + len(path)] = path
-        paths.append((log, count, ids))
+            _copy(edges, at[keep], old_edges, begins[j][keep], old_count[keep])
+        _copy(edges, at[free], free_edges, np.cumsum(free_count) - free_count, free_count)
+        _copy(edges, at[words[one]], own_edges, np.cumsum(own_count) - own_count, own_count)
+        for w, path in others.items():
+            edges[at[w]:at[w] + len(path)] = path
+        if number < k:  # what the split words may not be when they are split again
+            for n, (w, j) in enumerate(zip(words.tolist(), froms.tolist())):
+                banned = ruled_out.get((j, w), [tuple(old[old_at[n]:old_at[n] + old_size[n]].tolist())])
+                ruled_out[number - 1, w] = [*banned, tuple(edges[at[w]:at[w] + count[w]].tolist())]
+        paths.append((log, count, edges))
         fresh = parts(log, best, number)
         fresh[~is_open[text] | (index < split)] = -np.inf
-        for t in open_:  # at the split word, everything ruled out and the new path are gone
-            w = int(word[t])
-            gone = sum(np.exp(lattice.path_log(int(chunk[w]), q)) for q in ruled_out[number - 1, w]) + np.exp(log[w])
-            ahead = float(log[first[t]:w].sum())
-            rest = ahead + np.log1p(-gone) if gone < 1 - ROUNDING else -np.inf
-            fresh[w] = _cut_gumbel(np.array([rest]), best[t:t + 1], _uniform(keys[t:t + 1].astype(np.uint64), SEED + 3, number))[0]
-            ruled_out[number - 1, w] = [*ruled_out[number - 1, w], own_paths[w]]
+        # At the split word, everything ruled out and the new path are gone.
+        ahead = np.cumsum(log) - log
+        ahead = ahead[words] - ahead[first[open_]]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rest = np.where(gone < 1 - ROUNDING, ahead + np.log1p(-np.minimum(gone, 1.0)), -np.inf)
+        fresh[words] = _cut_gumbel(rest, best[open_], _uniform(keys[open_].astype(np.uint64), SEED + 3, number))
         nodes.append(fresh)
-        yield number, open_, summed(log)[open_], best[open_], (ids, summed(count).astype(np.int64)[open_])
+        yield number, open_, summed(log)[open_], best[open_], (lattice.ids[edges], summed(count).astype(np.int64)[open_])
 
 
 def _cut_gumbel(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -401,11 +500,15 @@ def _copy(out: np.ndarray, to: np.ndarray, source: np.ndarray, begin: np.ndarray
         out[np.repeat(to, size) + step] = source[np.repeat(begin, size) + step]
 
 
-def sample_segmentations(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", k: int = SAMPLES, power: float = POWER) -> DataFrame:
-    """``SAMPLED``: up to ``k`` distinct segmentations of every text with log probability and inclusion score."""
+def sample_segmentations(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", k: int = SAMPLES, power: float = POWER, decoded: bool = False) -> DataFrame:
+    """``SAMPLED``: up to ``k`` distinct segmentations of every text with log probability and inclusion score.
+
+    With ``decoded`` the ids are decoded in the same pass, into a further column.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"),
                        F.xxhash64(F.lit(SEED), F.col(key)).alias("row_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    names = [x.split()[0] for x in SAMPLED.split(", ")]
+    schema = SAMPLED + (", decoded string" if decoded else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, power)
@@ -429,9 +532,10 @@ def sample_segmentations(docs: DataFrame, path: str, text: str = "text", key: st
                     data = pa.py_buffer(out.astype("<u2" if out.dtype == np.uint16 else "<u4"))
                     column = pa.BinaryArray.from_buffers(pa.binary(), len(who), [None, pa.py_buffer((cuts * out.itemsize).astype(np.int32)), data])
                     index = pa.array(who)
-                    yield pa.RecordBatch.from_arrays([doc.take(index), text_key.take(index), pa.array(np.full(len(who), number, np.int32)), pa.array(n, pa.int64()), pa.array(log), pa.array(inclusion), column], names)
+                    told = [decode_ids(out, n, v)] if decoded else []
+                    yield pa.RecordBatch.from_arrays([doc.take(index), text_key.take(index), pa.array(np.full(len(who), number, np.int32)), pa.array(n, pa.int64()), pa.array(log), pa.array(inclusion), column, *told], names)
 
-    return rows.mapInArrow(run, SAMPLED)
+    return rows.mapInArrow(run, schema)
 
 
 def decode_ids(data: np.ndarray, counts: np.ndarray, v: Vocabulary) -> pa.Array:

@@ -81,7 +81,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary(PIECES)
-    return piece_sampling.digest(piece_sampling.decode(piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), path), path))
+    return piece_sampling.digest(piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), path, decoded=True))
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

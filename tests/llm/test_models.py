@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -223,6 +224,24 @@ def test_segments_are_pieces_and_round_trip(spark, tmp_path):
     assert ps.decode(ps.sample_segmentations(spark.createDataFrame([], SCHEMA), path), path).count() == 0
 
 
+def test_long_unbroken_text(vocab):
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefghi数学語") for _ in range(30000))
+    begun = time.process_time()
+    found = list(ps.sample_texts([text, "a b", text], np.array([7, 8, 7], np.uint64), vocab, 3))
+    assert time.process_time() - begun < 6  # three seconds for 20,000 characters before
+    seen = [[], [], []]
+    for number, who, _, _, seg in found:
+        if number:
+            out, size = ps.spell(seg[0], vocab)
+            cuts = np.cumsum(np.r_[0, size])[np.r_[0, np.cumsum(seg[1])]]
+            told = ps.decode_ids(out, np.diff(cuts), vocab).to_pylist()
+            for i, w in enumerate(who):
+                assert told[i] == [text, "a b", text][w]
+                seen[w].append(tuple(out[cuts[i]:cuts[i + 1]].tolist()))
+    assert seen[0] == seen[2] and len(set(seen[0])) == len(set(seen[1])) == 3
+
+
 def test_segmentation_query(spark, tmp_path):
     got = queries.queries()["op10_piece_sampling"](spark, write_tables(spark, tmp_path)).collect()
     assert all(r["round_trip"] for r in got) and sum(r["sample"] == 1 for r in got) == len(awkward_rows())
