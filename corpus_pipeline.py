@@ -47,8 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    path = vocabulary(PIECES)
-    return piece_sampling.digest(piece_sampling.decode(piece_sampling.sample_segmentations(docs, path), path))
+    return piece_sampling.digest(piece_sampling.sample_segmentations(docs, vocabulary(PIECES), decoded=True))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("suffix_dedup", repeated_passages), ("mix", mix), ("segment", segment)]
