@@ -97,7 +97,10 @@ class Vocabularies:
         return cls._held[a_path, b_path]
 
     def _joined(self, side: int, ids: np.ndarray) -> bytes:
-        return b"".join(self.tokens[side].take(pa.array(ids)).to_pylist())
+        taken = self.tokens[side].take(pa.array(ids))
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, np.int32)[taken.offset:taken.offset + len(taken) + 1]
+        return data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None and len(taken) else b""
 
     def _alone(self, unit: str) -> tuple[bytes, bytes, bool]:
         """A unit behind a letter, whose ids are then taken off."""
