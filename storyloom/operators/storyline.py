@@ -11,6 +11,8 @@ date sorts first and retrieval rank keeps equal dates stable.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,16 @@ ARC_UP = "The narrative shows escalating intensity over time."
 ARC_DOWN = "Coverage intensity has decreased over the timeline."
 ARC_FLAT = "The story maintains consistent coverage throughout the period."
 NO_REASON = "Provides context for the narrative."
+REASON_HIGH, REASON_TRUSTED, REASON_RECENT, REASON_EVENT = "highly relevant to topic", "from trusted source", "recent development", "marks significant event"
+REASON_START = "Important because it "
+SAY_COUNTS = "Analysis of {articles} articles covering '{topic}' from {sources} sources."
+SAY_SPAN = "Coverage spans from {first} to {last}."
+SAY_EVENTS = "Key developments include: {events}."
+SAY_PEAK = "Coverage peaked in {month} with {count} articles."
+SAY_SOURCES = "Most active sources: {sources}."
+SAY_SOURCE = "{source} ({count} articles)"
+SAY_NOTHING = "No relevant articles found for topic: {topic}"
+ONE_CLUSTER, ANY_THEME = "General Coverage", "General"
 MODE_GENERATED = "rag_vllm"     # generation_mode labels of a storyline document
 MODE_HEURISTIC = "heuristic"
 
@@ -76,12 +88,12 @@ def importance_reason(as_of: str) -> Column:
     d = F.try_to_date(F.substring(F.col("date"), 1, 10), "yyyy-MM-dd")
     age = F.datediff(F.to_date(F.lit(as_of)), d)
     reasons = F.array_compact(F.array(
-        F.when(F.col("similarity_score") > 0.7, F.lit("highly relevant to topic")),
-        F.when(F.col("source_rating") > 9, F.lit("from trusted source")),
-        F.when((F.col("date") != "") & (age < 7), F.lit("recent development")),
-        F.when(contains_any(F.lower(F.col("headline")), EVENT_WORDS), F.lit("marks significant event")),
+        F.when(F.col("similarity_score") > 0.7, F.lit(REASON_HIGH)),
+        F.when(F.col("source_rating") > 9, F.lit(REASON_TRUSTED)),
+        F.when((F.col("date") != "") & (age < 7), F.lit(REASON_RECENT)),
+        F.when(contains_any(F.lower(F.col("headline")), EVENT_WORDS), F.lit(REASON_EVENT)),
     ))
-    return F.when(F.size(reasons) > 0, F.concat(F.lit("Important because it "), F.array_join(reasons, ", "), F.lit("."))) \
+    return F.when(F.size(reasons) > 0, F.concat(F.lit(REASON_START), F.array_join(reasons, ", "), F.lit("."))) \
         .otherwise(F.lit(NO_REASON))
 
 
@@ -103,68 +115,98 @@ def timeline(ta: DataFrame, as_of: str, reasons: DataFrame | None = None) -> Dat
                       F.coalesce("generated", "heuristic").alias("why_it_matters"))
 
 
+# ---------------------------------------------------------------- a topic's articles in one row
+def topic_rows(ta: DataFrame, *fields: str, **more: Column) -> DataFrame:
+    """``(topic_id, items)``: a topic's articles in time order, with the given fields.
+
+    The analyses below are expressions over such a row, so that all of them need one
+    grouping of the (at most k) articles of each topic.
+    """
+    named = [F.col(c) for c in fields] + [c.alias(name) for name, c in more.items()]
+    return ta.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("pos", *named))).alias("items"))
+
+
+def _of(items: Column, field: str) -> Column:
+    return F.transform(items, lambda x: x[field])
+
+
+def _counted(values: Column) -> Column:
+    """Distinct values as (minus their count, place of the first among the distinct, value), most frequent first."""
+    return F.sort_array(F.transform(F.array_distinct(values), lambda v, i: F.struct(
+        (F.size(F.array_remove(values, v)) - F.size(values)).alias("less"), i.alias("place"), v.alias("value"))))
+
+
+def _say(template: str, **values: Column) -> Column:
+    """``template`` with columns filled in; null where one of them is null."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(p) if k % 2 == 0 else values[p].cast("string") for k, p in enumerate(parts) if k % 2 or p])
+
+
 # ---------------------------------------------------------------- A1 A2 A3 A4 W3
-def topic_stats(ta: DataFrame) -> DataFrame:
-    """A1/A2/W3 per topic: counts, date span and narrative-arc sentence."""
-    n = F.col("_n")
-    third_head = F.floor(n / 3)
-    third_tail = F.ceil(n / 3)
-    esc = contains_any(F.lower(F.col("headline")), ESCALATION_WORDS)
-    first = F.count_if((F.col("pos") <= third_head) & esc)
-    last = F.count_if((F.col("pos") > n - third_tail) & esc)
+def _stats(items: Column) -> Column:
+    n = F.size(items)
+    loud = F.transform(items, lambda x: contains_any(F.lower(x["headline"]), ESCALATION_WORDS))
+    first = F.size(F.filter(loud, lambda x, i: x & (i < F.floor(n / 3))))
+    last = F.size(F.filter(loud, lambda x, i: x & (i >= n - F.ceil(n / 3))))
     arc = (F.when(n < 3, F.lit(ARC_LIMITED)).when(last > first, F.lit(ARC_UP))
              .when(last < first, F.lit(ARC_DOWN)).otherwise(F.lit(ARC_FLAT)))
-    dated = F.nullif(F.col("date"), F.lit(""))
-    sized = ta.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("topic_id")))
-    return sized.groupBy("topic_id", "_n").agg(
-        F.count(F.lit(1)).alias("article_count"),
-        F.countDistinct("source").alias("source_count"),
-        F.substring(F.min(dated), 1, 10).alias("first_date"),
-        F.substring(F.max(dated), 1, 10).alias("last_date"),
-        arc.alias("narrative_arc"),
-    ).drop("_n")
+    dated = F.filter(_of(items, "date"), lambda d: d != "")
+    return F.struct(n.cast("long").alias("article_count"),
+                    F.size(F.array_distinct(F.filter(_of(items, "source"), lambda s: s.isNotNull()))).cast("long").alias("source_count"),
+                    F.substring(F.array_min(dated), 1, 10).alias("first_date"), F.substring(F.array_max(dated), 1, 10).alias("last_date"),
+                    arc.alias("narrative_arc"))
+
+
+def topic_stats(ta: DataFrame) -> DataFrame:
+    """A1/A2/W3 per topic: counts, date span and narrative-arc sentence."""
+    return topic_rows(ta, "headline", "date", "source").select("topic_id", _stats(F.col("items")).alias("s")).select("topic_id", "s.*")
+
+
+def _peak(items: Column) -> Column:
+    months = F.sort_array(F.transform(F.filter(_of(items, "date"), lambda d: d != ""), lambda d: F.substring(d, 1, 7)))
+    counted = _counted(months)  # in order of months, so the earliest wins a tie
+    top = F.get(counted, F.lit(0))
+    return F.when(F.size(counted) > 1, F.struct(top["value"].alias("peak_month"), (-top["less"]).cast("long").alias("peak_count")))
 
 
 def peak_month(ta: DataFrame) -> DataFrame:
     """A3: busiest month per topic, only for topics covering more than one month;
     ties go to the earliest month."""
-    m = ta.filter(F.col("date") != "").groupBy("topic_id", F.substring("date", 1, 7).alias("month")) \
-          .agg(F.count(F.lit(1)).alias("month_count"))
-    w = Window.partitionBy("topic_id").orderBy(F.col("month_count").desc(), F.col("month").asc())
-    wn = Window.partitionBy("topic_id")
-    return (m.withColumn("months", F.count(F.lit(1)).over(wn))
-             .withColumn("r", F.row_number().over(w))
-             .filter((F.col("r") == 1) & (F.col("months") > 1))
-             .select("topic_id", F.col("month").alias("peak_month"), F.col("month_count").alias("peak_count")))
+    found = topic_rows(ta, "date").select("topic_id", _peak(F.col("items")).alias("p"))
+    return found.where("p IS NOT NULL").select("topic_id", "p.*")
+
+
+def _sources(items: Column, n: int) -> Column:
+    counted = F.slice(_counted(F.filter(_of(items, "source"), lambda s: s.isNotNull())), 1, n)
+    return F.transform(counted, lambda c, i: F.struct((i + 1).alias("source_rank"), c["value"].alias("source"), (-c["less"]).cast("long").alias("source_articles")))
 
 
 def top_sources(ta: DataFrame, n: int = TOP_SOURCES) -> DataFrame:
     """A4: most frequent sources per topic; ties go to the source seen first in time order."""
-    s = ta.groupBy("topic_id", "source").agg(F.count(F.lit(1)).alias("source_articles"), F.min("pos").alias("first_pos"))
-    w = Window.partitionBy("topic_id").orderBy(F.col("source_articles").desc(), F.col("first_pos").asc())
-    return s.withColumn("source_rank", F.row_number().over(w)).filter(F.col("source_rank") <= n) \
-            .select("topic_id", "source_rank", "source", "source_articles")
+    return topic_rows(ta, "source").select("topic_id", F.inline(_sources(F.col("items"), n)))
 
 
 # ---------------------------------------------------------------- A5
+def _candidates(headline: Column) -> Column:
+    """Words of a headline that can be keywords: longer than 4 characters, letters and digits only."""
+    fit = F.filter(py_words(headline), lambda w: (F.length(w) > 4) & w.rlike(r"^[\p{L}\p{N}]+$"))
+    return F.transform(fit, lambda w: F.lower(w))
+
+
+def _keywords(items: Column, n: int = TOP_KEYWORDS) -> Column:
+    counted = F.slice(_counted(F.flatten(_of(items, "candidates"))), 1, n)
+    return F.transform(counted, lambda c, i: F.struct((i + 1).alias("word_rank"), c["value"].alias("word"), (-c["less"]).cast("long").alias("word_count")))
+
+
 def keyword_counts(ta: DataFrame, n: int = TOP_KEYWORDS) -> DataFrame:
     """A5: headline keywords (longer than 4 characters, letters/digits only) per topic,
     top ``n`` by count; ties go to the word seen first."""
-    words = ta.select("topic_id", "pos", F.posexplode(py_words(F.col("headline"))).alias("wpos", "w"))
-    words = words.filter((F.length("w") > 4) & F.col("w").rlike(r"^[\p{L}\p{N}]+$")).withColumn("word", F.lower("w"))
-    c = words.groupBy("topic_id", "word").agg(F.count(F.lit(1)).alias("word_count"),
-                                               F.min(F.struct("pos", "wpos")).alias("first_seen"))
-    w = Window.partitionBy("topic_id").orderBy(F.col("word_count").desc(), F.col("first_seen").asc())
-    return c.withColumn("word_rank", F.row_number().over(w)).filter(F.col("word_rank") <= n) \
-            .select("topic_id", "word_rank", "word", "word_count")
+    rows = topic_rows(ta, candidates=_candidates(F.col("headline")))
+    return rows.select("topic_id", F.inline(_keywords(F.col("items"), n)))
 
 
 # ---------------------------------------------------------------- F1
-def key_events(ta: DataFrame) -> DataFrame:
-    """F1 per topic: ``key_events ARRAY<STRING>`` — walking headlines in time order, a
-    headline is taken when it brings more than 3 unseen words; at most 8, 80 characters each."""
-    items = ta.groupBy("topic_id").agg(F.sort_array(F.collect_list(
-        F.struct("pos", _lower_words(F.col("headline")).alias("words"), F.col("headline")))).alias("items"))
+def _events(items: Column) -> Column:
     init = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("events"))
 
     def step(acc, x):
@@ -173,34 +215,25 @@ def key_events(ta: DataFrame) -> DataFrame:
                          F.concat(acc["events"], F.array(F.substring(x["headline"], 1, KEY_EVENT_CHARS))).alias("events"))
         return F.when((F.size(acc["events"]) < MAX_KEY_EVENTS) & fresh, taken).otherwise(acc)
 
-    return items.select("topic_id", F.aggregate("items", init, step)["events"].alias("key_events"))
+    return F.aggregate(items, init, step)["events"]
+
+
+def key_events(ta: DataFrame) -> DataFrame:
+    """F1 per topic: ``key_events ARRAY<STRING>`` — walking headlines in time order, a
+    headline is taken when it brings more than 3 unseen words; at most 8, 80 characters each."""
+    rows = topic_rows(ta, "headline", words=_lower_words(F.col("headline")))
+    return rows.select("topic_id", _events(F.col("items")).alias("key_events"))
 
 
 # ---------------------------------------------------------------- F2 / N3 / A10
-def keyword_clusters(topics: DataFrame, ta: DataFrame, allow_first_cluster: bool = False) -> DataFrame:
-    """Greedy keyword clusters per topic.
+CLUSTERS = "array<struct<cluster_id:int,theme:string,article_count:int,articles:array<string>,key_terms:array<string>>>"
 
-    Walking articles in time order, an article joins the first cluster with the largest
-    keyword overlap when that overlap is at least 2, else opens a new cluster; cluster
-    keywords are the members' words that are among the topic's top-20 keywords.  As in
-    the behaviour being matched, the first cluster never gains members unless
-    ``allow_first_cluster``.  Topics with fewer than 2 articles get one
-    ``General Coverage`` cluster without key terms.  Keywords are ordered by their
-    keyword rank (count, then first seen).
-    """
-    kw = keyword_counts(ta)
-    words = ta.select("topic_id", "pos", "id", F.explode(_lower_words(F.col("headline"))).alias("word"))
-    art_kw = (words.join(kw.select("topic_id", "word", "word_rank"), ["topic_id", "word"])
-                   .groupBy("topic_id", "pos")
-                   .agg(F.sort_array(F.collect_list(F.struct(F.col("word_rank").alias("r"), F.col("word").alias("w")))).alias("kw")))
-    arts = ta.select("topic_id", "pos", "id").join(art_kw, ["topic_id", "pos"], "left") \
-             .withColumn("kw", F.coalesce("kw", F.array().cast("array<struct<r:int,w:string>>")))
-    per_topic = arts.groupBy("topic_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "id", "kw"))).alias("items"),
-        F.count(F.lit(1)).alias("n"))
 
+def _clusters(items: Column, keywords: Column, allow_first_cluster: bool) -> Column:
+    """The clusters of a topic with two articles or more."""
     ctype = "array<struct<ids:array<string>,kw:array<struct<r:int,w:string>>>>"
     min_best = 1 if allow_first_cluster else 2
+    named = F.transform(keywords, lambda k: F.struct(k["word_rank"].alias("r"), k["word"].alias("w")))
 
     def step(acc, x):
         # Bind the overlap list and the best position once per step ("let" via a
@@ -218,20 +251,42 @@ def keyword_clusters(topics: DataFrame, ta: DataFrame, allow_first_cluster: bool
             return _let(best, with_best)
         return _let(F.transform(acc, lambda c: F.size(F.array_intersect(c["kw"], x["kw"]))), with_overlaps)
 
-    folded = per_topic.select("topic_id", "n", F.aggregate("items", F.array().cast(ctype), step).alias("clusters"))
-    exploded = folded.select("topic_id", "n", F.posexplode("clusters").alias("cluster_id", "c"))
-    words_sorted = F.transform(F.sort_array(F.col("c.kw")), lambda s: s["w"])
-    theme = F.coalesce(F.nullif(title_case(F.array_join(F.slice(words_sorted, 1, 3), " ")), F.lit("")), F.lit("General"))
-    multi = exploded.filter(F.col("n") >= 2).select(
-        "topic_id", "cluster_id", theme.alias("theme"), F.size("c.ids").alias("article_count"),
-        F.col("c.ids").alias("articles"), F.slice(words_sorted, 1, 5).alias("key_terms"))
-    small = topics.select("topic_id").join(per_topic.select("topic_id", "n", "items"), "topic_id", "left") \
-        .filter(F.coalesce(F.col("n"), F.lit(0)) < 2) \
-        .select("topic_id", F.lit(0).alias("cluster_id"), F.lit("General Coverage").alias("theme"),
-                F.coalesce(F.col("n"), F.lit(0)).cast("int").alias("article_count"),
-                F.coalesce(F.transform("items", lambda x: x["id"]), F.array().cast("array<string>")).alias("articles"),
-                F.lit(None).cast("array<string>").alias("key_terms"))
-    return multi.unionByName(small)
+    def marked(kw):  # each article's words that are keywords, in order of rank
+        return F.transform(items, lambda x: F.struct(x["id"].alias("id"), F.filter(kw, lambda k: F.array_contains(x["words"], k["w"])).alias("kw")))
+
+    folded = F.aggregate(_let(named, marked), F.array().cast(ctype), step)
+
+    def told(c, i):
+        words = F.transform(F.sort_array(c["kw"]), lambda k: k["w"])
+        theme = F.coalesce(F.nullif(title_case(F.array_join(F.slice(words, 1, 3), " ")), F.lit("")), F.lit(ANY_THEME))
+        return F.struct(i.alias("cluster_id"), theme.alias("theme"), F.size(c["ids"]).alias("article_count"), c["ids"].alias("articles"), F.slice(words, 1, 5).alias("key_terms"))
+
+    return F.transform(folded, told).cast(CLUSTERS)
+
+
+def _clusters_or_one(items: Column, keywords: Column, allow_first_cluster: bool = False) -> Column:
+    n = F.coalesce(F.size(items), F.lit(0))
+    n = F.when(items.isNull(), F.lit(0)).otherwise(n)
+    ids = F.coalesce(_of(items, "id"), F.array().cast("array<string>"))
+    one = F.array(F.struct(F.lit(0).alias("cluster_id"), F.lit(ONE_CLUSTER).alias("theme"), n.alias("article_count"), ids.alias("articles"), F.lit(None).cast("array<string>").alias("key_terms")))
+    return F.when(n >= 2, _clusters(items, keywords, allow_first_cluster)).otherwise(one.cast(CLUSTERS))
+
+
+def keyword_clusters(topics: DataFrame, ta: DataFrame, allow_first_cluster: bool = False) -> DataFrame:
+    """Greedy keyword clusters per topic.
+
+    Walking articles in time order, an article joins the first cluster with the largest
+    keyword overlap when that overlap is at least 2, else opens a new cluster; cluster
+    keywords are the members' words that are among the topic's top-20 keywords.  As in
+    the behaviour being matched, the first cluster never gains members unless
+    ``allow_first_cluster``.  Topics with fewer than 2 articles get one
+    ``General Coverage`` cluster without key terms.  Keywords are ordered by their
+    keyword rank (count, then first seen).
+    """
+    headline = F.col("headline")
+    rows = topic_rows(ta, "id", words=_lower_words(headline), candidates=_candidates(headline))
+    rows = topics.select("topic_id").join(rows, "topic_id", "left").withColumn("keywords", _keywords(F.col("items")))
+    return rows.select("topic_id", F.inline(_clusters_or_one(F.col("items"), F.col("keywords"), allow_first_cluster)))
 
 
 # ---------------------------------------------------------------- N4 / A9
@@ -239,59 +294,41 @@ def graph_nodes(ta: DataFrame) -> DataFrame:
     return ta.select("topic_id", "id", "headline", "date", "source", (F.col("pos") - 1).alias("index"))
 
 
+def _relation_fields(headline: Column) -> dict[str, Column]:
+    """What the relation rules read of a headline: long words, antonyms as bits, concern and worsening."""
+    low = F.lower(headline)
+    bits = lambda side: sum((F.when(low.contains(pair[side]), F.lit(1 << i)).otherwise(F.lit(0)) for i, pair in enumerate(CONTRADICTION_PAIRS)), F.lit(0))
+    return {"long": _long_words(headline), "one": bits(0), "other": bits(1), "concern": contains_any(low, CONCERN_WORDS), "worse": contains_any(low, WORSENING_WORDS)}
+
+
+def _edges(items: Column) -> Column:
+    weight = lambda relation: F.coalesce(*[F.when(relation == name, F.lit(w)) for name, w in EDGE_WEIGHTS.items()], F.lit(DEFAULT_EDGE_WEIGHT))
+
+    def edge(a, b):
+        def by_common(common):
+            contra = (a["one"].bitwiseAND(b["other"]) + a["other"].bitwiseAND(b["one"])) != 0
+            relation = (F.when((a["date"] != "") & (b["date"] != "") & (a["date"] < b["date"]) & (common >= 3), F.lit("builds_on"))
+                         .when(contra, F.lit("contradicts"))
+                         .when((common >= 2) & (common < 4), F.lit("adds_context"))
+                         .when(b["worse"] & a["concern"], F.lit("escalates"))
+                         .when(common >= 4, F.lit("builds_on")))
+            return _let(relation, lambda r: F.struct(a["pos"].alias("pa"), b["pos"].alias("pb"), a["id"].alias("source"), b["id"].alias("target"), r.alias("relation"), weight(r).alias("weight")))
+        return _let(F.size(F.array_intersect(a["long"], b["long"])), by_common)
+
+    pairs = F.transform(items, lambda a, i: F.filter(F.transform(F.slice(items, i + 2, F.size(items)), lambda b: edge(a, b)), lambda e: e["relation"].isNotNull()))
+    return F.flatten(pairs)
+
+
 def relation_edges(ta: DataFrame) -> DataFrame:
     """N5/N6 edges ``(topic_id, source, target, relation, weight)`` for ordered pairs
-    (earlier ``pos`` first) of one topic.
+    (earlier ``pos`` first) of one topic, at most k articles.
 
-    Only pairs that can carry a relation are generated, by equi-joins: pairs sharing a
-    long word (join on topic and word), antonym pairs (join on topic and antonym slot)
-    and concern -> worsening pairs.  Rules are then applied first-match-wins:
-    dated and earlier with >= 3 shared words -> builds_on; antonyms -> contradicts;
-    2-3 shared -> adds_context; concern then worsening -> escalates; >= 4 -> builds_on.
+    Rules, the first that holds: dated and earlier with >= 3 shared words -> builds_on;
+    antonyms -> contradicts; 2-3 shared -> adds_context; concern then worsening ->
+    escalates; >= 4 -> builds_on.
     """
-    a = ta.select("topic_id", "pos", "id", "date", F.lower("headline").alias("hl"),
-                  _long_words(F.col("headline")).alias("lw"))
-
-    # Pairs sharing at least one long word, with the shared-word count.
-    wp = a.select("topic_id", "pos", F.explode("lw").alias("word"))
-    shared = (wp.alias("x").join(wp.alias("y"), ["topic_id", "word"])
-                .filter(F.col("x.pos") < F.col("y.pos"))
-                .groupBy("topic_id", F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
-                .agg(F.count(F.lit(1)).alias("common")))
-
-    # Antonym slots: (pair index, side) present in the headline.
-    slots = F.array_compact(F.array(*[
-        F.when(F.col("hl").contains(word), F.struct(F.lit(i).alias("p"), F.lit(side).alias("s")))
-        for i, pair in enumerate(CONTRADICTION_PAIRS) for side, word in enumerate(pair)]))
-    sl = a.select("topic_id", "pos", F.explode(slots).alias("slot")).select("topic_id", "pos", "slot.p", "slot.s")
-    anti = (sl.alias("x").join(sl.alias("y"), (F.col("x.topic_id") == F.col("y.topic_id")) & (F.col("x.p") == F.col("y.p"))
-                               & (F.col("x.s") != F.col("y.s")) & (F.col("x.pos") < F.col("y.pos")))
-              .select(F.col("x.topic_id").alias("topic_id"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb")))
-
-    concern = a.filter(contains_any(F.col("hl"), CONCERN_WORDS)).select("topic_id", F.col("pos").alias("pa"))
-    worse = a.filter(contains_any(F.col("hl"), WORSENING_WORDS)).select("topic_id", F.col("pos").alias("pb"))
-    esc = concern.join(worse, "topic_id").filter(F.col("pa") < F.col("pb"))
-
-    cand = shared.select("topic_id", "pa", "pb").unionByName(anti).unionByName(esc).distinct()
-    cand = cand.join(shared, ["topic_id", "pa", "pb"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    left = a.select("topic_id", F.col("pos").alias("pa"), F.col("id").alias("source"), F.col("date").alias("da"), F.col("hl").alias("ha"))
-    right = a.select("topic_id", F.col("pos").alias("pb"), F.col("id").alias("target"), F.col("date").alias("db"), F.col("hl").alias("hb"))
-    p = cand.join(left, ["topic_id", "pa"]).join(right, ["topic_id", "pb"])
-
-    contra = F.lit(False)
-    for w1, w2 in CONTRADICTION_PAIRS:
-        contra = contra | (F.col("ha").contains(w1) & F.col("hb").contains(w2)) | (F.col("ha").contains(w2) & F.col("hb").contains(w1))
-    rel = (F.when((F.col("da") != "") & (F.col("db") != "") & (F.col("da") < F.col("db")) & (F.col("common") >= 3), F.lit("builds_on"))
-             .when(contra, F.lit("contradicts"))
-             .when((F.col("common") >= 2) & (F.col("common") < 4), F.lit("adds_context"))
-             .when(contains_any(F.col("hb"), WORSENING_WORDS) & contains_any(F.col("ha"), CONCERN_WORDS), F.lit("escalates"))
-             .when(F.col("common") >= 4, F.lit("builds_on")))
-    weight = F.lit(DEFAULT_EDGE_WEIGHT)
-    for name, wt in EDGE_WEIGHTS.items():
-        weight = F.when(F.col("relation") == name, F.lit(wt)).otherwise(weight)
-    return (p.withColumn("relation", rel).filter(F.col("relation").isNotNull())
-             .withColumn("weight", weight)
-             .select("topic_id", "pa", "pb", "source", "target", "relation", "weight"))
+    rows = topic_rows(ta, "id", "date", **_relation_fields(F.col("headline")))
+    return rows.select("topic_id", F.inline(_edges(F.col("items"))))
 
 
 def graph_counts(topics: DataFrame, ta: DataFrame, edges: DataFrame) -> DataFrame:
@@ -304,32 +341,28 @@ def graph_counts(topics: DataFrame, ta: DataFrame, edges: DataFrame) -> DataFram
 
 
 # ---------------------------------------------------------------- N1
+def _summary(topic: Column, items: Column) -> Column:
+    def told(st):
+        events, sources, peak = F.slice(_events(items), 1, SHOWN_KEY_EVENTS), _sources(items, TOP_SOURCES), _peak(items)
+        named = F.transform(sources, lambda s: _say(SAY_SOURCE, source=s["source"], count=s["source_articles"]))
+        return F.concat_ws(" ",
+            _say(SAY_COUNTS, articles=st["article_count"], topic=topic, sources=st["source_count"]),
+            _say(SAY_SPAN, first=st["first_date"], last=st["last_date"]),
+            F.when(F.size(events) > 0, _say(SAY_EVENTS, events=F.array_join(events, "; "))),
+            _say(SAY_PEAK, month=peak["peak_month"], count=peak["peak_count"]),
+            F.when(F.size(sources) > 0, _say(SAY_SOURCES, sources=F.array_join(named, ", "))),
+            st["narrative_arc"])
+
+    return F.when(items.isNull(), _say(SAY_NOTHING, topic=topic)).otherwise(_let(_stats(items), told))
+
+
 def heuristic_summary(topics: DataFrame, ta: DataFrame) -> DataFrame:
     """Summary sentence per topic from A1-A4, F1 and W3; topics without articles
     get the fixed no-articles sentence."""
-    st = topic_stats(ta)
-    ke = key_events(ta)
-    pk = peak_month(ta)
-    src = (top_sources(ta)
-           .groupBy("topic_id")
-           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source_rank", "source", "source_articles"))),
-                                         lambda s: F.concat(s["source"], F.lit(" ("), s["source_articles"].cast("string"), F.lit(" articles)"))),
-                             ", ").alias("sources_txt")))
-    j = (topics.select("topic_id", "topic").join(st, "topic_id", "left").join(ke, "topic_id", "left")
-               .join(pk, "topic_id", "left").join(src, "topic_id", "left"))
-    events = F.slice(F.col("key_events"), 1, SHOWN_KEY_EVENTS)
-    parts = F.concat_ws(" ",
-        F.concat(F.lit("Analysis of "), F.col("article_count").cast("string"), F.lit(" articles covering '"), F.col("topic"),
-                 F.lit("' from "), F.col("source_count").cast("string"), F.lit(" sources.")),
-        F.when(F.col("first_date").isNotNull(), F.concat(F.lit("Coverage spans from "), F.col("first_date"), F.lit(" to "), F.col("last_date"), F.lit("."))),
-        F.when(F.size(events) > 0, F.concat(F.lit("Key developments include: "), F.array_join(events, "; "), F.lit("."))),
-        F.when(F.col("peak_month").isNotNull(), F.concat(F.lit("Coverage peaked in "), F.col("peak_month"), F.lit(" with "), F.col("peak_count").cast("string"), F.lit(" articles."))),
-        F.when(F.col("sources_txt").isNotNull(), F.concat(F.lit("Most active sources: "), F.col("sources_txt"), F.lit("."))),
-        F.col("narrative_arc"),
-    )
-    summary = F.when(F.coalesce(F.col("article_count"), F.lit(0)) == 0,
-                     F.concat(F.lit("No relevant articles found for topic: "), F.col("topic"))).otherwise(parts)
-    return j.select("topic_id", summary.alias("heuristic_summary"), F.coalesce("article_count", F.lit(0)).alias("article_count"))
+    rows = topic_rows(ta, "headline", "date", "source", words=_lower_words(F.col("headline")))
+    j = topics.select("topic_id", "topic").join(rows, "topic_id", "left")
+    n = F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long")
+    return j.select("topic_id", _summary(F.col("topic"), F.col("items")).alias("heuristic_summary"), n.alias("article_count"))
 
 
 # ---------------------------------------------------------------- N7
@@ -342,37 +375,34 @@ def storyline_documents(topics: DataFrame, ta: DataFrame, as_of: str, generated:
     ``generated`` (``topic_id, summary``) holds accepted generated summaries; a topic
     uses it when it is non-empty (``rag_vllm``), else the heuristic one.
     """
-    hs = heuristic_summary(topics, ta)
-    tl = timeline(ta, as_of, reasons).groupBy("topic_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "date", "headline", "url", "source", "why_it_matters"))).alias("timeline"))
-    cl = keyword_clusters(topics, ta).groupBy("topic_id").agg(
-        F.sort_array(F.collect_list(F.struct("cluster_id", "theme", "article_count", "articles", "key_terms"))).alias("clusters"))
-    nodes = graph_nodes(ta).groupBy("topic_id").agg(
-        F.sort_array(F.collect_list(F.struct("index", "id", "headline", "date", "source"))).alias("nodes"))
-    edges = relation_edges(ta)
-    ed = edges.groupBy("topic_id").agg(
-        F.sort_array(F.collect_list(F.struct("pa", "pb", "source", "target", "relation", "weight"))).alias("edges"))
-    j = topics.select("topic_id", "topic").join(hs, "topic_id", "left")
-    if generated is not None:
-        j = j.join(generated.select("topic_id", F.col("summary").alias("gen_summary")), "topic_id", "left")
-    else:
-        j = j.withColumn("gen_summary", F.lit(None).cast("string"))
+    headline = F.col("headline")
+    fields = {"why_it_matters": importance_reason(as_of), "words": _lower_words(headline), "candidates": _candidates(headline), **_relation_fields(headline)}
+    named = [F.col(c) for c in ("id", "headline", "date", "url", "source")] + [c.alias(name) for name, c in fields.items()]
+    whole = ["raw"] if "raw" in ta.columns else []
+    own = [F.sort_array(F.collect_list(F.struct("rank", "id", F.to_json("raw").alias("raw")))).alias("sources") for _ in whole]
+    # The one grouping: everything below is computed inside a topic's row.
+    rows = ta.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("pos", *named))).alias("items"), *own)
+    j = topics.select("topic_id", "topic").join(rows, "topic_id", "left")
+    generated = generated.select("topic_id", F.col("summary").alias("gen_summary")) if generated is not None else None
+    j = j.join(generated, "topic_id", "left") if generated is not None else j.withColumn("gen_summary", F.lit(None).cast("string"))
+    if reasons is not None:
+        told = reasons.filter(F.coalesce(F.col("why_it_matters"), F.lit("")) != "").groupBy("topic_id", "id").agg(F.max_by("why_it_matters", "entry_pos").alias("told"))
+        j = j.join(told.groupBy("topic_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "told"))).alias("told")), "topic_id", "left")
+    items = F.col("items")
+    why = lambda x: F.coalesce(F.try_element_at("told", x["id"]), x["why_it_matters"]) if reasons is not None else x["why_it_matters"]
+    timeline_ = F.transform(items, lambda x: F.struct(x["pos"].alias("pos"), x["date"].alias("date"), x["headline"].alias("headline"), x["url"].alias("url"), x["source"].alias("source"), why(x).alias("why_it_matters")))
+    nodes = F.transform(items, lambda x: F.struct((x["pos"] - 1).alias("index"), x["id"].alias("id"), x["headline"].alias("headline"), x["date"].alias("date"), x["source"].alias("source")))
+    told = j.select("topic_id", "topic", "gen_summary", "items", *[F.col("sources") for _ in whole],
+                    _summary(F.col("topic"), items).alias("heuristic_summary"), timeline_.alias("timeline"), nodes.alias("nodes"),
+                    _edges(items).alias("edges"), _keywords(items).alias("keywords"))
+    kinds = {f.name: f.dataType.simpleString() for f in told.schema.fields}
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(kinds[c]))
     use_gen = F.coalesce(F.col("gen_summary"), F.lit("")) != ""
-    mode = F.when(use_gen, F.lit(MODE_GENERATED)).otherwise(F.lit(MODE_HEURISTIC))
-    summary = F.when((F.col("article_count") > 0) & use_gen, F.col("gen_summary")).otherwise(F.col("heuristic_summary"))
-    j = j.join(tl, "topic_id", "left").join(cl, "topic_id", "left").join(nodes, "topic_id", "left").join(ed, "topic_id", "left")
-    sources = []
-    if "raw" in ta.columns:  # the articles as they came, in retrieval order
-        own = ta.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", F.to_json("raw").alias("raw")))).alias("sources"))
-        j = j.join(own, "topic_id", "left")
-        sources = [F.coalesce("sources", F.array().cast(own.schema["sources"].dataType.simpleString())).alias("sources")]
-    return j.select(
-        "topic_id", "topic", mode.alias("generation_mode"), summary.alias("narrative_summary"),
-        F.coalesce("timeline", F.array().cast(tl.schema["timeline"].dataType.simpleString())).alias("timeline"),
-        F.col("clusters"),
-        F.struct(F.coalesce("nodes", F.array().cast(nodes.schema["nodes"].dataType.simpleString())).alias("nodes"),
-                 F.coalesce("edges", F.array().cast(ed.schema["edges"].dataType.simpleString())).alias("edges"),
-                 F.size(F.coalesce("nodes", F.array().cast(nodes.schema["nodes"].dataType.simpleString()))).alias("node_count"),
-                 F.size(F.coalesce("edges", F.array().cast(ed.schema["edges"].dataType.simpleString()))).alias("edge_count")).alias("graph"),
-        *sources,
+    summary = F.when(items.isNotNull() & use_gen, F.col("gen_summary")).otherwise(F.col("heuristic_summary"))
+    return told.select(
+        "topic_id", "topic", F.when(use_gen, F.lit(MODE_GENERATED)).otherwise(F.lit(MODE_HEURISTIC)).alias("generation_mode"),
+        summary.alias("narrative_summary"), none("timeline").alias("timeline"),
+        _clusters_or_one(items, F.col("keywords")).alias("clusters"),
+        F.struct(none("nodes").alias("nodes"), none("edges").alias("edges"), F.size(none("nodes")).alias("node_count"), F.size(none("edges")).alias("edge_count")).alias("graph"),
+        *[none("sources").alias("sources") for _ in whole],
     )
