@@ -131,9 +131,17 @@ def _of(items: Column, field: str) -> Column:
 
 
 def _counted(values: Column) -> Column:
-    """Distinct values as (minus their count, place of the first among the distinct, value), most frequent first."""
-    return F.sort_array(F.transform(F.array_distinct(values), lambda v, i: F.struct(
-        (F.size(F.array_remove(values, v)) - F.size(values)).alias("less"), i.alias("place"), v.alias("value"))))
+    """Distinct values as (minus their count, place of the first, value), most frequent first.
+
+    Equal values stand together once sorted, so a value's count is the length of its run.
+    """
+    def runs(pairs):
+        def told(starts):
+            return F.sort_array(F.transform(starts, lambda at, j: _let(F.get(pairs, at), lambda x: F.struct(
+                (at - F.coalesce(F.get(starts, j + 1), F.size(pairs))).alias("less"), x["place"].alias("place"), x["value"].alias("value")))))
+        new = F.transform(pairs, lambda x, i: F.when((i == 0) | (x["value"] != F.get(pairs, i - 1)["value"]), i))
+        return _let(F.filter(new, lambda i: i.isNotNull()), told)
+    return _let(F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("place")))), runs)
 
 
 def _say(template: str, **values: Column) -> Column:
