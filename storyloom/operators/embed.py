@@ -1,6 +1,7 @@
 """Vector columns: batch encoding hook, normalisation, term vectors, alignment, caching.
 
 * ``encode``         (V1/V3) caller-supplied batch encoder run with ``predict_batch_udf``
+* ``hashed_vectors`` (V1/V3) built-in encoder: signed feature hashing of terms
 * ``normalize``      (V2) native L2 normalisation
 * ``term_vectors``   (V5) exact term-count vectors, counted in Arrow batches, no shuffle
 * ``check_alignment``(V4) vectors vs. items, both ways, plus dimension check
@@ -9,6 +10,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -86,6 +88,41 @@ def term_vectors(df: DataFrame, id_col: str = "id", text_col: str = "full_text",
     return rows.mapInArrow(run, schema)
 
 
+# Dimensions of the built-in encoder.
+HASHED_DIM = 256
+
+
+def hashed_vectors(df: DataFrame, id_col: str = "id", text_col: str = "full_text", dim: int = HASHED_DIM, out_col: str = "embedding") -> DataFrame:
+    """``(id_col, out_col)``: unit vectors by signed feature hashing, an encoder without a model.
+
+    A term's MD5 gives its dimension (the first 8 hex digits modulo ``dim``) and its sign
+    (the next digit: below 8 plus, else minus); a text's vector counts its terms with their
+    signs, so inner products estimate those of the term counts without bias.  Distinct terms
+    of a batch are hashed once.  A text without terms has a vector of zeros.
+    """
+    rows = df.select(F.col(id_col), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+    schema = T.StructType([rows.schema[id_col], T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                n, lists = batch.num_rows, batch.column("terms")
+                row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                coded = lists.flatten().dictionary_encode()
+                digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
+                place = np.array([int(h[:8], 16) % dim for h in digests], np.int64)
+                sign = np.array([1.0 if int(h[8], 16) < 8 else -1.0 for h in digests])
+                code = coded.indices.to_numpy()
+                counts = np.bincount(row * dim + place[code], sign[code], n * dim).reshape(n, dim) if len(row) else np.zeros((n, dim))
+                norm = np.sqrt((counts ** 2).sum(1, keepdims=True))
+                unit = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(unit.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], [id_col, out_col])
+
+    return rows.mapInArrow(run, schema)
+
+
 def check_alignment(vectors: DataFrame, items: DataFrame, dim: int,
                     vec_id: str = "id", item_id: str = "id", vec_col: str = "embedding") -> DataFrame:
     """One row: counts of vectors, items, items without vector, vectors without item,

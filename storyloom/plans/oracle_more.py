@@ -80,6 +80,17 @@ final AS (SELECT item_id AS topic_id, CASE length(text) % 3 WHEN 0 THEN 1 ELSE 2
           FROM benchmark, (SELECT least({k}, count(*)) AS n FROM articles))"""
 
 
+def hashed(name: str, key: str, text: str, table: str) -> str:
+    """Counts with signs by dimension, their norm, and unit vectors as lists."""
+    return f"""
+{name}_t AS (SELECT {key} AS k, md5(term) AS h FROM (SELECT {key}, unnest({toks(text)}) AS term FROM {table})),
+{name}_c AS (SELECT k, CAST('0x' || substr(h, 1, 8) AS BIGINT) % {P.HASHED_DIM} AS d, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS c FROM {name}_t GROUP BY k, d),
+{name}_n AS (SELECT k, sqrt(CAST(sum(c * c) AS DOUBLE)) AS norm FROM {name}_c GROUP BY k),
+{name}_v AS (SELECT a.k, list(coalesce(c.c / nullif(n.norm, 0), 0.0) ORDER BY s.d) AS v
+             FROM (SELECT DISTINCT {key} AS k FROM {table}) a CROSS JOIN (SELECT unnest(generate_series(0, {P.HASHED_DIM - 1})) AS d) s
+             LEFT JOIN {name}_c c ON c.k = a.k AND c.d = s.d LEFT JOIN {name}_n n ON n.k = a.k GROUP BY a.k)"""
+
+
 def more_sql() -> dict[str, str]:
     ev = hits_ctes(P.EVAL_K) + [REPLIES, PARSE, GROUND, SAMPLES]
     return {
@@ -95,6 +106,13 @@ FROM embeddings WHERE vec_id % {P.SEARCH_STEP} = 0""",
 SELECT CAST(a.label AS BIGINT) AS topic_id, count(*) AS n_pairs, round(avg(s), 6) AS mean_similarity, round(max(s), 6) AS max_similarity, round(min(s), 6) AS min_similarity
 FROM (SELECT a.label, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
       FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) a GROUP BY a.label""",
+        "encode_documents": with_(*articles_cte(), hashed("a", "id", "full_text", "articles")) + """
+SELECT k AS id, len(list_filter(v, lambda x: x <> 0)) AS n_used, round(list_sum(list_transform(v, lambda x: abs(x))), 6) AS l1,
+       CASE WHEN len(list_filter(v, lambda x: x <> 0)) > 0 THEN list_position(v, list_max(v)) - 1 END AS top_dimension FROM a_v""",
+        "dense_story": with_(*articles_cte(), hashed("a", "id", "full_text", "articles"), hashed("t", "item_id", "text", "benchmark")) + f"""
+SELECT topic_id, rank, id, round(s, 6) AS similarity_score FROM (
+  SELECT t.k AS topic_id, a.k AS id, list_dot_product(t.v, a.v) AS s, row_number() OVER (PARTITION BY t.k ORDER BY list_dot_product(t.v, a.v) DESC, a.k) AS rank
+  FROM t_v t, a_v a) WHERE rank <= {P.DENSE_K}""",
         "article_raw": with_(*articles_cte()) + """
 SELECT a.id, a.headline, d.n_chars, d.lang AS meta_lang, d.source AS meta_source FROM articles a JOIN documents d ON a.id = CAST(d.doc_id AS VARCHAR)""",
         "feed_accounting": accounting_sql(),

@@ -46,18 +46,27 @@ def text_hits(topics: DataFrame, articles: DataFrame, k: int) -> DataFrame:
     return search.text_topk(topic_tv, doc_tv, k, carry=["row_key"])
 
 
-def dense_hits(make_encoder: Callable, dim: int, folder: str, model: str, rebuild: bool = False) -> Callable:
-    """Retriever on a caller's encoder (see ``embed.encode``), for ``storylines(retrieve=...)``.
+def dense_hits(folder: str, make_encoder: Callable | None = None, dim: int = embed.HASHED_DIM, model: str | None = None, rebuild: bool = False) -> Callable:
+    """Retriever on dense vectors, for ``storylines(retrieve=...)``: those of the built-in
+    encoder (``embed.hashed_vectors``) or of a caller's (see ``embed.encode``, with ``model``
+    as its name).
 
     Vectors of article texts are kept in ``folder``, keyed by model and text, so a later
     run encodes new texts only.
     """
+    model = model or f"hashed-{dim}"
+
     def encode(todo: DataFrame) -> DataFrame:
+        if make_encoder is None:
+            return embed.hashed_vectors(todo, "key", "full_text", dim)
         return embed.encode(todo, "full_text", make_encoder, dim).select("key", "embedding")
 
     def retrieve(topics: DataFrame, articles: DataFrame, k: int) -> DataFrame:
         stored = embed.embed_with_store(articles.select("id", "row_key", "full_text"), folder, model, encode, rebuild=rebuild)
-        queries = embed.encode(topics, "topic", make_encoder, dim).select("topic_id", "embedding")
+        if make_encoder is None:
+            queries = embed.hashed_vectors(topics, "topic_id", "topic", dim)
+        else:
+            queries = embed.encode(topics, "topic", make_encoder, dim).select("topic_id", "embedding")
         return search.dense_topk(queries, stored, k, carry=["row_key"])
 
     return retrieve

@@ -437,6 +437,24 @@ def q_ivf_recall(spark, sf_dir):
                     (F.count("hit") >= P.RECALL * F.count(F.lit(1))).alias("enough_found"))
 
 
+def q_encode_documents(spark, sf_dir):
+    """V1, V3: every article's vector of the built-in encoder, summed up."""
+    from storyloom.operators import embed
+    v = embed.hashed_vectors(articles(spark, sf_dir), "id", "full_text", P.HASHED_DIM)
+    size = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + F.abs(x))
+    used = F.size(F.filter("embedding", lambda x: x != 0))
+    top = F.array_position("embedding", F.array_max("embedding")) - 1
+    return v.select("id", used.alias("n_used"), F.round(size, 6).alias("l1"), F.when(used > 0, top).alias("top_dimension"))
+
+
+def q_dense_story(spark, sf_dir):
+    """Topics against articles on stored vectors of the built-in encoder."""
+    from storyloom.plans import pipelines
+    arts = articles(spark, sf_dir).withColumn("row_key", clean.row_key())
+    hits = pipelines.dense_hits(_store(spark, "hashed"), dim=P.HASHED_DIM)(testbed.topics(spark, sf_dir), arts, P.DENSE_K)
+    return hits.select("topic_id", "rank", "id", _round())
+
+
 def q_label_similarity(spark, sf_dir):
     """T7 on large sets: all pairs of vectors of a label, summed up."""
     corpus = testbed.dense_vectors(spark, sf_dir)
@@ -495,6 +513,8 @@ queries_batch4 = {
     "vector_self_topk": q_vector_self_topk,
     "ivf_recall": q_ivf_recall,
     "label_similarity": q_label_similarity,
+    "encode_documents": q_encode_documents,
+    "dense_story": q_dense_story,
     "article_raw": q_article_raw,
     "feed_accounting": q_feed_accounting,
     "generate_loop": q_generate_loop,

@@ -212,7 +212,10 @@ def test_dense_storylines_reuse_stored_vectors(spark):
         return encode
 
     topics = spark.createDataFrame([(1, "Council votes on the school budget"), (2, "the library")], "topic_id long, topic string")
-    retrieve = pipelines.dense_hits(make_encoder, 16, f"{d}/vectors", "toy")
+    retrieve = pipelines.dense_hits(f"{d}/vectors", make_encoder, 16, "toy")
+    plain = pipelines.dense_hits(f"{d}/hashed")
+    for docs in [{r.topic_id: r for r in pipelines.storylines(spark, f"{d}/news.json", topics, "2024-02-10", k=2, retrieve=plain).collect()}]:
+        assert sum("school" in t.headline for t in docs[1].timeline) == 2
     for _ in range(2):
         docs = {r.topic_id: r for r in pipelines.storylines(spark, f"{d}/news.json", topics, "2024-02-10", k=3, retrieve=retrieve).collect()}
         assert all(len(r.timeline) == 3 for r in docs.values())
