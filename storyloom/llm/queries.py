@@ -53,7 +53,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_shuffle.digest(shard_shuffle.shard(table(spark, sf_dir, "documents")))
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "shards")
+    sharded = shard_shuffle.shard(docs)
+    shard_shuffle.write_shards(sharded, folder, len(docs.columns))
+    return shard_shuffle.digest(shard_shuffle.read_shards(spark, folder, sharded.schema))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

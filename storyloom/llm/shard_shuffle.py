@@ -7,7 +7,7 @@ runs of that order are the shards, so their row counts differ by one at most (la
 ``rows``).
 
 The slots of a bucket are dealt to its records in the order of a second hash, so reruns
-agree.  Null texts count 1 byte like empty ones; records that repeat in id and text are
+agree; records that tie there are equal.  Null texts count 1 byte like empty ones; records that repeat in id and text are
 kept each; an empty table gives an empty table; all columns are carried through, and the
 new columns get underscores in front where their names are taken.
 """
@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from storyloom.llm.common import free_name, utf8_size
 
@@ -25,6 +26,8 @@ SEED = 5
 N_SHARDS = 16
 #: Records of a bucket fit into a task's memory.
 BUCKET_BYTES = 32 << 20
+#: Buckets of a task, together.
+TASK_BYTES = 8 * BUCKET_BYTES
 LAW = "rows"
 
 
@@ -32,21 +35,22 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, text: str = "text", key: st
           seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with shard (int, from 0) and slot (long, gapless from 0 in its shard).
 
-    Records are shuffled once, by bucket; the join with the buckets' permutations (four
-    bytes a record) keeps that partitioning.  One row of counts reaches the driver.
+    Records are shuffled once, by bucket, into at least one task for ``TASK_BYTES``; the
+    join with the buckets' permutations (four bytes a record) keeps that partitioning.  One
+    row of counts reaches the driver.
     """
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(utf8_size(text) + 1).alias("bytes")).first()
     n, n_buckets = total["n"], max(1, math.ceil((total["bytes"] or 0) / bucket_bytes))
     names = docs.columns
     bucket_name, rank_name, place = (free_name(names, x) for x in ("shard_bucket", "shard_rank", "shard_place"))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(n_buckets)).cast("int")
-    rows = docs.withColumn(bucket_name, bucket)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((total["bytes"] or 0) / TASK_BYTES))
+    rows = docs.withColumn(bucket_name, bucket).repartition(tasks, bucket_name)
 
     counts = docs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("int").alias("size"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one small row per bucket
     counts = counts.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
     # shuffle() draws anew for each row of a partition, so rows and partitions are fixed first.
-    tasks = min(n_buckets, 2048)
     dealt = counts.repartition(tasks, "bucket").sortWithinPartitions("bucket").select(
         "bucket", "offset", F.shuffle(F.sequence(F.lit(0), F.col("size") - 1), seed).alias("slots"))
 
@@ -73,6 +77,11 @@ def write_shards(sharded: DataFrame, folder: str, n_columns: int) -> None:
     sharded.sortWithinPartitions(shard_name, slot).write.partitionBy(shard_name).parquet(folder)
 
 
+def read_shards(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The records of ``write_shards``, in the columns of ``schema`` (those of ``shard``)."""
+    return spark.read.schema(schema).parquet(folder).select(*[F.col(f"`{f.name}`") for f in schema.fields])
+
+
 def digest(sharded: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     shard_name, slot = sharded.columns[-2:]
     return sharded.select(F.col(key).alias("doc_id"), (utf8_size(text) + 1).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"),
