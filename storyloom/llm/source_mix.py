@@ -12,8 +12,9 @@ the excess is shared among the others by weight.
 
 The document at the cut is taken when that brings the sum nearer to the budget.  Null
 texts have size 0; documents of size 0 come as often as their place in the order says.
-Repeated rows (equal id and text) share their key and are taken together.  An empty table
-gives an empty table; further columns are carried through by ``mix``.
+Repeated rows (equal id and text) share their key; the cut goes between them, and which of
+them are taken is open.  Very long texts only count their words.  An empty table gives an
+empty table; further columns are carried through by ``mix``.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def plan(narrow: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Da
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("n").over(previous), F.lit(0)).alias("offset"))
     offsets = (offsets.alias("o").join(goal.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source")))
                .select(F.col("o.source").alias("o_source"), F.col("bucket").alias("o_bucket"), "offset", "source_size", "target"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key").rangeBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("long")
@@ -105,16 +106,24 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     """The mixed documents themselves: each row as often as it is taken, columns of ``docs``.
 
     A source is cut at one key, so the copies of a row follow from its own key and one row
-    of its source (epochs and the last key taken once more); texts are not shuffled.
+    of its source (epochs, the last key taken once more, and how many of its rows are); only
+    rows with that very key are numbered, other texts are not shuffled.
     """
-    found = plan(materialize(_keyed(docs, text, key, source, seed)), weights, max_epochs)
-    cuts = materialize(found.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), F.col("key"))).alias("cut")))
+    found = materialize(plan(materialize(_keyed(docs, text, key, source, seed)), weights, max_epochs))
+    again = F.when(F.col("copies") > F.col("epochs"), F.col("key"))
+    cuts = found.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(again).alias("cut"))
+    at_cut = found.where("copies > epochs").groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).alias("a")
+    cuts = cuts.alias("c").join(at_cut, F.col("c.source").eqNullSafe(F.col("a.source")) & (F.col("c.cut") == F.col("a.key")), "left")
+    cuts = materialize(cuts.select("c.source", "epochs", "cut", F.coalesce("a.n", F.lit(0)).alias("rows_at_cut")))
     names = docs.columns
     own_source, own_key, copies = (free_name([*names, *cuts.columns], n) for n in ("mix_source", "mix_key", "mix_copies"))
     rows = docs.select("*", F.col(f"`{source}`").alias(own_source), _random_key(text, key, seed).alias(own_key))
-    limits = cuts.select(F.struct("source", "epochs", "cut").alias(copies))
+    limits = cuts.select(F.struct("source", "epochs", "cut", "rows_at_cut").alias(copies))
     # One row per source: Spark broadcasts it while its size allows.
     rows = rows.join(limits, F.col(own_source).eqNullSafe(F.col(copies)["source"]))
-    again = F.coalesce(F.col(own_key) <= F.col(copies)["cut"], F.lit(False)).cast("int")
-    times = F.array_repeat(F.lit(1), F.col(copies)["epochs"].cast("int") + again)
-    return rows.withColumn(copies, F.explode(times)).select(*[F.col(f"`{c}`") for c in names])
+    at_cut = F.col(own_key).eqNullSafe(F.col(copies)["cut"])
+    times = lambda more: F.explode(F.array_repeat(F.lit(1), F.col(copies)["epochs"].cast("int") + more.cast("int")))
+    plain = rows.where(~at_cut).withColumn(copies, times(F.coalesce(F.col(own_key) < F.col(copies)["cut"], F.lit(False))))
+    numbered = rows.where(at_cut).withColumn(own_key, F.row_number().over(Window.partitionBy(own_source).orderBy(own_key)))
+    cut = numbered.withColumn(copies, times(F.col(own_key) <= F.col(copies)["rows_at_cut"]))
+    return plain.unionByName(cut).select(*[F.col(f"`{c}`") for c in names])

@@ -56,6 +56,19 @@ def test_mix_rows_agree_with_report(spark):
     assert Counter((r["doc_id"], n) for r in mixed.collect() if (n := len(WORD.findall(r["text"] or "")))) == taken
 
 
+def test_mix_cuts_between_repeated_rows(spark):
+    rows = [(7, "five words are in it", "en", "a", 0)] * 200 + [(i, "one two three", "en", "b", 0) for i in range(10, 110)] + [(300, "x " * 40, "en", "c", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    report = source_mix.mix_report(docs).collect()
+    by = defaultdict(lambda: [0, 0.0])
+    for r in report:
+        by[{7: "a", 300: "c"}.get(r["doc_id"], "b")][0] += r["taken"]
+        by[{7: "a", 300: "c"}.get(r["doc_id"], "b")][1] = r["target"]
+    assert by["a"][1] not in (0, 1000.0) and all(abs(taken - target) <= size for (taken, target), size in ((by["a"], 5), (by["b"], 3), (by["c"], 40)))
+    mixed = Counter(r["doc_id"] for r in source_mix.mix(docs).collect())
+    assert mixed[7] * 5 == by["a"][0] and sum(n for d, n in mixed.items() if 10 <= d < 110) * 3 == by["b"][0]
+
+
 def test_mix_empty_and_wordless(spark):
     assert source_mix.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     only = spark.createDataFrame([(1, "", "en", "a", 0), (2, None, "en", None, 0)], SCHEMA)
@@ -132,7 +145,7 @@ def test_chat_long_conversations_come_in_runs(spark):
     """A hot conversation is never one value, and its runs read back as the whole."""
     turns = [(None if i % 3 else i % 7, i if i % 5 else None, ("user", "assistant", "r" * 70)[i % 3 if i % 2 else 1], f"turn é {i % 11} </s> " * 20) for i in range(900)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
-    formatted = chat_format.format_conversations(df, run_bytes=5000).localCheckpoint()
+    formatted = chat_format.format_conversations(df, run_bytes=5000).checkpoint()
     rows = chat_format.with_starts(formatted).orderBy("conv_id", "run").collect()
     assert max(len(r["formatted"].encode()) for r in rows) < 12000 and sum(r["conv_id"] is None for r in rows) > 30
     got = {r["conv_id"]: r for r in chat_format.digest(formatted).collect()}
