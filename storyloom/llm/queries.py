@@ -45,7 +45,8 @@ def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    cut = suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return cut.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

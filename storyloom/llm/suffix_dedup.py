@@ -15,14 +15,15 @@ strings of ``MIN_BYTES`` bytes; a bucket with one member is finished and drops o
    surroundings, all their strings repeat.  Both are decided by aggregates of one small
    row per entry.
 2. Refinement.  Of the other q-grams, one entry for each different surrounding goes on,
-   with its bytes.  The entries of a q-gram meet in a task, where the starts' bucket ids
-   of q bytes are refined to 2q, 4q, ... by pairing each with the id at the later
-   offset; ids that result from one step are used in the next, and single members drop
-   out after each.  Very large q-gram buckets are not brought together: their starts
-   become rows that an ordinary aggregate counts.
+   with its bytes.  The entries of a q-gram meet in a task (``repeated_starts``): each place
+   has a pointer to its bucket, buckets are refined by sorting on the pointers at later
+   offsets, and the new pointers are what the next refinement reads.  Very large q-gram
+   buckets are not brought together: their starts become rows, with hashes of their
+   strings, that an ordinary aggregate counts.
 3. The spans found are joined back and cut out.
 
-Identifiers are 64-bit hashes of the strings.  Null texts count as empty; shorter
+Q-grams and surroundings are compared by 64-bit hashes.  Ties are none, repeated rows count
+as equal documents.  Null texts count as empty; shorter
 documents than ``MIN_BYTES`` never change; equal documents, repeated rows included, lose
 all their bytes; an empty table gives an empty table; all columns are carried through.
 """
@@ -41,7 +42,8 @@ from pyspark.sql import types as T
 from storyloom.llm.common import byte_slices, free_name, materialize
 
 MIN_BYTES = 400
-Q = 50  # doubled three times: 50, 100, 200, 400
+Q = 50
+FIRST = 8  # bytes of the first buckets of a refinement: 8, 16, ... 256, 400
 SLICE_BYTES = 1 << 20
 #: Different surroundings of one q-gram that may meet in a task.
 TOGETHER = 20_000
@@ -152,37 +154,50 @@ def _scan(rows: DataFrame, min_bytes: int, q: int) -> DataFrame:
     return rows.mapInArrow(run, ENTRIES)
 
 
-def repeated_starts(contents: list[bytes], groups: np.ndarray, many: np.ndarray, min_bytes: int = MIN_BYTES, q: int = Q) -> np.ndarray:
+def _buckets(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Bucket identifiers of pairs of numbers from 0 on: equal for equal pairs, -1 for a pair on its own."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    key = first * (int(second.max()) + 1) + second
+    order = np.argsort(key)
+    key = key[order]
+    bucket = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+    out = np.empty(len(key), np.int64)
+    out[order] = np.where(np.bincount(bucket)[bucket] > 1, bucket, -1)
+    return out
+
+
+def repeated_starts(contents: list[bytes], groups: np.ndarray, many: np.ndarray, min_bytes: int = MIN_BYTES) -> np.ndarray:
     """Which starts of the contents (all their ``len - min_bytes + 1`` starts, end to end) begin
     a string that repeats within their group; all starts of a content that is there ``many`` times do.
 
-    Bucket ids are refined from q to ``min_bytes`` bytes by doubling; the ids of a step are
-    reused by the next, and starts alone in their bucket drop out.
+    Every place holds a pointer to its bucket, at first that of its q-gram (``FIRST`` bytes)
+    in its group.  A bucket is refined by sorting its places by the pointers at a later
+    offset, which makes it stand for longer strings; the new pointers replace the old and
+    are what the next refinement looks up.  Places alone in their bucket drop out, and so
+    do those that point to such a place.  Bytes and pointers are compared, no hashes.
     """
-    ids = Ids(np.frombuffer(b"".join(contents), np.uint8))
     sizes = np.array([len(c) for c in contents])
     begin = np.cumsum(sizes) - sizes
-    counts = sizes - min_bytes + 1
-    first = np.cumsum(counts) - counts
-    start = np.arange(int(counts.sum())) + np.repeat(begin - first, counts)
-    group = np.repeat(_mixed(groups.astype(np.uint64)), counts)
-    found = np.repeat(many, counts)
-    left = np.arange(len(start))
-    have = q
-    bucket = ids.of(start, start + q)
-    while True:
-        key = _mixed(bucket) ^ group[left]
-        _, where, seen = np.unique(key, return_inverse=True, return_counts=True)
-        together = seen[where] > 1
-        if have == min_bytes:
-            found[left[together]] = True
-            return found
-        left, bucket = left[together], bucket[together]
+    n = int(sizes.sum())
+    have = min(FIRST, min_bytes)
+    grams = np.ndarray(n, "<u8", b"".join(contents) + bytes(8), strides=(1,)) & np.uint64((1 << 8 * have) - 1)
+    end = np.repeat(begin + sizes, sizes)
+    at = np.flatnonzero(np.arange(n) + have <= end)
+    own = np.repeat(np.unique(groups, return_inverse=True)[1], sizes)
+    pointer = np.full(n, -1)
+    pointer[at] = _buckets(np.unique(grams[at], return_inverse=True)[1], own[at])
+    while have < min_bytes:
         step = min(have, min_bytes - have)
-        # The id of have + step bytes from the id of the first `have` bytes and the one at the later offset.
-        later = start[left] + have
-        bucket = bucket + ids.of(later, later + step) * ids.up[have]
+        at = at[(pointer[at] >= 0) & (at + have + step <= end[at])]
+        at = at[pointer[at + step] >= 0]
+        found = _buckets(pointer[at], pointer[at + step])
+        pointer = np.full(n, -1)
+        pointer[at] = found
         have += step
+    counts = sizes - min_bytes + 1
+    start = np.arange(int(counts.sum())) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
+    return np.repeat(many, counts) | (pointer[start] >= 0)
 
 
 def _runs(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +237,7 @@ def _refine(contents: DataFrame, min_bytes: int, q: int) -> DataFrame:
         part = pa.Table.from_batches(held)
         grams, around, n = (part[c].to_numpy() for c in ("gram", "around", "n"))
         contents = part["content"].to_pylist()
-        found = repeated_starts(contents, grams, n > 1, min_bytes, q)
+        found = repeated_starts(contents, grams, n > 1, min_bytes)
         owner, a, z = _runs(found, np.array([len(c) - min_bytes + 1 for c in contents]))
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (grams[owner], around[owner], a, z)], names)
 

@@ -138,7 +138,8 @@ def repeat_rows():
 def test_suffix_query(spark, tmp_path):
     rows = repeat_rows()
     got = queries.queries()["op3_suffix_dedup"](spark, write_tables(spark, tmp_path, rows)).collect()
-    assert Counter(map(tuple, got)) == brute_removed(rows, 400)
+    assert Counter(tuple(r)[:5] for r in got) == brute_removed(rows, 400)
+    assert all(r["n_kept"] == r["n_bytes"] - r["n_removed"] for r in got)
 
 
 @pytest.mark.parametrize("together", [0, 2, 10 ** 6])
