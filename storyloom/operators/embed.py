@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.functions.vectors import l2_normalize, tokens
-from storyloom.session import path_exists
+from storyloom.sources.store import Store
 
 # Default encoder batch size and the character cut applied before a
 # pretrained encoder (its input window).
@@ -145,21 +145,21 @@ def text_key(text_col: str, model: str) -> F.Column:
 
 
 def embed_with_store(items: DataFrame, folder: str, model: str, embed: Callable[[DataFrame], DataFrame],
-                     text_col: str = "full_text", rebuild: bool = False) -> DataFrame:
+                     text_col: str = "full_text", rebuild: bool = False, tag: str | None = None) -> DataFrame:
     """Encode each distinct text once, store its vector and read stored vectors back.
 
-    ``folder`` is a Parquet table of ``(key, <vector columns>, written_by)``, keyed by md5
-    of model and text (NULL = empty).  ``embed(df_with_key_and_text)`` must return ``key``
-    plus the vector columns.  Returns the items with key, vector columns and fresh (encoded
-    by this call); a repeated call encodes nothing.  ``rebuild`` replaces the table.
+    ``folder`` is a versioned store (``sources.store``) of ``(key, <vector columns>,
+    written_by)``, keyed by md5 of model and text (NULL = empty); only the prefixes of the
+    items' keys are read.  ``embed(df_with_key_and_text)`` must return ``key`` plus the
+    vector columns.  Returns the items with key, vector columns and fresh (encoded by this
+    call); a repeated call encodes nothing.  ``rebuild`` replaces the store's content.
     """
-    spark = items.sparkSession
+    store = Store(items.sparkSession, folder)
     keyed = items.withColumn("key", text_key(text_col, model))
     todo = keyed.select("key", F.col(text_col)).dropDuplicates(["key"])
-    stored = not rebuild and path_exists(spark, folder)
-    if stored:
-        todo = todo.join(spark.read.parquet(folder).select("key"), "key", "left_anti")
+    if not rebuild:
+        todo = store.missing(todo)
     call = uuid.uuid4().hex
-    embed(todo).withColumn("written_by", F.lit(call)).write.mode("append" if stored else "overwrite").parquet(folder)
-    out = keyed.join(spark.read.parquet(folder), "key")
+    store.append(embed(todo).withColumn("written_by", F.lit(call)), tag, rebuild)
+    out = keyed.join(store.read(store.prefixes(keyed)), "key")
     return out.withColumn("fresh", F.col("written_by") == call).drop("written_by")

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from storyloom.operators.dense import assign_lists, dense_topk, label_centroids, neighbours, rank_topk, similarity_pairs  # noqa: F401
 from storyloom.operators.ivf import DEFAULT_NPROBE, build_index, ivf_topk, probes_for_recall, search_index  # noqa: F401
 from storyloom.session import ensure_checkpoint_dir, path_exists
+from storyloom.sources.store import Store
 
 # Largest table broadcast by a hint, and topics of a text search sent to the tasks in one piece.
 MAX_BROADCAST_BYTES = 64 << 20
@@ -172,23 +173,23 @@ def cached_search(queries: DataFrame, folder: str, run: Callable[[DataFrame], Da
                   version: str, q_id: str = "topic_id", q_text: str = "topic", rebuild: bool = False) -> DataFrame:
     """Answer reuse (T8): ``(q_id, key, rank, id, similarity_score, fresh)`` of all queries.
 
-    key = md5 of query text, k, model and corpus version.  ``folder`` is a Parquet table
-    with a row per answered key and its hits (an empty list is an answer, too).  Keys it
-    lacks are searched, each once, and appended in one write; all answers are read back
-    from it.  ``run(df)`` takes ``(key, <query columns>)`` rows and returns hits keyed by
+    key = md5 of query text, k, model and corpus version (``store.corpus_version`` of the
+    searched table: answers go stale when it changes).  ``folder`` is a versioned store with
+    a row per answered key and its hits (an empty list is an answer, too).  Keys it lacks
+    are searched, each once, and added in one write; all answers are read back from it.
+    ``run(df)`` takes ``(key, <query columns>)`` rows and returns hits keyed by
     ``key``; it is not called when every key is there.  ``rebuild`` replaces the table.
     """
     spark = queries.sparkSession
     keyed = queries.withColumn("key", F.md5(F.concat_ws("|", F.col(q_text), F.lit(str(k)), F.lit(model), F.lit(version))))
     todo = keyed.dropDuplicates(["key"])
-    stored = not rebuild and path_exists(spark, folder)
-    if stored:
-        todo = todo.join(spark.read.parquet(folder).select("key"), "key", "left_anti")
-    todo = todo.checkpoint()
+    store = Store(spark, folder)
+    stored = not rebuild and store.manifest() is not None
+    todo = (store.missing(todo) if stored else todo).checkpoint()
     call = uuid.uuid4().hex
     if not stored or not todo.isEmpty():
         hits = run(todo).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "similarity_score"))).alias("hits"))
         rows = todo.select("key").join(hits, "key", "left").withColumn("written_by", F.lit(call))
-        rows.write.mode("append" if stored else "overwrite").parquet(folder)
-    answers = keyed.select(q_id, "key").join(spark.read.parquet(folder), "key")
+        store.append(rows, replace=rebuild)
+    answers = keyed.select(q_id, "key").join(store.read(store.prefixes(keyed)), "key")
     return answers.select(q_id, "key", F.inline("hits"), (F.col("written_by") == call).alias("fresh"))

@@ -170,8 +170,9 @@ SELECT k.id, k.key, coalesce(kv.n_terms, 0) AS n_terms, CAST(coalesce(kv.sumsq,
        CAST(CASE WHEN r1.key IS NOT NULL THEN 1 ELSE 2 END AS BIGINT) AS round
 FROM k LEFT JOIN kv ON kv.key = k.key LEFT JOIN r1 ON r1.key = k.key""".replace("\nWITH", "WITH"),
         "answer_reuse": with_(*hits_ctes(P.DOC_SEARCH_K)) + f""",
-tk AS (SELECT item_id AS topic_id, md5(text || '|' || '{P.DOC_SEARCH_K}' || '|' || '{P.MODEL_NAME}' || '|' || '{P.CORPUS_VERSION}') AS key,
-              upper(substr(text, 1, 1)) BETWEEN 'A' AND 'M' AS first_batch FROM benchmark),
+cv AS (SELECT CAST(count(*) AS VARCHAR) || '-' || CAST(coalesce(sum(CAST('0x' || substr(md5(id || chr(31) || full_text), 1, 12) AS BIGINT)), 0) AS VARCHAR) AS version FROM articles),
+tk AS (SELECT item_id AS topic_id, md5(text || '|' || '{P.DOC_SEARCH_K}' || '|' || '{P.MODEL_NAME}' || '|' || version) AS key,
+              upper(substr(text, 1, 1)) BETWEEN 'A' AND 'M' AS first_batch FROM benchmark, cv),
 firstkeys AS (SELECT DISTINCT key FROM tk WHERE first_batch)
 SELECT tk.topic_id, tk.key, h.rank, h.id, round(h.similarity_score, 6) AS similarity_score,
        CASE WHEN f.key IS NOT NULL THEN 'store' ELSE 'fresh' END AS served_from

@@ -23,4 +23,3 @@ IVF_NPROBE = 3            # lists probed in the label-centroid inverted-file que
 SECTION_SEP = "\n"        # documents have no blank lines; sections are lines
 MODEL_NAME = "term-count-v1"
 HASHED_DIM = 256          # dimensions of the built-in encoder
-CORPUS_VERSION = "v1"

@@ -18,6 +18,7 @@ from storyloom.operators import clean, search
 from storyloom.plans import params as P
 from storyloom.session import ensure_checkpoint_dir, ship_package
 from storyloom.sources import testbed
+from storyloom.sources.store import corpus_version
 
 
 def _round(c: str = "similarity_score", name: str | None = None):
@@ -389,9 +390,10 @@ def q_answer_reuse(spark, sf_dir):
 
     folder = _store(spark, "answers")
     tps = testbed.topics(spark, sf_dir)
+    version = corpus_version(arts, "id", "full_text")
     first = tps.filter(F.upper(F.substring("topic", 1, 1)).between("A", "M"))
-    search.cached_search(first, folder, run, P.DOC_SEARCH_K, P.MODEL_NAME, P.CORPUS_VERSION)
-    answers = search.cached_search(tps, folder, run, P.DOC_SEARCH_K, P.MODEL_NAME, P.CORPUS_VERSION)
+    search.cached_search(first, folder, run, P.DOC_SEARCH_K, P.MODEL_NAME, version)
+    answers = search.cached_search(tps, folder, run, P.DOC_SEARCH_K, P.MODEL_NAME, version)
     return answers.select("topic_id", "key", "rank", "id", _round(), F.when(F.col("fresh"), "fresh").otherwise("store").alias("served_from"))
 
 

@@ -4,11 +4,13 @@ New JSON-lines article files dropped into a folder are cleaned as they arrive
 (stateless projection + filter), and each micro-batch appends to two Parquet tables:
 
 * ``articles``: cleaned rows, with the whole article in ``raw``
-* ``vectors``:  term vectors keyed by ``md5(model | text)``; a text stored by an earlier
-  batch is not encoded again (the S4 cache rule).
+* ``vectors``:  a versioned store (``sources.store``) of term vectors keyed by ``md5(model |
+  text)``; a text stored by an earlier batch is not encoded again (the S4 cache rule), and
+  only the prefixes of a batch's keys are read.
 
-Each micro-batch writes only its own ``batch_id`` partition with dynamic overwrite, so a
-batch replayed after a failure replaces its earlier output instead of duplicating it.
+Each micro-batch writes only its own ``batch_id`` partition of the articles with dynamic
+overwrite, and its vectors under a tag of its own, so a batch replayed after a failure
+replaces its earlier output, or finds it, instead of duplicating it.
 Progress is kept in the query's checkpoint location, so a restarted query resumes where
 it stopped.
 """
@@ -20,15 +22,8 @@ from pyspark.sql import functions as F
 
 from storyloom.operators.clean import clean_articles
 from storyloom.operators.embed import term_vectors, text_key
-from storyloom.session import path_exists
 from storyloom.sources.news import parse_articles
-
-
-def _stored_keys(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
-    """Keys written by earlier micro-batches (a replayed batch must not see its own)."""
-    if not path_exists(spark, path):
-        return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < before_batch).select("key")
+from storyloom.sources.store import Store
 
 
 def _write_batch_partition(df: DataFrame, path: str) -> None:
@@ -47,13 +42,10 @@ def start_ingest(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_
         _write_batch_partition(keyed, f"{out_dir}/articles")
         # Read back, so that the batch is parsed and cleaned once and nothing is cached.
         rows = spark.read.schema(keyed.schema).parquet(f"{out_dir}/articles").where(F.col("batch_id") == batch_id)
-        todo = rows.select("key", "full_text", "batch_id").dropDuplicates(["key"])
-        stored = _stored_keys(spark, f"{out_dir}/vectors", batch_id)
-        if stored is not None:
-            todo = todo.join(stored, "key", "left_anti")
-        tv = term_vectors(todo, "key", "full_text").withColumnRenamed("id", "key") \
-            .withColumn("model", F.lit(model)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        _write_batch_partition(tv, f"{out_dir}/vectors")
+        store = Store(spark, f"{out_dir}/vectors")
+        todo = store.missing(rows.select("key", "full_text").dropDuplicates(["key"]))
+        tv = term_vectors(todo, "key", "full_text").withColumnRenamed("id", "key").withColumn("model", F.lit(model))
+        store.append(tv, tag=f"batch-{batch_id}")
 
     writer = cleaned.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

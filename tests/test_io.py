@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from storyloom.operators import clean, evaluate
 from storyloom.sources import news, sinks
+from storyloom.sources.store import Store
 from storyloom.streaming.incremental import start_ingest
 
 ART = {"id": "7", "title": "A headline that is long", "content": "body", "source_rating": 9, "tags": ["x"]}
@@ -80,14 +81,14 @@ def test_streaming_ingest_encodes_each_text_once(spark):
     q = start_ingest(spark, f"{d}/in", f"{d}/out", f"{d}/chk")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{d}/out/articles").count() == 3
-    first = spark.read.parquet(f"{d}/out/vectors").count()
+    first = Store(spark, f"{d}/out/vectors").read().count()
     assert first == 3  # full_text includes the distinct headline
     with open(f"{d}/in/2.json", "w") as f:
         f.write(json.dumps({"id": "9", "title": "Headline number 0", "content": "same body text"}) + "\n")
     q = start_ingest(spark, f"{d}/in", f"{d}/out", f"{d}/chk")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{d}/out/articles").count() == 4
-    assert spark.read.parquet(f"{d}/out/vectors").count() == first  # same text: not encoded again
+    assert Store(spark, f"{d}/out/vectors").read().count() == first  # same text: not encoded again
 
 
 def test_streaming_batch_replay_is_idempotent(spark):
@@ -220,4 +221,4 @@ def test_dense_storylines_reuse_stored_vectors(spark):
         docs = {r.topic_id: r for r in pipelines.storylines(spark, f"{d}/news.json", topics, "2024-02-10", k=3, retrieve=retrieve).collect()}
         assert all(len(r.timeline) == 3 for r in docs.values())
         assert sum("school" in t.headline for t in docs[1].timeline) == 2
-    assert spark.read.parquet(f"{d}/vectors").count() == 4
+    assert Store(spark, f"{d}/vectors").read().count() == 4

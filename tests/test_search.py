@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from storyloom.operators import embed, search
+from storyloom.sources.store import Store
 
 
 def _vectors(spark, n=300, d=16, seed=1):
@@ -105,7 +106,7 @@ def test_alignment_and_store(spark, tmp_path):
     out = {r.id: r.fresh for r in embed.embed_with_store(arts, folder, "m", enc).collect()}
     assert out == {"1": False, "2": False, "3": True}
     assert not any(r.fresh for r in embed.embed_with_store(arts, folder, "m", enc).collect())
-    assert spark.read.parquet(folder).count() == 2
+    assert Store(spark, folder).read().count() == 2
     assert all(r.fresh for r in embed.embed_with_store(arts, folder, "m", enc, rebuild=True).collect())
 
 
