@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from storyloom.operators.dense import assign_lists, dense_topk, label_centroids, neighbours, rank_topk, similarity_pairs  # noqa: F401
 from storyloom.operators.ivf import DEFAULT_NPROBE, build_index, ivf_topk, probes_for_recall, search_index  # noqa: F401
-from storyloom.session import ensure_checkpoint_dir, path_exists
+from storyloom.session import ensure_checkpoint_dir, path_exists, ship_package
 from storyloom.sources.store import Store
 
 # Largest table broadcast by a hint, and topics of a text search sent to the tasks in one piece.
@@ -62,11 +62,21 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, mode: str = "flat",
     return search_index(queries, folder, k, nprobe, **kw)
 
 
-def _block_scorer(topics: pa.Table, k: int, keys: list[str]) -> Callable:
+def reachable(row: np.ndarray, tf: np.ndarray, sumsq: np.ndarray, need: float) -> np.ndarray:
+    """Documents whose cosine with some topic may be ``need`` or more, from (row, tf) of the
+    terms they share with any topic: by Cauchy-Schwarz it is at most the norm of that part
+    of the document over its whole norm."""
+    shared = np.bincount(row, tf.astype(float) ** 2, len(sumsq))
+    return np.flatnonzero(shared * (1 + 1e-9) >= max(need, 0.0) ** 2 * sumsq)
+
+
+def _block_scorer(topics: pa.Table, k: int, keys: list[str], threshold: float = -np.inf) -> Callable:
     """Function over Arrow batches of document vectors: the task's ``k`` best rows of each topic.
 
     The topics' terms form an inverted index, so a slice of documents is scored by one
     gather and one weighted count; only ``k`` rows per topic are held between slices.
+    Documents that no topic can want (below ``threshold``, or below the k-th score of every
+    topic so far) are left out before they are scored.
     """
     cells, n_topics = CELLS, topics.num_rows
 
@@ -85,7 +95,7 @@ def _block_scorer(topics: pa.Table, k: int, keys: list[str]) -> Callable:
         post_tf = t_tf[order].astype(float)
         begin = np.searchsorted(code[order], np.arange(len(vocabulary) + 1))
         t_sumsq = topics["sumsq"].to_numpy().astype(float)
-        floor = np.full(n_topics, -np.inf)
+        floor = np.full(n_topics, threshold)
         held: list[pa.Table] = []
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch, [(c, "ascending") for c in keys]))
@@ -95,6 +105,17 @@ def _block_scorer(topics: pa.Table, k: int, keys: list[str]) -> Callable:
             tf = batch.column("tf").flatten().to_numpy(zero_copy_only=False)
             known = code >= 0
             row, code, tf = row[known], code[known], tf[known].astype(float)
+            if floor.min() > 0:
+                wanted = reachable(row, tf, batch.column("sumsq").to_numpy(zero_copy_only=False).astype(float), floor.min())
+                if len(wanted) < n:
+                    place = np.full(n, -1)
+                    place[wanted] = np.arange(len(wanted))
+                    row = place[row]
+                    there = row >= 0
+                    row, code, tf = row[there], code[there], tf[there]
+                    batch, n = batch.take(pa.array(wanted)), len(wanted)
+            if not n:
+                continue
             many = begin[code + 1] - begin[code]
             d_sumsq = batch.column("sumsq").to_numpy(zero_copy_only=False).astype(float)
             work = np.cumsum(np.maximum(n_topics, np.bincount(row, many, n)))
@@ -118,7 +139,7 @@ def _block_scorer(topics: pa.Table, k: int, keys: list[str]) -> Callable:
                     held = [ranked(pa.concat_tables(held))]
                     count = np.bincount(held[0]["topic"].to_numpy(), minlength=n_topics)
                     last = np.cumsum(count) - 1
-                    floor = np.where(count >= k, held[0]["similarity_score"].to_numpy()[np.maximum(last, 0)], -np.inf)
+                    floor = np.where(count >= k, held[0]["similarity_score"].to_numpy()[np.maximum(last, 0)], threshold)
         if held:
             out = ranked(pa.concat_tables(held))
             ids = pa.concat_arrays(topics["topic_id"].chunks).take(pa.concat_arrays(out["topic"].chunks))
@@ -128,7 +149,7 @@ def _block_scorer(topics: pa.Table, k: int, keys: list[str]) -> Callable:
 
 
 def text_topk(topic_tv: DataFrame, doc_tv: DataFrame, k: int, carry: Sequence[str] = (),
-              max_bytes: int = MAX_TOPIC_BYTES, max_topics: int = MAX_TOPICS) -> DataFrame:
+              max_bytes: int = MAX_TOPIC_BYTES, max_topics: int = MAX_TOPICS, threshold: float | None = None) -> DataFrame:
     """Cosine top-k of term vectors: ``(topic_id, rank, id, *carry, similarity_score)``.
 
     Both inputs come from ``term_vectors`` (topics with their id renamed ``topic_id``).
@@ -139,7 +160,8 @@ def text_topk(topic_tv: DataFrame, doc_tv: DataFrame, k: int, carry: Sequence[st
     written before the next block is fetched, so only one is held.  Dot products and norms are exact integers, so equal texts get bit-identical scores.
 
     Every topic gets ``min(k, n)`` hits: documents without a shared term score 0 and fill
-    up by id.  Ties go by id, then by the ``carry`` columns of ``doc_tv`` (kept in the
+    up by id.  With ``threshold`` (T9) only hits of that score or more count, and documents
+    that cannot reach it are not scored.  Ties go by id, then by the ``carry`` columns of ``doc_tv`` (kept in the
     hits, to tell rows with equal ids apart); rows equal in all of them are separate hits.
     """
     keys = ["id", *carry]
@@ -148,12 +170,13 @@ def text_topk(topic_tv: DataFrame, doc_tv: DataFrame, k: int, carry: Sequence[st
     blocks = max(1, math.ceil(size["bytes"] / max_bytes), math.ceil(size["n"] / max_topics))
     field = {f.name: f for f in [*doc_tv.schema.fields, *topic_tv.schema.fields]}
     schema = T.StructType([*(T.StructField(c, field[c].dataType) for c in ["topic_id", *keys]), T.StructField("similarity_score", T.DoubleType())])
+    ship_package(doc_tv.sparkSession)
     docs = doc_tv.select(*keys, "terms", "tf", "sumsq")
     scored = None
     for b in range(blocks):
         some = topic_tv if blocks == 1 else topic_tv.where(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == b)
         topics = some.select("topic_id", "terms", "tf", "sumsq").toArrow()
-        part = docs.mapInArrow(_block_scorer(topics, k, keys), schema) if topics.num_rows else docs.sparkSession.createDataFrame([], schema)
+        part = docs.mapInArrow(_block_scorer(topics, k, keys, -np.inf if threshold is None else threshold), schema) if topics.num_rows else docs.sparkSession.createDataFrame([], schema)
         part = part.checkpoint() if blocks > 1 else part
         scored = part if scored is None else scored.unionByName(part)
     return rank_topk(scored, k, ties=carry).select("topic_id", "rank", *keys, "similarity_score")

@@ -302,6 +302,7 @@ def storyline_sql() -> dict[str, str]:
     h = hits_ctes()
     return {
         "text_cosine_topk": with_(*h) + "SELECT topic_id, rank, id, round(similarity_score, 6) AS similarity_score FROM hits",
+        "text_threshold": with_(*h) + f"SELECT topic_id, rank, id, round(similarity_score, 6) AS similarity_score FROM hits WHERE similarity_score >= {P.THRESHOLD}",
         "timeline": with_(*h) + f"SELECT topic_id, pos, id, date, headline, url, source, {reason_sql(P.AS_OF)} AS why_it_matters FROM ta",
         "top_sources": with_(*h, SOURCES) + "SELECT * FROM topsrc",
         "peak_month": with_(*h, PEAK) + "SELECT * FROM peak",

@@ -14,6 +14,7 @@ DENSE_K = 10              # neighbours per dense query
 SEARCH_STEP = 20          # every row whose id is divisible by it is a query of the self search
 LOOP_K = 5                # sources per topic of the live generation loop
 LOOP_IDS = 7              # article ids of that loop repeat: doc_id modulo this
+THRESHOLD = 0.35         # least similarity of the text search with a threshold
 RECALL = 0.9              # share of exact hits that the trained index must find
 TRIAL_STEP = 20           # its probes are chosen on rows whose id leaves 7 modulo this
 TRIAL_RECALL = 0.95       # share that they must find of those rows' hits

@@ -88,6 +88,14 @@ def q_text_cosine_topk(spark, sf_dir):
     return hits.select("topic_id", "rank", "id", _round())
 
 
+def q_text_threshold(spark, sf_dir):
+    """Text search that only scores documents which can reach the threshold."""
+    from storyloom.operators import embed
+    doc_tv = embed.term_vectors(articles(spark, sf_dir), "id", "full_text")
+    topic_tv = embed.term_vectors(testbed.topics(spark, sf_dir), "topic_id", "topic").withColumnRenamed("id", "topic_id")
+    return search.text_topk(topic_tv, doc_tv, P.STORY_K, threshold=P.THRESHOLD).select("topic_id", "rank", "id", _round())
+
+
 def q_timeline(spark, sf_dir):
     from storyloom.operators import storyline
     _, _, _, ta = story_inputs(spark, sf_dir)
@@ -190,6 +198,7 @@ def q_vector_similarity_pairs(spark, sf_dir):
 
 queries_batch2 = {
     "text_cosine_topk": q_text_cosine_topk,
+    "text_threshold": q_text_threshold,
     "timeline": q_timeline,
     "top_sources": q_top_sources,
     "peak_month": q_peak_month,

@@ -123,6 +123,26 @@ def test_text_topk_in_blocks_is_identical(spark):
     assert one == many and len(one) == 15 * 5
 
 
+def test_threshold_gives_equal_hits_from_fewer_scored_documents(spark):
+    rnd = random.Random(5)
+    near, far = ["red", "green", "blue"], [f"word{i}" for i in range(200)]
+    docs = spark.createDataFrame([(f"{i:03}", " ".join([rnd.choice(near)] * (i % 4) + [rnd.choice(far) for _ in range(rnd.randint(0, 9))])) for i in range(300)], "id string, full_text string")
+    tps = spark.createDataFrame([(1, "red green"), (2, "blue blue red"), (3, "gold")], "topic_id long, topic string")
+    dtv = embed.term_vectors(docs, "id", "full_text")
+    ttv = embed.term_vectors(tps, "topic_id", "topic").withColumnRenamed("id", "topic_id")
+    for threshold in (0.2, 0.6, 1.0):
+        want = search.min_score(search.text_topk(ttv, dtv, 40), threshold)
+        got = search.text_topk(ttv, dtv, 40, threshold=threshold)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    rows = dtv.collect()
+    known = [(n, tf) for n, r in enumerate(rows) for t, tf in zip(r.terms, r.tf) if t in near]
+    row, tf = (np.array(x) for x in zip(*known))
+    sumsq = np.array([float(r.sumsq) for r in rows])
+    kept = search.reachable(row, tf, sumsq, 0.6)
+    best = {r.id for r in search.text_topk(ttv, dtv, 300, threshold=0.6).collect()}
+    assert best <= {rows[n].id for n in kept} and len(kept) < 0.6 * len(rows)
+
+
 def test_text_topk_fills_up_and_keeps_equal_ids_apart(spark):
     docs = spark.createDataFrame([("a", 1, "red"), ("a", 2, "red green"), ("b", 1, ""), ("c", 1, "red"), ("c", 1, "red")], "id string, n long, full_text string")
     tps = spark.createDataFrame([(1, "red"), (2, "blue"), (3, "")], "topic_id long, topic string")
