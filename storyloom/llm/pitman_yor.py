@@ -20,7 +20,8 @@ driver.  The pairs' probabilities go back to the blocks, which add them up by do
 Draws are seeded by sweep and partition, so scores vary a little with the partitioning.
 
 Null texts count as empty (the end token alone); documents without an id count as
-training text; repeated rows are scored each; an empty table gives an empty table.
+training text; repeated rows are scored each; ties do not occur; a very long text is a
+block of its own; further columns are ignored; an empty table gives an empty table.
 
 ``Part`` is the same chain over hash classes of contexts, in memory and without Spark.
 """

@@ -6,7 +6,8 @@ document and over every fixed-size chunk; the limits depend on the length, becau
 short texts compress less.  The base rules (too few words, too many repeated three-word
 windows) come first.
 
-Nulls count as empty texts (no words, rejected).  Every row is judged alone: repeated
+Limits belong to the bands (a ratio that equals one passes).  Very long texts are read
+whole and compressed chunk by chunk.  Nulls count as empty texts (no words, rejected).  Every row is judged alone: repeated
 rows get equal verdicts, an empty table gives an empty table, further columns are
 carried through unchanged.
 """

@@ -7,8 +7,9 @@ runs of that order are the shards, so their row counts differ by one at most (la
 ``rows``).
 
 The slots of a bucket are dealt to its records in the order of a second hash, so reruns
-agree; records that tie there are equal.  Null texts count 1 byte like empty ones; records that repeat in id and text are
-kept each; an empty table gives an empty table; all columns are carried through, and the
+agree; records that tie there are equal in id and text.  Null texts count 1 byte like
+empty ones; a very long text is a record like others; records that repeat in id and text
+are kept each; an empty table gives an empty table; all columns are carried through, and the
 new columns get underscores in front where their names are taken.
 """
 

@@ -12,9 +12,12 @@ two bits apart exactly when both are at most one bit from some third value, so t
 members of a large block are grouped by their one-bit variants and each group is linked
 to its smallest member, which is linear in its size and leaves the same components.
 
-Null texts count as empty.  Rows with equal texts share a fingerprint.  A component's id
-is its smallest doc_id (nulls only where all its ids are null).  An empty table gives an
-empty table.
+Null texts count as empty.  Rows with equal texts, repeated rows included, share a
+fingerprint and each have a row in the result.  A bit that exactly half of the shingles
+have is not set (the one tie there is).  A component's id is its smallest doc_id (nulls
+only where all its ids are null).  Very long texts are hashed whole, their bits counted
+run by run.  An empty table gives an empty table; further columns, whatever their names,
+are ignored (``deduplicate`` keeps them).
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ the excess is shared among the others by weight.
 
 The document at the cut is taken when that brings the sum nearer to the budget.  Null
 texts have size 0; documents of size 0 come as often as their place in the order says.
-Repeated rows (equal id and text) share their key; the cut goes between them, and which of
+Keys of different rows tie by doc_id and size.  Repeated rows (equal id and text) share their key; the cut goes between them, and which of
 them are taken is open.  Very long texts only count their words.  An empty table gives an
 empty table; further columns are carried through by ``mix``.
 """

@@ -10,7 +10,8 @@ follow without an anchor (tables, lists, code, other languages), and throughout
 without a complete chain, each run of ``RUN`` following content words is a signature, too;
 so an edited word changes the few signatures around it.  A text with neither has one, the
 hash of its words (so empty and null texts share one).  All expressions are Spark's own.  Repeated rows and ties of doc_id are ordered by the text's
-hash; null ids come last; an empty table gives an empty table.
+hash; null ids come last.  Very long texts have as many signatures as anchors.  An empty
+table gives an empty table; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

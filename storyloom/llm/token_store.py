@@ -12,7 +12,8 @@ a folder
 Parts and blocks follow ascending doc_id (nulls first, ties by text), so a short document
 is read by pruning blocks on first_id / last_id and decompressing one frame.
 
-Null texts count as empty (the end id alone); repeated rows are stored each; an empty
+Null texts count as empty (the end id alone); repeated rows are stored each; a very long
+text is encoded word by word and is one frame of a block of its own; an empty
 table gives an empty store; further columns are ignored.
 """
 
