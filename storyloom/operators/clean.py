@@ -42,6 +42,14 @@ def resolve_rating(c=F.col) -> Column:
     return F.coalesce(F.nullif(r[0], F.lit(0.0)), F.nullif(r[1], F.lit(0.0)), r[2], F.lit(0.0))
 
 
+#: Column of landed articles with the resolved rating, so that a rating filter reaches the scan.
+LANDED_RATING = "rating_value"
+
+
+def _rating(raw: DataFrame) -> Column:
+    return F.col(LANDED_RATING) if LANDED_RATING in raw.columns else resolve_rating()
+
+
 def _headline_raw() -> Column:
     return F.coalesce(first_truthy(*[F.col(a) for a in HEADLINE_ALIASES]), F.lit(""))
 
@@ -58,7 +66,7 @@ def clean_articles(raw: DataFrame, min_rating: float = 0.0, keep_raw: bool = Fal
     digits of the MD5), so the same article gets the same id on every run and others do not.
     """
     df = with_raw_fields(raw)
-    rating = resolve_rating()
+    rating = _rating(raw)
     headline_raw = _headline_raw()
     content_raw = F.coalesce(first_truthy(*[F.col(a) for a in CONTENT_ALIASES]), F.lit(""))
     date_raw = first_truthy(*[F.col(a) for a in DATE_ALIASES])

@@ -72,6 +72,14 @@ ep AS (SELECT collection_id, CASE WHEN len(segs) >= 3 THEN '0.0.0' ELSE '0.0' EN
        FROM pg)"""
 
 
+CHUNK_TEXT = """array_to_string(list_concat(
+         ['Endpoint: ' || name, 'Category: ' || category, 'Method: ' || method, 'URL: ' || url],
+         CASE WHEN description <> '' THEN [chr(10) || 'Description: ' || description] ELSE [] END,
+         CASE WHEN plain THEN [] ELSE [chr(10) || 'Path Variables:', '  - page (string): ' || var_desc] END,
+         CASE WHEN len(params) > 0 THEN list_concat([chr(10) || 'Query Parameters:'],
+              list_transform(list_filter(params, lambda p: NOT p.disabled), lambda p: '  - ' || p.key || ': ' || p.description)) ELSE [] END,
+         CASE WHEN plain THEN [chr(10) || 'Response Examples:', '  - ok (HTTP 200)'] ELSE [] END), chr(10))"""
+
 # The stand-in generator: right at once, right when told, or never (by the topic's length).
 TOLD = """
 final AS (SELECT item_id AS topic_id, CASE length(text) % 3 WHEN 0 THEN 1 ELSE 2 END AS attempt, length(text) % 3 <> 2 AS grounded,
@@ -106,6 +114,18 @@ FROM embeddings WHERE vec_id % {P.SEARCH_STEP} = 0""",
 SELECT CAST(a.label AS BIGINT) AS topic_id, count(*) AS n_pairs, round(avg(s), 6) AS mean_similarity, round(max(s), 6) AS max_similarity, round(min(s), 6) AS min_similarity
 FROM (SELECT a.label, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
       FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) a GROUP BY a.label""",
+        "doc_search": with_(PAGES) + f""",
+ck AS (SELECT CAST(collection_id AS VARCHAR) || ':' || endpoint_path || ':0' AS id, name AS endpoint_name, {CHUNK_TEXT} AS text FROM ep),
+asked AS (SELECT page_id AS topic_id, url AS topic FROM pages WHERE page_id % {P.SEARCH_STEP} = 0),
+ctf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({toks('text')}) AS term FROM ck) GROUP BY id, term),
+cn AS (SELECT id, sum(tf * tf) AS ss FROM ctf GROUP BY id),
+qtf AS (SELECT topic_id, term, count(*) AS tf FROM (SELECT topic_id, unnest({toks('topic')}) AS term FROM asked) GROUP BY topic_id, term),
+qn AS (SELECT topic_id, sum(tf * tf) AS ss FROM qtf GROUP BY topic_id),
+dots AS (SELECT q.topic_id, c.id, sum(q.tf * c.tf) AS dot FROM qtf q JOIN ctf c ON q.term = c.term GROUP BY q.topic_id, c.id),
+sc AS (SELECT a.topic_id, ck.id, ck.endpoint_name, coalesce(CAST(d.dot AS DOUBLE) / sqrt(CAST(cn.ss AS DOUBLE) * CAST(qn.ss AS DOUBLE)), 0.0) AS s
+       FROM asked a CROSS JOIN ck LEFT JOIN dots d ON d.topic_id = a.topic_id AND d.id = ck.id LEFT JOIN cn ON cn.id = ck.id LEFT JOIN qn ON qn.topic_id = a.topic_id)
+SELECT topic_id, rank, round(s, 6) AS similarity_score, endpoint_name, false AS fresh
+FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY s DESC, id) AS rank FROM sc) WHERE rank <= {P.DOC_SEARCH_K}""".replace("\nWITH", "WITH"),
         "encode_documents": with_(*articles_cte(), hashed("a", "id", "full_text", "articles")) + """
 SELECT k AS id, len(list_filter(v, lambda x: x <> 0)) AS n_used, round(list_sum(list_transform(v, lambda x: abs(x))), 6) AS l1,
        CASE WHEN len(list_filter(v, lambda x: x <> 0)) > 0 THEN list_position(v, list_max(v)) - 1 END AS top_dimension FROM a_v""",
@@ -150,13 +170,7 @@ SELECT collection_id, endpoint_path, name, category, method, url, description, l
 FROM ep""",
         "endpoint_chunks": with_(PAGES) + """
 SELECT collection_id, endpoint_path, CAST(0 AS BIGINT) AS part,
-       array_to_string(list_concat(
-         ['Endpoint: ' || name, 'Category: ' || category, 'Method: ' || method, 'URL: ' || url],
-         CASE WHEN description <> '' THEN [chr(10) || 'Description: ' || description] ELSE [] END,
-         CASE WHEN plain THEN [] ELSE [chr(10) || 'Path Variables:', '  - page (string): ' || var_desc] END,
-         CASE WHEN len(params) > 0 THEN list_concat([chr(10) || 'Query Parameters:'],
-              list_transform(list_filter(params, lambda p: NOT p.disabled), lambda p: '  - ' || p.key || ': ' || p.description)) ELSE [] END,
-         CASE WHEN plain THEN [chr(10) || 'Response Examples:', '  - ok (HTTP 200)'] ELSE [] END), chr(10)) AS text,
+       """ + CHUNK_TEXT + """ AS text,
        name AS endpoint_name, category, method, url
 FROM ep""",
         "incremental_embed": with_(*articles_cte()) + f""",

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from storyloom.operators import clean, embed, endpoints, evaluate, grounding, search, storyline
 from storyloom.sources import news, sinks
+from storyloom.sources.store import Store, corpus_version
 from storyloom.session import ensure_checkpoint_dir
 
 # Default number of hits (storylines / documentation search / evaluation).
@@ -35,6 +36,7 @@ def load_articles(spark: SparkSession, news_path: str | list[str], min_rating: f
     landed = f"{ensure_checkpoint_dir(spark).rstrip('/')}/news-{uuid.uuid4().hex}"
     seen = Observation()
     rows = clean.with_raw_fields(news.read_news_json(spark, news_path))
+    # The counts are taken below the write, in the same pass.
     news.land(rows.observe(seen, *clean.accounting(min_rating)), landed)
     return clean.clean_articles(spark.read.parquet(landed), min_rating=min_rating), seen.get
 
@@ -124,16 +126,57 @@ def evaluation_run(spark: SparkSession, eval_path: str, articles: DataFrame, gen
     return per_query, aggregate
 
 
-def search_docs(spark: SparkSession, collection_path: str, queries: DataFrame, k: int = DOC_TOP_K) -> DataFrame:
-    """Top-k documentation chunks for every row of ``queries`` (``topic_id, topic``):
-    ``(topic_id, rank, similarity_score, text, metadata)``."""
+def index_docs(spark: SparkSession, collection_path: str, folder: str) -> str:
+    """Store the chunks of API collections with their term vectors; gives the corpus version.
+
+    ``folder`` is a versioned store keyed by collection file, endpoint path, part and text:
+    chunks that are stored already are not encoded again.  Chunks that the collections no
+    longer hold are not hits (the version names those that count).
+    """
     ensure_checkpoint_dir(spark)
     raw = spark.read.text(collection_path, wholetext=True).select(
         F.xxhash64("_metadata.file_path").alias("collection_id"), F.col("value").alias("json"))
-    chunks = endpoints.endpoint_chunks(endpoints.extract_endpoints(raw)).withColumn(
-        "id", F.concat_ws(":", F.col("collection_id").cast("string"), "endpoint_path", F.col("part").cast("string"))).checkpoint()
-    chunk_tv = embed.term_vectors(chunks, "id", "text")
-    query_tv = embed.term_vectors(queries, "topic_id", "topic").withColumnRenamed("id", "topic_id")
-    hits = search.text_topk(query_tv, chunk_tv, k)
-    return search.attach(hits, chunks.select("id", "text", "metadata")).select(
-        "topic_id", "rank", "similarity_score", "text", "metadata")
+    return store_chunks(endpoints.endpoint_chunks(endpoints.extract_endpoints(raw)), folder)
+
+
+def store_chunks(chunks: DataFrame, folder: str) -> str:
+    """Store ``endpoint_chunks`` rows (see ``index_docs``)."""
+    named = chunks.withColumn("id", F.concat_ws(":", F.col("collection_id").cast("string"), "endpoint_path", F.col("part").cast("string")))
+    keyed = named.withColumn("key", F.md5(F.concat_ws("|", "id", "text"))).select("key", "id", "text", "metadata").dropDuplicates(["key"]).checkpoint()
+    version = corpus_version(keyed, "key")
+    todo = Store(keyed.sparkSession, folder).missing(keyed)
+    vectors = embed.term_vectors(todo.withColumn("chunk", F.struct("id", "text", "metadata")), "key", "text", carry=["chunk"])
+    Store(keyed.sparkSession, folder).append(vectors.select(F.col("id").alias("key"), "chunk", "terms", "tf", "sumsq"))
+    # The keys of this state of the collections, beside the store and named by the version.
+    keyed.select("key").write.mode("overwrite").parquet(f"{folder}-{version}")
+    return version
+
+
+def search_chunks(queries: DataFrame, folder: str, version: str, k: int = DOC_TOP_K, answers: str | None = None) -> DataFrame:
+    """Top-k stored chunks for every row of ``queries``: ``(topic_id, rank, similarity_score,
+    text, metadata)``.  With ``answers`` (a store) queries that were answered for this
+    version are not searched again."""
+    spark = queries.sparkSession
+    current = spark.read.parquet(f"{folder}-{version}")
+    stored = Store(spark, folder).read().join(current, "key", "left_semi").select("chunk.*", "terms", "tf", "sumsq")
+
+    def run(todo: DataFrame) -> DataFrame:
+        tv = embed.term_vectors(todo, "key", "topic").withColumnRenamed("id", "topic_id")
+        found = search.text_topk(tv, stored.select("id", "terms", "tf", "sumsq"), k)
+        return found.select(F.col("topic_id").alias("key"), "rank", "id", "similarity_score")
+
+    answers = answers or f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    hits = search.cached_search(queries, answers, run, k, "term-counts", version)
+    return search.attach(hits, stored.select("id", "text", "metadata")).select("topic_id", "rank", "similarity_score", "text", "metadata", "fresh")
+
+
+def search_docs(spark: SparkSession, collection_path: str, queries: DataFrame, k: int = DOC_TOP_K,
+                folder: str | None = None, answers: str | None = None) -> DataFrame:
+    """Top-k documentation chunks for every row of ``queries`` (``topic_id, topic``):
+    ``(topic_id, rank, similarity_score, text, metadata)``.
+
+    ``folder`` and ``answers`` keep the chunks' vectors and the answers for later calls.
+    """
+    folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    version = index_docs(spark, collection_path, folder)
+    return search_chunks(queries, folder, version, k, answers).drop("fresh")

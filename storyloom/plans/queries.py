@@ -466,6 +466,19 @@ def q_dense_story(spark, sf_dir):
     return hits.select("topic_id", "rank", "id", _round())
 
 
+def q_doc_search(spark, sf_dir):
+    """S2, T8 and the documentation route: stored chunks, searched twice; the second call answers from the store."""
+    from storyloom.operators import endpoints
+    from storyloom.plans import pipelines
+    folder, answers = _store(spark, "chunks"), _store(spark, "answers")
+    pages = testbed.page_urls(spark, sf_dir)
+    asked = pages.where(F.col("page_id") % P.SEARCH_STEP == 0).select(F.col("page_id").alias("topic_id"), F.col("url").alias("topic"))
+    version = pipelines.store_chunks(endpoints.endpoint_chunks(endpoints.extract_endpoints(testbed.page_collections(spark, sf_dir))), folder)
+    pipelines.search_chunks(asked, folder, version, P.DOC_SEARCH_K, answers)
+    hits = pipelines.search_chunks(asked, folder, version, P.DOC_SEARCH_K, answers)
+    return hits.select("topic_id", "rank", _round(), F.col("metadata.endpoint_name").alias("endpoint_name"), "fresh")
+
+
 def q_label_similarity(spark, sf_dir):
     """T7 on large sets: all pairs of vectors of a label, summed up."""
     corpus = testbed.dense_vectors(spark, sf_dir)
@@ -524,6 +537,7 @@ queries_batch4 = {
     "vector_self_topk": q_vector_self_topk,
     "ivf_recall": q_ivf_recall,
     "label_similarity": q_label_similarity,
+    "doc_search": q_doc_search,
     "encode_documents": q_encode_documents,
     "dense_story": q_dense_story,
     "article_raw": q_article_raw,

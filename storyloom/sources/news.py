@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.operators.clean import RAW_STRING_FIELDS
+from storyloom.operators.clean import LANDED_RATING, RAW_STRING_FIELDS, resolve_rating, with_raw_fields
 from storyloom.sources.json_arrays import read_elements
 
 # Fixed value: wrapper keys, tried in this order.
@@ -31,5 +31,7 @@ def parse_articles(rows: DataFrame, text: str) -> DataFrame:
 
 
 def land(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write raw rows as Parquet (the copy later jobs read), ``raw`` included."""
-    df.write.mode(mode).parquet(path)
+    """Write raw rows as Parquet (the copy later jobs read), ``raw`` included, with the
+    rating as a number: the cleaner's rating filter is pushed into the scan of the copy."""
+    rated = with_raw_fields(df).withColumn(LANDED_RATING, resolve_rating())
+    rated.write.mode(mode).parquet(path)

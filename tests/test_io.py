@@ -29,7 +29,11 @@ def test_news_reader_bare_and_wrapped(spark):
     assert set(got) == {"7", "8", "9"}
     assert got["7"].source_rating == 9.0 and got["9"].source_rating == 0.0
     news.land(raw, f"{d}/landed", "overwrite")
-    assert spark.read.parquet(f"{d}/landed").count() == 3
+    landed = spark.read.parquet(f"{d}/landed")
+    assert landed.count() == 3
+    rated = clean.clean_articles(landed, min_rating=5)
+    assert {r.id for r in rated.collect()} == {"7", "8"}
+    assert "GreaterThanOrEqual(rating_value,5.0)" in rated._jdf.queryExecution().toString()
 
 
 def test_eval_set_reader(spark):
