@@ -317,6 +317,9 @@ LEFT JOIN (SELECT topic_id, count(*) AS c FROM edges GROUP BY topic_id) e ON e.t
 SELECT topic_id, event_pos, event FROM (SELECT topic_id, unnest(key_events) AS event, unnest(generate_series(1, len(key_events))) AS event_pos FROM events)""",
         "keyword_clusters": with_(*h, CLUSTERS) + "SELECT * FROM clusters",
         "summary_text": with_(*h, SUMMARY) + "SELECT topic_id, summary FROM summary",
+        "storyline_files": with_(*h, SUMMARY) + """
+SELECT b.item_id AS topic_id, 'heuristic' AS generation_mode, sm.summary AS narrative_summary, coalesce(n.c, 0) AS timeline_count
+FROM benchmark b JOIN summary sm ON sm.topic_id = b.item_id LEFT JOIN (SELECT topic_id, count(*) AS c FROM ta GROUP BY topic_id) n ON n.topic_id = b.item_id""",
         "storyline_docs": with_(*h, SUMMARY, EDGES, CLUSTERS) + """
 SELECT b.item_id AS topic_id, 'heuristic' AS generation_mode, sm.summary AS narrative_summary,
        coalesce(n.c, 0) AS timeline_count, cl.c AS cluster_count, coalesce(n.c, 0) AS node_count, coalesce(e.c, 0) AS edge_count,

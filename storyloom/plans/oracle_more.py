@@ -80,6 +80,18 @@ CHUNK_TEXT = """array_to_string(list_concat(
               list_transform(list_filter(params, lambda p: NOT p.disabled), lambda p: '  - ' || p.key || ': ' || p.description)) ELSE [] END,
          CASE WHEN plain THEN [chr(10) || 'Response Examples:', '  - ok (HTTP 200)'] ELSE [] END), chr(10))"""
 
+DOC_HITS = f""",
+ck AS (SELECT CAST(collection_id AS VARCHAR) || ':' || endpoint_path || ':0' AS id, name AS endpoint_name, category, method, url, {CHUNK_TEXT} AS text FROM ep),
+asked AS (SELECT page_id AS topic_id, url AS topic FROM pages WHERE page_id % {P.SEARCH_STEP} = 0),
+ctf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({toks('text')}) AS term FROM ck) GROUP BY id, term),
+cn AS (SELECT id, sum(tf * tf) AS ss FROM ctf GROUP BY id),
+qtf AS (SELECT topic_id, term, count(*) AS tf FROM (SELECT topic_id, unnest({toks('topic')}) AS term FROM asked) GROUP BY topic_id, term),
+qn AS (SELECT topic_id, sum(tf * tf) AS ss FROM qtf GROUP BY topic_id),
+dots AS (SELECT q.topic_id, c.id, sum(q.tf * c.tf) AS dot FROM qtf q JOIN ctf c ON q.term = c.term GROUP BY q.topic_id, c.id),
+sc AS (SELECT a.topic_id, ck.*, coalesce(CAST(d.dot AS DOUBLE) / sqrt(CAST(cn.ss AS DOUBLE) * CAST(qn.ss AS DOUBLE)), 0.0) AS s
+       FROM asked a CROSS JOIN ck LEFT JOIN dots d ON d.topic_id = a.topic_id AND d.id = ck.id LEFT JOIN cn ON cn.id = ck.id LEFT JOIN qn ON qn.topic_id = a.topic_id),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY s DESC, id) AS rank FROM sc) WHERE rank <= {P.DOC_SEARCH_K})"""
+
 # The stand-in generator: right at once, right when told, or never (by the topic's length).
 TOLD = """
 final AS (SELECT item_id AS topic_id, CASE length(text) % 3 WHEN 0 THEN 1 ELSE 2 END AS attempt, length(text) % 3 <> 2 AS grounded,
@@ -114,18 +126,19 @@ FROM embeddings WHERE vec_id % {P.SEARCH_STEP} = 0""",
 SELECT CAST(a.label AS BIGINT) AS topic_id, count(*) AS n_pairs, round(avg(s), 6) AS mean_similarity, round(max(s), 6) AS max_similarity, round(min(s), 6) AS min_similarity
 FROM (SELECT a.label, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
       FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) a GROUP BY a.label""",
-        "doc_search": with_(PAGES) + f""",
-ck AS (SELECT CAST(collection_id AS VARCHAR) || ':' || endpoint_path || ':0' AS id, name AS endpoint_name, {CHUNK_TEXT} AS text FROM ep),
-asked AS (SELECT page_id AS topic_id, url AS topic FROM pages WHERE page_id % {P.SEARCH_STEP} = 0),
-ctf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({toks('text')}) AS term FROM ck) GROUP BY id, term),
-cn AS (SELECT id, sum(tf * tf) AS ss FROM ctf GROUP BY id),
-qtf AS (SELECT topic_id, term, count(*) AS tf FROM (SELECT topic_id, unnest({toks('topic')}) AS term FROM asked) GROUP BY topic_id, term),
-qn AS (SELECT topic_id, sum(tf * tf) AS ss FROM qtf GROUP BY topic_id),
-dots AS (SELECT q.topic_id, c.id, sum(q.tf * c.tf) AS dot FROM qtf q JOIN ctf c ON q.term = c.term GROUP BY q.topic_id, c.id),
-sc AS (SELECT a.topic_id, ck.id, ck.endpoint_name, coalesce(CAST(d.dot AS DOUBLE) / sqrt(CAST(cn.ss AS DOUBLE) * CAST(qn.ss AS DOUBLE)), 0.0) AS s
-       FROM asked a CROSS JOIN ck LEFT JOIN dots d ON d.topic_id = a.topic_id AND d.id = ck.id LEFT JOIN cn ON cn.id = ck.id LEFT JOIN qn ON qn.topic_id = a.topic_id)
+        "doc_search": with_(PAGES) + DOC_HITS + f"""
 SELECT topic_id, rank, round(s, 6) AS similarity_score, endpoint_name, false AS fresh
-FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY s DESC, id) AS rank FROM sc) WHERE rank <= {P.DOC_SEARCH_K}""".replace("\nWITH", "WITH"),
+FROM found""",
+        "readable_hits": with_(PAGES) + DOC_HITS + f"""
+SELECT topic_id, rank, chr(10) || repeat('=', 80) || chr(10) || 'Rank: ' || CAST(rank AS VARCHAR) || chr(10) || 'Similarity Score: ' || printf('%.4f', s) || chr(10)
+       || 'Endpoint: ' || endpoint_name || chr(10) || 'Category: ' || category || chr(10) || 'Method: ' || method || chr(10) || 'URL: ' || url || chr(10) || chr(10) || text
+       || CASE WHEN rank = max(rank) OVER (PARTITION BY topic_id) THEN chr(10) || chr(10) || repeat('=', 80) ELSE '' END AS block
+FROM found""",
+        "missing_ids": with_(*[c.replace("CAST(d.doc_id AS VARCHAR) AS id", "CASE d.doc_id % 3 WHEN 1 THEN '0' WHEN 2 THEN CAST(d.doc_id AS VARCHAR) END AS id") for c in articles_cte()]) + """
+SELECT id, headline, date FROM articles""",
+        "short_labels": """
+SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) || '...' END AS label,
+       greatest(0.0, least(1.0, CAST(n_chars AS DOUBLE) / 1000.0 - 0.5)) AS share FROM documents""",
         "encode_documents": with_(*articles_cte(), hashed("a", "id", "full_text", "articles")) + """
 SELECT k AS id, len(list_filter(v, lambda x: x <> 0)) AS n_used, round(list_sum(list_transform(v, lambda x: abs(x))), 6) AS l1,
        CASE WHEN len(list_filter(v, lambda x: x <> 0)) > 0 THEN list_position(v, list_max(v)) - 1 END AS top_dimension FROM a_v""",
@@ -133,6 +146,8 @@ SELECT k AS id, len(list_filter(v, lambda x: x <> 0)) AS n_used, round(list_sum(
 SELECT topic_id, rank, id, round(s, 6) AS similarity_score FROM (
   SELECT t.k AS topic_id, a.k AS id, list_dot_product(t.v, a.v) AS s, row_number() OVER (PARTITION BY t.k ORDER BY list_dot_product(t.v, a.v) DESC, a.k) AS rank
   FROM t_v t, a_v a) WHERE rank <= {P.DENSE_K}""",
+        "encoder_hook": with_(*articles_cte()) + """
+SELECT id, length(full_text) AS n_chars, length(full_text) - length(replace(full_text, 'e', '')) AS n_e FROM articles""",
         "article_raw": with_(*articles_cte()) + """
 SELECT a.id, a.headline, d.n_chars, d.lang AS meta_lang, d.source AS meta_source FROM articles a JOIN documents d ON a.id = CAST(d.doc_id AS VARCHAR)""",
         "feed_accounting": accounting_sql(),

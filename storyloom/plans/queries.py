@@ -175,6 +175,17 @@ def q_storyline_docs(spark, sf_dir):
         F.array_join(F.transform("clusters", lambda c: c["theme"]), "|").alias("themes"))
 
 
+def q_storyline_files(spark, sf_dir):
+    """Storyline documents written as JSON and read back."""
+    from storyloom.operators import storyline
+    from storyloom.sources import sinks
+    folder = _store(spark, "storylines")
+    tps, _, _, ta = story_inputs(spark, sf_dir)
+    docs = storyline.storyline_documents(tps, ta, P.AS_OF)
+    sinks.write_storylines(docs, folder)
+    return spark.read.schema(docs.schema).json(folder).select("topic_id", "generation_mode", "narrative_summary", F.size("timeline").alias("timeline_count"))
+
+
 def q_section_pack(spark, sf_dir):
     from storyloom.operators import endpoints
     docs = testbed.read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -210,6 +221,7 @@ queries_batch2 = {
     "keyword_clusters": q_keyword_clusters,
     "summary_text": q_summary_text,
     "storyline_docs": q_storyline_docs,
+    "storyline_files": q_storyline_files,
     "section_pack": q_section_pack,
     "vector_neighbors": q_vector_neighbors,
     "vector_similarity_pairs": q_vector_similarity_pairs,
@@ -458,6 +470,19 @@ def q_encode_documents(spark, sf_dir):
     return v.select("id", used.alias("n_used"), F.round(size, 6).alias("l1"), F.when(used > 0, top).alias("top_dimension"))
 
 
+def _counting_encoder():
+    """A caller's encoder: characters and letters e of each text."""
+    import numpy as np
+    return lambda texts: np.array([[len(t), t.count("e")] for t in map(str, texts.ravel())], np.float32)
+
+
+def q_encoder_hook(spark, sf_dir):
+    """V1: articles through a caller's encoder in Arrow batches."""
+    from storyloom.operators import embed
+    v = embed.encode(articles(spark, sf_dir).select("id", "full_text"), "full_text", _counting_encoder, 2, normalize_output=False)
+    return v.select("id", F.get("embedding", F.lit(0)).cast("long").alias("n_chars"), F.get("embedding", F.lit(1)).cast("long").alias("n_e"))
+
+
 def q_dense_story(spark, sf_dir):
     """Topics against articles on stored vectors of the built-in encoder."""
     from storyloom.plans import pipelines
@@ -479,6 +504,32 @@ def q_doc_search(spark, sf_dir):
     return hits.select("topic_id", "rank", _round(), F.col("metadata.endpoint_name").alias("endpoint_name"), "fresh")
 
 
+def q_readable_hits(spark, sf_dir):
+    """The documentation hits as text blocks with their rules."""
+    from storyloom.operators import endpoints
+    from storyloom.plans import pipelines
+    from storyloom.sources import sinks
+    folder = _store(spark, "chunks")
+    asked = testbed.page_urls(spark, sf_dir).where(F.col("page_id") % P.SEARCH_STEP == 0).select(F.col("page_id").alias("topic_id"), F.col("url").alias("topic"))
+    version = pipelines.store_chunks(endpoints.endpoint_chunks(endpoints.extract_endpoints(testbed.page_collections(spark, sf_dir))), folder)
+    return sinks.hits_readable(pipelines.search_chunks(asked, folder, version, P.DOC_SEARCH_K)).select("topic_id", "rank", F.col("value").alias("block"))
+
+
+def q_missing_ids(spark, sf_dir):
+    """Articles without an id, or with 0, get the hash of what they tell."""
+    raw = testbed.raw_articles(spark, sf_dir)
+    number = F.col("id").cast("long") % 3
+    bare = raw.withColumn("id", F.when(number == 1, F.lit("0")).when(number == 2, F.col("id")))
+    return clean.clean_articles(bare).select("id", "headline", "date")
+
+
+def q_short_labels(spark, sf_dir):
+    """Document texts cut to a label, and lengths clamped to a share."""
+    from storyloom.functions.text import clamp, ellipsis
+    docs = testbed.read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", ellipsis(F.col("text"), 40).alias("label"), clamp(F.col("n_chars") / 1000.0 - 0.5).alias("share"))
+
+
 def q_label_similarity(spark, sf_dir):
     """T7 on large sets: all pairs of vectors of a label, summed up."""
     corpus = testbed.dense_vectors(spark, sf_dir)
@@ -538,8 +589,12 @@ queries_batch4 = {
     "ivf_recall": q_ivf_recall,
     "label_similarity": q_label_similarity,
     "doc_search": q_doc_search,
+    "readable_hits": q_readable_hits,
+    "missing_ids": q_missing_ids,
+    "short_labels": q_short_labels,
     "encode_documents": q_encode_documents,
     "dense_story": q_dense_story,
+    "encoder_hook": q_encoder_hook,
     "article_raw": q_article_raw,
     "feed_accounting": q_feed_accounting,
     "generate_loop": q_generate_loop,
