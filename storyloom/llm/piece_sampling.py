@@ -42,7 +42,7 @@ SAMPLES = 2
 #: Weight of a piece: (1 + rank) ** -POWER.
 POWER = 1.0
 SEED = 10
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 #: Edges of a path that are drawn one after the other, for all words at once.
 LONG_PATH = 48
 #: A rest of a word's mass below this is what rounding leaves of nothing.
@@ -55,6 +55,39 @@ SAMPLED = "doc_id long, text_key long, sample int, n_pieces long, log_prob doubl
 _MODELS: dict = {}
 
 
+class _Slots:
+    """Where distinct keys are, by open addressing: a key's slot or one of the next holds its place."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.place = np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.place[slot] < 0)
+            self.place[slot[free]] = left[free]  # the last of those with one slot stays
+            on = self.place[slot] != left
+            left, slot = left[on], (slot[on] + 1) & self.mask
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``h`` are keys, their places)."""
+        slot = self._slot(h)
+        place = self.place[slot]
+        same = self.keys[place] == h
+        again = np.flatnonzero((place >= 0) & ~same)
+        while len(again):
+            slot[again] = (slot[again] + 1) & self.mask
+            p = self.place[slot[again]]
+            place[again] = p
+            same[again] = self.keys[p] == h[again]
+            again = again[(p >= 0) & ~same[again]]
+        hit = np.flatnonzero(same & (place >= 0))
+        return hit, place[hit]
+
+
 class Vocabulary:
     def __init__(self, path: str, power: float = POWER):
         import sentencepiece
@@ -72,14 +105,15 @@ class Vocabulary:
         weight = -power * np.log(1 + rank)
         self.byte_weight = -power * float(np.log(1 + len(usable)))
         # By length: hashes of all pieces' beginnings, with the id and weight of those that are pieces.
-        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.by_length: list[tuple[np.ndarray, _Slots, np.ndarray, np.ndarray]] = []
         for length in range(1, self.longest + 1):
             found = {p[:length]: (-1, -np.inf) for _, p in usable if len(p) >= length}
             found.update({p: (i, weight[k]) for k, (i, p) in enumerate(usable) if len(p) == length})
             keys = _hash(np.array([[ord(c) for c in p] for p in found], np.uint64))
             by = np.argsort(keys)
             ids, weights = (np.array(x) for x in zip(*found.values()))
-            self.by_length.append((keys[by], ids[by].astype(np.int32), weights[by].astype(np.float32)))
+            keys = keys[by]
+            self.by_length.append((keys, _Slots(keys), ids[by].astype(np.int32), weights[by].astype(np.float32)))
         # For decoding: the bytes of every id, the space sign as a space.
         texts = [sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte):
@@ -144,10 +178,9 @@ class Lattices:
         at, h = np.arange(n), np.zeros(n, np.uint64)
         for k in range(v.longest):  # only beginnings of pieces go on to the next length
             h = h * _STEP + look[at + k]
-            keys, ids, weights = v.by_length[k]
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[place] == h
-            at, h, place = at[hit], h[hit], place[hit]
+            _, slots, ids, weights = v.by_length[k]
+            hit, place = slots.find(h)
+            at, h = at[hit], h[hit]
             whole = ids[place] >= 0
             found.append((at[whole], ids[place[whole]], weights[place[whole]]))
             on = left[at] > k + 1
