@@ -273,8 +273,7 @@ def _clusters(items: Column, keywords: Column, allow_first_cluster: bool) -> Col
 
 
 def _clusters_or_one(items: Column, keywords: Column, allow_first_cluster: bool = False) -> Column:
-    n = F.coalesce(F.size(items), F.lit(0))
-    n = F.when(items.isNull(), F.lit(0)).otherwise(n)
+    n = F.when(items.isNull(), F.lit(0)).otherwise(F.size(items))
     ids = F.coalesce(_of(items, "id"), F.array().cast("array<string>"))
     one = F.array(F.struct(F.lit(0).alias("cluster_id"), F.lit(ONE_CLUSTER).alias("theme"), n.alias("article_count"), ids.alias("articles"), F.lit(None).cast("array<string>").alias("key_terms")))
     return F.when(n >= 2, _clusters(items, keywords, allow_first_cluster)).otherwise(one.cast(CLUSTERS))

@@ -62,7 +62,7 @@ def test_few_keys_read_few_files(spark, store):
     store.append(rows(spark, range(3000)))
     some = rows(spark, range(20))
     read = store.read(store.prefixes(some))
-    files = {f for f in read.inputFiles()} if False else {r[0] for r in read.select(F.input_file_name()).distinct().collect()}
+    files = {r[0] for r in read.select(F.input_file_name()).distinct().collect()}
     every = {r[0] for r in store.read().select(F.input_file_name()).distinct().collect()}
     assert len(files) <= 20 < len(every) and "PartitionFilters: [prefix" in read._jdf.queryExecution().toString()
     assert read.join(some, "key", "left_semi").count() == 20 and store.missing(rows(spark, range(2990, 3010))).count() == 10
