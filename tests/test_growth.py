@@ -1,9 +1,14 @@
 """Odd ids, and batches that are larger than what a task may hold at once."""
 
 import datetime
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from storyloom.functions.vectors import list_slices
+from storyloom.operators import embed, search
 from storyloom.plans import queries
 
 
@@ -28,3 +33,48 @@ def test_loop_takes_articles_without_an_id(spark, tables):
     rows = queries.queries()["generate_loop"](spark, tables).collect()
     assert {r.topic_id: r.n_sources for r in rows} == {0: 5, 1: 5, 2: 5}
     assert all(r.n_timeline == 1 for r in rows)
+
+
+def _large_batch(rows=4000, words=500):
+    rng = np.random.default_rng(3)
+    said = pa.array([f"w{i}" for i in range(3000)]).take(pa.array(rng.integers(0, 3000, rows * words)))
+    terms = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * words + 1, words, dtype=np.int32)), said)
+    return pa.RecordBatch.from_arrays([pa.array([f"{i:05}" for i in range(rows)]), terms], ["id", "terms"])
+
+
+def _peak(batches):
+    """What the batches are, and the most MB that numpy held beside one of them."""
+    tracemalloc.start()
+    out, most = [], 0
+    for batch in batches:
+        out.append(batch)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, most
+
+
+def test_slices_keep_all_rows_in_order():
+    lists = [[1, 2, 3], None, [], [4] * 9, [5], [6, 7]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(lists, pa.list_(pa.int64()))], ["id", "terms"])
+    cut = list(list_slices(iter([batch, batch.slice(0, 0), batch.slice(4)]), "terms", 4))
+    assert [b.column("id").to_pylist() for b in cut] == [[0, 1, 2], [3], [4, 5], [4, 5]]
+    assert [x for b in cut for x in b.column("terms").to_pylist()] == lists + lists[4:]
+
+
+def test_large_batches_are_counted_and_scored_in_slices():
+    batch = _large_batch()
+    counted, most = _peak(embed._counted_terms(iter([batch])))
+    assert most < 40 and sum(b.num_rows for b in counted) == batch.num_rows
+    whole = pa.Table.from_batches(counted)
+    for i in (0, 1999, 3999):
+        words, n = np.unique(batch.column("terms")[i].as_py(), return_counts=True)
+        assert whole["terms"][i].as_py() == words.tolist() and whole["tf"][i].as_py() == n.tolist()
+        assert whole["sumsq"][i].as_py() == int((n ** 2).sum())
+    topics = pa.table({"topic_id": [7], "terms": [["w1", "w2", "w9"]], "tf": [[1, 2, 1]], "sumsq": [6]})
+    docs = whole.combine_chunks().to_batches()[0]
+    found, most = _peak(search._block_scorer(topics, 5, ["id"])(iter([docs])))
+    tf = [dict(zip(t, n)) for t, n in zip(whole["terms"].to_pylist(), whole["tf"].to_pylist())]
+    score = [(d.get("w1", 0) + 2 * d.get("w2", 0) + d.get("w9", 0)) / np.sqrt(6.0 * s) for d, s in zip(tf, whole["sumsq"].to_pylist())]
+    want = sorted(range(len(score)), key=lambda i: (-score[i], i))[:5]
+    assert [int(x) for b in found for x in b.column("id").to_pylist()] == want
+    assert most < 40
