@@ -43,7 +43,7 @@ def load_articles(spark: SparkSession, news_path: str | list[str], min_rating: f
 
 def text_hits(topics: DataFrame, articles: DataFrame, k: int) -> DataFrame:
     """Retriever on term vectors; ``articles`` has ``row_key``, which the hits carry."""
-    doc_tv = embed.term_vectors(articles, "id", "full_text", carry=["row_key"])
+    doc_tv = embed.term_lists(articles, "id", "full_text", carry=["row_key"])
     topic_tv = embed.term_vectors(topics, "topic_id", "topic").withColumnRenamed("id", "topic_id")
     return search.text_topk(topic_tv, doc_tv, k, carry=["row_key"])
 

@@ -140,3 +140,21 @@ def test_probes_are_chosen_without_ranking_every_list(spark, tmp_path, monkeypat
     trial = corpus.where("id % 20 = 7").select(corpus.id.alias("topic_id"), "embedding")
     monkeypatch.setattr(ivf, "probe", lambda *a, **k: pytest.fail("a rank for each query and list"))
     assert 1 <= ivf.probes_for_recall(trial, corpus, folder, 5, 0.9) <= 20
+
+
+def test_documents_are_counted_by_the_task_that_scores_them(spark, tables):
+    plan = queries.queries()["text_threshold"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    docs = spark.createDataFrame([(i, f"w{i % 5} W{i % 7} w{i % 5}, x{i}") for i in range(60)] + [(60, None), (61, "")], "id long, full_text string")
+    asked = embed.term_vectors(spark.createDataFrame([(1, "w1 w2"), (2, "x7 w3 w3"), (3, "")], "topic_id long, topic string"), "topic_id", "topic").withColumnRenamed("id", "topic_id")
+    for options in ({}, {"threshold": 0.3}, {"max_topics": 1}):
+        once = search.text_topk(asked, embed.term_lists(docs), 9, **options)
+        stored = search.text_topk(asked, embed.term_vectors(docs), 9, **options)
+        assert sorted(map(tuple, once.collect())) == sorted(map(tuple, stored.collect()))
+
+
+def test_counting_and_scoring_hold_little_beside_a_batch():
+    batch = _large_batch()
+    topics = pa.table({"topic_id": list(range(40)), "terms": [[f"w{i}", f"w{i + 9}"] for i in range(40)], "tf": [[1, 2]] * 40, "sumsq": [5] * 40})
+    found, most = _peak(search._block_scorer(topics, 5, ["id"])(embed._counted_terms(iter([batch]))))
+    assert sum(b.num_rows for b in found) == 200 and most < 15
