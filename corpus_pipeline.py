@@ -6,7 +6,7 @@ of ``documents``:
 
     quality        rejected documents go
     near_dedup     one document of each group of near copies stays
-    suffix_dedup   passages that repeat are cut out of the texts
+    suffix_dedup   passages that repeat (``PASSAGE_BYTES`` bytes or more) are cut out of the texts
     mix            documents as often as the mix of sources takes them
     segment        sampled segmentations of every document, with their decoding checked
 """
@@ -22,6 +22,9 @@ from storyloom.llm.common import ship_package
 from storyloom.llm.queries import PIECES, vocabulary
 from storyloom.session import ensure_checkpoint_dir
 
+#: The least length of a repeated passage: 50 words of five bytes, the space included.
+PASSAGE_BYTES = 250
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
@@ -37,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     ensure_checkpoint_dir(spark)
-    return suffix_dedup.deduplicate(docs)
+    return suffix_dedup.deduplicate(docs, min_bytes=PASSAGE_BYTES)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,3 +275,17 @@ def test_pipeline_awkward_rows(spark):
             if name != "segment":
                 assert out.columns == docs.columns
             out.collect()
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    """51 words of 5.4 bytes each: shorter than the 400 bytes of op3."""
+    import corpus_pipeline as cp
+    passage = " ".join(f"p{i:03}" + "x" * (i % 2) for i in range(51))
+    assert cp.PASSAGE_BYTES <= len(passage) < 400
+    own = [" ".join(f"{c}own{i}" for i in range(60)) for c in "abcd"]
+    shorter = " ".join(passage.split()[:45])
+    texts = {1: f"{own[0]}\n{passage}\n{own[1]}", 2: f"{passage}\n{own[2]}", 3: f"{own[3]} {shorter}"}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r.text for r in cp.repeated_passages(spark, docs, "").collect()}
+    assert passage not in got[1] + got[2] and got[3] == texts[3]
+    assert own[0] in got[1] and own[1] in got[1] and own[2] in got[2]
