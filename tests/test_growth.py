@@ -158,3 +158,20 @@ def test_counting_and_scoring_hold_little_beside_a_batch():
     topics = pa.table({"topic_id": list(range(40)), "terms": [[f"w{i}", f"w{i + 9}"] for i in range(40)], "tf": [[1, 2]] * 40, "sumsq": [5] * 40})
     found, most = _peak(search._block_scorer(topics, 5, ["id"])(embed._counted_terms(iter([batch]))))
     assert sum(b.num_rows for b in found) == 200 and most < 15
+
+
+class _Searched(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["summary_text", "storyline_files", "relation_edges", "text_threshold", "eval_metrics", "grounding_report",
+                                  "context_blocks", "best_attempt", "eval_aggregate", "graph_counts", "timeline"])
+def test_a_searching_query_starts_one_python_worker_a_task(spark, tables, monkeypatch, name):
+    """The documents' tokens come out of the JVM uncounted, so no second worker holds a batch beside the scorer's."""
+    def searched(topics, docs, *a, **k):
+        assert docs.columns[-1] == "terms" and "tf" not in docs.columns
+        assert "MapInArrow" not in docs._jdf.queryExecution().executedPlan().toString()
+        raise _Searched
+    monkeypatch.setattr(search, "text_topk", searched)
+    with pytest.raises(_Searched):
+        queries.queries()[name](spark, tables)
