@@ -1,6 +1,7 @@
 """Pitman-Yor scoring and segmentation sampling against plain Python; the pipeline."""
 
 import math
+import os
 import random
 import re
 import time
@@ -138,6 +139,45 @@ def test_a_repeated_word_is_counted_before_the_shuffle():
     assert len(rows) == 5 and sum(r["n_train"] for r in rows) == 50001 * trained[0] + 3 * trained[1]
 
 
+def test_packed_parts_score_like_rows(spark):
+    """The packed chain gives each text the score of the chain over plain rows, with contexts dealt out or not."""
+    rows = [(i, prose(150, i % 70), "", "", 0) for i in range(1, 150)]
+    index, pairs = {}, Counter()
+    for d in rows:
+        own = ["start", *tokens(d[1])]
+        for u, w in zip(own, own[1:]):
+            pairs[index.setdefault(w, len(index)), index.setdefault(u, len(index))] += bool(zlib.crc32(str(d[0]).encode()) % 10)
+    scored, n_tokens = pitman_yor._probabilities(spark.createDataFrame([(*k, n) for k, n in pairs.items()], "word long, context long, c long"))
+    value = {(r["word"], r["context"]): r["score"] for r in scored.collect()}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for part_bytes in (1 << 20, 9000):
+        got = {r["doc_id"]: r for r in pitman_yor.score_documents(docs, part_bytes=part_bytes).collect()}
+        for d in rows:
+            own = ["start", *tokens(d[1])]
+            assert got[d[0]]["score"] == pytest.approx(sum(value[index[w], index[u]] for u, w in zip(own, own[1:])), rel=0.02)
+            assert got[d[0]]["train_tokens"] == n_tokens
+
+
+def test_frozen_arrays_come_back():
+    some = [np.array([], np.int64), np.array([0, 255]), np.array([70000, 1]), np.array([2 ** 64 - 1, 0], np.uint64)]
+    assert all(np.array_equal(a, b) for a, b in zip(some, pitman_yor._thaw(pitman_yor._freeze(*some)), strict=True))
+
+
+def test_blocks_send_packed_cells_and_little_stays_written(spark, tmp_path):
+    """A block sends a row for each part, not for each pair, and what the scoring leaves written is less than the texts."""
+    from storyloom.session import ensure_checkpoint_dir
+    rows = [(i, prose(2000, i), "", "", 0) for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:").rstrip("/")
+    before = {f for f, _, _ in os.walk(folder)}
+    out = pitman_yor.score_documents(docs, part_bytes=1 << 18)
+    assert out.count() == len(rows)
+    left = sum(os.path.getsize(os.path.join(f, x)) for f, _, names in os.walk(folder) if f not in before for x in names)
+    assert 0 < left < sum(len(d[1].encode()) for d in rows)
+    blocks = pitman_yor._blocks_of(docs, "text", "doc_id")
+    assert pitman_yor._cells_of(blocks, 3, {}).count() <= 3 * blocks.count() <= 6
+
+
 def test_reseat_bounds_and_mean():
     rng = np.random.default_rng(3)
     c = np.array([1, 2, 5, 64, 65, 1000, 100000])
